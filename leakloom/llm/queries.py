@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, urlglob
-from .common import table
+from . import chat, mixing, sharding, tiff, urlglob
+from .common import schema, table
 
 #: Rules of the page filter and, for pages without a rule, globs of unwanted hosts.
 URL_RULES = [
@@ -21,6 +25,65 @@ URL_RULES = [
 URL_BLOCKED = ["*casino*/*", "*-bets.*/*", "*cheap-pills*/*"]
 
 
+def op1_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], schema(conv_id="long", turn="long", role="string", text="string"))
+    return chat.read_chat(chat.format_chat(rows.unionByName(probe)))
+
+
+def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tiff.texts_to_tiff(table(spark, sf_dir, "documents"))
+    stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    return _payload_digest(tiff.tiff_pages(stored, "media", ("doc_id", "n_bytes", "media_bytes", "media_sha256")))
+
+
+def _payload_digest(pages: DataFrame) -> DataFrame:
+    """Page rows of each document, which follow each other, as one row; features come from the pixels."""
+    out = schema(doc_id="long", n_bytes="long", payload_bytes="long", payload_sha256="string", tail_crc32="long", media_bytes="long", media_sha256="string", feature="string", pages="int", error="string")
+    names = ["doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "width", "height", "compression", "tiled", "pixels", "error"]
+
+    def run(batches):
+        first, state = None, None
+        for b in batches:
+            done = []
+            columns = [b.column(n).to_pylist() for n in names]
+            for doc, n, size, sha, page, width, height, compression, tiled, pixels, error in zip(*columns, strict=True):
+                if not page and not (error and first and first[0] == doc):  # a new document
+                    if first:
+                        done.append(_digest_row(first, state))
+                    first = (doc, n, size, sha, width, compression, tiled)
+                    state = [hashlib.sha256(), 0, b"", np.zeros(256, np.int64), 0, 0, None]
+                if error:
+                    state[6] = error
+                    continue
+                state[0].update(pixels)
+                state[1] += len(pixels)
+                state[2] = (state[2] + pixels)[-64:]
+                state[3] += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+                state[4] += 1
+                state[5] += height
+            if done:
+                yield pa.Table.from_pylist(done, schema=_DIGEST).to_batches()[0]
+        if first:
+            yield pa.Table.from_pylist([_digest_row(first, state)], schema=_DIGEST).to_batches()[0]
+
+    return pages.select(*names).mapInArrow(run, out)
+
+
+_DIGEST = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
+    + [("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pages", pa.int32()), ("error", pa.string())]
+)
+
+
+def _digest_row(first: tuple, state: list) -> dict:
+    share = state[3][state[3] > 0] / max(1, state[1])
+    mean = float(state[3] @ np.arange(256)) / max(1, state[1])
+    feature = f"{first[4]}x{state[5]}/{state[4]} c{first[5]} {'tiles' if first[6] else 'strips'} mean={mean:.4f} entropy={-float(share @ np.log2(share)):.4f} ink={int((state[3] > 0).sum())}"
+    return {"doc_id": first[0], "n_bytes": first[1], "payload_bytes": state[1], "payload_sha256": state[0].hexdigest(), "tail_crc32": zlib.crc32(state[2]), "media_bytes": first[2], "media_sha256": first[3], "feature": feature, "pages": state[4], "error": state[6]}
+
+
 def op6_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_table(table(spark, sf_dir, "documents"), 24)
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -37,6 +100,8 @@ def op10_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_tokens": op1_chat_tokens,
+    "op2_tiff_pages": op2_tiff_pages,
     "op6_sampled_shards": op6_sampled_shards,
     "op8_url_globs": op8_url_globs,
     "op10_hash_mix": op10_hash_mix,
