@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding, tiff, urlglob
+from . import chat, mixing, quality, sharding, tiff, toxicity, urlglob
 from .common import schema, table
 
 #: Rules of the page filter and, for pages without a rule, globs of unwanted hosts.
@@ -84,6 +84,14 @@ def _digest_row(first: tuple, state: list) -> dict:
     return {"doc_id": first[0], "n_bytes": first[1], "payload_bytes": state[1], "payload_sha256": state[0].hexdigest(), "tail_crc32": zlib.crc32(state[2]), "media_bytes": first[2], "media_sha256": first[3], "feature": feature, "pages": state[4], "error": state[6]}
 
 
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(quality.bucket("doc_id", 4) == 2, F.lit(False))
+    scored = quality.score_texts(docs, net)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_table(table(spark, sf_dir, "documents"), 24)
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -94,6 +102,14 @@ def op8_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlglob.judge_urls(pages, URL_RULES, URL_BLOCKED).drop("url")
 
 
+def op9_crf_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    held = F.coalesce(quality.bucket("doc_id", 3) == 1, F.lit(False))
+    tagged = toxicity.tag_texts(docs, chain)
+    return tagged.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "toxic_words", "spans")
+
+
 def op10_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_table(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -102,8 +118,10 @@ def op10_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_tokens": op1_chat_tokens,
     "op2_tiff_pages": op2_tiff_pages,
+    "op4_byte_cnn": op4_byte_cnn,
     "op6_sampled_shards": op6_sampled_shards,
     "op8_url_globs": op8_url_globs,
+    "op9_crf_spans": op9_crf_spans,
     "op10_hash_mix": op10_hash_mix,
 }
 
