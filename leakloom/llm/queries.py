@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, sharding, tiff, toxicity, urlglob
+from . import chat, contamination, mixing, quality, sharding, tiff, toxicity, urlglob
 from .common import schema, table
 
 #: Rules of the page filter and, for pages without a rule, globs of unwanted hosts.
@@ -97,6 +97,11 @@ def op6_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op7_minhash_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("hits").cast("long").alias("hits"), F.max("q").cast("long").alias("item_shingles"), F.max("containment").alias("containment"))
+
+
 def op8_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlglob.judge_urls(pages, URL_RULES, URL_BLOCKED).drop("url")
@@ -120,12 +125,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_tiff_pages": op2_tiff_pages,
     "op4_byte_cnn": op4_byte_cnn,
     "op6_sampled_shards": op6_sampled_shards,
+    "op7_minhash_contained": op7_minhash_contained,
     "op8_url_globs": op8_url_globs,
     "op9_crf_spans": op9_crf_spans,
     "op10_hash_mix": op10_hash_mix,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_minhash_contained": r"""
+        with doc as (select doc_id, text, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        have as (select distinct doc_id, text, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+            when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from doc),
+        item as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from benchmark),
+        want as (select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+            when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from item),
+        size as (select item_id, count(*) as q from want group by item_id),
+        hit as (select doc_id, text, item_id, count(*) as hits from have join want using (s) group by all)
+        select doc_id, item_id, max(hits) as hits, any_value(q) as item_shingles, max(hits::double / q) as containment
+        from hit join size using (item_id) where 100 * hits >= 80 * q group by doc_id, item_id""",
     "op8_url_globs": r"""
         with parts as (
             select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
