@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, mixing, quality, sharding, tiff, toxicity, urlglob
+from . import chat, contamination, jaccard, mixing, quality, sharding, tiff, toxicity, urlglob
 from .common import schema, table
 
 #: Rules of the page filter and, for pages without a rule, globs of unwanted hosts.
@@ -92,6 +92,11 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id", "rep")
+
+
 def op6_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_table(table(spark, sf_dir, "documents"), 24)
     return rows.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_tokens": op1_chat_tokens,
     "op2_tiff_pages": op2_tiff_pages,
     "op4_byte_cnn": op4_byte_cnn,
+    "op5_jaccard_components": op5_jaccard_components,
     "op6_sampled_shards": op6_sampled_shards,
     "op7_minhash_contained": op7_minhash_contained,
     "op8_url_globs": op8_url_globs,
