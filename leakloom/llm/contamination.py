@@ -37,10 +37,9 @@ def _hashes(words: Column, n: Column) -> Column:
 
 
 def _shingles(words: Column, n: Column) -> Column:
-    """The distinct shingles themselves, with their hashes."""
-    one = F.array(F.struct(F.xxhash64(F.array_join(words, " "), F.lit(0)).alias("h"), F.array_join(words, " ").alias("s")))
-    each = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]).alias("h"), F.array_join(F.slice(words, i + 1, SHINGLE), " ").alias("s")))
-    return F.array_distinct(F.when(n >= SHINGLE, each).when(n > 0, one).otherwise(F.array().cast("array<struct<h:bigint,s:string>>")))
+    """The shingles themselves, in order."""
+    each = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
+    return F.when(n >= SHINGLE, each).when(n > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
 def item_sets(items: DataFrame, share: float, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -48,11 +47,10 @@ def item_sets(items: DataFrame, share: float, id_col: str = "item_id", text_col:
 
     Items without words are left out: nothing contains them.
     """
-    held = items.select(F.col(id_col).alias("item_id"), _words(text_col).alias("_w")).withColumn("_s", _shingles(F.col("_w"), F.size("_w")))
-    q = F.size("_s")
+    held = items.select(F.col(id_col).alias("item_id"), _words(text_col).alias("_w")).withColumns({"shingles": F.array_distinct(_shingles(F.col("_w"), F.size("_w"))), "_h": F.array_sort(F.array_distinct(_hashes(F.col("_w"), F.size("_w"))))})
+    q = F.size("shingles")
     sets = held.where(q > 0).withColumns({"q": q, "need": F.ceil(q * F.lit(share) - F.lit(1e-9)).cast("int"), "part": F.floor(F.log2(q.cast("double"))).cast("int")})
-    ranked = F.array_sort(F.array_distinct(F.transform("_s", lambda x: x["h"])))
-    return sets.select("item_id", "q", "need", "part", F.transform("_s", lambda x: x["s"]).alias("shingles"), F.slice(ranked, F.lit(1), F.col("q") - F.col("need") + 1).alias("sketch"))
+    return sets.select("item_id", "q", "need", "part", "shingles", F.slice("_h", F.lit(1), F.col("q") - F.col("need") + 1).alias("sketch"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -71,7 +69,7 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = 0.8, id_co
     by_text = found.groupBy("doc_id", "text_hash").agg(F.collect_set("item_id").alias("_items"))
     own = read.where(F.col("text").isNotNull()).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
     held = own.join(small(cut(by_text), BROADCAST_PAIRS), F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
-    held = held.select("doc_id", "text_hash", "_items", _words("text").alias("_w")).withColumn("_have", F.transform(_shingles(F.col("_w"), F.size("_w")), lambda x: x["s"]))
+    held = held.select("doc_id", "text_hash", "_items", _words("text").alias("_w")).withColumn("_have", _shingles(F.col("_w"), F.size("_w")))
     pairs = held.select("doc_id", "text_hash", "_have", F.explode("_items").alias("item_id"))
     texts = sets.select("item_id", "q", "need", "shingles")
     judged = pairs.join(F.broadcast(texts) if _few(sets) else texts, "item_id").withColumn("hits", F.size(F.array_intersect("_have", "shingles")))
