@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, jaccard, mixing, quality, sharding, tiff, toxicity, urlglob
+from . import chat, contamination, jaccard, mixing, quality, sharding, substring, tiff, toxicity, urlglob
 from .common import schema, table
 
 #: Rules of the page filter and, for pages without a rule, globs of unwanted hosts.
@@ -84,6 +84,11 @@ def _digest_row(first: tuple, state: list) -> dict:
     return {"doc_id": first[0], "n_bytes": first[1], "payload_bytes": state[1], "payload_sha256": state[0].hexdigest(), "tail_crc32": zlib.crc32(state[2]), "media_bytes": first[2], "media_sha256": first[3], "feature": feature, "pages": state[4], "error": state[6]}
 
 
+def op3_fm_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, 35).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").alias("n_spans"))
+
+
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -128,6 +133,7 @@ def op10_hash_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_tokens": op1_chat_tokens,
     "op2_tiff_pages": op2_tiff_pages,
+    "op3_fm_substrings": op3_fm_substrings,
     "op4_byte_cnn": op4_byte_cnn,
     "op5_jaccard_components": op5_jaccard_components,
     "op6_sampled_shards": op6_sampled_shards,
