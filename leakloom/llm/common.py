@@ -25,6 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df cut off and read back in as many parts as its size asks for, so that small tables don't cost a shuffle file for every task."""
+    kept = cut(df)
+    return kept.coalesce(max(4, kept.count() // rows + 1))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

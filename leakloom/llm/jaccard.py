@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, schema, small
+from .common import compact, cut, schema, small
 from .textcore import LOWER, U64, batches, flat, grams, mix, word_hashes, words
 
 ENTRY = np.dtype([("t", "<u8"), ("a", "<u8"), ("b", "<u8"), ("n", "<i4"), ("i", "<i4")])
@@ -254,7 +254,7 @@ def _by_bitmap(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs that link, tested on the whole sets. One text of each class is read again for its set."""
     ends = pairs.select(F.col("fa").alias("fp")).union(pairs.select("fb")).distinct()
-    needed = cut(ends.join(classes.select("fp", "rep"), "fp").withColumnRenamed("fp", "want"))
+    needed = compact(ends.join(classes.select("fp", "rep"), "fp").withColumnRenamed("fp", "want"))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(needed, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("rep")))
 
     def run(it):
@@ -266,7 +266,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["fp", "set"])
 
     sets = texts.select("_text", "want").mapInArrow(run, schema(fp="binary", set="binary"))
-    sets = cut(sets.groupBy("fp").agg(F.first("set").alias("set")))
+    sets = compact(sets.groupBy("fp").agg(F.first("set").alias("set")), 10_000)
 
     def test(it):
         last, x = None, None
@@ -290,7 +290,7 @@ def star_components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps on the cluster, until nothing changes.
     """
-    edges = cut(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = compact(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def state(e):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -299,13 +299,15 @@ def star_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not now[0]:
             break
+        parts = max(4, now[0] // 50_000 + 1)
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where(F.col("u") != F.col("v")).distinct())
+        large = cut(large.where(F.col("u") != F.col("v")).coalesce(parts).distinct().coalesce(parts))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        edges = cut(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct())
+        small_star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        edges = cut(small_star.where(F.col("u") != F.col("v")).coalesce(parts).distinct().coalesce(parts))
         now, before = state(edges), now
         if now == before:
             break
@@ -389,7 +391,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     share an fp, and pairs that components already imply may be missing. Rows with null ids take part, but name no component.
     """
     rows, common = set_table(docs, k, percent, id_col, text_col)
-    classes = cut(rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("bitmap").alias("bitmap")))
+    classes = compact(rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("bitmap").alias("bitmap")))
     entries = rows.agg(F.sum(F.expr(f"n + floor(-n * {percent} / 100) + 1"))).first()[0] or 0
     often = common.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
     token, count = often["token"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy()
@@ -398,20 +400,20 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     rank[np.lexsort((token, count))] = np.arange(len(token))
     index = _index(docs, (token[order], rank[order]), max(1, int(entries) // BUCKET + 1), k, percent, id_col, text_col)
     found = cut(_pairs_of(index, percent))
-    pairs = cut(_by_bitmap(found.where(F.col("fb").isNotNull()).select("fa", "fb").distinct(), classes, percent))
-    links = cut(_verified(pairs, docs, classes, k, percent, id_col, text_col))
+    pairs = compact(_by_bitmap(found.where(F.col("fb").isNotNull()).select("fa", "fb").distinct(), classes, percent))
+    links = compact(_verified(pairs, docs, classes, k, percent, id_col, text_col))
     long = found.where(F.col("fb").isNull()).select("fa", "token", "n", "i")
-    labels = cut(star_components(links.select(F.col("fa").alias("u"), F.col("fb").alias("v"))))
+    labels = compact(star_components(links.select(F.col("fa").alias("u"), F.col("fb").alias("v"))))
     tested = pairs
     for most in (4, 64, None) if long.take(1) else ():
-        more = cut(_between(long, labels, classes, percent, most).join(tested, ["fa", "fb"], "left_anti"))
+        more = compact(_between(long, labels, classes, percent, most).join(tested, ["fa", "fb"], "left_anti"))
         if not more.take(1):
             if most is None:
                 break
             continue
         tested = tested.union(more)
-        links = cut(links.union(_verified(more, docs, classes, k, percent, id_col, text_col)))
-        labels = cut(star_components(links.select(F.col("fa").alias("u"), F.col("fb").alias("v"))))
+        links = compact(links.union(_verified(more, docs, classes, k, percent, id_col, text_col)))
+        labels = compact(star_components(links.select(F.col("fa").alias("u"), F.col("fb").alias("v"))))
     named = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     classed = named.join(least, "component").select("fp", "rep", "component_id")
