@@ -1,10 +1,68 @@
-"""Corpus pipeline: stages that turn raw documents into shards of a training mix."""
+"""Corpus pipeline: from raw documents to the shards of a training mix.
+
+STAGES are (name, function) in order; each function takes (spark, docs, sf_dir) and returns a
+DataFrame. All but the last return the columns of documents. run() applies them to the
+documents of sf_dir, each stage's result being kept in the shared checkpoint folder.
+
+* quality: rows whose text the byte-level network scores below QUALITY go.
+* near_duplicates: one row of each group of near-identical texts stays, that of the smallest doc_id.
+* decontamination: rows whose text contains a benchmark item go.
+* mixture: rows are taken as often as their source's token target asks for: never, once or up to three times.
+* sharding: rows get the number of one of SHARDS shards of nearly equal bytes, as column shard.
+
+Null and empty texts pass through every stage that does not score them out, an empty table gives an
+empty table with the right columns, and extra columns are carried along up to a column named shard,
+which the last stage replaces.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from leakloom.llm import contamination, jaccard, mixing, quality, sharding
+from leakloom.llm.common import cut, table
+
+#: Least score of a text that stays: the network is fitted with both labels weighing the same.
+QUALITY = 0.5
+SHARDS = 24
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = quality.fit_quality(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return quality.score_texts(docs, net, out_col="_quality").where(f"_quality >= {QUALITY}").drop("_quality")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs, SHARDS)
+
+
+STAGES = [
+    ("quality", filter_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixture", mix_sources),
+    ("sharding", assign_shards),
+]
+
+#: SQL can express neither the network nor the mix's hashes.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if name == STAGES[-1][0] else cut(docs)
+    return docs
