@@ -181,24 +181,27 @@ def shard_table(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """docs with their own columns and an int column shard. Texts are not moved: each row looks its range up.
 
-    Equal rows that are larger than a fine range all go to the shard of the first. A column of docs
-    named shard is replaced.
+    Equal rows that are larger than a fine range take the shards dealt to them in turn; that is exact where they
+    lie together, as repetitions from a mix do. A column of docs named shard is replaced.
     """
     docs = docs.drop("shard")
     plan = plan_shards(cut(keyed(docs, id_col, text_col)), shards, **kw)
     if plan is None:
         return docs.withColumn("shard", F.lit(0))
-    large = {k[:3]: at[0][0] for k, at in plan.dealt.items()}
+    large = {k[:3]: [s for s, _ in at] for k, at in plan.dealt.items()}
     names, bounds, shard_of, ideal = docs.columns, plan.bounds, plan.shard_of, plan.ideal
     held = docs.withColumns({"_key": keyed_column(docs, id_col, text_col), "_size": F.octet_length(text_of(text_col)) + 8})
 
     def assign(batches):
+        turn: dict[tuple, int] = {}
         for b in batches:
             key, size = b.column("_key").to_numpy(), b.column("_size").to_numpy()
             out = shard_of[np.searchsorted(bounds, key, "right")]
             ids = b.column(id_col)
             for i in np.flatnonzero(size > ideal):
-                out[i] = large[int(key[i]), ids[int(i)].as_py(), int(size[i])]
+                record = int(key[i]), ids[int(i)].as_py(), int(size[i])
+                out[i] = large[record][turn.get(record, 0) % len(large[record])]
+                turn[record] = turn.get(record, 0) + 1
             kept = b.select(names)
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out)], names=[*names, "shard"])
 
