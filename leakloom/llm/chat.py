@@ -54,6 +54,11 @@ def unescape(text: str) -> str:
     return _MARKS.sub(r"\1", text) if MARK in text else text
 
 
+def first_reserved(vocabulary: bytes) -> int:
+    """The first id behind a vocabulary."""
+    return max(int(line.split()[1]) for line in vocabulary.splitlines()) + 1
+
+
 class Codec:
     """A tiktoken vocabulary with reserved ids behind it; pickles as the vocabulary's bytes."""
 
@@ -61,7 +66,7 @@ class Codec:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
-        self.base = max(ranks.values()) + 1
+        self.base = first_reserved(vocabulary)
         self.enc = tiktoken.Encoding("chat", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
@@ -124,9 +129,9 @@ def format_chat(df: DataFrame, vocabulary: str = VOCABULARY, trained: tuple[str,
     out = T.StructType([T.StructField("conv_id", kind), T.StructField("position", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("loss", T.ArrayType(T.ByteType()))])
     arrow, part_type = (pa.list_(pa.int32()), pa.list_(pa.int8())), to_arrow_type(kind)
 
+    begin, end, turn, text, stop = (first_reserved(shared.value) + CONTROL.index(name) for name in (BEGIN, END, TURN, TEXT, STOP))
+
     def splice(batches):
-        codec = _codec(shared)
-        begin, end, turn, text, stop = map(codec.control, (BEGIN, END, TURN, TEXT, STOP))
         done = 0
         for part, ends in _with_ends(batches):
             conv, position, start, ids, loss = [], [], [], [], []
@@ -152,7 +157,7 @@ def _with_ends(batches) -> Iterator[tuple[list[tuple], tuple[list[int], list[boo
     """Rows (conversation first) with their positions and whether they end their conversation; one row is held back."""
     held, position, nothing = [], -1, object()
     current = nothing
-    for b in batches:
+    for b in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
         rows = held + list(zip(*(c.to_pylist() for c in b.columns), strict=True))
         if not rows:
             continue
