@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from leakloom.llm import contamination, jaccard, mixing, quality, sharding
-from leakloom.llm.common import cut, table
+from leakloom.llm.common import cut, modest, table
 
 #: Least score of a text that stays: the network is fitted with both labels weighing the same.
 QUALITY = 0.5
@@ -29,10 +29,11 @@ SHARDS = 24
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = quality.fit_quality(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.score_texts(docs, net, out_col="_quality").where(f"_quality >= {QUALITY}").drop("_quality")
+    return quality.score_texts(docs, net, out_col="__leakloom_score").where(f"__leakloom_score >= {QUALITY}").drop("__leakloom_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest(spark)
     return jaccard.keep_one(docs)
 
 
@@ -41,10 +42,12 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest(spark)
     return mixing.mix(docs)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    modest(spark)
     return sharding.shard(docs, SHARDS)
 
 

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
+from .textcore import trim
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE cuts a text into pieces.
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -221,6 +223,7 @@ def read_chat(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(done, schema=arrow)
         if state is not None:
             yield pa.RecordBatch.from_pylist([_row(current, state)], schema=arrow)
+        trim()
 
     def _row(c, s):
         return dict(zip(out.names, [c, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4], s[5], s[6]], strict=True))

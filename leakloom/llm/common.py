@@ -31,8 +31,19 @@ def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return kept.coalesce(max(4, kept.count() // rows + 1))
 
 
+ROWS_PER_BATCH = 1000
+
+
+def modest(spark: SparkSession) -> SparkSession:
+    """The session, with small Arrow batches unless it names a size itself: texts are long, and both sides hold a batch or two."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return modest(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def text_of(column: str | Column) -> Column:

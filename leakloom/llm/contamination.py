@@ -82,5 +82,6 @@ def _few(sets: DataFrame) -> bool:
 
 def decontaminate(docs: DataFrame, items: DataFrame, share: float = 0.8) -> DataFrame:
     """docs without the rows whose text contains an item; columns as they were."""
-    bad = contained_items(docs, items, share).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(small(bad, BROADCAST_PAIRS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    bad = contained_items(docs, items, share).select(F.col("doc_id").alias("__leakloom_id"), F.col("text_hash").alias("__leakloom_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__leakloom_id")) & (F.xxhash64("text") == F.col("__leakloom_hash"))
+    return docs.join(small(bad, BROADCAST_PAIRS), same, "left_anti")

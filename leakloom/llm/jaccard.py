@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import compact, cut, schema, small
-from .textcore import LOWER, U64, batches, flat, grams, mix, word_hashes, words
+from .textcore import LOWER, U64, batches, flat, grams, mix, trim, word_hashes, words
 
 ENTRY = np.dtype([("t", "<u8"), ("a", "<u8"), ("b", "<u8"), ("n", "<i4"), ("i", "<i4")])
 #: Lists up to this length are joined pair by pair at once.
@@ -37,7 +37,7 @@ SHORT = 64
 #: A token is frequent from so many sets on; at most so many frequent tokens are broadcast (the most frequent).
 FREQUENT, MOST_FREQUENT = 32, 500_000
 #: Index entries that one task holds at a time, on average.
-BUCKET = 400_000
+BUCKET = 200_000
 LEADERS = 3
 BROADCAST_ROWS = 300_000
 
@@ -182,7 +182,7 @@ def _bucket_pairs(e: np.ndarray, percent: int):
     left, right, long = [], [], []
     for m in np.unique(size[(size >= 2) & (size <= SHORT)]):
         at = edge[size == m]
-        step = max(1, 2_000_000 // (m * m))
+        step = max(1, 500_000 // (m * m))
         i, j = np.triu_indices(m, 1)
         for s in range(0, len(at), step):
             a, b = (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel()
@@ -232,6 +232,7 @@ def _pairs_of(index: DataFrame, percent: int) -> DataFrame:
                 held.append(data)
         if held:
             yield from flush()
+        trim()
 
     return index.mapInArrow(run, out)
 
@@ -280,6 +281,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
                 common = int((x[at] == y).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["fa", "fb"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     both = pairs.join(sets.withColumnRenamed("fp", "fb").withColumnRenamed("set", "sb"), "fb").join(sets.withColumnRenamed("fp", "fa").withColumnRenamed("set", "sa"), "fa")
     return both.select("fa", "fb", "sa", "sb").mapInArrow(test, schema(**PAIR))
@@ -369,6 +371,7 @@ def _between(long: DataFrame, labels: DataFrame, classes: DataFrame, percent: in
                 held.append(row)
         if held:
             yield from flush()
+        trim()
 
     return dealt.mapInArrow(run, schema(**PAIR)).distinct()
 
@@ -430,20 +433,20 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     names = docs.columns
     rows, _ = jaccard_join(docs, k, percent)
     rows = cut(rows)
-    gone = rows.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    gone = rows.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__leakloom_id")).distinct()
     # one id with several sets: decided by set as well
     mixed = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").take(1)
     if not mixed:
-        return docs.join(small(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+        return docs.join(small(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__leakloom_id")), "left_anti")
     at = names.index("text")
 
     def run(it):
         for b in batches(it):
             fp = [np.array(_fingerprint(x), U64).tobytes() if len(x) else None for x in _sets(b, at, k)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], names=[*names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], names=[*names, "__leakloom_fp"])
 
-    held = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.BinaryType())]))
-    gone = rows.where((F.col("n_shingles") > 0) & ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").eqNullSafe(F.col("rep")))).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_f")).distinct()
-    left = held.join(small(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_f")), "left_anti")
-    none = left.where(F.col("_fp").isNull())
-    return left.where(F.col("_fp").isNotNull()).dropDuplicates(["doc_id", "_fp"]).unionByName(none).select(*names)
+    held = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__leakloom_fp", T.BinaryType())]))
+    gone = rows.where((F.col("n_shingles") > 0) & ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").eqNullSafe(F.col("rep")))).select(F.col("doc_id").alias("__leakloom_id"), F.col("fp").alias("__leakloom_f")).distinct()
+    left = held.join(small(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__leakloom_id")) & (F.col("__leakloom_fp") == F.col("__leakloom_f")), "left_anti")
+    none = left.where(F.col("__leakloom_fp").isNull())
+    return left.where(F.col("__leakloom_fp").isNotNull()).dropDuplicates(["doc_id", "__leakloom_fp"]).unionByName(none).select(*names)

@@ -50,19 +50,25 @@ class ByteNet:
         self.p["table"][:, PAD] = 0
 
     def layout(self, buf: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of all texts, each padded to whole half chunks and the last window, and the first half chunk of each (n + 1)."""
+        """Symbols of all texts, each padded to whole half chunks, and the first half chunk of each (n + 1).
+
+        The last windows of a text's last half chunk, which would see the next text, hold nothing but padding.
+        """
         s = self.shape
         span = s.half * s.stride
-        halves = np.maximum(1, -(-np.diff(rows) // span))
+        halves = -(-(np.diff(rows) + s.width - s.stride) // span)
         first = np.concatenate([[0], np.cumsum(halves)])
         out = np.full(first[-1] * span + s.width, PAD, np.int16)
         for at, i, j in zip((first[:-1] * span).tolist(), rows[:-1].tolist(), rows[1:].tolist(), strict=True):
             out[at : at + j - i] = buf[i:j]
         return out, first
 
-    def maxima(self, symbols: np.ndarray, halves: int, where: bool = False):
+    def maxima(self, symbols: np.ndarray, first: np.ndarray, where: bool = False):
         """Maximum of each filter in each half chunk, and (if where) the window that has it. Windows see across half chunks."""
         s = self.shape
+        halves, over = int(first[-1]), -(-(s.width - s.stride) // s.stride)
+        last = np.zeros(halves, bool)
+        last[first[1:] - 1] = True
         best = np.empty((halves, s.filters), np.float32)
         arg = np.empty((halves, s.filters), np.int64) if where else None
         step = 32
@@ -73,6 +79,8 @@ class ByteNet:
             for k in range(s.width):
                 act += self.p["table"][k].take(symbols[at + k : at + k + n * s.stride : s.stride], axis=0)
             act = act.reshape(-1, s.half, s.filters)
+            if over:
+                act[last[i : i + step], -over:] = -np.inf
             if where:
                 a = act.argmax(1)
                 best[i : i + step] = np.take_along_axis(act, a[:, None], 1)[:, 0]
@@ -102,7 +110,7 @@ class ByteNet:
     def forward(self, buf: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each text. Memory is bounded by the batch: a few bytes for each of its bytes."""
         symbols, first = self.layout(buf, rows)
-        best, _ = self.maxima(symbols, int(first[-1]))
+        best, _ = self.maxima(symbols, first)
         a, b, at = self._chunks(best, first)
         z = np.maximum(self._inputs(best, a, b, rows, first) @ self.p["mid"] + self.p["mid_b"], 0)
         top = np.maximum.reduceat(z, at[:-1], axis=0)
@@ -111,7 +119,7 @@ class ByteNet:
     def _gradient(self, buf, rows, y, weight):
         s, p = self.shape, self.p
         symbols, first = self.layout(buf, rows)
-        best, arg = self.maxima(symbols, int(first[-1]), where=True)
+        best, arg = self.maxima(symbols, first, where=True)
         a, b, at = self._chunks(best, first)
         second = best[b] > best[a]
         m = self._inputs(best, a, b, rows, first)
@@ -199,7 +207,7 @@ def score_texts(df: DataFrame, net: ByteNet, text_col: str = "text", out_col: st
     """
     df = df.drop(out_col)
     names = df.columns
-    held = df.withColumn("_text", text_of(F.col(f"`{text_col}`")))
+    held = df.withColumn("__leakloom_text", text_of(F.col(f"`{text_col}`")))
 
     def run(it):
         for b in batches(it):

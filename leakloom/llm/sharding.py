@@ -190,12 +190,12 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         return docs.withColumn("shard", F.lit(0))
     large = {k[:3]: [s for s, _ in at] for k, at in plan.dealt.items()}
     names, bounds, shard_of, ideal = docs.columns, plan.bounds, plan.shard_of, plan.ideal
-    held = docs.withColumns({"_key": keyed_column(docs, id_col, text_col), "_size": F.octet_length(text_of(text_col)) + 8})
+    held = docs.withColumns({"__leakloom_key": keyed_column(docs, id_col, text_col), "__leakloom_size": F.octet_length(text_of(text_col)) + 8})
 
     def assign(batches):
         turn: dict[tuple, int] = {}
         for b in batches:
-            key, size = b.column("_key").to_numpy(), b.column("_size").to_numpy()
+            key, size = b.column("__leakloom_key").to_numpy(), b.column("__leakloom_size").to_numpy()
             out = shard_of[np.searchsorted(bounds, key, "right")]
             ids = b.column(id_col)
             for i in np.flatnonzero(size > ideal):

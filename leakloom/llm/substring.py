@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, schema, small, text_of
-from .textcore import U64, batches, flat, grams, mix, word_hashes, words
+from .textcore import U64, batches, flat, grams, mix, trim, word_hashes, words
 
 ANCHOR = np.dtype([("h", "<u8"), ("a", "<u8"), ("b", "<u8"), ("p", "<i4")])
 SEGMENT = np.dtype([("h", "<u8"), ("a", "<u8"), ("b", "<u8"), ("p", "<i4"), ("s", "<i4"), ("w", "<i4")])  # p: anchor, s: first window, w: windows
 #: Anchors, and words of segments, that one task holds at a time on average; words of one index.
-ANCHORS, SHARD, INDEX = 1_000_000, 1_500_000, 500_000
+ANCHORS, SHARD, INDEX = 500_000, 1_000_000, 300_000
 #: Texts with candidates, or with something to remove, beyond this number are joined by a shuffle.
 BROADCAST_TEXTS = 250_000
+#: The same for the bytes of their places.
+BROADCAST_BYTES = 32 << 20
 ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -167,10 +169,10 @@ def _anchors(h: np.ndarray, first: np.ndarray, length: int, k: int):
     text = np.repeat(np.arange(len(n)), n)
     pick = np.empty(len(starts), np.int64)
     view = np.lib.stride_tricks.sliding_window_view(g, span) if len(g) >= span else None
-    for i in range(0, len(starts), 1 << 17):
-        s = starts[i : i + (1 << 17)]
+    for i in range(0, len(starts), 1 << 15):
+        s = starts[i : i + (1 << 15)]
         lo = s[0]
-        pick[i : i + (1 << 17)] = s + view[lo : s[-1] + 1].argmin(1)[s - lo]
+        pick[i : i + (1 << 15)] = s + view[lo : s[-1] + 1].argmin(1)[s - lo]
     edge = np.flatnonzero(np.concatenate([[True], (pick[1:] != pick[:-1]) | (text[1:] != text[:-1])])) if len(pick) else np.zeros(0, np.int64)
     return pick[edge], g[pick[edge]], starts[edge], np.diff(np.append(edge, len(pick))), text[edge]
 
@@ -212,6 +214,7 @@ def _each_bucket(it):
             held.append(row[1:])
     if held:
         yield held
+    trim()
 
 
 def _candidates(read: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
@@ -234,8 +237,10 @@ def _candidates(read: DataFrame, buckets: int, length: int, k: int) -> DataFrame
             e = np.unique(np.concatenate([np.frombuffer(r[0], ANCHOR) for r in rows]))  # copies of a text count once
             same = e["h"][1:] == e["h"][:-1]
             e = e[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            if not len(e):
+                continue
             e = e[np.lexsort((e["p"], e["b"], e["a"]))]
-            edge = np.flatnonzero(np.concatenate([[True], (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])])) if len(e) else np.zeros(0, np.int64)
+            edge = np.flatnonzero(np.concatenate([[True], (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])]))
             p = np.ascontiguousarray(e["p"])
             data = [p[i:j].tobytes() for i, j in zip(edge, [*edge[1:], len(e)], strict=True)]
             for s in range(0, len(edge), 50_000):
@@ -342,7 +347,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, k: int = 6, text_col: str
     found = cut(_candidates(read, int(n / per) // ANCHORS + 1, length, k))
     places = found.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
     shards = int(places / 4 * (1.5 * length)) // SHARD + 1
-    texts = read.select("h1", "h2", "_text").join(small(found, BROADCAST_TEXTS), ["h1", "h2"])
+    texts = read.select("h1", "h2", "_text").join(small(found, BROADCAST_TEXTS) if places <= BROADCAST_BYTES else found, ["h1", "h2"])
 
     def segments(it):
         for b in batches(it):

@@ -8,13 +8,15 @@ one long text or thousands of short ones.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 17
 
 #: The bytes that separate words (space, and TAB to CR).
 SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -121,13 +123,23 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         width *= 2
 
 
-def batches(it, limit: int = 4 << 20):
+def batches(it, limit: int = 2 << 20):
     """Record batches cut so that the strings in each hold about limit bytes, or one row."""
     for batch in it:
         n = batch.num_rows
         step = n if batch.nbytes <= limit or n < 2 else max(1, n * limit // batch.nbytes)
         for i in range(0, n, step):
             yield from _cut(batch.slice(i, step), limit)
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back to the system: workers stay alive between tasks, and their heaps would stay as large as they ever were."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def _cut(batch, limit):

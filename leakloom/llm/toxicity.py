@@ -247,7 +247,7 @@ def tag_texts(df: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     df = df.drop("score", "toxic_words", "spans")
     names = [*df.columns, "score", "toxic_words", "spans"]
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    held = df.withColumn("_text", text_of(F.col(f"`{text_col}`")))
+    held = df.withColumn("__leakloom_text", text_of(F.col(f"`{text_col}`")))
 
     def run(it):
         for b in batches(it, 2 << 20):

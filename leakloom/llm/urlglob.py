@@ -141,7 +141,7 @@ def match_globs(df: DataFrame, globs: Sequence[str], url_col: str = "url", out_c
     auto = Automaton(globs)
     df = df.drop(out_col)
     url = F.col(f"`{url_col}`")
-    held = df.withColumn("_canonical", F.concat(F.translate(host_of(url), "\0", "\1"), F.lit("\0"), F.translate(path_of(url), "\0", "\1")))
+    held = df.withColumn("__leakloom_url", F.concat(F.translate(host_of(url), "\0", "\1"), F.lit("\0"), F.translate(path_of(url), "\0", "\1")))
 
     names = [*df.columns, out_col]
 
@@ -149,7 +149,7 @@ def match_globs(df: DataFrame, globs: Sequence[str], url_col: str = "url", out_c
         for b in batches:
             for i in range(0, b.num_rows, 8192):
                 part = b.slice(i, 8192)
-                hit = auto.run(*flat(part.column(part.schema.names.index("_canonical"))))
+                hit = auto.run(*flat(part.column(part.schema.names.index("__leakloom_url"))))
                 offsets = np.concatenate([[0], np.cumsum(hit.sum(1))]).astype(np.int32)
                 found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(hit)[1].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], names=names)
@@ -161,10 +161,10 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule], block_globs: Sequence[str],
     """df with host, path, rule and verdict (names must be free). The longest fitting rule decides (first listed of equals);
     without one the verdict is block if any of block_globs matches, else allow."""
     globs = [g for r in rules for g in r.globs()] + list(block_globs)
-    hit = match_globs(df, globs, url_col, "_globs")
-    rule, verdict = F.lit(None).cast("string"), F.when(F.exists("_globs", lambda g: g >= 2 * len(rules)), "block").otherwise("allow")
+    hit = match_globs(df, globs, url_col, "__leakloom_globs")
+    rule, verdict = F.lit(None).cast("string"), F.when(F.exists("__leakloom_globs", lambda g: g >= 2 * len(rules)), "block").otherwise("allow")
     for i, r in sorted(enumerate(rules), key=lambda x: (len(x[1].label), -x[0])):  # the last to fit is the longest
-        fits = F.arrays_overlap("_globs", F.array(F.lit(2 * i), F.lit(2 * i + 1)))
+        fits = F.arrays_overlap("__leakloom_globs", F.array(F.lit(2 * i), F.lit(2 * i + 1)))
         rule, verdict = F.when(fits, r.label).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
     url = F.col(f"`{url_col}`")
-    return hit.withColumns({"host": host_of(url), "path": path_of(url), "rule": rule, "verdict": verdict}).drop("_globs")
+    return hit.withColumns({"host": host_of(url), "path": path_of(url), "rule": rule, "verdict": verdict}).drop("__leakloom_globs")
