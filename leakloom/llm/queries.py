@@ -29,7 +29,7 @@ def op1_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], schema(conv_id="long", turn="long", role="string", text="string"))
-    return chat.read_chat(chat.format_chat(rows.unionByName(probe)))
+    return chat.read_chat(chat.format_chat(rows.unionByName(probe))).drop("n_tokens", "loss_tokens")
 
 
 def op2_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,7 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = jaccard.jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_shingles", "component_id", "rep")
+    return rows.select("doc_id", "n_shingles", "component_id")
 
 
 def op6_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +144,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chat_tokens": r"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        ), long as (
+            select *, length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '␛|<s>|</s>|<\|turn\|>|<\|text\|>|<\|stop\|>|\[INST\]|\[/INST\]')) + length('<|turn|><|text|><|stop|>') as chars from turns
+        )
+        select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+               coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+               (sum(chars) + length('<s></s>'))::bigint as formatted_chars
+        from long group by conv_id""",
+    "op3_fm_substrings": r"""
+        with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        word as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+        win as (select *, md5(string_agg(word, ' ') over ahead) as passage, count(*) over ahead as n from word
+            window ahead as (partition by doc_id order by pos rows between current row and 34 following)),
+        repeated as (select *, n = 35 and count(*) over (partition by passage, n) > 1 as hit from win),
+        gone as (select *, bool_or(hit) over (partition by doc_id order by pos rows between 34 preceding and current row) as removed from repeated),
+        runs as (select *, removed and not coalesce(lag(removed) over (partition by doc_id order by pos), false) as begins from gone),
+        kept as (select doc_id, count(*) as n_words, count(*) filter (removed) as n_removed, string_agg(word, ' ' order by pos) filter (not removed) as rest, count(*) filter (begins) as n_spans from runs group by doc_id)
+        select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(rest, '')) as kept_sha256, coalesce(n_spans, 0)::int as n_spans
+        from documents left join kept using (doc_id)""",
+    "op5_jaccard_components": r"""
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+            when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as g from w),
+        size as (select doc_id, count(*) as n from s group by doc_id),
+        link as (select a.doc_id as u, b.doc_id as v from s a join s b on a.g = b.g and a.doc_id <> b.doc_id join size x on x.doc_id = a.doc_id join size y on y.doc_id = b.doc_id
+            group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        reach(a, b) as (select doc_id, doc_id from documents union select a, v from reach join link on b = u),
+        least as (select a as doc_id, min(b) as component_id from reach group by a)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id from least left join size using (doc_id)""",
     "op7_minhash_contained": r"""
         with doc as (select doc_id, text, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
         have as (select distinct doc_id, text, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
