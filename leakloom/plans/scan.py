@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.rules import Rule
 from ..operators import containers, detect, findings
 from ..operators.select import FileFilter, select_files
@@ -73,7 +74,22 @@ def scan(items: DataFrame, rules: Sequence[Rule], o: Options = Options()) -> tup
     return findings.by_severity(findings.redacted(found, o.show_secrets)).select(*findings.COLUMNS), errors
 
 
+def blob_texts(items: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
+    """Image blobs that are scanned on their own: binary ones as layers, others as text."""
+    columns = ["repo", "path", "name", "size", "sha256", "inner", "content"]
+    binary = text.is_binary(F.col("content"))
+    cut = items.withColumn("content", F.substring("content", 1, o.max_layer)).drop("modified")
+    opened = containers.unpack(cut.where(binary), o.max_size, layers=True, files=o.files)
+    plain = cut.where(~binary).withColumn("inner", F.lit(None).cast("string"))
+    return decoded(plain).select(*columns).unionByName(decoded(opened.where("error is null")).select(*columns)), containers.archive_errors(opened)
+
+
 def retry(items: DataFrame, earlier_errors: DataFrame, prior: DataFrame, rules: Sequence[Rule], o: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """What failed before scanned again and merged behind an earlier report."""
-    again, errors = scan(findings.to_retry(items, earlier_errors), rules, o)
-    return findings.merge(prior, again), errors
+    """What failed before scanned again and merged behind an earlier report. Image blobs among it have names of their own."""
+    again = findings.to_retry(items, earlier_errors)
+    blob = F.col("name").startswith("sha256__")
+    read, errors = texts(again.where(~blob), o)
+    blobs, more = blob_texts(again.where(blob), o)
+    found = findings.limited(scan_texts(read.unionByName(blobs), rules, o), o.max_findings)
+    done = findings.by_severity(findings.redacted(found, o.show_secrets)).select(*findings.COLUMNS)
+    return findings.merge(prior, done), errors.unionByName(more)

@@ -556,3 +556,65 @@ def csv_report(spark: SparkSession, folder: str) -> DataFrame:
 def live_lines(spark: SparkSession, folder: str) -> DataFrame:
     found = scanned(samples(spark))
     return found.select(text.live_line(F.col("severity"), F.col("rule_name"), F.col("repo"), F.col("path"), F.col("line")).alias("said"), severity_rank(F.col("severity")).alias("rank"))
+
+
+def zipped_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as an archive of one file; the kind of archive goes by its number."""
+    import gzip
+    import io
+    import tarfile
+    import zipfile
+
+    import pyarrow as pa
+
+    def pack(batches):
+        for b in batches:
+            made = []
+            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
+                out, raw = io.BytesIO(), content.encode()
+                if name.endswith(".zip"):
+                    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                        z.writestr("in.txt", raw)
+                elif name.endswith(".log.gz"):
+                    out.write(gzip.compress(raw, 1))
+                else:
+                    with tarfile.open(fileobj=out, mode="w:gz" if name.endswith("gz") else "w") as t:
+                        info = tarfile.TarInfo("in.txt")
+                        info.size = len(raw)
+                        t.addfile(info, io.BytesIO(raw))
+                made.append(out.getvalue())
+            kept = b.select(["repo", "path", "name"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(map(len, made), pa.int64()), pa.array([""] * len(made)), pa.array(made, pa.binary())], names=["repo", "path", "name", "size", "sha256", "content"])
+
+    ending = "element_at(array('.zip', '.tar', '.tar.gz', '.log.gz'), cast(doc_id % 4 + 1 as int))"
+    docs = table(spark, folder, "documents").where("text is not null").select(F.col("source").alias("repo"), F.col("lang").alias("path"), F.expr(f"concat('doc_', doc_id, {ending})").alias("name"), F.col("text").alias("content"))
+    return docs.mapInArrow(pack, "repo string, path string, name string, size bigint, sha256 string, content binary")
+
+
+ARCHIVED = "(select source as repo, lang as path, 'doc_' || doc_id || ['.zip', '.tar', '.tar.gz', '.log.gz'][doc_id % 4 + 1] || case when doc_id % 4 = 3 then '!doc_' || doc_id || '.log' else '!in.txt' end as name, text as content from documents where text is not null)"
+
+
+@query(f"{findings_sql(TOKEN, ARCHIVED)} select repo, path, line, \"column\", secret, fingerprint from best")
+def archive_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents packed into zip, tar, compressed tar and gzip files, opened and scanned."""
+    opened = containers.unpack(zipped_documents(spark, folder))
+    found = detect.detect(opened.where("error is null").withColumn("content", F.col("content").cast("string")).drop("error"), TOKEN, base64=False)
+    return findings.most_specific(findings.first_by_fingerprint(findings.enrich(found))).select("repo", "path", "line", "column", "secret", "fingerprint")
+
+
+@query(f"{findings_sql(TOKEN, DOCS)} select repo, path, line, \"column\", fingerprint from best")
+def stream_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents landed as files and streamed, scanned in micro-batches into a store, which is the result."""
+    import uuid
+
+    from .streaming import incremental
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/leakloom-stream"
+    here = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    docs = table(spark, folder, "documents")
+    docs.repartition(4).write.parquet(f"{here}/landed")
+    stream = incremental.table_stream(spark, docs.schema, f"{here}/landed", 2)
+    none = scanned(items_of(docs.limit(0), "documents"), TOKEN).select(*findings.COLUMNS).withColumn("batch", F.lit(0).cast("bigint"))
+    none.write.parquet(f"{here}/found")
+    incremental.scan_stream(stream, lambda batch: scanned(items_of(batch, "documents"), TOKEN).select(*findings.COLUMNS), f"{here}/found", f"{here}/state").awaitTermination()
+    return incremental.findings_of(spark, f"{here}/found").select("repo", "path", "line", "column", "fingerprint")

@@ -209,6 +209,14 @@ def test_retry_recovers_single_files_and_whole_repositories(spark, tmp_path):
     assert sorted(r["path"] for r in got.collect()) == ["a.txt", "b.txt", "c.txt"]
 
 
+def test_retry_opens_image_blobs(spark):
+    df = image(spark, tarred("w:gz", app__x_env=TOKEN)).withColumn("content", F.when(F.col("name").startswith("sha256__9"), F.encode(F.lit(TOKEN), "UTF-8")).otherwise(F.col("content")))
+    bad = df.where("name like 'sha256%'").select(F.lit("docker").alias("kind"), "repo", "path", "name")
+    prior = scan.scan(df.limit(0), RULES)[0]
+    got, errors = scan.retry(df, bad, prior, RULES)
+    assert sorted(r["path"] for r in got.collect()) == ["app/1/sha256__9f86d081884c7d659f86", "app/1/sha256__aa!app/x.env"] and errors.count() == 0
+
+
 def test_stream_equals_batch_and_runs_once(spark, data, tmp_path):
     from leakloom.queries import scanned
 
