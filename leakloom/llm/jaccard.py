@@ -85,9 +85,9 @@ def _near(apart, n, m, percent: int):
 
 
 def set_table(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Per row: doc_id, n, fp (16 bytes that stand for the set) and bitmap; and the frequent prefix tokens with their counts."""
+    """Per row: doc_id, n, fp (16 bytes that stand for the set), bitmap and text_hash; and the frequent prefix tokens with their counts."""
     kind = docs.schema[id_col]
-    out = T.StructType([T.StructField("doc_id", kind.dataType), T.StructField("n", T.IntegerType()), T.StructField("fp", T.BinaryType()), T.StructField("bitmap", T.BinaryType()), T.StructField("token", T.LongType())])
+    out = T.StructType([T.StructField("doc_id", kind.dataType), T.StructField("n", T.IntegerType()), T.StructField("fp", T.BinaryType()), T.StructField("bitmap", T.BinaryType()), T.StructField("text_hash", T.LongType()), T.StructField("token", T.LongType())])
 
     def run(it):
         seen, held = [], 0
@@ -96,7 +96,7 @@ def set_table(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
             """Tokens that this partition has seen more than once."""
             t, c = np.unique(np.concatenate(seen), return_counts=True)
             t, c = t[c > 2], c[c > 2]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(t), ids), pa.array(c.astype(np.int32)), pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.binary()), pa.array(t.view(np.int64))], names=out.names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(t), ids), pa.array(c.astype(np.int32)), pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.binary()), pa.nulls(len(t), pa.int64()), pa.array(t.view(np.int64))], names=out.names)
 
         ids = None
         for b in batches(it):
@@ -108,14 +108,14 @@ def set_table(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
                 bitmap.append(_bitmap(x))
                 seen.append(x[: _prefix(len(x), percent)])
                 held += len(seen[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(bitmap, pa.binary()), pa.nulls(len(n), pa.int64())], names=out.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(bitmap, pa.binary()), b.column(2), pa.nulls(len(n), pa.int64())], names=out.names)
             if held > 4_000_000:
                 yield frequent(ids)
                 seen, held = [], 0
         if seen:
             yield frequent(ids)
 
-    both = cut(docs.select(id_col, text_col).mapInArrow(run, out))
+    both = cut(docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, out))
     rows = both.where(F.col("token").isNull()).drop("token")
     common = both.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     return rows, common
@@ -255,8 +255,9 @@ def _by_bitmap(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs that link, tested on the whole sets. One text of each class is read again for its set."""
     ends = pairs.select(F.col("fa").alias("fp")).union(pairs.select("fb")).distinct()
-    needed = compact(ends.join(classes.select("fp", "rep"), "fp").withColumnRenamed("fp", "want"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(needed, BROADCAST_ROWS), F.col("_id").eqNullSafe(F.col("rep")))
+    needed = compact(ends.join(classes.select("fp", "rep", "text_hash"), "fp").withColumnRenamed("fp", "want"))
+    same = F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_hash") == F.col("text_hash"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash")).join(small(needed, BROADCAST_ROWS), same)
 
     def run(it):
         for b in batches(it):
@@ -390,11 +391,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     words is one shingle, null, empty and blank texts have none and link with nothing.
 
     Returns (rows, links). rows: doc_id, n_shingles, fp (stands for the set), rep (smallest doc_id with the same set),
-    component_id (smallest doc_id reachable by links). links: pairs of fp that were verified; copies
+    component_id (smallest doc_id reachable by links), keeper (one row of each component; repeated rows all or none). links: pairs of fp that were verified; copies
     share an fp, and pairs that components already imply may be missing. Rows with null ids take part, but name no component.
     """
     rows, common = set_table(docs, k, percent, id_col, text_col)
-    classes = compact(rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.first("bitmap").alias("bitmap")))
+    classes = compact(rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash"), F.first("bitmap").alias("bitmap")))
     entries = rows.agg(F.sum(F.expr(f"n + floor(-n * {percent} / 100) + 1"))).first()[0] or 0
     often = common.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
     token, count = often["token"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy()
@@ -418,11 +419,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
         links = compact(links.union(_verified(more, docs, classes, k, percent, id_col, text_col)))
         labels = compact(star_components(links.select(F.col("fa").alias("u"), F.col("fb").alias("v"))))
     named = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classed = named.join(least, "component").select("fp", "rep", "component_id")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "fp"))["fp"].alias("keeper"))
+    classed = named.join(least, "component").select("fp", "rep", "component_id", (F.col("fp") == F.col("keeper")).alias("keeper"))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "fp").join(classed, "fp", "left")
     alone = F.col("n_shingles") == 0
-    return out.select("doc_id", "n_shingles", "fp", F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("rep"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), links
+    rep, component = F.when(alone, F.col("doc_id")).otherwise(F.col("rep")), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    keeper = alone | (F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("rep")))
+    return out.select("doc_id", "n_shingles", "fp", rep.alias("rep"), component.alias("component_id"), keeper.alias("keeper")), links
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -432,12 +435,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     names = docs.columns
     rows, _ = jaccard_join(docs, k, percent)
-    rows = cut(rows)
-    gone = rows.where((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__leakloom_id")).distinct()
-    # one id with several sets: decided by set as well
-    mixed = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").take(1)
-    if not mixed:
-        return docs.join(small(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__leakloom_id")), "left_anti")
+    rows = cut(rows.where("n_shingles > 0"))
+    gone = rows.where(~F.col("keeper")).select(F.col("doc_id").alias("__leakloom_id"), F.col("fp").alias("__leakloom_f"))
+    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").take(1)
+    if not repeated:
+        return docs.join(small(gone.drop("__leakloom_f"), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__leakloom_id")), "left_anti")
+    # ids that repeat (null is one): decided by id and set
     at = names.index("text")
 
     def run(it):
@@ -446,7 +449,6 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.binary())], names=[*names, "__leakloom_fp"])
 
     held = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__leakloom_fp", T.BinaryType())]))
-    gone = rows.where((F.col("n_shingles") > 0) & ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").eqNullSafe(F.col("rep")))).select(F.col("doc_id").alias("__leakloom_id"), F.col("fp").alias("__leakloom_f")).distinct()
-    left = held.join(small(gone, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__leakloom_id")) & (F.col("__leakloom_fp") == F.col("__leakloom_f")), "left_anti")
+    left = held.join(small(gone.distinct(), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__leakloom_id")) & (F.col("__leakloom_fp") == F.col("__leakloom_f")), "left_anti")
     none = left.where(F.col("__leakloom_fp").isNull())
     return left.where(F.col("__leakloom_fp").isNotNull()).dropDuplicates(["doc_id", "__leakloom_fp"]).unionByName(none).select(*names)

@@ -126,6 +126,16 @@ def test_keep_one(spark):
     assert jaccard.keep_one(frame(spark, [])).count() == 0
 
 
+def test_keep_one_without_ids(spark):
+    long = [f"w{i}" for i in range(60)]
+    near = [" ".join(long[:30] + [f"x{j}"] + long[31:]) for j in range(4)]
+    rows = [(None, t) for t in near] + [(None, "other words stand alone here"), (3, "a b c d e f"), (None, "a b c d e f"), (None, None), (5, "z z")]
+    df = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(df).collect()]
+    assert sum(t in near for _, t in kept) == 1
+    assert sorted((str(i), str(t)) for i, t in kept if t not in near) == sorted([("None", "other words stand alone here"), ("3", "a b c d e f"), ("None", "None"), ("5", "z z")])
+
+
 def test_star_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)]
