@@ -52,9 +52,28 @@ class Rule:
 
     @property
     def java(self) -> str:
-        """The pattern with line ends, boundaries and case folding as the rules mean them."""
+        """The pattern with line ends, boundaries and case folding as the rules mean them.
+
+        A boundary in front of a word character, or behind one at the end, needs to look to one side only.
+        """
         flags, body = ("(?di)", self.regex[4:]) if self.regex.startswith("(?i)") else ("(?d)", self.regex)
-        return flags + re.sub(r"(\\\\)|\\b", lambda m: m[0] if m[1] else BOUNDARY.replace("\\", "\\"), body)
+        body = re.sub(r"^\\b(?=\(*(?:\?:)?[A-Za-z0-9])", r"(?<!\\w)", body)
+        body = re.sub(r"(\[[A-Za-z0-9\-]+\](?:\{[0-9,]+\}|\+)?\)?)\\b$", r"\1(?!\\w)", body)
+        return flags + re.sub(r"(\\\\)|\\b", lambda m: m[0] if m[1] else BOUNDARY, body)
+
+    @property
+    def literal(self) -> str:
+        """Text that every match begins with; empty if the pattern doesn't show one."""
+        bare = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "x", self.regex)
+        while re.search(r"\([^()]*\)", bare):
+            bare = re.sub(r"\([^()]*\)", "x", bare)
+        m = re.match(r"(?:\\b)?\(?((?:[A-Za-z0-9_\-:@/\"' ]|\\[.\-])+)(.?)", self.regex)
+        if not m or self.regex.startswith("(?") or "|" in bare:
+            return ""
+        if m[2] == "|":
+            return ""
+        text = re.sub(r"\\(.)", r"\1", m[1])
+        return text[:-1] if m[2] in tuple("?*+{") and m[2] else text
 
 
 def lint(regex: str) -> list[str]:

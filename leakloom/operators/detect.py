@@ -21,11 +21,11 @@ RUNS = {"std": r"[A-Za-z0-9+/]{24,}={0,2}", "url": r"[A-Za-z0-9_-]{24,}={0,2}"}
 LONGEST_RUN = 262_144
 
 
-def keyword_hit(content: Column, rule: Rule) -> Column:
-    """Whether any keyword occurs, A-Z folded; true without keywords. The cheap test comes first."""
+def keyword_hit(content: Column, rule: Rule, lower: Column | None = None) -> Column:
+    """Whether any keyword occurs, A-Z folded; true without keywords. The cheap test (on lower, the text in lower case) comes first."""
     if not rule.keywords or "" in rule.keywords:
         return F.lit(True)
-    return text.contains_any(F.lower(content), rule.keywords) & text.contains_any(text.ascii_lower(content), rule.keywords)
+    return text.contains_any(F.lower(content) if lower is None else lower, rule.keywords) & text.contains_any(text.ascii_lower(content), rule.keywords)
 
 
 def _chars(parts: Column, n: Column) -> Column:
@@ -33,7 +33,7 @@ def _chars(parts: Column, n: Column) -> Column:
     return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.char_length(x))
 
 
-def rule_matches(content: Column, rule: Rule, most: int = MOST_MATCHES) -> Column:
+def rule_matches(content: Column, rule: Rule, most: int = MOST_MATCHES, lower: Column | None = None) -> Column:
     """Array of (ordinal, no, match, secret, before) of a rule's first matches; before is the number of characters in front."""
     pattern = F.lit(rule.java)
     whole = F.regexp_extract_all(content, pattern, F.lit(0))
@@ -43,13 +43,16 @@ def rule_matches(content: Column, rule: Rule, most: int = MOST_MATCHES) -> Colum
         F.slice(whole, 1, most),
         lambda x, i: F.struct(F.lit(rule.ordinal).alias("ordinal"), i.alias("no"), x.alias("match"), F.get(secret, i).alias("secret"), (_chars(between, i + 1) + _chars(whole, i)).alias("before")),
     )
-    return F.when(keyword_hit(content, rule), each).otherwise(F.array().cast("array<struct<ordinal:int,no:int,match:string,secret:string,before:int>>"))
+    hit = keyword_hit(content, rule, lower)
+    if rule.literal:  # what every match begins with, as it is: rarer than keywords in any case
+        hit = content.contains(rule.literal) & hit
+    return F.when(hit, each).otherwise(F.array().cast("array<struct<ordinal:int,no:int,match:string,secret:string,before:int>>"))
 
 
 def raw_matches(df: DataFrame, rules: Sequence[Rule], content: str = "content") -> DataFrame:
     """df with a row for each match: columns ordinal, match_no, match, secret, before. The content column is replaced by prefix."""
-    found = F.concat(*[rule_matches(F.col(content), r) for r in rules])
-    rows = df.withColumn("_m", F.explode(found))
+    found = F.concat(*[rule_matches(F.col(content), r, lower=F.col("_lower")) for r in rules])
+    rows = df.withColumn("_lower", F.lower(content)).withColumn("_m", F.explode(found))
     return rows.select(
         *[c for c in df.columns if c != content],
         F.col("_m.ordinal").alias("ordinal"),
