@@ -70,18 +70,23 @@ def column_of(before: Column) -> Column:
     return (F.octet_length(F.substring_index(before, "\n", -1)) + 1).cast("int")
 
 
+def _as_characters(data: Column) -> Column:
+    """Every byte as one character, so that classes of bytes are classes of characters."""
+    return F.decode(data, "ISO-8859-1")
+
+
 def is_binary(data: Column) -> Column:
     """Empty, or in the first 8 KiB a NUL or more than 30 % control bytes (newline, return, tab and form feed are none)."""
-    head = byte_hex(F.substring(data, 1, 8192))
-    control = F.size(F.filter(head, lambda x: ((x < "20") & ~x.isin("09", "0A", "0C", "0D")) | (x == "7F")))
-    return (F.octet_length(data) == 0) | F.array_contains(head, "00") | (control / F.greatest(F.size(head), F.lit(1)) > 0.30)
+    head = _as_characters(F.substring(data, 1, 8192))
+    n = F.char_length(head)
+    control = n - F.char_length(F.regexp_replace(head, r"[\x00-\x08\x0b\x0e-\x1f\x7f]+", ""))
+    return (n == 0) | head.contains("\0") | (control / F.greatest(n, F.lit(1)) > 0.30)
 
 
 def mostly_printable(data: Column) -> Column:
     """More than 85 % of the bytes are printable ASCII, newline, return or tab."""
-    each = byte_hex(data)
-    good = F.size(F.filter(each, lambda x: ((x >= "20") & (x <= "7E")) | x.isin("09", "0A", "0D")))
-    return good / F.greatest(F.size(each), F.lit(1)) > 0.85
+    each = _as_characters(data)
+    return F.char_length(F.regexp_replace(each, r"[^\n\r\t -~]+", "")) / F.greatest(F.char_length(each), F.lit(1)) > 0.85
 
 
 def decode_base64(run: Column) -> Column:

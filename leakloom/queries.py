@@ -11,7 +11,7 @@ from .functions import allowlist, text
 from .functions.rules import Rule, load_rules, parse_rules, pick, severity_rank
 from .operators import containers, detect, findings, report
 from .operators.select import ARCHIVE_EXTENSIONS, SKIPPED_EXTENSIONS, SPECIAL_NAMES, TEXT_EXTENSIONS, FileFilter, RepoFilter, classify, filter_repos, listing_key, select_files
-from .sources.artifacts import items_of, repos_of, table
+from .sources.artifacts import items_of, repos_of, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,7 +140,7 @@ TOKEN = pick(ALL, "hex-token-assign")
 
 
 def scanned(items: DataFrame, rules=ALL, base64: bool = False) -> DataFrame:
-    found = detect.detect(items.select("repo", "path", "name", "size", "sha256", "content"), rules, base64)
+    found = detect.detect(spread(items.select("repo", "path", "name", "size", "sha256", "content")), rules, base64)
     return findings.most_specific(findings.first_by_fingerprint(findings.enrich(found)))
 
 
@@ -242,7 +242,7 @@ BLOBS = [("plain text\n",), ("",), ("a\x01b",), ("\x01\x02\x03ab",), ("tab\tform
             coalesce(len(list_filter(o, lambda x: (x >= '20' and x <= '7E') or x in ('09', '0A', '0D')))::double / nullif(len(o), 0) > 0.85, false) as printable, count(*) as n from s group by all"""
 )
 def binary_check(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").where("text is not null").select(F.col("text").alias("content")).union(spark.createDataFrame(BLOBS, "content string"))
+    rows = spread(table(spark, folder, "documents").where("text is not null").select(F.col("text").alias("content"))).union(spark.createDataFrame(BLOBS, "content string"))
     data = F.encode("content", "UTF-8")
     out = rows.select(F.sha2("content", 256).alias("digest"), F.octet_length("content").cast("long").alias("size"), text.is_binary(data).alias("is_binary"), text.mostly_printable(data).alias("printable"))
     return out.groupBy("digest", "size", "is_binary", "printable").agg(F.count("*").alias("n"))
@@ -268,7 +268,7 @@ def artifact_urls(spark: SparkSession, folder: str) -> DataFrame:
     + " from c group by repo"
 )
 def keyword_prefilter(spark: SparkSession, folder: str) -> DataFrame:
-    return documents(spark, folder).groupBy("repo").agg(*[F.count_if(detect.keyword_hit(F.col("content"), r)).alias(r.id) for r in ALL])
+    return spread(documents(spark, folder)).groupBy("repo").agg(*[F.count_if(detect.keyword_hit(F.col("content"), r)).alias(r.id) for r in ALL])
 
 
 PAGE_RULES = parse_rules('{"rules": [{"id": "page-token", "regex": "(?i)token[\\\\t\\\\n\\\\f\\\\r ]*=[\\\\t\\\\n\\\\f\\\\r ]*(?:\\"|&quot;)([0-9a-f]{40})", "keywords": ["token"]}]}')
@@ -335,7 +335,7 @@ def base64_decoded(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{RUN_SQL} select name, regexp_extract(decoded, '\"([0-9a-f]{{40}})\"', 1) as secret, 2 as line, 4 as \"column\", 'base64' as via_decoder from d")
 def base64_findings(spark: SparkSession, folder: str) -> DataFrame:
-    return detect.detect(coded(spark, folder), TOKEN).select("name", "secret", "line", "column", "via_decoder")
+    return detect.detect(spread(coded(spark, folder)), TOKEN).select("name", "secret", "line", "column", "via_decoder")
 
 
 LONG = [("  a \t\n b  ",), ("é" * 250,), ("short",), ("x" * 20,), ("",), ("word " * 60,)]
@@ -514,7 +514,7 @@ TALK = "(select role as repo, conv_id::varchar as path, 'turn_' || turn || '.md'
 def pii_rules(spark: SparkSession, folder: str) -> DataFrame:
     names = ["repo", "path", "name", "content"]
     talk = items_of(table(spark, folder, "conversations"), "conversations").select(*names)
-    return detect.raw_matches(documents(spark, folder).select(*names).union(talk), PII).select("repo", "path", "name", "ordinal", "match_no", "match", "secret")
+    return detect.raw_matches(spread(documents(spark, folder).select(*names).union(talk)), PII).select("repo", "path", "name", "ordinal", "match_no", "match", "secret")
 
 
 DIGEST = "sha256:" + HEX[:12]

@@ -22,6 +22,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it comes from fewer files than cores and is small (SMALL bytes a core by the
+    optimizer's estimate); other inputs stay as they are read. A small file often has one row group, which one task reads.
+
+    For work that costs far more than moving the rows once.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL and len(df.inputFiles()) < cores else df
+
+
 def items_of(df: DataFrame, name: str) -> DataFrame:
     """A table of texts as items (repo, path, name, size, sha256, modified, content as text). Null texts are no items.
 
