@@ -187,7 +187,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int
     return [x.as_py() for x in got["text"].combine_chunks()], got["_y"].to_numpy().astype(int)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 1200, most_bytes: int = 1 << 15, folds: int = 4, held_out: int = 2, epochs: int = 12) -> ByteNet:
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 1200, most_bytes: int = 1 << 15, folds: int = 4, held_out: int = 2, epochs: int = 24) -> ByteNet:
     """Fit on at most `sample` texts of each label of at most most_bytes each (the bounds of what reaches the driver).
 
     Rows of the held-out fold are never learned from. Without both labels, every text scores one half.
