@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import compact, cut, schema, small
 from .textcore import LOWER, U64, batches, flat, grams, mix, trim, word_hashes, words
 
-ENTRY = np.dtype([("t", "<u8"), ("a", "<u8"), ("b", "<u8"), ("n", "<i4"), ("i", "<i4")])
+ENTRY = np.dtype([("t", "<u8"), ("a", "<u8"), ("b", "<u8"), ("n", "<i4"), ("i", "<i4"), ("part", "u1")])
 #: Lists up to this length are joined pair by pair at once.
 SHORT = 64
 #: A token is frequent from so many sets on; at most so many frequent tokens are broadcast (the most frequent).
@@ -39,6 +39,8 @@ FREQUENT, MOST_FREQUENT = 32, 500_000
 #: Index entries that one task holds at a time, on average.
 BUCKET = 200_000
 LEADERS = 3
+#: A list expected to be longer than this is dealt over several buckets; comparisons in long lists go by blocks of this size.
+SPLIT, BLOCKED = 50_000, 4_000
 BROADCAST_ROWS = 300_000
 
 
@@ -121,9 +123,15 @@ def set_table(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
     return rows, common
 
 
-def _index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The prefix entries of every set, packed by bucket of their token."""
-    tokens, rank = common
+def _index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The prefix entries of every set, packed by bucket of their token. Entries of a very frequent token are dealt
+    over buckets by their set and marked as part of a list.
+
+    common: the frequent tokens in order, their ranks by count, and in how many parts their lists come.
+    """
+    tokens, rank, parts_of = common
+
+    split = len(tokens) and int(parts_of.max()) > 1
 
     def run(it):
         for b in batches(it):
@@ -142,12 +150,20 @@ def _index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int,
                         late = np.argsort(rank[at[often]])
                         light = np.concatenate([light, x[often][late]])
                 e = np.empty(p, ENTRY)
-                e["t"], e["a"], e["b"], e["n"], e["i"] = light[:p], fa, fb, len(x), np.arange(p)
+                e["t"], e["a"], e["b"], e["n"], e["i"], e["part"] = light[:p], fa, fb, len(x), np.arange(p), 0
+                if split:
+                    at = np.minimum(np.searchsorted(tokens, e["t"]), len(tokens) - 1)
+                    e["part"] = (tokens[at] == e["t"]) & (parts_of[at] > 1)
                 parts.append(e)
             if not parts:
                 continue
             e = np.concatenate(parts)
-            key = (mix(e["t"] + U64(3)) % U64(buckets)).astype(np.int64)
+            place = e["t"] + U64(3)
+            if split:
+                at = np.flatnonzero(e["part"])
+                of = parts_of[np.searchsorted(tokens, e["t"][at])].astype(U64)
+                place[at] = mix(place[at]) + e["a"][at] % of
+            key = (mix(place) % U64(buckets)).astype(np.int64)
             order = np.argsort(key, kind="stable")
             key, e = key[order], e[order]
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -180,15 +196,16 @@ def _bucket_pairs(e: np.ndarray, percent: int):
     edge = np.flatnonzero(np.concatenate([[True], e["t"][1:] != e["t"][:-1]])) if len(e) else np.zeros(0, np.int64)
     size = np.diff(np.append(edge, len(e)))
     left, right, long = [], [], []
-    for m in np.unique(size[(size >= 2) & (size <= SHORT)]):
-        at = edge[size == m]
+    whole = (size <= SHORT) & (e["part"][edge] == 0)
+    for m in np.unique(size[(size >= 2) & whole]):
+        at = edge[(size == m) & whole]
         step = max(1, 500_000 // (m * m))
         i, j = np.triu_indices(m, 1)
         for s in range(0, len(at), step):
             a, b = (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel()
             ok = _possible(e[a], e[b], percent)
             left.append(a[ok]), right.append(b[ok])
-    for at, m in zip(edge[size > SHORT], size[size > SHORT], strict=True):
+    for at, m in zip(edge[~whole], size[~whole], strict=True):
         part = np.arange(at, at + m)
         long.append(part)
         for lead in part[np.argsort(e["a"][part])[:LEADERS]]:
@@ -321,33 +338,38 @@ def _between(long: DataFrame, labels: DataFrame, classes: DataFrame, percent: in
     """Pairs of long lists' entries in different components that all filters allow: for each set of the
     smaller component its `most` closest partners in a list (all, if None)."""
     named = long.join(classes.select(F.col("fp").alias("fa"), "bitmap"), "fa").join(labels.select(F.col("node").alias("fa"), "component"), "fa", "left").withColumn("component", F.coalesce("component", "fa"))
-    dealt = named.select("token", "fa", "n", "i", "component", "bitmap").repartition("token").sortWithinPartitions("token", "n")
+    # a list of many entries goes in blocks: one group for each pair of blocks
+    blocks = long.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCKED)).cast("int").alias("blocks"))
+    placed = named.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("fa"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    dealt = placed.select("token", "lo", "hi", "fa", "n", "i", "component", "bitmap", "block").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n")
 
     def run(it):
         token, held = None, []
 
         def flush():
-            comps = [r[4] for r in held]
+            comps = [r[6] for r in held]
             if len(set(comps)) < 2:
                 return
             _, comp, counts = np.unique(np.array([c.hex() for c in comps]), return_inverse=True, return_counts=True)
-            n, i = np.array([r[2] for r in held], np.int64), np.array([r[3] for r in held], np.int64)
+            n, i, block = (np.array([r[c] for r in held], np.int64) for c in (4, 5, 8))
+            across = held[0][1] != held[0][2]
             left, right = [], []
             maps: dict[int, np.ndarray] = {}
-            for w in {len(r[5]) for r in held}:
-                maps[w] = np.stack([np.frombuffer(_folded(r[5], w), np.uint64) if len(r[5]) >= w else np.zeros(w // 8, np.uint64) for r in held])
+            for w in {len(r[7]) for r in held}:
+                maps[w] = np.stack([np.frombuffer(_folded(r[7], w), np.uint64) if len(r[7]) >= w else np.zeros(w // 8, np.uint64) for r in held])
             by = np.argsort(n, kind="stable")
             ordered = n[by]
             rank = counts[comp] * np.int64(1 << 32) + comp
             for x in range(len(held)):
                 lo, hi = np.searchsorted(ordered, [-(-n[x] * percent // 100), n[x] * 100 // percent + 1])
                 y = by[lo:hi]
-                y = y[(comp[y] != comp[x]) & (rank[y] > rank[x])]
+                y = y[(rank[y] > rank[x]) & ((block[y] != block[x]) if across else True)]
                 y = y[(100 + percent) * np.minimum(n[x] - i[x], n[y] - i[y]) >= percent * (n[x] + n[y])]
                 if not len(y):
                     continue
                 d = np.empty(len(y), np.int64)
-                mine = np.minimum(len(held[x][5]), np.array([len(held[j][5]) for j in y]))
+                mine = np.minimum(len(held[x][7]), np.array([len(held[j][7]) for j in y]))
                 for w in np.unique(mine):
                     at = np.flatnonzero(mine == w)
                     for s in range(0, len(at), 4096):
@@ -355,8 +377,8 @@ def _between(long: DataFrame, labels: DataFrame, classes: DataFrame, percent: in
                 ok = np.flatnonzero(_near(d, n[x], n[y], percent))
                 if most is not None and len(ok) > most:
                     ok = ok[np.argpartition(d[ok], most)[:most]]
-                left += [held[x][1]] * len(ok)
-                right += [held[j][1] for j in y[ok]]
+                left += [held[x][3]] * len(ok)
+                right += [held[j][3] for j in y[ok]]
             if left:
                 a = [min(p, q) for p, q in zip(left, right, strict=True)]
                 b = [max(p, q) for p, q in zip(left, right, strict=True)]
@@ -365,10 +387,10 @@ def _between(long: DataFrame, labels: DataFrame, classes: DataFrame, percent: in
 
         for b in it:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[0] != token and held:
+                if row[:3] != token and held:
                     yield from flush()
                     held = []
-                token = row[0]
+                token = row[:3]
                 held.append(row)
         if held:
             yield from flush()
@@ -402,7 +424,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     order = np.argsort(token)
     rank = np.empty(len(token), np.int64)
     rank[np.lexsort((token, count))] = np.arange(len(token))
-    index = _index(docs, (token[order], rank[order]), max(1, int(entries) // BUCKET + 1), k, percent, id_col, text_col)
+    parts = np.minimum(count // SPLIT + 1, 1 << 30)
+    index = _index(docs, (token[order], rank[order], parts[order]), max(1, int(entries) // BUCKET + 1), k, percent, id_col, text_col)
     found = cut(_pairs_of(index, percent))
     pairs = compact(_by_bitmap(found.where(F.col("fb").isNotNull()).select("fa", "fb").distinct(), classes, percent))
     links = compact(_verified(pairs, docs, classes, k, percent, id_col, text_col))

@@ -75,8 +75,10 @@ def brute_components(texts, ids):
     return [(ids[i], len(sets[i]), best[i]) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("seed", "short", "frequent"), [(0, 64, 32), (1, 3, 2), (2, 3, 10**9)])
-def test_jaccard_components(spark, monkeypatch, seed, short, frequent):
+@pytest.mark.parametrize(("seed", "short", "frequent", "split"), [(0, 64, 32, 50_000), (1, 3, 2, 3), (2, 3, 10**9, 50_000), (3, 64, 2, 2)])
+def test_jaccard_components(spark, monkeypatch, seed, short, frequent, split):
+    monkeypatch.setattr(jaccard, "SPLIT", split)
+    monkeypatch.setattr(jaccard, "BLOCKED", split)
     monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "BUCKET", 2000)
