@@ -175,6 +175,16 @@ def fit_chain(texts: list[bytes], y: np.ndarray, steps: int = 30, rate: float =
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(clean > 0, clean * np.log(clean / (both * (1 - share))), 0)
     telling = (gain > np.log(len(names)) + 3) & (toxic >= 0.9 * both)
+    # a prefix that nearly always continues in one way says no more than the longer feature, but about more words
+    at, order = np.flatnonzero(telling[ids].any(0) & (y[doc] == 1)), [*range(1, len(kinds)), 0]
+    same = np.zeros(len(names), bool)
+    for i, k in enumerate(order[:-1]):
+        longer = ids[0][at]
+        for later in reversed(order[i + 1 : -1]):
+            longer = np.where(kinds[later][at] != 0, ids[later][at], longer)
+        parent = ids[k][at]
+        same[parent[(kinds[k][at] != 0) & (toxic[longer] >= 0.9 * toxic[parent])]] = True
+    telling &= ~same
     label = (telling[ids].any(0) & (y[doc] == 1)).astype(float)
     if not label.any():
         return empty
@@ -183,7 +193,7 @@ def fit_chain(texts: list[bytes], y: np.ndarray, steps: int = 30, rate: float =
     kept = np.zeros(len(names), bool)
     for k in range(len(kinds)):
         kept[ids[k][(label > 0) & (kinds[k] != 0)]] = True
-    kept &= toxic >= 3
+    kept &= (toxic >= 3) & ~same
     column = np.cumsum(kept) - 1
     # trained on the toxic texts and as many clean ones
     rank = np.cumsum(once & (y == 0))
