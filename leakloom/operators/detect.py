@@ -21,38 +21,42 @@ RUNS = {"std": r"[A-Za-z0-9+/]{24,}={0,2}", "url": r"[A-Za-z0-9_-]{24,}={0,2}"}
 LONGEST_RUN = 262_144
 
 
-def keyword_hit(content: Column, rule: Rule, lower: Column | None = None) -> Column:
-    """Whether any keyword occurs, A-Z folded; true without keywords. The cheap test (on lower, the text in lower case) comes first."""
+def keyword_hit(content: Column, rule: Rule) -> Column:
+    """Whether any keyword occurs, A-Z folded; true without keywords. The cheap test comes first."""
     if not rule.keywords or "" in rule.keywords:
         return F.lit(True)
-    return text.contains_any(F.lower(content) if lower is None else lower, rule.keywords) & text.contains_any(text.ascii_lower(content), rule.keywords)
+    return text.contains_any(F.lower(content), rule.keywords) & text.contains_any(text.ascii_lower(content), rule.keywords)
 
 
-def _chars(parts: Column, n: Column) -> Column:
-    """Characters of the first n strings of an array."""
-    return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.char_length(x))
+def _literal(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def rule_matches(content: Column, rule: Rule, most: int = MOST_MATCHES, lower: Column | None = None) -> Column:
-    """Array of (ordinal, no, match, secret, before) of a rule's first matches; before is the number of characters in front."""
-    pattern = F.lit(rule.java)
-    whole = F.regexp_extract_all(content, pattern, F.lit(0))
-    secret = F.regexp_extract_all(content, pattern, F.lit(rule.group)) if rule.group else whole
-    between = F.split(content, rule.java, -1)
-    each = F.transform(
-        F.slice(whole, 1, most),
-        lambda x, i: F.struct(F.lit(rule.ordinal).alias("ordinal"), i.alias("no"), x.alias("match"), F.get(secret, i).alias("secret"), (_chars(between, i + 1) + _chars(whole, i)).alias("before")),
-    )
-    hit = keyword_hit(content, rule, lower)
-    if rule.literal:  # what every match begins with, as it is: rarer than keywords in any case
-        hit = content.contains(rule.literal) & hit
-    return F.when(hit, each).otherwise(F.array().cast("array<struct<ordinal:int,no:int,match:string,secret:string,before:int>>"))
+def rule_sql(rule: Rule, content: str, lower: str, most: int = MOST_MATCHES) -> str:
+    """SQL for an array of (ordinal, no, match, secret, before) of a rule's first matches in column `content`; before is
+    the number of characters in front, lower a column with the text in lower case.
+
+    SQL text makes hundreds of rules one call to the JVM. The inner lambda's argument z holds the matches, so that each
+    pattern runs once over a text, and only behind the tests: what every match begins with, then the keywords.
+    """
+    pattern = _literal(rule.java)
+    tests = [f"contains({content}, {_literal(rule.literal)})"] if rule.literal else []
+    if rule.keywords and "" not in rule.keywords:
+        folded = f"translate({content}, '{text.UPPER}', '{text.LOWER}')"
+        tests += ["(" + " OR ".join(f"contains({c}, {_literal(k)})" for k in rule.keywords) + ")" for c in (lower, folded)]
+    chars = "aggregate(slice({}, 1, {}), 0, (a, y) -> a + char_length(y))"
+    before = chars.format("z.b", "i + 1") + " + " + chars.format("z.m", "i")
+    one = f"named_struct('ordinal', {rule.ordinal}, 'no', i, 'match', x, 'secret', get(z.s, i), 'before', {before})"
+    found = f"named_struct('m', regexp_extract_all({content}, {pattern}, 0), 's', regexp_extract_all({content}, {pattern}, {rule.group}), 'b', split({content}, {pattern}, -1))"
+    matches = f"get(transform(array({found}), z -> transform(slice(z.m, 1, {most}), (x, i) -> {one})), 0)"
+    none = "cast(array() as array<struct<ordinal:int,no:int,match:string,secret:string,before:int>>)"
+    return f"CASE WHEN {' AND '.join(tests) or 'true'} THEN {matches} ELSE {none} END"
 
 
 def raw_matches(df: DataFrame, rules: Sequence[Rule], content: str = "content") -> DataFrame:
-    """df with a row for each match: columns ordinal, match_no, match, secret, before. The content column is replaced by prefix."""
-    found = F.concat(*[rule_matches(F.col(content), r, lower=F.col("_lower")) for r in rules])
-    rows = df.withColumn("_lower", F.lower(content)).withColumn("_m", F.explode(found))
+    """df with a row for each match: columns ordinal, match_no, match, secret, and prefix (the text in front) for the content column."""
+    found = "concat(" + ", ".join(rule_sql(r, f"`{content}`", "`_lower`") for r in rules) + ")"
+    rows = df.withColumn("_lower", F.lower(content)).withColumn("_m", F.explode(F.expr(found)))
     return rows.select(
         *[c for c in df.columns if c != content],
         F.col("_m.ordinal").alias("ordinal"),
@@ -103,6 +107,11 @@ def base64_runs(df: DataFrame, content: str = "content") -> DataFrame:
     return rows.select(*df.columns, F.col("_r.phase").alias("phase"), F.col("_r.no").alias("run_no"), F.col("_r.before").alias("run_before"), F.col("_d").cast("string").alias("decoded"))
 
 
+def _chars(parts: Column, n: Column) -> Column:
+    """Characters of the first n strings of an array."""
+    return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.char_length(x))
+
+
 def _runs(runs: Column, between: Column, phase: int) -> Column:
     def one(x, i):
         return F.struct(F.lit(phase).alias("phase"), i.alias("no"), (_chars(between, i + 1) + _chars(runs, i)).alias("before"), x.alias("run"))
