@@ -96,6 +96,8 @@ def decode_base64(run: Column) -> Column:
 
 
 def full_path(path: Column, name: Column) -> Column:
+    """Folder and name; a missing one counts as empty."""
+    path, name = F.coalesce(path, F.lit("")), F.coalesce(name, F.lit(""))
     return F.when(path.isin("", "."), name).otherwise(F.concat(path, F.lit("/"), name))
 
 

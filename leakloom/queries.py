@@ -604,7 +604,7 @@ def archive_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{findings_sql(TOKEN, DOCS)} select repo, path, line, \"column\", fingerprint from best")
 def stream_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents landed as files and streamed, scanned in micro-batches into a store, which is the result."""
+    """The documents' files as a stream, scanned in micro-batches into a store, which is the result."""
     import uuid
 
     from .streaming import incremental
@@ -612,8 +612,11 @@ def stream_scan(spark: SparkSession, folder: str) -> DataFrame:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/leakloom-stream"
     here = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     docs = table(spark, folder, "documents")
-    docs.repartition(4).write.parquet(f"{here}/landed")
-    stream = incremental.table_stream(spark, docs.schema, f"{here}/landed", 2)
+    source = f"{folder}/documents.parquet"
+    if len(docs.inputFiles()) == 1:  # a stream reads folders; a single file is landed as some
+        source = f"{here}/landed"
+        docs.repartition(4).write.parquet(source)
+    stream = incremental.table_stream(spark, docs.schema, source, 2)
     none = scanned(items_of(docs.limit(0), "documents"), TOKEN).select(*findings.COLUMNS).withColumn("batch", F.lit(0).cast("bigint"))
     none.write.parquet(f"{here}/found")
     incremental.scan_stream(stream, lambda batch: scanned(items_of(batch, "documents"), TOKEN).select(*findings.COLUMNS), f"{here}/found", f"{here}/state").awaitTermination()

@@ -304,6 +304,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert options.main([str(tmp_path / "in"), "--max-size", "x"]) == 2
 
 
+def test_rows_without_names_and_contents(spark):
+    df = spark.createDataFrame([(None, None, None, TOKEN), ("r", None, "n", TOKEN), ("r", "p", None, None)], "repo string, path string, name string, content string").withColumns({"size": F.lit(1).cast("long"), "sha256": F.lit(None).cast("string"), "inner": F.lit(None).cast("string")})
+    got = scan.scan_texts(df, RULES).collect()
+    assert sorted((r["repo"] or "", r["path"]) for r in got) == [("", ""), ("r", "n")]
+    assert scan.scan_texts(df.limit(0), RULES).count() == 0
+
+
 def test_limits_and_severity(spark):
     rule = parse_rules('{"rules": [{"id": "a", "regex": "aa[0-9]", "severity": "low"}, {"id": "b", "regex": "bb[0-9]", "severity": "critical"}]}')
     df = spark.createDataFrame([("r", ".", "x.txt", 1, "", "aa1 bb2 aa3 bb4")], "repo string, path string, name string, size bigint, sha256 string, content string").withColumn("inner", F.lit(None).cast("string"))
