@@ -81,7 +81,7 @@ class Plan:
     ideal: float
 
 
-def plan_shards(rows: DataFrame, shards: int = 24, fine: int = 64, oversample: int = 8, rounds: int = 4) -> Plan | None:
+def plan_shards(rows: DataFrame, shards: int = 24, fine: int = 128, oversample: int = 8, rounds: int = 4) -> Plan | None:
     """The plan for rows of keyed(); None if there are none. rows should be cut off, as it is read several times."""
     total = rows.agg(F.sum("size")).first()[0]
     if not total:
