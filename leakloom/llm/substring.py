@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from .common import cut, schema, small, text_of
 from .textcore import U64, batches, flat, grams, mix, trim, word_hashes, words
 
-ANCHOR = np.dtype([("h", "<u8"), ("a", "<u8"), ("b", "<u8"), ("p", "<i4")])
+ANCHOR = np.dtype([("h", "<u8"), ("a", "<u8"), ("b", "<u8"), ("p", "<i4"), ("known", "u1")])
 SEGMENT = np.dtype([("h", "<u8"), ("a", "<u8"), ("b", "<u8"), ("p", "<i4"), ("s", "<i4"), ("w", "<i4")])  # p: anchor, s: first window, w: windows
 #: Anchors, and words of segments, that one task holds at a time on average; words of one index.
 ANCHORS, SHARD, INDEX = 500_000, 1_000_000, 300_000
@@ -217,8 +217,20 @@ def _each_bucket(it):
     trim()
 
 
+def _distinct(e: np.ndarray) -> np.ndarray:
+    """Entries by hash, text and place, each once."""
+    e = e[np.lexsort((e["p"], e["b"], e["a"], e["h"]))]
+    new = np.ones(len(e), bool)
+    new[1:] = (e["h"][1:] != e["h"][:-1]) | (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1]) | (e["p"][1:] != e["p"][:-1])
+    return e[new]
+
+
 def _candidates(read: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
-    """h1, h2 and the places of each text's anchors (packed) that occur at another place too."""
+    """h1, h2 and the places of each text's anchors (packed) that occur at another place too.
+
+    Of an anchor that a batch has several times, two places go to the anchor's bucket, for others to meet; the rest
+    are known to repeat and go by text. So the anchor of a passage in very many texts fills no bucket.
+    """
 
     def scan(it):
         for b in batches(it):
@@ -229,14 +241,17 @@ def _candidates(read: DataFrame, buckets: int, length: int, k: int) -> DataFrame
                 continue
             h1, h2 = _keys(b)
             e = np.empty(len(p), ANCHOR)
-            e["h"], e["a"], e["b"], e["p"] = h, h1[text], h2[text], p - first[text]
-            yield _packed((mix(h + U64(5)) % U64(buckets)).astype(np.int64), e)
+            e["h"], e["a"], e["b"], e["p"], e["known"] = h, h1[text], h2[text], p - first[text], 0
+            e = _distinct(e)
+            e["known"][2:] = (e["h"][2:] == e["h"][1:-1]) & (e["h"][2:] == e["h"][:-2])
+            yield _packed((mix(np.where(e["known"], e["a"], e["h"]) + U64(5)) % U64(buckets)).astype(np.int64), e)
 
     def repeated(it):
         for rows in _each_bucket(it):
-            e = np.unique(np.concatenate([np.frombuffer(r[0], ANCHOR) for r in rows]))  # copies of a text count once
+            e = np.concatenate([np.frombuffer(r[0], ANCHOR) for r in rows])
+            known, e = e[e["known"] > 0], _distinct(e[e["known"] == 0])  # copies of a text count once
             same = e["h"][1:] == e["h"][:-1]
-            e = e[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+            e = np.concatenate([known, e[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]) if len(e) else known
             if not len(e):
                 continue
             e = e[np.lexsort((e["p"], e["b"], e["a"]))]
