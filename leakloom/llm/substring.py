@@ -220,9 +220,15 @@ def _each_bucket(it):
 def _distinct(e: np.ndarray) -> np.ndarray:
     """Entries by hash, text and place, each once."""
     e = e[np.lexsort((e["p"], e["b"], e["a"], e["h"]))]
-    new = np.ones(len(e), bool)
-    new[1:] = (e["h"][1:] != e["h"][:-1]) | (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1]) | (e["p"][1:] != e["p"][:-1])
-    return e[new]
+    return e[_new(e["h"], e["a"], e["b"], e["p"])]
+
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
 
 
 def _candidates(read: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
@@ -304,14 +310,21 @@ def _blocks(e: np.ndarray, data: np.ndarray, at: np.ndarray, length: int):
 
 
 def _shard_intervals(rows: list, length: int):
-    """h1, h2 and packed word intervals (start, end) of each text of a shard that have repeated windows."""
-    e = np.concatenate([np.frombuffer(r[0], SEGMENT) for r in rows])
-    data = np.concatenate([np.frombuffer(ZSTD.decompress(r[1][8:], int(np.frombuffer(r[1][:8], np.int64)[0]), asbytes=True), np.uint32) for r in rows])
+    """h1, h2 and packed word intervals (start, end) of each text of a shard that have repeated windows.
+
+    Rows without words hold segments that are known to repeat as a whole.
+    """
+    none = np.zeros(0, SEGMENT)
+    known = np.concatenate([none, *(np.frombuffer(r[0], SEGMENT) for r in rows if not r[1])])
+    rows = [r for r in rows if r[1]]
+    e = np.concatenate([none, *(np.frombuffer(r[0], SEGMENT) for r in rows)])
+    data = np.concatenate([np.zeros(0, np.uint32)] + [np.frombuffer(ZSTD.decompress(r[1][8:], int(np.frombuffer(r[1][:8], np.int64)[0]), asbytes=True), np.uint32) for r in rows])
     at = np.concatenate([[0], np.cumsum(e["w"] + length - 1)])[:-1]
-    _, once = np.unique(e[["h", "a", "b", "p"]], return_index=True)  # copies of a text bring their segments again
+    once = np.lexsort((e["p"], e["b"], e["a"], e["h"]))
+    once = once[_new(*(e[c][once] for c in ("h", "a", "b", "p")))]  # copies of a text bring their segments again
     e, at = e[once], at[once]
     texts, begin, stop = [], [], []
-    for pick, offset in _blocks(e, data, at, length):
+    for pick, offset in _blocks(e, data, at, length) if len(e) else ():
         size = e["w"][pick] + length - 1 if offset is None else np.full(len(pick), length)
         source = at[pick] + (0 if offset is None else offset)
         first = np.concatenate([[0], np.cumsum(size)])
@@ -343,7 +356,8 @@ def _shard_intervals(rows: list, length: int):
         begin.append(base[own] + r_lo[which])
         stop.append(base[own] + r_hi[which])
     texts, begin, stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (texts, begin, stop))
-    a, b = e["a"][texts], e["b"][texts]
+    a, b = np.concatenate([e["a"][texts], known["a"]]), np.concatenate([e["b"][texts], known["b"]])
+    begin, stop = np.concatenate([begin, known["s"]]), np.concatenate([stop, known["s"] + known["w"] + length - 1])
     order = np.lexsort((begin, b, a))
     a, b, pairs = a[order], b[order], np.stack([begin[order], stop[order]], 1).astype(np.int32)
     edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
@@ -385,13 +399,28 @@ def repeated_spans(docs: DataFrame, length: int = 35, k: int = 6, text_col: str
             e = np.empty(len(p), SEGMENT)
             e["h"], e["a"], e["b"], e["p"], e["s"], e["w"] = anchor, h1[text], h2[text], p - first[text], s - first[text], w
             code = (h >> U64(32)).astype(np.uint32)
-
-            def tail(part):
+            # of segments with equal words two go to their shard; the others are known to repeat and go by text
+            size = w + length - 1
+            at = np.cumsum(size) - size
+            mixed = mix(h[np.repeat(s - at, size) + np.arange(size.sum())] + (np.arange(size.sum()) - np.repeat(at, size)).astype(U64))
+            word_sums = np.add.reduceat(mixed, at), np.add.reduceat(mix(mixed + U64(11)), at)
+            columns = [e["p"], e["b"], e["a"], size, p - s, *word_sums, anchor]
+            order = np.lexsort(columns)
+            order = order[_new(*(c[order] for c in columns))]  # copies of a text count once
+            start = np.flatnonzero(_new(*(c[order] for c in columns[3:])))
+            place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+            known, sent = order[place >= 2], order[place < 2]
+
+            def tail(part, sent=sent):
+                part = sent[part]
                 size = w[part] + length - 1
                 at = np.cumsum(size) - size
                 return code[np.repeat(s[part] - at, size) + np.arange(size.sum())]
 
-            yield _packed((mix(anchor + U64(5)) % U64(shards)).astype(np.int64), e, tail)
+            yield _packed((mix(anchor[sent] + U64(5)) % U64(shards)).astype(np.int64), e[sent], tail)
+            if len(known):
+                b = _packed((mix(e["a"][known] + U64(5)) % U64(shards)).astype(np.int64), e[known])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([b""] * b.num_rows, pa.binary())], names=["bucket", "data", "words"])
 
     def search(it):
         for rows in _each_bucket(it):

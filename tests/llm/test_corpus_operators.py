@@ -181,6 +181,22 @@ def test_repeats_of_equal_rows_and_odd_tables(spark):
     assert (one["n_words"], one["n_removed"]) == (80, 80)
 
 
+def test_a_passage_in_most_documents(spark, monkeypatch):
+    monkeypatch.setattr(substring, "INDEX", 700)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    passage = [word() for _ in range(90)]
+    texts = []
+    for i in range(90):
+        w = [word() for _ in range(rng.randrange(0, 60))]
+        if i % 4:
+            cut = rng.randrange(0, 50)
+            w = w[: i % 7] + passage[cut : cut + rng.randrange(34, 60)] + w[i % 7 :]
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(frame(spark, texts).coalesce(1)).collect()}
+    assert got == dict(enumerate(brute_kept(texts)))
+
+
 def test_fm_index_counts(monkeypatch):
     rng = np.random.default_rng(4)
     length = 6
