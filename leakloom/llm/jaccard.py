@@ -12,9 +12,11 @@ Set relations skip work in both parts of the join:
   the overlap that is still possible; pairs outside are skipped unseen. Parity bitmaps then bound
   the symmetric difference exactly from below, before any set is read.
 * Answers: long lists come from groups of highly similar sets. There, sets are first compared with
-  a few leaders; a set that links to a leader has the leader's answers, and pairs inside one
-  component are skipped. What is left between components is compared closest pairs first, then
+  a few leaders; a set that links to a leader has the leader's answers, and components don't need the
+  pairs inside one. What is left between components is compared closest pairs first, then
   more, then all, deriving components anew in between, until no pair is left unseen.
+* Differences: the links table has the pairs inside components too. There, each set is its difference
+  to one set of the component, and the differences of two sets tell exactly how far they are apart.
 
 Survivors are verified on the whole sets. Components are found by star contraction on the
 cluster; neither links nor components come to the driver.
@@ -41,6 +43,8 @@ BUCKET = 200_000
 LEADERS = 3
 #: A list expected to be longer than this is dealt over several buckets; comparisons in long lists go by blocks of this size.
 SPLIT, BLOCKED = 50_000, 4_000
+#: Sets of a component are compared by blocks of so many shingles, or BLOCKED sets.
+BLOCKED_SHINGLES = 1_000_000
 BROADCAST_ROWS = 300_000
 
 
@@ -269,12 +273,10 @@ def _by_bitmap(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "fa").join(b, "fb").select("fa", "fb", "na", "ba", "nb", "bb").mapInArrow(run, schema(**PAIR))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that link, tested on the whole sets. One text of each class is read again for its set."""
-    ends = pairs.select(F.col("fa").alias("fp")).union(pairs.select("fb")).distinct()
-    needed = compact(ends.join(classes.select("fp", "rep", "text_hash"), "fp").withColumnRenamed("fp", "want"))
+def _sets_of(needed: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(fp, set) of the classes in needed (want, rep, text_hash). One text of each class is read again for its set."""
     same = F.col("_id").eqNullSafe(F.col("rep")) & (F.col("_hash") == F.col("text_hash"))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash")).join(small(needed, BROADCAST_ROWS), same)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash")).join(needed, same)
 
     def run(it):
         for b in batches(it):
@@ -285,7 +287,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["fp", "set"])
 
     sets = texts.select("_text", "want").mapInArrow(run, schema(fp="binary", set="binary"))
-    sets = compact(sets.groupBy("fp").agg(F.first("set").alias("set")), 10_000)
+    return sets.groupBy("fp").agg(F.first("set").alias("set"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs that link, tested on the whole sets."""
+    ends = pairs.select(F.col("fa").alias("fp")).union(pairs.select("fb")).distinct()
+    needed = compact(ends.join(classes.select("fp", "rep", "text_hash"), "fp").withColumnRenamed("fp", "want"))
+    sets = compact(_sets_of(small(needed, BROADCAST_ROWS), docs, k, id_col, text_col), 10_000)
 
     def test(it):
         last, x = None, None
@@ -406,6 +415,86 @@ def _folded(bitmap: bytes, width: int) -> bytes:
     return x.tobytes()
 
 
+def _within(long: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """All links between sets of one component that have entries in long lists. Nothing is computed until it is read.
+
+    Each set is compared once with one set of its component, and from then on is its difference to that one: two sets
+    are as far apart as their differences are. A component of many sets goes in blocks, one group for each pair of blocks.
+    """
+    members = long.select(F.col("fa").alias("fp")).distinct().join(labels.withColumnRenamed("node", "fp"), "fp").join(classes.select("fp", "n", "rep", "text_hash"), "fp")
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCKED), F.sum("n") / F.lit(BLOCKED_SHINGLES))).cast("int")
+    leaders = members.groupBy("component").agg(F.min("fp").alias("lead"), blocks.alias("blocks"), F.count("*").alias("c")).where("c > 1").drop("c")
+    members = members.join(leaders, "component").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    sets = _sets_of(members.select(F.col("fp").alias("want"), "rep", "text_hash"), docs, k, id_col, text_col)
+    led = leaders.join(sets.select(F.col("fp").alias("lead"), F.col("set").alias("base")), "lead").select("component", "base", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    held = members.select("fp", "component", "blocks", "block").join(sets, "fp").join(led, ["component", "block"]).select("component", "blocks", "block", "fp", "set", "base")
+
+    def differ(it):
+        for b in it:
+            n, diff = [], []
+            for p, q in zip(b.column("set"), b.column("base"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))
+                n.append(len(x))
+                diff.append(np.setxor1d(x, y, assume_unique=True).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.select(["component", "blocks", "block", "fp"]).columns, pa.array(n, pa.int32()), pa.array(diff, pa.binary())], names=["component", "blocks", "block", "fp", "n", "diff"])
+        trim()
+
+    apart = held.mapInArrow(differ, schema(component="binary", blocks="int", block="int", fp="binary", n="int", diff="binary"))
+    placed = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    dealt = placed.select("component", "lo", "hi", "block", "fp", "n", "diff").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "n")
+
+    def run(it):
+        group, rows = None, []
+
+        def flush():
+            fps = np.frombuffer(b"".join(r[4] for r in rows), "V16")
+            block, n = (np.array([r[c] for r in rows], np.int64) for c in (3, 5))
+            size = np.array([len(r[6]) // 8 for r in rows], np.int64)
+            edge = np.concatenate([[0], np.cumsum(size)])
+            _, ids = np.unique(np.frombuffer(b"".join(r[6] for r in rows), np.uint64), return_inverse=True)
+            mine = np.zeros(len(ids) + 1, bool)
+            across = rows[0][1] != rows[0][2]
+            last = np.searchsorted(n, n * 100 // percent, "right")
+            left, right, m = [], [], 0
+
+            def pairs():
+                a, b = (np.concatenate(x) for x in (left, right))
+                parts = [pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(fps[x].tobytes())]).cast(pa.binary()) for x in (a, b)]
+                return pa.RecordBatch.from_arrays(parts, names=["fa", "fb"])
+
+            for x in range(len(rows)):
+                y = np.arange(x + 1, last[x])
+                if not len(y):
+                    continue
+                own = ids[edge[x] : edge[x + 1]]
+                mine[own] = True
+                upto = np.concatenate([[0], np.cumsum(mine[ids[edge[x + 1] : edge[last[x]]]])])
+                mine[own] = False
+                at = edge[x + 1 : last[x] + 1] - edge[x + 1]
+                d = size[x] + size[y] - 2 * (upto[at[1:]] - upto[at[:-1]])
+                y = y[_near(d, n[x], n[y], percent) & ((block[y] != block[x]) if across else True)]
+                left.append(np.full(len(y), x)), right.append(y)
+                m += len(y)
+                if m > 100_000:
+                    yield pairs()
+                    left, right, m = [], [], 0
+            if m:
+                yield pairs()
+
+        for b in it:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:3] != group and rows:
+                    yield from flush()
+                    rows = []
+                group = row[:3]
+                rows.append(row)
+        if rows:
+            yield from flush()
+        trim()
+
+    return dealt.mapInArrow(run, schema(**PAIR))
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Join documents with 100 * |intersection| >= percent * |union| of their distinct k-word shingles.
 
@@ -413,8 +502,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     words is one shingle, null, empty and blank texts have none and link with nothing.
 
     Returns (rows, links). rows: doc_id, n_shingles, fp (stands for the set), rep (smallest doc_id with the same set),
-    component_id (smallest doc_id reachable by links), keeper (one row of each component; repeated rows all or none). links: pairs of fp that were verified; copies
-    share an fp, and pairs that components already imply may be missing. Rows with null ids take part, but name no component.
+    component_id (smallest doc_id reachable by links), keeper (one row of each component; repeated rows all or none). links: fa and fb of all pairs of
+    sets that link, each pair once; copies share an fp. Components do without the links inside components of long lists: these are computed when
+    links is read, in time by the square of a component's sets. Rows with null ids take part, but name no component.
     """
     rows, common = set_table(docs, k, percent, id_col, text_col)
     classes = compact(rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash"), F.first("bitmap").alias("bitmap")))
@@ -432,7 +522,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     long = found.where(F.col("fb").isNull()).select("fa", "token", "n", "i")
     labels = compact(star_components(links.select(F.col("fa").alias("u"), F.col("fb").alias("v"))))
     tested = pairs
-    for most in (4, 64, None) if long.take(1) else ():
+    lists = bool(long.take(1))
+    for most in (4, 64, None) if lists else ():
         more = compact(_between(long, labels, classes, percent, most).join(tested, ["fa", "fb"], "left_anti"))
         if not more.take(1):
             if most is None:
@@ -441,6 +532,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
         tested = tested.union(more)
         links = compact(links.union(_verified(more, docs, classes, k, percent, id_col, text_col)))
         labels = compact(star_components(links.select(F.col("fa").alias("u"), F.col("fb").alias("v"))))
+    if lists:
+        every = links.union(_within(long, labels, classes, docs, k, percent, id_col, text_col))
+        links = every.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")).distinct()
     named = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "fp"))["fp"].alias("keeper"))
     classed = named.join(least, "component").select("fp", "rep", "component_id", (F.col("fp") == F.col("keeper")).alias("keeper"))

@@ -103,6 +103,37 @@ def test_near_copies_of_one_text(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows.collect()) == brute_components(texts, list(range(150)))
 
 
+def shingle_sets(texts):
+    words = [WORD.findall(low(t or "")) for t in texts]
+    return [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset() for w in words]
+
+
+def brute_links(sets):
+    out = set()
+    for a, b in itertools.combinations(sorted(set(sets), key=sorted), 2):
+        common = len(a & b)
+        if common and 100 * common >= 80 * (len(a) + len(b) - common):
+            out.add(frozenset([a, b]))
+    return out
+
+
+@pytest.mark.parametrize(("short", "frequent", "split"), [(64, 32, 50_000), (4, 2, 50_000), (4, 2, 7)])
+def test_all_links_of_long_lists(spark, monkeypatch, short, frequent, split):
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "SPLIT", split)
+    monkeypatch.setattr(jaccard, "BLOCKED", min(split, 40))
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(base)] + [" ".join(w if rng.random() > 0.006 else f"n{rng.random()}" for w in base[: rng.randrange(170, 201)]) for _ in range(110)]  # distinct near copies of one text
+    texts += corpus(6, 40) + texts[:3]
+    rows, links = jaccard.jaccard_join(frame(spark, texts))
+    sets = shingle_sets(texts)
+    of = {bytes(r["fp"]): sets[r["doc_id"]] for r in rows.where("n_shingles > 0").collect()}
+    got = [frozenset([of[bytes(r["fa"])], of[bytes(r["fb"])]]) for r in links.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_links(sets)
+
+
 def test_bitmaps_never_exceed_the_difference():
     rng = np.random.default_rng(0)
     for n, m in ((10, 12), (300, 240), (1000, 1030), (5000, 4100)):
