@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import lzma
 import tarfile
 import zipfile
 import zlib
@@ -21,12 +22,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text
 from ..schemas import MANIFEST
-from .select import FileFilter, is_manifest, is_text
+from .select import FileFilter, is_manifest, is_text, text_name
 
 MOST_ENTRIES = 20_000
 CONFIG_CAP = 4 << 20
 DEFAULT_ENTRY = 16 << 20
 _BATCH = 8 << 20
+_CHUNK = 1 << 16
+_DAMAGE = (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, ValueError)
 
 
 def budget(max_file: int) -> int:
@@ -44,30 +47,50 @@ def kind_of(name: str) -> str:
 
 
 class _Guard:
-    def __init__(self, max_file: int):
-        self.cap = max_file if max_file > 0 else DEFAULT_ENTRY
-        self.left, self.entries = budget(max_file), 0
+    """Bounds on one archive: every entry counts, bytes only where an entry is read."""
+
+    def __init__(self, max_file: int, files: FileFilter):
+        self.most, self.cap = max_file, max_file if max_file > 0 else DEFAULT_ENTRY
+        self.left, self.entries, self.files = budget(max_file), 0, files
 
     def more(self) -> bool:
         self.entries += 1
         return self.entries <= MOST_ENTRIES and self.left > 0
 
+    def looked(self, name: str, size: int) -> bool:
+        return text_name(name, self.files) and (self.most <= 0 or size <= self.most)
+
     def read(self, stream) -> bytes:
-        data = stream.read(min(self.cap, self.left))
-        self.left -= len(data)
-        return data
+        """An entry up to the cap; of a damaged one, what comes before the damage."""
+        parts, n = [], 0
+        try:
+            while n < self.cap and (data := stream.read(min(_CHUNK, self.cap - n))):
+                parts.append(data)
+                n += len(data)
+        except _DAMAGE:
+            pass
+        self.left -= n
+        return b"".join(parts)
 
 
 def _zip(data: bytes, guard: _Guard) -> Iterator[tuple[str, bytes]]:
+    """Files; one that cannot be opened is passed over, and a wrong checksum does not count."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for info in z.infolist():
             if info.is_dir():
                 continue
             if not guard.more():
                 return
-            if info.file_size <= guard.cap:
-                with z.open(info) as f:
-                    yield info.filename, guard.read(f)
+            if not guard.looked(info.filename, info.file_size):
+                continue
+            try:
+                f = z.open(info)
+            except _DAMAGE:
+                continue
+            with f:
+                f._expected_crc = None
+                got = guard.read(f)
+            yield info.filename, got
 
 
 def _tar(stream, guard: _Guard) -> Iterator[tuple[str, bytes]]:
@@ -79,15 +102,15 @@ def _tar(stream, guard: _Guard) -> Iterator[tuple[str, bytes]]:
                     continue
                 if not guard.more():
                     return
-                if info.size <= guard.cap:
+                if guard.looked(info.name, info.size):
                     yield info.name, guard.read(t.extractfile(info))
         except (tarfile.TarError, EOFError, OSError, zlib.error):
             return
 
 
-def entries(data: bytes, name: str, max_file: int) -> Iterator[tuple[str, bytes, bool]]:
-    """(inner name, bytes, whether its name decides if it is looked at) of an archive's entries."""
-    guard, kind = _Guard(max_file), kind_of(name)
+def entries(data: bytes, name: str, max_file: int, files: FileFilter = FileFilter()) -> Iterator[tuple[str, bytes, bool]]:
+    """(inner name, bytes, whether its name decides if it is looked at) of an archive's entries that are looked at."""
+    guard, kind = _Guard(max_file, files), kind_of(name)
     if kind == "zip":
         yield from ((n, d, True) for n, d in _zip(data, guard))
     elif kind == "tar":
@@ -96,13 +119,13 @@ def entries(data: bytes, name: str, max_file: int) -> Iterator[tuple[str, bytes,
         yield from ((n, d, True) for n, d in _tar(gzip.GzipFile(fileobj=io.BytesIO(data)), guard))
     else:
         base = name.rsplit("/", 1)[-1]
-        yield base.removesuffix(".gz"), guard.read(gzip.GzipFile(fileobj=io.BytesIO(data))), False
+        yield base.removesuffix(".gz"), gzip.GzipFile(fileobj=io.BytesIO(data)).read(guard.cap), False
 
 
-def layer_entries(data: bytes, max_file: int) -> Iterator[tuple[str, bytes, bool]]:
-    """Entries of an image layer, compressed or not."""
+def layer_entries(data: bytes, max_file: int, files: FileFilter = FileFilter()) -> Iterator[tuple[str, bytes, bool]]:
+    """Entries of an image layer, compressed or not, that are looked at."""
     stream = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    yield from ((n, d, True) for n, d in _tar(stream, _Guard(max_file)))
+    yield from ((n, d, True) for n, d in _tar(stream, _Guard(max_file, files)))
 
 
 def unpack(items: DataFrame, max_file: int = 5 << 20, layers: bool = False, files: FileFilter = FileFilter()) -> DataFrame:
@@ -125,7 +148,7 @@ def unpack(items: DataFrame, max_file: int = 5 << 20, layers: bool = False, file
             for other, name, data in zip(others, b.column("name").to_pylist(), b.column("content"), strict=True):
                 raw = data.as_py() or b""
                 try:
-                    for inner, content, named in layer_entries(raw, max_file) if layers else entries(raw, name, max_file):
+                    for inner, content, named in layer_entries(raw, max_file, files) if layers else entries(raw, name, max_file, files):
                         rows.append([*other, inner, named, content, None])
                         size += len(content)
                         if size > _BATCH:

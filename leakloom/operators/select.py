@@ -97,6 +97,15 @@ def is_text(name: Column, f: FileFilter = FileFilter()) -> Column:
     )
 
 
+def text_name(name: str, f: FileFilter = FileFilter()) -> bool:
+    """is_text() of one name, for entries of archives."""
+    base = name.rsplit("/", 1)[-1].lower()
+    ext = "." + base.rsplit(".", 1)[-1] if "." in base else ""
+    if ext in SKIPPED_EXTENSIONS:
+        return False
+    return ext in f.extra_extensions or base in SPECIAL_NAMES or base.startswith(".env") or ext in TEXT_EXTENSIONS or (not f.text_only and ext == "")
+
+
 def is_manifest(name: Column) -> Column:
     return F.lower(F.element_at(F.split(name, "/"), -1)).isin(MANIFESTS)
 

@@ -81,6 +81,39 @@ def test_bombs_are_bounded(monkeypatch):
     assert containers.budget(0) == 512 << 20 and containers.budget(1) == 256 << 20 and containers.budget(1 << 30) == 1 << 30
 
 
+@pytest.mark.parametrize(("pack", "name"), [(zipped, "a.jar"), (tarred, "a.tar")])
+def test_only_entries_that_are_looked_at_use_the_budget(monkeypatch, pack, name):
+    monkeypatch.setattr(containers, "budget", lambda max_file: 100)
+    data = pack(**{f"c{i}_class": "x" * 60 for i in range(9)}, a_txt="y" * 60, b_txt="z" * 60, c_txt="never")
+    assert [(n, len(d)) for n, d, _ in containers.entries(data, name, 80)] == [("a.txt", 60), ("b.txt", 60)]
+
+
+def test_zip_goes_on_behind_entries_that_fail():
+    data = zipped(a_txt="first", b_txt="second", c_txt="third")
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        central = data.index(b"PK\x01\x02")
+        at = [data.index(b"PK\x01\x02", central + 46 * i) for i in range(2)]
+        assert len(z.infolist()) == 3
+    locked = bytearray(data)
+    locked[at[0] + 8] |= 1  # encrypted
+    assert [n for n, _, _ in containers.entries(bytes(locked), "a.zip", 100)] == ["b.txt", "c.txt"]
+    method = bytearray(data)
+    method[at[0] + 10] = 97
+    assert [n for n, _, _ in containers.entries(bytes(method), "a.zip", 100)] == ["b.txt", "c.txt"]
+    crc = bytearray(data)
+    crc[at[0] + 16] ^= 255
+    assert [(n, d) for n, d, _ in containers.entries(bytes(crc), "a.zip", 100)] == [("a.txt", b"first"), ("b.txt", b"second"), ("c.txt", b"third")]
+
+
+def test_text_names_agree(spark):
+    from leakloom.operators.select import is_text, text_name
+
+    names = ["a.TXT", "x/.env.b", "x/y.class", "Dockerfile", "x/plain", "a.tar.gz", ".npmrc", "d.e/f", "k.foo", "", "a."]
+    for f in (FileFilter(), FileFilter(text_only=False), FileFilter(extra_extensions=(".foo",))):
+        got = spark.createDataFrame([(n,) for n in names], "n string").select("n", is_text(F.col("n"), f).alias("t")).collect()
+        assert {r["n"]: r["t"] for r in got} == {n: text_name(n, f) for n in names}
+
+
 def test_damaged_tar_keeps_what_was_read():
     data = tarred(a_txt=TOKEN, b_txt=TOKEN * 50)
     assert [n for n, _, _ in containers.entries(data[:1600], "x.tar", 1 << 20)][:1] == ["a.txt"]
