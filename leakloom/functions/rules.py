@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 import warnings
+from re import _parser as sre
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -25,6 +26,8 @@ SEVERITY = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
 #: Word boundary by ASCII word characters, also next to accented letters.
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
+_PLAIN = re.compile(r"[A-Za-z0-9_\-:@/\"'. ]")
+
 
 class NoRules(ValueError):
     pass
@@ -64,16 +67,27 @@ class Rule:
     @property
     def literal(self) -> str:
         """Text that every match begins with; empty if the pattern doesn't show one."""
-        bare = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "x", self.regex)
-        while re.search(r"\([^()]*\)", bare):
-            bare = re.sub(r"\([^()]*\)", "x", bare)
-        m = re.match(r"(?:\\b)?\(?((?:[A-Za-z0-9_\-:@/\"' ]|\\[.\-])+)(.?)", self.regex)
-        if not m or self.regex.startswith("(?") or "|" in bare:
-            return ""
-        if m[2] == "|":
-            return ""
-        text = re.sub(r"\\(.)", r"\1", m[1])
-        return text[:-1] if m[2] in tuple("?*+{") and m[2] else text
+        parsed = sre.parse(self.regex)
+        return "" if parsed.state.flags & re.IGNORECASE else _opening(parsed)[0]
+
+
+def _opening(parsed) -> tuple[str, bool]:
+    """The characters that a parsed pattern must begin with, and whether they are all of it.
+
+    Repeats, alternatives and classes end it, as do groups with flags of their own; a group without them is read as if it lay open.
+    """
+    text = ""
+    for op, arg in parsed:
+        if op is sre.LITERAL and _PLAIN.fullmatch(chr(arg)):
+            text += chr(arg)
+        elif op is sre.SUBPATTERN and not arg[1] and not arg[2]:
+            inner, whole = _opening(arg[3])
+            text += inner
+            if not whole:
+                return text, False
+        elif op is not sre.AT:
+            return text, False
+    return text, True
 
 
 def lint(regex: str) -> list[str]:

@@ -149,3 +149,25 @@ def test_false_positives(spark, secret, generic, test):
 @pytest.mark.parametrize(("secret", "generic"), [("éééééé", False), (MIX, True), (HEX[:40], False), ("zAbCdEfGh" + MIX, False), ("Secret", False), ("ab}cd9", False)])
 def test_true_secrets(spark, secret, generic):
     assert not spark.range(1).select(allowlist.is_false_positive(F.lit(secret), F.lit(generic)).alias("fp")).first()["fp"]
+
+
+OPENINGS = {
+    r"(ghp_[A-Za-z0-9]{6}|gho_[A-Za-z0-9]{6})": "gh",
+    r"\b(key-)?[0-9a-f]{8}": "",
+    r"(?:(?:ab|cd)x)y[0-9]": "",
+    r"(?:tok-)*z[0-9]{3}": "",
+    r"((?:pre_(?:live|test)_)[0-9]{4})": "pre_",
+    r"abc?[0-9]": "ab",
+    r"one[0-9]|two[0-9]": "",
+    r"(?i)case[0-9]": "",
+    r"(?i:case)[0-9]": "",
+}
+
+
+def test_literal_begins_every_match(spark):
+    rules = parse_rules(json.dumps({"rules": [{"id": f"r{i}", "regex": x} for i, x in enumerate(OPENINGS)]}))
+    assert {r.regex: r.literal for r in rules} == OPENINGS
+    texts = ["t=gho_A1b2C3", "t=ghp_A1b2C3", "k deadbeef k", "key-deadbeef", "cdxy7", "z123", "tok-z123", "pre_test_1234", "ab1", "abc2", "two5", "one5", "CASE1"]
+    got = detect.raw_matches(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string"), rules).collect()
+    want = sorted((i, r.ordinal, m[0]) for i, t in enumerate(texts) for r in rules for m in re.finditer(r.regex, t))
+    assert sorted((x["i"], x["ordinal"], x["match"]) for x in got) == want
