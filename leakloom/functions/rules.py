@@ -2,7 +2,8 @@
 
 Rules are JSON (see data/rules.json). Patterns are written for leftmost-first engines that agree with
 leftmost-longest ones on them: no lazy quantifiers, no alternative that begins another one, one
-capture group at most, which takes part in every match. lint() tells which rules keep to that.
+capture group at most. lint() tells which rules keep to that. Where the group takes no part in a match,
+the whole match is the secret; a group that may take no part, but may also be empty, brings a warning.
 """
 
 from __future__ import annotations
@@ -49,6 +50,11 @@ class Rule:
     def group(self) -> int:
         return 1 if re.compile(self.regex).groups else 0
 
+    @property
+    def whole(self) -> bool:
+        """Whether an empty group means that it took no part in the match."""
+        return _takes_part(sre.parse(self.regex)) is False
+
     @property
     def generic(self) -> bool:
         return self.category == "generic" or self.id.startswith("generic")
@@ -90,6 +96,37 @@ def _opening(parsed) -> tuple[str, bool]:
     return text, True
 
 
+def _takes_part(parsed) -> bool | None:
+    """Whether the first group takes part in every match; None if it doesn't, but may also be empty where it does."""
+
+    def found(items) -> bool:
+        for op, arg in items:
+            if op is sre.SUBPATTERN and (arg[0] == 1 or found(arg[3])):
+                return True
+            if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0 and found(arg[2]):
+                return True
+            if op is sre.ATOMIC_GROUP and found(arg):
+                return True
+            if op is sre.BRANCH and all(found(x) for x in arg[1]):
+                return True
+        return False
+
+    def group(items):
+        for op, arg in items:
+            parts = [arg[3]] if op is sre.SUBPATTERN else arg[1] if op is sre.BRANCH else [arg[2]] if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) else [arg] if op is sre.ATOMIC_GROUP else []
+            if op is sre.SUBPATTERN and arg[0] == 1:
+                return arg[3]
+            for x in parts:
+                if (inner := group(x)) is not None:
+                    return inner
+        return None
+
+    first = group(parsed)
+    if parsed.state.groups < 2 or found(parsed):
+        return True
+    return False if first is not None and first.getwidth()[0] > 0 else None
+
+
 def lint(regex: str) -> list[str]:
     """What keeps a pattern from meaning the same in every engine."""
     found = []
@@ -124,6 +161,8 @@ def _rule(raw: dict, ordinal: int) -> Rule | None:
     except re.error as e:
         warnings.warn(f"rule {rid} is skipped: {e}", stacklevel=3)
         return None
+    if _takes_part(sre.parse(regex)) is None:
+        warnings.warn(f"rule {rid}: its group may take no part in a match or be empty, and such matches are dropped", stacklevel=3)
     words = tuple(k.lower() for k in raw.get("keywords") or [])
     return Rule(rid, raw.get("name") or rid, (raw.get("severity") or "medium").lower(), raw.get("category") or "", regex, words, float(raw.get("entropy_min") or 0), raw.get("description") or "", ordinal)
 

@@ -46,7 +46,8 @@ def rule_sql(rule: Rule, content: str, lower: str, most: int = MOST_MATCHES) ->
         tests += ["(" + " OR ".join(f"contains({c}, {_literal(k)})" for k in rule.keywords) + ")" for c in (lower, folded)]
     chars = "aggregate(slice({}, 1, {}), 0, (a, y) -> a + char_length(y))"
     before = chars.format("z.b", "i + 1") + " + " + chars.format("z.m", "i")
-    one = f"named_struct('ordinal', {rule.ordinal}, 'no', i, 'match', x, 'secret', get(z.s, i), 'before', {before})"
+    secret = "if(get(z.s, i) = '', x, get(z.s, i))" if rule.whole else "get(z.s, i)"
+    one = f"named_struct('ordinal', {rule.ordinal}, 'no', i, 'match', x, 'secret', {secret}, 'before', {before})"
     found = f"named_struct('m', regexp_extract_all({content}, {pattern}, 0), 's', regexp_extract_all({content}, {pattern}, {rule.group}), 'b', split({content}, {pattern}, -1))"
     matches = f"get(transform(array({found}), z -> transform(slice(z.m, 1, {most}), (x, i) -> {one})), 0)"
     none = "cast(array() as array<struct<ordinal:int,no:int,match:string,secret:string,before:int>>)"

@@ -171,3 +171,13 @@ def test_literal_begins_every_match(spark):
     got = detect.raw_matches(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string"), rules).collect()
     want = sorted((i, r.ordinal, m[0]) for i, t in enumerate(texts) for r in rules for m in re.finditer(r.regex, t))
     assert sorted((x["i"], x["ordinal"], x["match"]) for x in got) == want
+
+
+def test_whole_match_where_the_group_takes_no_part(spark):
+    rules = parse_rules(json.dumps({"rules": [{"id": "a", "regex": "token=([a-z]+)|AKQ[0-9A-Z]{6}"}, {"id": "b", "regex": "pin:([0-9]{4})?;"}, {"id": "c", "regex": "x=([a-z]+)!"}]}))
+    df = spark.createDataFrame([("token=abc AKQ12345Z",), ("pin:1234; pin:; x=q!",)], "content string")
+    got = sorted((r["ordinal"], r["secret"]) for r in detect.raw_matches(df, rules).collect())
+    assert got == [(0, "AKQ12345Z"), (0, "abc"), (1, "1234"), (1, "pin:;"), (2, "q")]
+    assert not any(r.whole for r in RULES)
+    with pytest.warns(UserWarning, match="may take no part"):
+        parse_rules(json.dumps({"rules": [{"id": "d", "regex": "k=([a-z]*)|z[0-9]"}]}))
