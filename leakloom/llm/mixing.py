@@ -52,11 +52,12 @@ def place(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 10, near: float = 0.002, rounds: int = 4) -> DataFrame:
-    """One row per source: source, source_size, target, copies of every document, and limits and cuts for one copy more.
+    """One row per source: source, source_size, target, copies of every document, and limits, floors and cuts for one copy more.
 
-    A document gets one copy more if for some i its size is at most limits[i] and its place at most cuts[i].
-    The first limit is none. Where the boundary document is larger than what is left, and that is more than
-    `near` of the target, a further threshold is sought beyond it among the documents that fit (`rounds` at most).
+    A document gets one copy more if for some i its size is at most limits[i] and its place above floors[i] and at most cuts[i].
+    The first limit and floor are none. Where the boundary document is larger than what is left, and that is more than
+    `near` of the target, a further threshold is sought beyond it among the documents that fit (`rounds` at most);
+    the boundary document is taken after all if that comes nearer to the target than they do.
 
     sized: source, size, place. Per-source totals and one boundary per source and level come to the
     driver; documents do not. An empty table gives an empty plan.
@@ -67,17 +68,19 @@ def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: f
     plan = {}
     for name, size in sizes:
         copies = min(int(goal[name] // size), int(most)) if size else 0
-        plan[name] = {"size": size, "copies": copies, "left": goal[name] - copies * size if size else 0.0, "limits": [], "cuts": []}
+        plan[name] = {"size": size, "copies": copies, "left": goal[name] - copies * size if size else 0.0, "limits": [], "floors": [], "cuts": [], "over": None}
 
     def level(open_: dict, shift: int, width: int) -> dict:
-        """For each open source (floor, limit, prefix), the boundary bucket of its documents."""
+        """For each open source (floor, limit, prefix), the boundary bucket of its documents; the last bucket if all fit."""
         at = spark.createDataFrame([(n, *v, float(plan[n]["left"])) for n, v in open_.items()], schema(of="string", floor="long", limit="long", prefix="long", budget="double"))
         inside = sized.join(small(at, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")) & (F.col("place") > F.col("floor")) & (F.col("size") <= F.col("limit")))
         if shift + width < HASH_BITS:
             inside = inside.where(F.shiftright("place", shift + width) == F.col("prefix"))
         hist = inside.groupBy("source", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.first("budget").alias("budget"), F.min("place").alias("lo"), F.max("place").alias("hi"))
         upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-        edge = hist.withColumn("upto", upto).where((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("n") <= F.col("budget")))
+        last = F.max("bucket").over(Window.partitionBy("source"))
+        crossed = (F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("n") <= F.col("budget"))
+        edge = hist.withColumns({"upto": upto, "_last": last}).where(crossed | ((F.col("bucket") == F.col("_last")) & (F.col("upto") <= F.col("budget"))))
         return {r["source"]: r for r in edge.collect()}
 
     largest = (1 << 63) - 1
@@ -91,30 +94,37 @@ def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: f
             found = level(open_, shift, width)
             for name, (floor, limit, _) in list(open_.items()):
                 p, r = plan[name], found.get(name)
+                fits = r is None or r["upto"] <= p["left"]  # the budget takes all that is left
                 if r is not None:
-                    p["left"] -= r["upto"] - r["n"]
-                    if r["lo"] != r["hi"] and shift:
-                        open_[name] = (floor, limit, r["bucket"])
-                        continue
+                    p["left"] -= r["upto"] if fits else r["upto"] - r["n"]
+                if not fits and r["lo"] != r["hi"] and shift:
+                    open_[name] = (floor, limit, r["bucket"])
+                    continue
                 p["limits"].append(limit)
-                p["cuts"].append(largest if r is None else r["lo"] - 1)
+                p["floors"].append(floor)
+                p["cuts"].append(largest if fits else r["lo"] - 1)
                 del open_[name]
-                if r is None:  # the budget takes all that is left
-                    continue
-                if i < rounds - 1 and p["left"] >= max(1, near * goal[name]):
-                    begin[name] = (r["hi"], min(limit, int(p["left"])))
-                elif 2 * p["left"] > r["n"]:  # the boundary document itself, if that is nearer to the target
-                    p["cuts"][-1] = r["hi"]
-    rows = [(n, p["size"], float(goal[n]), p["copies"], p["limits"], p["cuts"]) for n, p in plan.items()]
-    return spark.createDataFrame(rows, schema(source="string", source_size="long", target="double", copies="int", limits="array<bigint>", cuts="array<bigint>"))
+                if not fits:
+                    over = (r["n"] - p["left"], len(p["cuts"]), r["hi"])
+                    p["over"] = min(p["over"] or over, over)
+                    if i < rounds - 1 and p["left"] >= max(1, near * goal[name]):
+                        begin[name] = (r["hi"], min(limit, int(p["left"])))
+                        continue
+                if p["over"] and p["over"][0] < p["left"]:  # a boundary document itself, if that is nearer to the target
+                    _, n, hi = p["over"]
+                    for part in ("limits", "floors", "cuts"):
+                        del p[part][n:]
+                    p["cuts"][-1] = hi
+    rows = [(n, p["size"], float(goal[n]), p["copies"], p["limits"], p["floors"], p["cuts"]) for n, p in plan.items()]
+    return spark.createDataFrame(rows, schema(source="string", source_size="long", target="double", copies="int", limits="array<bigint>", floors="array<bigint>", cuts="array<bigint>"))
 
 
 def with_plan(docs: DataFrame, plan: DataFrame, source_col: str = "source") -> DataFrame:
     """docs (with columns size and place) and the number of times that the mix takes each row, as column copies."""
     p = small(plan, BROADCAST_SOURCES).withColumnRenamed("source", "_of")
     joined = docs.join(p, F.col(source_col).eqNullSafe(F.col("_of"))).drop("_of")
-    fits = F.exists(F.arrays_zip("limits", "cuts"), lambda x: (F.col("size") <= x["limits"]) & (F.col("place") <= x["cuts"]))
-    return joined.withColumn("copies", F.col("copies") + fits.cast("int")).drop("limits", "cuts")
+    fits = F.exists(F.arrays_zip("limits", "floors", "cuts"), lambda x: (F.col("size") <= x["limits"]) & (F.col("place") > x["floors"]) & (F.col("place") <= x["cuts"]))
+    return joined.withColumn("copies", F.col("copies") + fits.cast("int")).drop("limits", "floors", "cuts")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -418,3 +418,21 @@ def test_large_arrow_strings_and_slices():
     assert rows.tolist() == [0, 0, 2, 2] and bytes(buf) == "é".encode()
     b = pa.RecordBatch.from_arrays([pa.array(["x" * 100] * 1000)], ["t"])
     assert sum(p.num_rows for p in textcore.batches([b], 5000)) == 1000
+
+
+def test_mixture_boundaries(spark):
+    kind = "doc_id long, source string, size long, place long"
+
+    def taken(rows, left):
+        df = spark.createDataFrame(rows, kind)
+        other = 1000 - left
+        got = mixing.mixture_plan(df.union(spark.createDataFrame([(99, "z", other, 5)], kind)), weights=(left, other), most=3)
+        return mixing.with_plan(df, got).groupBy().agg({"copies": "max"}).first()[0], sum(r["copies"] * r["size"] for r in mixing.with_plan(df, got).collect()), {r["source"]: r["target"] for r in got.collect()}["a"]
+
+    # one document of 1,000 words and a target of 900 or so: the document is nearer than nothing
+    most, words, target = taken([(1, "a", 1000, 7)], 450)
+    assert most == 1 and words == 1000 and abs(target - 1000) > 50
+    # a group of equal rows that is too large together is not taken by a later round; a small document behind it is
+    rows = [(i, "a", 100, 10) for i in range(20)] + [(50, "a", 60, 900)]
+    most, words, target = taken(rows, 200)
+    assert words == 60 and 60 < target < 1000
