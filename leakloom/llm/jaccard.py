@@ -317,7 +317,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
 def star_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes in links (u, v): component is the smallest node reachable.
 
-    Alternating large-star and small-star steps on the cluster, until nothing changes.
+    Alternating large-star and small-star steps on the cluster, until nothing changes; an error if `rounds` are not enough.
     """
     edges = compact(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
@@ -340,6 +340,8 @@ def star_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         now, before = state(edges), now
         if now == before:
             break
+    else:
+        raise RuntimeError(f"components are not final after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 

@@ -181,6 +181,11 @@ def test_star_components(spark):
     assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
 
 
+def test_star_components_says_if_rounds_run_out(spark):
+    with pytest.raises(RuntimeError, match="not final"):
+        jaccard.star_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u int, v int"), rounds=1)
+
+
 def brute_kept(texts, length=35):
     all_words = [WORD.findall(t or "") for t in texts]
     count = collections.Counter(tuple(w[i : i + length]) for w in all_words for i in range(len(w) - length + 1))
