@@ -2,11 +2,12 @@
 
 An item's set are its distinct shingles of five words (A-Z and other letters in lower case). A document contains an item if at
 least `share` of the item's set is in the document's set. The search is by MinHash sketches cut
-to size: items are partitioned by the size q of their sets, and the sketch of an item holds the
+to size: the sketch of an item whose set has size q holds the
 q - ceil(share * q) + 1 smallest of its shingle hashes. A document that contains the item misses
 at most q - ceil(share * q) of its shingles, so it has one of the sketch: no contained item is
-lost, whatever the document's length. Documents probe only the size partitions whose items their
-own sets are large enough to contain. Pairs found are then verified on the shingles themselves.
+lost, whatever the document's length. The sketch's size alone carries the partition by size: every hash
+of a document meets the sketches of all sizes, and pairs whose document has too few shingles for the item
+are dropped behind the join. Pairs found are then verified on the shingles themselves.
 
 The sketches are a few values for each item; below a checked size they are broadcast, so that
 documents stream past them without a shuffle. Above it, both sides are shuffled by hash.
@@ -43,7 +44,7 @@ def _shingles(words: Column, n: Column) -> Column:
 
 
 def item_sets(items: DataFrame, share: float, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, q (set size), need (shingles to be found), part (size partition: log2 of q), shingles, sketch.
+    """item_id, q (set size), need (shingles to be found), part (log2 of q, not used by the join), shingles, sketch.
 
     Items without words are left out: nothing contains them.
     """
