@@ -8,8 +8,9 @@ passage that many documents share does not fill lists. Only lists, never sets, c
 
 Set relations skip work in both parts of the join:
 
-* Lists: a list is sorted by set size, so a set's partners are one block of it, and positions bound
-  the overlap that is still possible; pairs outside are skipped unseen. Parity bitmaps then bound
+* Lists: set sizes bound a set's partners, and positions the overlap that is still possible. In lists up
+  to SHORT all pairs are built and then tested for both; in longer ones a set's partners are one block
+  by size, and positions are tested pair by pair. Parity bitmaps then bound
   the symmetric difference exactly from below, before any set is read.
 * Answers: long lists come from groups of highly similar sets. There, sets are first compared with
   a few leaders; a set that links to a leader has the leader's answers, and components don't need the
