@@ -10,6 +10,9 @@ only its documents are summed again by the next bits, until a bucket holds one h
 value. With 2**bits buckets a level, the rows in play fall by that factor each time.
 Budgets above the source's size are nested: whole repetitions for all of its documents
 and a threshold for the rest.
+
+Rows that equal each other in id, text and source are counted first and go as records of their
+own: each such record has a hash, so a source that is one text many times over is divided like any other.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ from .common import cut, schema, small, text_of, word_count
 
 #: Sources beyond this many are joined by a shuffle instead of a broadcast.
 BROADCAST_SOURCES = 100_000
+#: Groups of equal rows beyond this many are joined by a shuffle.
+BROADCAST_GROUPS = 300_000
+#: Records that a group of equal rows is divided into at most; the mix takes whole records.
+PIECES = 4096
 HASH_BITS = 63
 
 
@@ -47,20 +54,20 @@ def targets(sizes: list[tuple[str | None, int]], weights: Sequence[float] = (5,
 
 
 def place(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A document's uniform hash, 63 bits. Equal rows have equal hashes and are taken together."""
+    """A document's uniform hash, 63 bits. Equal rows have equal hashes; records() tells them apart."""
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col), text_of(text_col)), 1)
 
 
-def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 10, near: float = 0.002, rounds: int = 4) -> DataFrame:
+def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 10, near: float = 0.002) -> DataFrame:
     """One row per source: source, source_size, target, copies of every document, and limits, floors and cuts for one copy more.
 
     A document gets one copy more if for some i its size is at most limits[i] and its place above floors[i] and at most cuts[i].
     The first limit and floor are none. Where the boundary document is larger than what is left, and that is more than
-    `near` of the target, a further threshold is sought beyond it among the documents that fit (`rounds` at most);
-    the boundary document is taken after all if that comes nearer to the target than they do.
+    `near` of the target, a further threshold is sought beyond it among the documents that fit, until no more than that
+    is left or no document fits; the boundary document is taken after all if that comes nearer to the target than they do.
 
     sized: source, size, place. Per-source totals and one boundary per source and level come to the
-    driver; documents do not. An empty table gives an empty plan.
+    driver, some hundred bytes a source; documents do not. An empty table gives an empty plan.
     """
     spark = sized.sparkSession
     sizes = [(r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()]
@@ -85,7 +92,7 @@ def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: f
 
     largest = (1 << 63) - 1
     begin = {n: (-1, largest) for n, p in plan.items() if p["left"] >= 1}
-    for i in range(rounds):
+    while begin:  # each time behind a later document, so that it ends
         open_, shift = {n: (*v, 0) for n, v in begin.items()}, HASH_BITS
         begin = {}
         while open_ and shift > 0:
@@ -107,7 +114,7 @@ def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: f
                 if not fits:
                     over = (r["n"] - p["left"], len(p["cuts"]), r["hi"])
                     p["over"] = min(p["over"] or over, over)
-                    if i < rounds - 1 and p["left"] >= max(1, near * goal[name]):
+                    if p["left"] >= max(1, near * goal[name]):
                         begin[name] = (r["hi"], min(limit, int(p["left"])))
                         continue
                 if p["over"] and p["over"][0] < p["left"]:  # a boundary document itself, if that is nearer to the target
@@ -131,23 +138,57 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), place(id_col, text_col).alias("place"))
 
 
+def records(rows: DataFrame) -> DataFrame:
+    """What the plan decides on: doc_id, source, size, place, n and group, for rows of sized().
+
+    A row without an equal is a record of its own. Of more, PIECES records at most are made, each of n of them, with the size
+    of them all and a place of its own; group is the place of the rows.
+    """
+    groups = rows.groupBy("doc_id", "source", "size", F.col("place").alias("group")).agg(F.count("*").alias("_m"))
+    k = F.least("_m", F.lit(PIECES)).cast("int")
+    each = groups.withColumn("_k", k).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    n = F.floor(F.col("_m") / F.col("_k")) + (F.col("_j") < F.col("_m") % F.col("_k")).cast("long")
+    own = F.when(F.col("_j") == 0, F.col("group")).otherwise(F.shiftrightunsigned(F.xxhash64("group", "_j"), 1))
+    return each.select("doc_id", "source", (F.col("size") * n).alias("size"), own.alias("place"), n.alias("n"), "group")
+
+
 def mix_table(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 10) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target of its source, copies and taken = copies * size.
 
-    Null texts have size 0; a null source is a source of its own. Equal rows (same id and text) are
-    taken alike. Extra columns of docs play no part. An empty table gives an empty result.
+    Null texts have size 0; a null source is a source of its own. Of equal rows (same id, text and source) as many are
+    taken once more as the target asks for. Extra columns of docs play no part. An empty table gives an empty result.
     """
-    rows = cut(sized(docs))
-    return with_plan(rows, mixture_plan(rows, weights, most, bits)).withColumn("taken", F.col("copies").cast("long") * F.col("size")).drop("place")
+    rows = cut(records(sized(docs)))
+    planned = with_plan(rows, mixture_plan(rows, weights, most, bits)).drop("place", "group")
+    many = planned.where("n > 1").repartition("doc_id", "source", F.rand(0)).withColumn("size", F.floor(F.col("size") / F.col("n")))
+    each = many.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("_i")
+    return planned.where("n = 1").unionByName(each).drop("n").withColumn("taken", F.col("copies").cast("long") * F.col("size"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 10) -> DataFrame:
-    """The mix itself: rows of docs with their own columns, each as often as the mix takes it (rows of size 0 never count).
+    """The mix itself: rows of docs with their own columns, each as often as the mix takes it.
 
-    Texts are read where they lie: the plan is joined to the scan by source and nothing is sorted.
+    Rows without words are taken like others, by their hash, but not where their source has no words at all. Null ids, texts and
+    sources count as values, an empty table gives an empty result. Texts are read where they lie: the plan is joined to the scan by source and nothing is
+    sorted. Only rows that have equals (in id, text and source) are numbered, by input partition and then within it, and the first ones are taken once more.
     """
     names = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns]
-    plan = mixture_plan(cut(sized(docs)), weights, most, bits)
+    rows = cut(records(sized(docs)))
+    plan = mixture_plan(rows, weights, most, bits)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), place().alias("place"))
-    taken = with_plan(held, plan, "_source").where(F.col("copies") > 0)
-    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)
+    equal = with_plan(rows, plan).groupBy("source", "group").agg(F.sum("n").alias("_m"), F.min("copies").alias("copies"), F.sum(F.col("copies") * F.col("n")).alias("_all"))
+    equal = cut(equal.where("_m > 1").select(F.col("source").alias("_of"), F.col("group").alias("_group"), "copies", (F.col("_all") - F.col("copies") * F.col("_m")).alias("_more")))
+    if equal.take(1):
+        same = F.col("_source").eqNullSafe(F.col("_of")) & (F.col("place") == F.col("_group"))
+        marked = held.withColumn("_part", F.spark_partition_id()).join(small(equal, BROADCAST_GROUPS), same, "left")
+        alone = with_plan(marked.where("_group is null").drop("copies", "_of"), plan, "_source").select("_doc", "copies")
+        grouped = marked.where("_group is not null")
+        before = F.sum("count").over(Window.partitionBy("_of", "_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        ahead = grouped.groupBy("_of", "_group", "_part").count().withColumn("_before", F.coalesce(before, F.lit(0))).select(F.col("_of").alias("_of2"), F.col("_group").alias("_group2"), F.col("_part").alias("_part2"), "_before")
+        number = F.row_number().over(Window.partitionBy("_of", "_group", "_part").orderBy(F.lit(0)))
+        placed = grouped.withColumn("_number", number).join(ahead, F.col("_of").eqNullSafe(F.col("_of2")) & (F.col("_group") == F.col("_group2")) & (F.col("_part") == F.col("_part2")))
+        more = (F.col("_number") + F.col("_before") <= F.col("_more")).cast("int")
+        planned = alone.unionByName(placed.select("_doc", (F.col("copies") + more).alias("copies")))
+    else:
+        planned = with_plan(held, plan, "_source").select("_doc", "copies")
+    return planned.where(F.col("copies") > 0).select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*names)

@@ -374,6 +374,61 @@ def test_shards_of_little(spark, texts):
     assert sharding.shard(df, 4).count() == len(texts)
 
 
+@pytest.mark.parametrize("ids", [[5] * 6000, [None] * 6000])
+def test_half_of_all_rows_equal_each_other(spark, ids):
+    rng = random.Random(1)
+    rows = [(i, "the same text", "s") for i in ids] + [(10 + i, "x" * rng.randrange(1, 40), "s") for i in range(6000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(7)
+    got = sharding.shard_table(df, 24).collect()
+    assert len(got) == 12_000
+    check_shards(got, 24, 0.05)
+    held = sharding.shard(df, 24).groupBy("shard").agg(F.sum(F.octet_length("text") + 8).alias("size")).collect()
+    sizes = [r["size"] for r in held]
+    assert len(sizes) == 24 and max(sizes) - min(sizes) < 0.1 * sum(sizes) / 24
+    again = sharding.shard(spark.createDataFrame(rows, DOCS).coalesce(1), 24).groupBy("shard").agg(F.sum(F.octet_length("text") + 8).alias("size")).collect()
+    table = collections.Counter()
+    for r in got:
+        table[r["shard"]] += r["size"]
+    assert {r["shard"]: r["size"] for r in again} == table  # in one task the turns are exact
+
+
+def test_ranges_are_divided_without_splitters(spark):
+    rows = sharding.counted(sharding.keyed(docs(spark, [f"text {i}" for i in range(300)])))
+    plan = sharding.plan_shards(rows, 3, fine=4, oversample=0)  # no sample at all: ranges are halved
+    n = np.bincount(np.searchsorted(plan.bounds, np.array([r["key"] for r in rows.collect()]), "right"))
+    assert n.sum() == 300 and n.max() <= 2 * 300 / 12 + 1
+
+
+def test_shards_equal_brute_force(spark):
+    rng = random.Random(3)
+    texts = [rng.choice(["", "same", "z" * rng.randrange(1, 300)]) for _ in range(400)]
+    df = docs(spark, texts)
+    df = df.union(df.where("doc_id < 40"))
+    want = collections.Counter((i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in [*enumerate(texts), *list(enumerate(texts))[:40]])
+    rows = sharding.shard_table(df, 5).collect()
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    check_shards(rows, 5, 0.2)
+    # the same plan by hand: rows in order of their keys fill the ranges, ranges fill shards in order
+    keys = sharding.keyed(df).collect()
+    plan = sharding.plan_shards(sharding.counted(sharding.keyed(df)), 5)
+    small = sorted((r["key"], r["doc_id"], r["size"], r["text_crc32"]) for r in keys)
+    small = [r for r in small if r not in plan.dealt]
+    slots = collections.Counter()
+    place = collections.defaultdict(list)
+    for record, portions in plan.dealt.items():
+        for s, slot, n in portions:
+            place[record[1:]] += [(s, slot + i) for i in range(n)]
+            slots[s] = max(slots[s], slot + n)
+    for r in small:
+        s = int(plan.shard_of[np.searchsorted(plan.bounds, r[0], "right")])
+        place[r[1:]].append((s, slots[s]))
+        slots[s] += 1
+    got = collections.defaultdict(list)
+    for r in rows:
+        got[r["doc_id"], r["size"], r["text_crc32"]].append((r["shard"], r["slot"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in place.items()}
+
+
 def test_targets_share_the_excess():
     t = mixing.targets([("b", 1000), ("a", 10), (None, 100), ("c", 0)], (5, 2, 1), 3)
     assert t["a"] == 30 and t[None] <= 300 and t["c"] == 0 and abs(sum(t.values()) - 1110) < 1e-6
@@ -405,6 +460,59 @@ def test_mix_meets_targets_and_never_repeats_more_than_allowed(spark):
     assert {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {r["doc_id"]: r["copies"] for r in rows if r["copies"]}
 
 
+def test_mix_divides_equal_rows(spark, monkeypatch):
+    rows = [(7, "a b c d e f g h i j k l m n o p q r s t", "a")] * 400 + [(i, "w " * 10, "b") for i in range(10, 500)] + [(None, None, "c"), (None, "", "c"), (1, "x y", None), (1, "x y", None)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    for pieces in (4096, 16):
+        monkeypatch.setattr(mixing, "PIECES", pieces)
+        got = mixing.mix_table(df).collect()
+        assert len(got) == len(rows)
+        taken = collections.Counter()
+        for r in got:
+            taken[r["source"]] += r["taken"]
+            assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
+        target = {r["source"]: r["target"] for r in got}
+        assert all(abs(taken[x] - target[x]) <= max(20, 0.01 * target[x] if pieces > 16 else 0.05 * target[x]) for x in "ab") and 0 < target["a"] % 8000
+        mixed = mixing.mix(df.withColumn("n", F.monotonically_increasing_id()).withColumn("_group", F.lit(1)))
+        words = {r["source"]: r["w"] for r in mixed.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("w")).collect()}
+        assert words["a"] == taken["a"] and mixed.where("source = 'a'").groupBy("n").count().agg(F.max("count")).first()[0] - mixed.where("source = 'a'").groupBy("n").count().agg(F.min("count")).first()[0] <= 1
+
+
+def brute_mix(rows, weights=(5, 2, 1), most=3.0):
+    """Taken copies by source and hash order, for rows (source, size, place) of which no two are equal."""
+    size = collections.Counter()
+    for s, n, _ in rows:
+        size[s] += n
+    goal = mixing.targets(list(size.items()), weights, most)
+    out = {}
+    for s in size:
+        base = min(int(goal[s] // size[s]), int(most)) if size[s] else 0
+        left, got = (goal[s] - base * size[s] if size[s] else 0), []
+        own = sorted((p, n) for t, n, p in rows if t == s)
+        for p, n in own:
+            if left < 1 or n > left:
+                break
+            left -= n
+            got.append(p)
+        out[s] = base, got, left, goal[s]
+    return out
+
+
+def test_mix_equals_brute_force(spark):
+    """Documents in order of their hashes up to the target; what a boundary document leaves over is filled from behind it."""
+    rng = random.Random(9)
+    df = docs(spark, ["w " * rng.randrange(0, 9) for _ in range(900)], [rng.choice("xyz") for _ in range(900)])
+    rows = mixing.sized(df).collect()
+    want = brute_mix([(r["source"], r["size"], r["place"]) for r in rows])
+    of = {r["doc_id"]: r["place"] for r in rows}
+    taken = collections.Counter()
+    for r in mixing.mix_table(df, bits=3).collect():
+        base, first, _, _ = want[r["source"]]
+        taken[r["source"]] += r["taken"]
+        assert r["copies"] >= base + (of[r["doc_id"]] in first)
+    assert all(abs(taken[s] - goal) < 9 for s, (_, _, _, goal) in want.items())
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], DOCS)
     assert mixing.mix_table(df).count() == 0 and mixing.mix(df).count() == 0
