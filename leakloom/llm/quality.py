@@ -176,28 +176,35 @@ def bucket(id_col: str | Column, of: int) -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: dict[int, int], most_bytes: int, folds: int, held_out: int) -> tuple[list[bytes], np.ndarray]:
     """A bounded sample of labelled texts: at most rows[y] of each label y, none of the held-out fold, each of most_bytes at most.
 
-    Which rows: those of the smallest hashes of their ids. Null labels, ids and texts are left out.
+    Which ones: those of the smallest hashes of their ids, with one text for each id, that of the smallest hash. Null labels,
+    ids and texts are left out, and so are ids whose labels contradict each other. Nothing else reaches the driver.
     """
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & (bucket("_id", folds) != held_out)).dropDuplicates(["_id"])
+    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & (bucket("_id", folds) != held_out))
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").drop("_z")
     picks = None
     for y, n in rows.items():
-        part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id")).limit(n)
+        part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
         picks = part if picks is None else picks.unionByName(part)
-    got = docs.where(F.octet_length("text") <= most_bytes).join(F.broadcast(picks), F.col("doc_id") == F.col("_id")).select("_id", F.col("text").cast("binary").alias("text"), "_y").toArrow().sort_by("_id")
+    own = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(picks), F.col("doc_id") == F.col("_id"))
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t")))
+    got = own.groupBy("_id", "_y").agg(first.alias("_t")).select("_id", F.col("_t.t").cast("binary").alias("text"), "_y").toArrow().sort_by("_id")
     return [x.as_py() for x in got["text"].combine_chunks()], got["_y"].to_numpy().astype(int)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 1200, most_bytes: int = 1 << 15, folds: int = 4, held_out: int = 2, epochs: int = 24) -> ByteNet:
+def fit_quality(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 1200, most_bytes: int = 1 << 15, folds: int = 4, held_out: int = 2, epochs: int = 24, most_epochs: int = 60, texts_seen: int = 12_000
+) -> ByteNet:
     """Fit on at most `sample` texts of each label of at most most_bytes each (the bounds of what reaches the driver).
 
-    Rows of the held-out fold are never learned from. Without both labels, every text scores one half.
+    The network sees every text of the sample `epochs` times, and small samples more often: until it has seen texts_seen
+    texts, but none more than most_epochs times. Rows of the held-out fold are never learned from. Without both labels, every text scores one half.
     """
     texts, y = labelled(docs, labels, label, {0: sample, 1: sample}, most_bytes, folds, held_out)
     net = ByteNet()
     if len(set(y.tolist())) < 2:
         net.p["out"][:] = 0
         return net
-    return net.fit(texts, y, epochs=max(epochs, min(60, 12_000 // len(texts))))
+    return net.fit(texts, y, epochs=max(epochs, min(most_epochs, texts_seen // len(texts))))
 
 
 def score_texts(df: DataFrame, net: ByteNet, text_col: str = "text", out_col: str = "score") -> DataFrame:

@@ -243,7 +243,7 @@ def fit_chain(texts: list[bytes], y: np.ndarray, steps: int = 30, rate: float =
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", toxic: int = 1500, clean: int = 3000, most_bytes: int = 1 << 13, folds: int = 3, held_out: int = 1) -> Chain:
     """Fit on at most so many toxic and clean texts of at most most_bytes each (the bounds of what reaches the driver).
 
-    Rows of the held-out fold are never learned from. Without both labels, all texts score alike.
+    One text for each id; ids with contradicting labels and rows of the held-out fold are never learned from. Without both labels, all texts score alike.
     """
     return fit_chain(*labelled(docs, labels, label, {0: clean, 1: toxic}, most_bytes, folds, held_out))
 
