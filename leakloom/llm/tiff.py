@@ -25,6 +25,9 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 6: (1, "b"), 7: (1, "s"), 8: (2, "h"), 9: (4, "i"), 10: (8, "ii"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q"), 18: (8, "Q")}
 #: Tags.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_LEN, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_LEN, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
+READ = frozenset((WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS, STRIP_LEN, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_LEN, FORMAT))
+#: Field types of whole numbers.
+WHOLE = (1, 3, 4, 6, 8, 9, 13, 16, 17, 18)
 
 
 class TiffError(ValueError):
@@ -187,6 +190,8 @@ class Page:
 
 def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, tuple], int]:
     head, size, word = ("Q", 20, "Q") if big else ("H", 12, "I")
+    if at + struct.calcsize(head) > len(data):
+        raise TiffError("a directory lies outside the file")
     try:
         (n,) = struct.unpack_from(order + head, data, at)
         at += struct.calcsize(head)
@@ -198,12 +203,18 @@ def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict[int, t
             unit, letter = FIELD.get(kind, (0, ""))
             if not unit:
                 continue
+            if tag not in READ:
+                continue
             where = at + i * size + 4 + struct.calcsize(word)
             if unit * count > struct.calcsize(word):
                 (where,) = struct.unpack_from(order + word, data, where)
             if where + unit * count > len(data):
                 raise TiffError(f"tag {tag} lies outside the file")
-            tags[tag] = struct.unpack_from(f"{order}{count}s" if letter == "s" else order + letter * count if len(letter) > 1 else f"{order}{count}{letter}", data, where)
+            if kind not in WHOLE:
+                raise TiffError(f"tag {tag} is not of whole numbers")
+            tags[tag] = struct.unpack_from(f"{order}{count}{letter}", data, where)
+            if not count or min(tags[tag]) < 0:
+                raise TiffError(f"tag {tag} has no value or a negative one")
         (following,) = struct.unpack_from(order + word, data, at + n * size)
     except struct.error:
         raise TiffError("a directory is cut off") from None
@@ -237,6 +248,8 @@ def _page(data: bytes, tags: dict[int, tuple], order: str, number: int, most: in
     bits, form, planar, compression, predictor = one(BITS, 1), one(FORMAT, 1), one(PLANAR, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
     if len(set(tags.get(BITS, (1,)))) > 1 or bits not in (1, 2, 4, 8, 16, 32, 64):
         raise TiffError("unsupported bits per sample")
+    if predictor not in (1, 2, 3) or predictor == 2 and bits < 8 or predictor == 3 and bits < 16:
+        raise TiffError(f"predictor {predictor} is not supported for {bits} bits")
     planes, each = (samples, 1) if planar == 2 else (1, samples)
     tiled = TILE_AT in tags
     if tiled:
@@ -248,11 +261,13 @@ def _page(data: bytes, tags: dict[int, tuple], order: str, number: int, most: in
     if not w or not h:
         raise TiffError("a tile has no size")
     across, down = -(-width // w), -(-height // h)
-    if len(offsets) != across * down * planes or len(lengths) != len(offsets):
-        raise TiffError("wrong number of strips or tiles")
     unit = max(1, bits // 8)
-    if max(width * height, w * h) * samples * unit > most:
+    if max(width * height, across * w * down * h) * samples * unit > most:
         raise TiffError(f"a page has more than {most} bytes")
+    if len(offsets) != across * down * planes or len(lengths) != len(offsets):
+        raise TiffError("wrong number of strips or tiles")
+    if max((form, compression, one(PHOTOMETRIC, 0))) >= 1 << 31:
+        raise TiffError("a code is out of range")
     dtype = np.dtype({1: "u1", 2: "u2", 4: "u4", 8: "u8"}[unit]).newbyteorder(order)
     plain = dtype.newbyteorder("<")
     full = np.zeros((planes, down * h, across * w, each), plain)
@@ -272,8 +287,6 @@ def _page(data: bytes, tags: dict[int, tuple], order: str, number: int, most: in
             part = raw.reshape(-1).view(dtype).reshape(rows, w, each).astype(plain)
             if predictor == 2:
                 part = np.cumsum(part, axis=1, dtype=plain)
-        if predictor not in (1, 2, 3):
-            raise TiffError(f"predictor {predictor} is not supported")
         full[plane, y * h : y * h + rows, x * w : (x + 1) * w] = part
     image = full[:, :height, :width]
     image = image[0] if planes == 1 else np.moveaxis(image[..., 0], 0, -1)
@@ -338,8 +351,9 @@ _BATCH = 4 << 20
 def tiff_pages(df: DataFrame, media_col: str = "media", keep: Sequence[str] = (), most_bytes: int = 1 << 28) -> DataFrame:
     """One row per page of the TIFF in media_col, with the columns of keep and those of PAGE.
 
-    A file that cannot be read on gives the pages before that and one row with the error and no page; so do
-    null and empty values. Pages of a file follow each other. Other columns of df are dropped.
+    A file that cannot be read on gives the pages before that and one row with the error and no page, whatever its bytes are;
+    so do null and empty values. A page of more than most_bytes, padding of tiles included, is such an error: memory is
+    bounded by it. Pages of a file follow each other, repeated rows give their pages each. Other columns of df are dropped.
     """
     names = list(keep)
     out = T.StructType([*[df.schema[n] for n in names], *PAGE.fields])
