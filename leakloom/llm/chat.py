@@ -39,7 +39,6 @@ CONTROL = (BEGIN, END, TURN, TEXT, STOP, "[INST]", "[/INST]")
 MARK = "␛"
 _NAMES = re.compile("|".join(map(re.escape, CONTROL)))
 _MARKS = re.compile(f"{MARK}({MARK}?)")
-_SLICE = 1 << 16
 
 _made: dict[int, object] = {}
 
@@ -72,10 +71,8 @@ class Codec:
         self.enc = tiktoken.Encoding("chat", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        """Ids of an escaped text; long texts go in slices, so that no piece is longer than one."""
-        if len(text) <= _SLICE:
-            return self.enc.encode_ordinary(text)
-        return [x for i in range(0, len(text), _SLICE) for x in self.enc.encode_ordinary(text[i : i + _SLICE])]
+        """Ids of a whole escaped text, however long."""
+        return self.enc.encode_ordinary(text)
 
     def decode(self, ids) -> str:
         return self.enc.decode_bytes(list(ids)).decode("utf-8")
@@ -108,7 +105,7 @@ def format_chat(df: DataFrame, vocabulary: str = VOCABULARY, trained: tuple[str,
     Result: conv_id, position (0-based turn in its conversation), start (tokens of the conversation
     before it), ids and loss (1 for tokens to be trained on: the text of the trained roles). A
     conversation is the concatenation of its rows by position, which is also their order in a
-    partition: BEGIN, then TURN role TEXT text STOP for each turn, then END.
+    partition: BEGIN, then TURN role TEXT text STOP for each turn, then END. Each role and text is encoded whole.
 
     Turns go by (turn, role, text), nulls first; repeated rows are turns of their own. Null roles and
     texts are empty; a null conv_id is a conversation like any other. Other columns are ignored.
@@ -180,7 +177,8 @@ def read_chat(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     Result: conv_id, n_turns, turns_sha256 (of role, newline, text, newline per turn), loss_chars and
     loss_sha256 (of all text under the loss mask, unescaped), formatted_chars (code points of the
-    rendered string), n_tokens, loss_tokens. The rows must lie as format_chat() leaves them.
+    rendered string), n_tokens, loss_tokens. Rows are put in order by position first, so they may come from anywhere.
+    A conversation is read in one task (its digests are sequential), with the memory of one turn. No rows give no result.
     """
     shared = _shared(formatted, vocabulary)
     kind = formatted.schema["conv_id"].dataType
@@ -195,9 +193,9 @@ def read_chat(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         state, current = None, None
         for b in batches:
             done = []
-            conv, starts = b.column("conv_id").to_pylist(), b.column("start").to_pylist()
-            for c, start, seq, mask in zip(conv, starts, b.column("ids"), b.column("loss"), strict=True):
-                if start == 0:
+            conv, positions = b.column("conv_id").to_pylist(), b.column("position").to_pylist()
+            for c, position, seq, mask in zip(conv, positions, b.column("ids"), b.column("loss"), strict=True):
+                if position == 0:
                     if state is not None:
                         done.append(_row(current, state))
                     current, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
@@ -228,4 +226,5 @@ def read_chat(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def _row(c, s):
         return dict(zip(out.names, [c, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4], s[5], s[6]], strict=True))
 
-    return formatted.mapInArrow(digest, out)
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    return ordered.select("conv_id", "position", "ids", "loss").mapInArrow(digest, out)
