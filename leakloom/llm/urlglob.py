@@ -158,8 +158,11 @@ def match_globs(df: DataFrame, globs: Sequence[str], url_col: str = "url", out_c
 
 
 def judge_urls(df: DataFrame, rules: Sequence[Rule], block_globs: Sequence[str], url_col: str = "url") -> DataFrame:
-    """df with host, path, rule and verdict (names must be free). The longest fitting rule decides (first listed of equals);
-    without one the verdict is block if any of block_globs matches, else allow."""
+    """df with host, path, rule and verdict; columns of these names are replaced, and url_col may be one of them.
+
+    The longest fitting rule decides (first listed of equals); without one the verdict is block if any of block_globs
+    matches, else allow. Null urls and those without :// have an empty host and path. Each row is judged alone, repeated ones alike.
+    """
     globs = [g for r in rules for g in r.globs()] + list(block_globs)
     hit = match_globs(df, globs, url_col, "__leakloom_globs")
     rule, verdict = F.lit(None).cast("string"), F.when(F.exists("__leakloom_globs", lambda g: g >= 2 * len(rules)), "block").otherwise("allow")
