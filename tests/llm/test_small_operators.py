@@ -6,6 +6,7 @@ import collections
 import fnmatch
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -78,10 +79,21 @@ def test_chat_round_trip_of_odd_turns(spark):
         assert r["n_turns"] == len(turns) and r["loss_chars"] == len(said)
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
         assert r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    shuffled = {r["conv_id"]: r for r in chat.read_chat(formatted.orderBy(F.rand(1)).repartition(3)).collect()}
+    assert shuffled == got
     starts = {(r["conv_id"], r["position"]): (r["start"], len(r["ids"]), sum(r["loss"])) for r in formatted.collect()}
     assert all(s == sum(starts[c, q][1] for q in range(p)) for (c, p), (s, _, _) in starts.items())
 
 
+@pytest.mark.parametrize("text", ["word " * 40_000, "x" * 200_000, "é1 \n!" * 40_000, " " * 200_000])
+def test_long_texts_have_the_ids_of_the_whole(spark, text):
+    with open(chat.VOCABULARY, "rb") as f:
+        codec = chat.Codec(f.read())
+    row = chat.format_chat(spark.createDataFrame([(1, 0, "assistant", text, "x", 0)], CHAT)).first()
+    ids = codec.enc.encode_ordinary(text)
+    assert [i for i, m in zip(row["ids"], row["loss"], strict=True) if m] == ids and codec.decode(ids) == text
+
+
 def test_chat_of_nothing(spark):
     assert chat.read_chat(chat.format_chat(spark.createDataFrame([], CHAT))).count() == 0
 
@@ -176,6 +188,49 @@ def test_damaged_files_give_errors_after_good_pages(spark):
     assert [r["error"] is not None for r in tiff.tiff_pages(df.where("id = 1"), most_bytes=10).collect()] == [True]
 
 
+def packed_fields(fields, data=b"\0" * 64, order="<"):
+    """A one-page file of raw fields: (tag, type, count, value bytes of four)."""
+    rows = b"".join(struct.pack(order + "HHI", t, k, n) + v.ljust(4, b"\0") for t, k, n, v in fields)
+    return struct.pack(order + "2sHI", b"II", 42, 8 + len(data)) + data + struct.pack(order + "H", len(fields)) + rows + bytes(4)
+
+
+def field(tag, value, kind=4):
+    return tag, kind, 1, struct.pack("<I", value)
+
+
+PAGE_FIELDS = {256: field(256, 8), 257: field(257, 8), 258: field(258, 8), 273: field(273, 8), 279: field(279, 64)}
+
+
+@pytest.mark.parametrize(
+    "changed",
+    [
+        {256: (256, 4, 0, b"")}, {256: (256, 11, 1, struct.pack("<f", 8.0))}, {256: (256, 2, 1, b"8")}, {257: (257, 9, 1, struct.pack("<i", -8))}, {277: (277, 8, 1, struct.pack("<h", -1))},
+        {273: (273, 11, 1, struct.pack("<f", 8.0))}, {273: (273, 9, 1, struct.pack("<i", -8))}, {279: (279, 5, 1, b"\10")}, {258: (258, 2, 1, b"\10")}, {317: field(317, 7)}, {317: field(317, 3)},
+        {256: field(256, 1 << 20), 257: field(257, 1), 322: field(322, 16), 323: field(323, 1 << 24), 324: field(324, 8), 325: field(325, 64)}, {259: field(259, 99)}, {256: field(256, 0)}, {278: field(278, 3)}, {273: field(273, 1 << 31)},
+        {258: field(258, 1), 317: field(317, 2)}, {256: (256, 4, 1 << 30, b"\0\0\0\0")}, {262: field(262, 0xFFFFFFFF)}, {284: field(284, 2), 277: field(277, 3)},
+    ],
+)
+def test_malformed_tags_are_errors(changed):
+    assert next(tiff.read_tiff(packed_fields(PAGE_FIELDS.values()))).pixels == bytes(64)
+    with pytest.raises(tiff.TiffError):
+        list(tiff.read_tiff(packed_fields([v for _, v in sorted((PAGE_FIELDS | changed).items())]), 1 << 16))
+
+
+def test_any_bytes_give_pages_or_an_error():
+    rng = random.Random(11)
+    files = [tiff.write_tiff([image(9, 16), image(40, 16)], **s) for s in tiff.STORES] + [packed_fields(PAGE_FIELDS.values())]
+    for i in range(4000):
+        data = bytearray(rng.choice(files))
+        for _ in range(rng.randrange(1, 6)):
+            at = rng.randrange(len(data)) if rng.random() < 0.5 else max(0, len(data) - rng.randrange(1, 200))
+            data[at] = rng.choice([0, 1, 2, 5, 11, 127, 128, 255, rng.randrange(256)])
+        try:
+            for p in tiff.read_tiff(bytes(data[: rng.choice([len(data), rng.randrange(len(data) + 1)])]), 1 << 16):
+                assert len(p.pixels) == p.width * p.height * p.samples * max(1, p.bits // 8) <= 1 << 16
+        except tiff.TiffError:
+            pass
+
+
 def test_payload_query_reads_back_every_text(spark, tmp_path):
     df = docs(spark, [*ODD, None, ODD[3]])
     df.write.parquet(str(tmp_path / "documents.parquet"))
@@ -252,6 +307,89 @@ def test_quality_on_held_out_rows_and_odd_texts(spark):
     assert {r["score"] for r in quality.score_texts(df, none).collect()} == {0.5}
 
 
+def test_the_sample_is_bounded_by_rows(spark):
+    rows = [(1, "a b")] + [(2, f"text {i}") for i in range(3000)] + [(3, "c d"), (4, None), (5, "x" * 99), (6, "e f"), (7, "g")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (3, 1), (3, 0), (4, 1), (5, 1), (6, None), (7, 0), (7, None), (None, 1)], "doc_id bigint, quality int")
+    texts, y = quality.labelled(df, labels, "quality", {0: 10, 1: 10}, 50, 4, 9)
+    assert len(texts) == len(y) == 3 and sorted(y.tolist()) == [0, 0, 1] and {b"a b", b"g"} < set(texts)
+    assert sorted(quality.labelled(df.repartition(3), labels, "quality", {0: 10, 1: 10}, 50, 4, 9)[0]) == sorted(texts)
+    assert len(quality.labelled(df, labels, "quality", {0: 1, 1: 1}, 50, 4, 9)[0]) == 2
+
+
+def plain_score(net, text):
+    """The network's probability, filter by filter and window by window."""
+    s, p = net.shape, {k: v.astype(np.float64) for k, v in net.p.items()}
+    span = s.half * s.stride
+    halves = -(-(len(text) + s.width - s.stride) // span)
+    symbols = list(text) + [quality.PAD] * (halves * span + s.width - len(text))
+    best = np.full((halves, s.filters), -np.inf)
+    for h in range(halves):
+        for w in range(s.half):
+            at = (h * s.half + w) * s.stride
+            if h == halves - 1 and w >= s.half - -(-(s.width - s.stride) // s.stride):
+                continue
+            best[h] = np.maximum(best[h], sum(p["table"][k][symbols[at + k]] for k in range(s.width)))
+    hidden = []
+    for a, b in [(i, i + 1) for i in range(halves - 1)] or [(0, 0)]:
+        fill = [min(max(len(text) - h * span, 0), span) / span for h in (a, b)]
+        x = np.append(np.maximum(np.maximum(best[a], best[b]), 0), (fill[0] + (fill[1] if a != b else 0)) / 2)
+        hidden.append(np.maximum(x @ p["mid"] + p["mid_b"], 0))
+    return 1 / (1 + np.exp(-(np.max(hidden, 0) @ p["out"] + p["out_b"][0])))
+
+
+def test_scores_equal_a_plain_forward_pass(spark, data):
+    """The query's own network and scores, window by window, on whole texts."""
+    rows = {r["doc_id"]: r for r in queries.op4_byte_cnn(spark, data).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert rows.keys() == texts.keys()
+    net = quality.fit_quality(*(spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels")))
+    few = sorted(rows, key=lambda i: len(texts[i] or ""))
+    for i in few[:12] + few[len(few) // 2 : len(few) // 2 + 3]:
+        r = rows[i]
+        assert abs(r["score"] - plain_score(net, (texts[i] or "").encode())) < 1e-4
+        assert r["predicted"] == int(r["score"] >= 0.7) and r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_toxicity_scores_equal_brute_force(spark, data):
+    """The query's scores from marginals word by word, over the whole of every text."""
+    rows = {r["doc_id"]: r for r in queries.op9_crf_spans(spark, data).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert rows.keys() == texts.keys()
+    chain = toxicity.fit_toxicity(*(spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels")))
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    names = dict(zip(chain.table.keys.tolist(), chain.table.values.tolist(), strict=True))
+    for i, text in texts.items():
+        raw = (text or "").encode()
+        found = [m.group().translate(low) for m in re.finditer(rb"[A-Za-z\x80-\xff]+", raw)]
+        e = []
+        for w in found:
+            total = chain.bias
+            for n in (0, *toxicity.PREFIXES):
+                part = w[:n] if n else w
+                if n and len(w) <= n:
+                    continue
+                h = textcore.word_hashes(np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)]))
+                key = int(h[0]) if not n else int(textcore.mix(h + np.uint64(toxicity.PREFIXES.index(n) + 1))[0])
+                total += names.get(key, 0.0)
+            e.append(total)
+        m, p = np.exp(chain.trans - chain.trans.max()), []
+        ahead, back = [np.array([1.0, 0.0])], [np.ones(2)]
+        steps = [m * np.exp([0.0, x] - np.maximum(0, x)) for x in e]
+        for t in steps:
+            v = ahead[-1] @ t
+            ahead.append(v / v.sum())
+        for t in reversed(steps):
+            v = t @ back[-1]
+            back.append(v / v.sum())
+        back.reverse()
+        p = [a[1] * b[1] / (a @ b) for a, b in zip(ahead[1:], back[1:], strict=True)]
+        x = np.log1p(sum(q for q in p if q >= toxicity.SURE)), max(p, default=0.0)
+        a, b, c = chain.curve
+        assert abs(rows[i]["score"] - 1 / (1 + np.exp(-(a + b * x[0] + c * x[1])))) < 1e-6, i
+        assert rows[i]["predicted"] == int(rows[i]["score"] >= 0.7) and rows[i]["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1)
+
+
 def brute_marginals(e, trans):
     """Sums over all state sequences."""
     import itertools
