@@ -16,11 +16,14 @@ GAP = r"[\x20\x09-\x0D]+"
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs nothing.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a temporary one is made.
+    The folder is the session's spark.checkpoint.dir. Only where that is unset and Spark runs in one process (tests), a
+    temporary one is made; a cluster without the setting is an error, as its machines share no such folder.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "leakloom-checkpoints"))
     return df.checkpoint(eager=True)
 
@@ -52,8 +55,8 @@ def text_of(column: str | Column) -> Column:
 
 def word_list(text: Column) -> Column:
     """The words of a text, unchanged; an empty array for an empty or null text."""
-    bare = F.regexp_replace(text, rf"^{GAP}|{GAP}\z", "")
-    return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, GAP))
 
 
 def word_count(text: Column) -> Column:
