@@ -8,19 +8,21 @@ passage that many documents share does not fill lists. Only lists, never sets, c
 
 Set relations skip work in both parts of the join:
 
-* Lists: set sizes bound a set's partners, and positions the overlap that is still possible. In lists up
-  to SHORT all pairs are built and then tested for both; in longer ones a set's partners are one block
-  by size, and positions are tested pair by pair. Parity bitmaps then bound
+* Lists: a list is divided into blocks by the token's position in the sets, each in order of set sizes.
+  Position and size bound the overlap that is still possible, so of each block a set's partners are one
+  stretch, found by search; blocks behind the last possible position are never visited, and pairs outside
+  a stretch are never made. Parity bitmaps then bound
   the symmetric difference exactly from below, before any set is read.
-* Answers: long lists come from groups of highly similar sets. There, sets are first compared with
+* Answers: lists with MANY partners a set come from groups of highly similar sets. There, sets are first compared with
   a few leaders; a set that links to a leader has the leader's answers, and components don't need the
   pairs inside one. What is left between components is compared closest pairs first, then
-  more, then all, deriving components anew in between, until no pair is left unseen.
+  more, then all, joining components by the new links in between, until no pair is left unseen.
 * Differences: the links table has the pairs inside components too. There, each set is its difference
   to one set of the component, and the differences of two sets tell exactly how far they are apart.
 
 Survivors are verified on the whole sets. Components are found by star contraction on the
-cluster; neither links nor components come to the driver.
+cluster, each task first contracting its own links; neither links nor components come to the driver.
+Copies of a text go into the index once for each task that reads them.
 """
 
 from __future__ import annotations
@@ -35,14 +37,18 @@ from .common import compact, cut, schema, small
 from .textcore import LOWER, U64, batches, flat, grams, mix, trim, word_hashes, words
 
 ENTRY = np.dtype([("t", "<u8"), ("a", "<u8"), ("b", "<u8"), ("n", "<i4"), ("i", "<i4"), ("part", "u1")])
-#: Lists up to this length are joined pair by pair at once.
-SHORT = 64
+#: Lists with more possible pairs than this for each entry are not joined pair by pair.
+MANY = 32
+#: Block stretches and pairs that are looked up at a time.
+STEP = 1_000_000
+#: Links that one task contracts.
+EDGES = 250_000
 #: A token is frequent from so many sets on; at most so many frequent tokens are broadcast (the most frequent).
 FREQUENT, MOST_FREQUENT = 32, 500_000
 #: Index entries that one task holds at a time, on average.
 BUCKET = 200_000
 LEADERS = 3
-#: A list expected to be longer than this is dealt over several buckets; comparisons in long lists go by blocks of this size.
+#: A list expected to be longer than this is dealt over several buckets; comparisons in lists with many pairs go by blocks of this size.
 SPLIT, BLOCKED = 50_000, 4_000
 #: Sets of a component are compared by blocks of so many shingles, or BLOCKED sets.
 BLOCKED_SHINGLES = 1_000_000
@@ -97,7 +103,7 @@ def set_table(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
     out = T.StructType([T.StructField("doc_id", kind.dataType), T.StructField("n", T.IntegerType()), T.StructField("fp", T.BinaryType()), T.StructField("bitmap", T.BinaryType()), T.StructField("text_hash", T.LongType()), T.StructField("token", T.LongType())])
 
     def run(it):
-        seen, held = [], 0
+        seen, held, texts = [], 0, set()
 
         def frequent(ids):
             """Tokens that this partition has seen more than once."""
@@ -109,12 +115,14 @@ def set_table(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
         for b in batches(it):
             ids = b.column(0).type
             n, fp, bitmap = [], [], []
-            for x in _sets(b, 1, k):
+            for x, text in zip(_sets(b, 1, k), b.column(2).to_pylist(), strict=True):
                 n.append(len(x))
                 fp.append(np.array(_fingerprint(x), U64).tobytes())
                 bitmap.append(_bitmap(x))
-                seen.append(x[: _prefix(len(x), percent)])
-                held += len(seen[-1])
+                if text not in texts:
+                    texts.add(text)
+                    seen.append(x[: _prefix(len(x), percent)])
+                    held += len(seen[-1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(bitmap, pa.binary()), b.column(2), pa.nulls(len(n), pa.int64())], names=out.names)
             if held > 4_000_000:
                 yield frequent(ids)
@@ -130,7 +138,7 @@ def set_table(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc
 
 def _index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The prefix entries of every set, packed by bucket of their token. Entries of a very frequent token are dealt
-    over buckets by their set and marked as part of a list.
+    over buckets by their set and marked as part of a list. A task enters copies of a text once.
 
     common: the frequent tokens in order, their ranks by count, and in how many parts their lists come.
     """
@@ -139,7 +147,13 @@ def _index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray], b
     split = len(tokens) and int(parts_of.max()) > 1
 
     def run(it):
+        texts = set()
         for b in batches(it):
+            new = []
+            for text in b.column(2).to_pylist():
+                new.append(text not in texts)
+                texts.add(text)
+            b = b.filter(pa.array(new, pa.bool_()))
             parts = []
             for x in _sets(b, 1, k):
                 p = _prefix(len(x), percent)
@@ -175,16 +189,16 @@ def _index(docs: DataFrame, common: tuple[np.ndarray, np.ndarray, np.ndarray], b
             data = [e[i:j].tobytes() for i, j in zip(edge, [*edge[1:], len(e)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(key[edge]), pa.array(data, pa.binary())], names=["bucket", "entries"])
 
-    packed = docs.select(id_col, text_col).mapInArrow(run, schema(bucket="long", entries="binary"))
+    packed = docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, schema(bucket="long", entries="binary"))
     return packed.repartition("bucket").sortWithinPartitions("bucket")
 
 
 PAIR = {"fa": "binary", "fb": "binary"}
 
 
-def _fp(e: np.ndarray) -> pa.Array:
-    raw = np.ascontiguousarray(np.stack([e["a"], e["b"]], 1)).tobytes()
-    return pa.Array.from_buffers(pa.binary(16), len(e), [None, pa.py_buffer(raw)]).cast(pa.binary())
+def _fp(a: np.ndarray, b: np.ndarray) -> pa.Array:
+    raw = np.ascontiguousarray(np.stack([a, b], 1)).tobytes()
+    return pa.Array.from_buffers(pa.binary(16), len(a), [None, pa.py_buffer(raw)]).cast(pa.binary())
 
 
 def _possible(x, y, percent: int):
@@ -193,31 +207,75 @@ def _possible(x, y, percent: int):
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.minimum(n - x["i"], m - y["i"]) >= percent * (n + m))
 
 
+def _stretches(e: np.ndarray, percent: int):
+    """For entries in order of token, position and size: arrays x, lo, hi, where the partners of entry x that are not smaller
+    are among entries lo to hi - 1, for each block that has any. Position and length filters hold for all of them."""
+    n, i = e["n"].astype(np.int64), e["i"].astype(np.int64)
+    fresh = np.concatenate([[True], e["t"][1:] != e["t"][:-1]])
+    lists = np.cumsum(fresh) - 1
+    edge = np.flatnonzero(fresh | np.concatenate([[True], i[1:] != i[:-1]]))  # blocks
+    block = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(e))))
+    key = block << 32 | n
+    places = lists[edge] << 32 | i[edge]
+    # the largest partner that size and this entry's position allow, and the last position that a partner of any such size may have
+    most = np.minimum(100 * n // percent, (100 + percent) * (n - i) // percent - n)
+    last = (100 * most - percent * n) // (100 + percent)
+    first = np.searchsorted(places, lists << 32)
+    blocks = np.where((most >= n) & (last >= 0), np.searchsorted(places, lists << 32 | np.maximum(last, 0), "right") - first, 0)
+    upto = np.concatenate([[0], np.cumsum(blocks)])
+    s = 0
+    while s < len(e):
+        z = max(s + 1, int(np.searchsorted(upto, upto[s] + STEP, "right")) - 1)
+        x = np.repeat(np.arange(s, z), blocks[s:z])
+        b = first[x] + np.arange(len(x)) - (upto[x] - upto[s])
+        least = np.maximum(n[x], -(-(percent * n[x] + (100 + percent) * i[edge[b]]) // 100))
+        lo, hi = np.searchsorted(key, b << 32 | least), np.searchsorted(key, b << 32 | most[x], "right")
+        some = lo < hi
+        if some.any():
+            yield x[some], lo[some], hi[some]
+        s = z
+
+
 def _bucket_pairs(e: np.ndarray, percent: int):
-    """Candidate pairs of short lists, pairs with leaders of long ones, and the entries of the long ones."""
-    e = e[np.lexsort((e["b"], e["a"], e["n"], e["t"]))]
-    if len(e):
+    """Yields candidate pairs of a bucket's lists, as two arrays of entries, and last the entries of lists with many pairs, with
+    None. Of those, pairs with their leaders are candidates."""
+    e = e[np.lexsort((e["b"], e["a"], e["t"]))]
+    if len(e):  # copies once
         e = e[np.concatenate([[True], (e["t"][1:] != e["t"][:-1]) | (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])])]
+    e = e[np.lexsort((e["b"], e["a"], e["n"], e["i"], e["t"]))]
     edge = np.flatnonzero(np.concatenate([[True], e["t"][1:] != e["t"][:-1]])) if len(e) else np.zeros(0, np.int64)
     size = np.diff(np.append(edge, len(e)))
-    left, right, long = [], [], []
-    whole = (size <= SHORT) & (e["part"][edge] == 0)
-    for m in np.unique(size[(size >= 2) & whole]):
-        at = edge[(size == m) & whole]
-        step = max(1, 500_000 // (m * m))
-        i, j = np.triu_indices(m, 1)
-        for s in range(0, len(at), step):
-            a, b = (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel()
-            ok = _possible(e[a], e[b], percent)
-            left.append(a[ok]), right.append(b[ok])
-    for at, m in zip(edge[~whole], size[~whole], strict=True):
-        part = np.arange(at, at + m)
-        long.append(part)
-        for lead in part[np.argsort(e["a"][part])[:LEADERS]]:
-            ok = part[_possible(e[part], np.broadcast_to(e[lead], m), percent) & (part != lead)]
-            left.append(np.full(len(ok), lead)), right.append(ok)
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    return e[a], e[b], e[np.concatenate(long)] if long else e[:0]
+    whole = np.repeat((e["part"][edge] == 0) & (size > 1), size) if len(e) else np.zeros(0, bool)
+    own = e[whole]
+    found = np.zeros(len(own), np.int64)
+    for x, lo, hi in _stretches(own, percent) if len(own) else ():
+        np.add.at(found, x, hi - lo)
+    lists = np.cumsum(np.concatenate([[True], own["t"][1:] != own["t"][:-1]])) - 1 if len(own) else np.zeros(0, np.int64)
+    pairs = np.bincount(lists, found).astype(np.int64) if len(own) else lists
+    many = (pairs > MANY * np.bincount(lists))[lists] if len(own) else np.zeros(0, bool)
+    short = own[~many]
+    for x, lo, hi in _stretches(short, percent) if len(short) else ():
+        upto = np.concatenate([[0], np.cumsum(hi - lo)])
+        s = 0
+        while s < len(x):
+            z = max(s + 1, int(np.searchsorted(upto, upto[s] + STEP, "right")) - 1)
+            a = np.repeat(x[s:z], (hi - lo)[s:z])
+            b = np.repeat(lo[s:z], (hi - lo)[s:z]) + np.arange(len(a)) - np.repeat(upto[s:z] - upto[s], (hi - lo)[s:z])
+            once = (short["n"][b] > short["n"][a]) | (b > a)  # sets of one size meet twice
+            yield short[a[once]], short[b[once]]
+            s = z
+    rest = np.ones(len(e), bool)
+    rest[np.flatnonzero(whole)[~many]] = False
+    alone = np.repeat((size == 1) & (e["part"][edge] == 0), size) if len(e) else rest
+    long = e[rest & ~alone]
+    edge = np.flatnonzero(np.concatenate([[True], long["t"][1:] != long["t"][:-1]])) if len(long) else np.zeros(0, np.int64)
+    for at, z in zip(edge, np.append(edge[1:], len(long))[: len(edge)], strict=True):
+        part = long[at:z]
+        for lead in np.argsort(part["a"])[:LEADERS]:
+            ok = _possible(part, np.broadcast_to(part[lead], len(part)), percent)
+            ok[lead] = False
+            yield np.broadcast_to(part[lead], int(ok.sum())), part[ok]
+    yield long, None
 
 
 def _pairs_of(index: DataFrame, percent: int) -> DataFrame:
@@ -227,23 +285,37 @@ def _pairs_of(index: DataFrame, percent: int) -> DataFrame:
     def run(it):
         bucket, held = None, []
 
+        def distinct(parts):
+            """Pairs as (fa, fb) with fa the smaller, each once."""
+            xa, xb, ya, yb = (np.concatenate([p[side][c] for p in parts]) for side in (0, 1) for c in ("a", "b"))
+            swap = (xa > ya) | ((xa == ya) & (xb > yb))
+            xa, xb, ya, yb = np.where(swap, ya, xa), np.where(swap, yb, xb), np.where(swap, xa, ya), np.where(swap, xb, yb)
+            order = np.lexsort((yb, ya, xb, xa))
+            xa, xb, ya, yb = xa[order], xb[order], ya[order], yb[order]
+            new = np.ones(len(xa), bool)
+            new[1:] = (xa[1:] != xa[:-1]) | (xb[1:] != xb[:-1]) | (ya[1:] != ya[:-1]) | (yb[1:] != yb[:-1])
+            xa, xb, ya, yb = xa[new], xb[new], ya[new], yb[new]
+            for s in range(0, len(xa), 100_000):
+                z = s + 100_000
+                none = pa.nulls(len(xa[s:z]), pa.int32())
+                yield pa.RecordBatch.from_arrays([_fp(xa[s:z], xb[s:z]), _fp(ya[s:z], yb[s:z]), pa.nulls(len(none), pa.int64()), none, none], names=out.names)
+
         def flush():
-            e = np.concatenate([np.frombuffer(x, ENTRY) for x in held])
-            x, y, long = _bucket_pairs(e, percent)
-            if len(x):
-                swap = (x["a"] > y["a"]) | ((x["a"] == y["a"]) & (x["b"] > y["b"]))
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                order = np.lexsort((y["b"], y["a"], x["b"], x["a"]))
-                x, y = x[order], y[order]
-                new = np.concatenate([[True], (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1]) | (y["a"][1:] != y["a"][:-1]) | (y["b"][1:] != y["b"][:-1])])
-                x, y = x[new], y[new]
-                for s in range(0, len(x), 100_000):
-                    p, q = x[s : s + 100_000], y[s : s + 100_000]
-                    none = pa.nulls(len(p), pa.int32())
-                    yield pa.RecordBatch.from_arrays([_fp(p), _fp(q), pa.nulls(len(p), pa.int64()), none, none], names=out.names)
+            parts, n = [], 0
+            for x, y in _bucket_pairs(np.concatenate([np.frombuffer(d, ENTRY) for d in held]), percent):
+                if y is None:
+                    long = x
+                    continue
+                parts.append((x, y))
+                n += len(x)
+                if n > STEP:
+                    yield from distinct(parts)
+                    parts, n = [], 0
+            if n:
+                yield from distinct(parts)
             for s in range(0, len(long), 100_000):
                 p = long[s : s + 100_000]
-                yield pa.RecordBatch.from_arrays([_fp(p), pa.nulls(len(p), pa.binary()), pa.array(np.ascontiguousarray(p["t"]).view(np.int64)), pa.array(np.ascontiguousarray(p["n"])), pa.array(np.ascontiguousarray(p["i"]))], names=out.names)
+                yield pa.RecordBatch.from_arrays([_fp(p["a"], p["b"]), pa.nulls(len(p), pa.binary()), pa.array(np.ascontiguousarray(p["t"]).view(np.int64)), pa.array(np.ascontiguousarray(p["n"])), pa.array(np.ascontiguousarray(p["i"]))], names=out.names)
 
         for b in it:
             for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -315,37 +387,69 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, per
     return both.select("fa", "fb", "sa", "sb").mapInArrow(test, schema(**PAIR))
 
 
+def _forest(it):
+    """Links (u, v) of a task as (node, smallest node that its links reach), without the smallest ones themselves."""
+    up: dict = {}
+    kind = None
+
+    def root(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = y
+        return x
+
+    for b in it:
+        kind = b.column(0).type
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = root(u), root(v)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = [x for x in up if root(x) != x]
+    for s in range(0, len(nodes), 100_000):
+        part = nodes[s : s + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([root(x) for x in part], kind)], names=["u", "v"])
+
+
 def star_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) of all nodes in links (u, v): component is the smallest node reachable.
 
-    Alternating large-star and small-star steps on the cluster, until nothing changes; an error if `rounds` are not enough.
+    Every task contracts the links it has. While these are more than EDGES, alternating large-star and small-star steps on
+    the cluster go between, until nothing changes; an error if `rounds` are not enough.
     """
-    edges = compact(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    def state(e):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    now = state(edges)
+    edges = cut(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    before = None
     for _ in range(rounds):
-        if not now[0]:
+        n = edges.count()
+        if n <= EDGES:
+            edges = cut(edges.coalesce(1).mapInArrow(_forest, edges.schema))
             break
-        parts = max(4, now[0] // 50_000 + 1)
+        parts = n // EDGES + 1
+        edges = cut(edges.coalesce(parts).mapInArrow(_forest, edges.schema))
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where(F.col("u") != F.col("v")).coalesce(parts).distinct().coalesce(parts))
+        large = cut(large.where(F.col("u") != F.col("v")).distinct().coalesce(parts))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small_star = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small_star.where(F.col("u") != F.col("v")).coalesce(parts).distinct().coalesce(parts))
-        now, before = state(edges), now
+        small_star = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        edges = cut(small_star.where(F.col("u") != F.col("v")).distinct().coalesce(parts))
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"components are not final after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after further links (fa, fb), of which only those between components are contracted."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("component").alias(c)) for x, c in (("fa", "ca"), ("fb", "cb")))
+    ends = links.join(a, "fa", "left").join(b, "fb", "left").select(F.coalesce("ca", "fa").alias("u"), F.coalesce("cb", "fb").alias("v"))
+    top = star_components(ends).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    fresh = links.select(F.col("fa").alias("node")).union(links.select("fb")).distinct().join(labels, "node", "left_anti").withColumn("component", F.col("node"))
+    return labels.unionByName(fresh).join(small(top, BROADCAST_ROWS), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
 def _between(long: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs of long lists' entries in different components that all filters allow: for each set of the
     smaller component its `most` closest partners in a list (all, if None)."""
@@ -511,7 +615,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     """
     rows, common = set_table(docs, k, percent, id_col, text_col)
     classes = compact(rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash"), F.first("bitmap").alias("bitmap")))
-    entries = rows.agg(F.sum(F.expr(f"n + floor(-n * {percent} / 100) + 1"))).first()[0] or 0
+    entries = classes.agg(F.sum(F.expr(f"n + floor(-n * {percent} / 100) + 1"))).first()[0] or 0
     often = common.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
     token, count = often["token"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy()
     order = np.argsort(token)
@@ -533,14 +637,15 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
                 break
             continue
         tested = tested.union(more)
-        links = compact(links.union(_verified(more, docs, classes, k, percent, id_col, text_col)))
-        labels = compact(star_components(links.select(F.col("fa").alias("u"), F.col("fb").alias("v"))))
+        more = compact(_verified(more, docs, classes, k, percent, id_col, text_col))
+        links = links.union(more)
+        labels = compact(_joined(labels, more))
     if lists:
         every = links.union(_within(long, labels, classes, docs, k, percent, id_col, text_col))
         links = every.select(F.least("fa", "fb").alias("fa"), F.greatest("fa", "fb").alias("fb")).distinct()
     named = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "fp"))["fp"].alias("keeper"))
-    classed = named.join(least, "component").select("fp", "rep", "component_id", (F.col("fp") == F.col("keeper")).alias("keeper"))
+    least = cut(named.join(labels.select(F.col("node").alias("fp")), "fp", "left_semi").groupBy("component").agg(F.min("rep").alias("least"), F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "fp"))["fp"].alias("first")))
+    classed = named.join(small(least, BROADCAST_ROWS), "component", "left").select("fp", "rep", F.when(F.col("first").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), (F.col("fp") == F.coalesce("first", "fp")).alias("keeper"))
     out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "fp").join(classed, "fp", "left")
     alone = F.col("n_shingles") == 0
     rep, component = F.when(alone, F.col("doc_id")).otherwise(F.col("rep")), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))

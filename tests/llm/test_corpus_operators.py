@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leakloom.llm import contamination, jaccard, queries, substring
+from leakloom.llm import contamination, jaccard, mixing, queries, substring
 from oracle import connect, rows_of, rows_of_sql
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -75,11 +75,13 @@ def brute_components(texts, ids):
     return [(ids[i], len(sets[i]), best[i]) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("seed", "short", "frequent", "split"), [(0, 64, 32, 50_000), (1, 3, 2, 3), (2, 3, 10**9, 50_000), (3, 64, 2, 2)])
-def test_jaccard_components(spark, monkeypatch, seed, short, frequent, split):
+@pytest.mark.parametrize(("seed", "many", "frequent", "split"), [(0, 32, 32, 50_000), (1, 0, 2, 3), (2, 0, 10**9, 50_000), (3, 32, 2, 2), (4, 1, 5, 40)])
+def test_jaccard_components(spark, monkeypatch, seed, many, frequent, split):
     monkeypatch.setattr(jaccard, "SPLIT", split)
     monkeypatch.setattr(jaccard, "BLOCKED", split)
-    monkeypatch.setattr(jaccard, "SHORT", short)
+    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "EDGES", 10**6 if seed % 2 else 20)
+    monkeypatch.setattr(jaccard, "STEP", 1_000_000 if seed else 50)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "BUCKET", 2000)
     monkeypatch.setattr(jaccard, "LEADERS", 1)
@@ -91,7 +93,7 @@ def test_jaccard_components(spark, monkeypatch, seed, short, frequent, split):
 
 
 def test_near_copies_of_one_text(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SHORT", 8)
+    monkeypatch.setattr(jaccard, "MANY", 2)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -117,9 +119,9 @@ def brute_links(sets):
     return out
 
 
-@pytest.mark.parametrize(("short", "frequent", "split"), [(64, 32, 50_000), (4, 2, 50_000), (4, 2, 7)])
-def test_all_links_of_long_lists(spark, monkeypatch, short, frequent, split):
-    monkeypatch.setattr(jaccard, "SHORT", short)
+@pytest.mark.parametrize(("many", "frequent", "split"), [(32, 32, 50_000), (1, 2, 50_000), (0, 2, 7), (10**9, 10**9, 50_000)])
+def test_all_links_of_long_lists(spark, monkeypatch, many, frequent, split):
+    monkeypatch.setattr(jaccard, "MANY", many)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "SPLIT", split)
     monkeypatch.setattr(jaccard, "BLOCKED", min(split, 40))
@@ -169,7 +171,22 @@ def test_keep_one_without_ids(spark):
     assert sorted((str(i), str(t)) for i, t in kept if t not in near) == sorted([("None", "other words stand alone here"), ("3", "a b c d e f"), ("None", "None"), ("5", "z z")])
 
 
-def test_star_components(spark):
+@pytest.mark.parametrize("seed", range(4))
+def test_stretches_hold_the_possible_pairs_and_no_others(monkeypatch, seed):
+    monkeypatch.setattr(jaccard, "STEP", 40)
+    rng = np.random.default_rng(seed)
+    e = np.zeros(300, jaccard.ENTRY)
+    e["t"], e["n"] = rng.integers(0, 9, 300), rng.integers(1, 60, 300)
+    e["i"], e["a"], e["b"] = rng.integers(0, e["n"] // 5 + 1), np.arange(300), 1
+    e = e[np.lexsort((e["b"], e["a"], e["n"], e["i"], e["t"]))]
+    got = {(int(x), y) for xs, lo, hi in jaccard._stretches(e, 80) for x, l, h in zip(xs, lo, hi, strict=True) for y in range(l, h)}
+    want = {(x, y) for x in range(300) for y in range(300) if e["t"][x] == e["t"][y] and e["n"][y] >= e["n"][x] and jaccard._possible(e[x : x + 1], e[y : y + 1], 80)[0]}
+    assert got == want
+
+
+@pytest.mark.parametrize("most", [10**6, 30])
+def test_star_components(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "EDGES", most)
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)]
     up = {}
@@ -181,7 +198,14 @@ def test_star_components(spark):
     assert got == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
 
 
-def test_star_components_says_if_rounds_run_out(spark):
+def test_further_links_join_components(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node int, component int")
+    more = spark.createDataFrame([(2, 6), (9, 20), (30, 31), (1, 2)], "fa int, fb int")
+    assert {r["node"]: r["component"] for r in jaccard._joined(labels, more).collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
+
+
+def test_star_components_says_if_rounds_run_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "EDGES", 5)
     with pytest.raises(RuntimeError, match="not final"):
         jaccard.star_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u int, v int"), rounds=1)
 
@@ -197,9 +221,10 @@ def brute_kept(texts, length=35):
         yield len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()
 
 
-@pytest.mark.parametrize(("seed", "index"), [(0, 500_000), (1, 200), (3, 4000)])
-def test_repeated_passages(spark, monkeypatch, seed, index):
+@pytest.mark.parametrize(("seed", "index", "hot"), [(0, 500_000, 1000), (1, 200, 1), (3, 4000, 3)])
+def test_repeated_passages(spark, monkeypatch, seed, index, hot):
     monkeypatch.setattr(substring, "INDEX", index)
+    monkeypatch.setattr(substring, "HOT", hot)
     monkeypatch.setattr(substring, "SHARD", 3000)
     monkeypatch.setattr(substring, "ANCHORS", 500)
     texts = [t for t in corpus(seed, 120) if not (t or "").startswith("x x")] + ["q r s " * 300]
@@ -217,8 +242,12 @@ def test_repeats_of_equal_rows_and_odd_tables(spark):
     assert (one["n_words"], one["n_removed"]) == (80, 80)
 
 
-def test_a_passage_in_most_documents(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [5, 1000])
+@pytest.mark.parametrize("parts", [1, 6])
+def test_a_passage_in_most_documents(spark, monkeypatch, hot, parts):
     monkeypatch.setattr(substring, "INDEX", 700)
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "SHARD", 500)
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
     passage = [word() for _ in range(90)]
@@ -229,8 +258,8 @@ def test_a_passage_in_most_documents(spark, monkeypatch):
             cut = rng.randrange(0, 50)
             w = w[: i % 7] + passage[cut : cut + rng.randrange(34, 60)] + w[i % 7 :]
         texts.append(" ".join(w))
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(frame(spark, texts).coalesce(1)).collect()}
-    assert got == dict(enumerate(brute_kept(texts)))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.remove_repeats(frame(spark, texts * 2 if parts > 1 else texts).where(F.col("doc_id") < 95).repartition(parts)).collect()}
+    assert got == dict(enumerate(brute_kept((texts * 2)[:95] if parts > 1 else texts)))
 
 
 def test_fm_index_counts(monkeypatch):
@@ -328,6 +357,22 @@ def test_pipeline(spark, data):
             items = [r["text"] for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
             bad = {texts[d]["doc_id"] for d, _ in brute_contained([r["text"] for r in texts], items)}
             assert set(out.doc_id) == {r["doc_id"] for r in texts} - bad
+        if name == "mixture":
+            size = lambda t: len(WORD.findall(t or ""))
+            have, taken = collections.Counter(), collections.Counter()
+            for s, t in docs.select("source", "text").collect():
+                have[s] += size(t)
+            for s, t in zip(out.source, out.text, strict=True):
+                taken[s] += size(t)
+            goal = mixing.targets(list(have.items()))
+            assert out.doc_id.value_counts().max() <= 3 and all(abs(taken[s] - goal[s]) <= max(0.01 * goal[s], 60) for s in goal)
+        if name == "sharding":
+            assert collections.Counter(out.doc_id) == collections.Counter(r["doc_id"] for r in texts)
+            load = collections.Counter()
+            for s, t in zip(out.shard, out.text, strict=True):
+                load[s] += len((t or "").encode()) + 8
+            big = max(len((t or "").encode()) for t in out.text)
+            assert set(load) <= set(range(24)) and max(load.values()) <= max(big + 8, sum(load.values()) / 24 * 1.1)
         docs, before = spark.createDataFrame(out), len(out)
     run = corpus_pipeline.run(spark, data).toPandas()
     assert sorted(run.doc_id) == sorted(out.doc_id)
@@ -336,7 +381,8 @@ def test_pipeline(spark, data):
 
 
 def test_pipeline_stages_take_empty_and_odd_tables(spark, data):
-    odd = frame(spark, [None, "", "some words here", "some words here"], [None, 1, 2, 3]).withColumn("more", F.lit(1))
+    odd = frame(spark, [None, "", "some words here", "some words here", "ab cd " * 60_000], [None, 1, 2, 3, 4]).withColumn("more", F.lit(1))
+    odd = odd.union(odd)
     for docs in (frame(spark, []), odd):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, data)
