@@ -4,6 +4,9 @@ Rules are JSON (see data/rules.json). Patterns are written for leftmost-first en
 leftmost-longest ones on them: no lazy quantifiers, no alternative that begins another one, one
 capture group at most. lint() tells which rules keep to that. Where the group takes no part in a match,
 the whole match is the secret; a group that may take no part, but may also be empty, brings a warning.
+
+Patterns are run by java.util.regex, so that is what must accept them: with a session at hand, rules that it refuses are
+skipped. translated() turns what linear-time engines write in another way into Java's and Python's dialects.
 """
 
 from __future__ import annotations
@@ -28,6 +31,58 @@ SEVERITY = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
 BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 _PLAIN = re.compile(r"[A-Za-z0-9_\-:@/\"'. ]")
+#: Named classes of bytes, as they stand inside brackets, and white space.
+CLASSES = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7f", "blank": r"\t ", "cntrl": r"\x00-\x1f\x7f", "digit": "0-9", "graph": r"!-~", "lower": "a-z", "print": r" -~",
+    "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0b\f\r ", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+SPACE = r"\t\n\f\r "
+_TOKEN = re.compile(r"\\Q.*?(?:\\E|$)|\\.|\[:\^?[a-z]+:\]|\(\?P?<[A-Za-z_]\w*>|\{\d+(?:,\d*)?\}|.", re.DOTALL)
+_MULTILINE = re.compile(r"\(\?[a-zA-Z]*m")
+
+
+def translated(regex: str, java: bool) -> tuple[str, int]:
+    """A pattern in Java's or Python's dialect, and its number of capture groups.
+
+    Groups lose their names, \\s is the space of linear-time engines (without VT), $ is the end of the text unless lines are
+    asked for, \\Q...\\E is taken literally, and brackets, braces and && that are plain characters there are escaped.
+    """
+    out, groups, inside, first = [], 0, False, False
+    lines = bool(_MULTILINE.search(regex))
+    end = r"\z" if java else r"\Z"
+    for m in _TOKEN.finditer(regex):
+        t = m[0]
+        if t.startswith("\\Q"):
+            out.append(re.escape(t[2:].removesuffix("\\E")))
+        elif t in ("\\s", "\\S"):
+            out.append(SPACE if inside and t == "\\s" else t if inside else f"[{'^' if t[1] == 'S' else ''}{SPACE}]")
+            first = False
+        elif t == "\\z":
+            out.append(end)
+        elif t.startswith("[:") and inside and t.strip("[:^]") in CLASSES:
+            body, first = CLASSES[t.strip("[:^]")], False
+            out.append(f"[^{body}]" if "^" in t and java else body)
+        elif inside and t[0] == "\\":
+            out.append(t)
+            first = False
+        elif inside:
+            for c in t:
+                inside = inside and (c != "]" or first)
+                out.append("\\" + c if c in "[&" or c == "]" and inside else c)
+                first = first and c == "^" and out[-2] == "["
+        elif t[0] == "[":
+            out.append(t)
+            inside = first = len(t) == 1
+        elif t == "$" and not lines:
+            out.append(end)
+        elif t.startswith("(?P<") or t.startswith("(?<") and len(t) > 3:
+            groups += 1
+            out.append("(")
+        else:
+            if t == "(" and regex[m.end() : m.end() + 1] != "?":
+                groups += 1
+            out.append("\\{" if t == "{" else t)
+    return "".join(out), groups
 
 
 class NoRules(ValueError):
@@ -48,12 +103,12 @@ class Rule:
 
     @property
     def group(self) -> int:
-        return 1 if re.compile(self.regex).groups else 0
+        return min(1, translated(self.regex, java=True)[1])
 
     @property
     def whole(self) -> bool:
         """Whether an empty group means that it took no part in the match."""
-        return _takes_part(sre.parse(self.regex)) is False
+        return bool(self.group) and (parsed := _parsed(self.regex)) is not None and _takes_part(parsed) is False
 
     @property
     def generic(self) -> bool:
@@ -68,13 +123,22 @@ class Rule:
         flags, body = ("(?di)", self.regex[4:]) if self.regex.startswith("(?i)") else ("(?d)", self.regex)
         body = re.sub(r"^\\b(?=\(*(?:\?:)?[A-Za-z0-9])", r"(?<!\\w)", body)
         body = re.sub(r"(\[[A-Za-z0-9\-]+\](?:\{[0-9,]+\}|\+)?\)?)\\b$", r"\1(?!\\w)", body)
+        body = translated(body, java=True)[0]
         return flags + re.sub(r"(\\\\)|\\b", lambda m: m[0] if m[1] else BOUNDARY, body)
 
     @property
     def literal(self) -> str:
         """Text that every match begins with; empty if the pattern doesn't show one."""
-        parsed = sre.parse(self.regex)
-        return "" if parsed.state.flags & re.IGNORECASE else _opening(parsed)[0]
+        parsed = _parsed(self.regex)
+        return "" if parsed is None or parsed.state.flags & re.IGNORECASE else _opening(parsed)[0]
+
+
+def _parsed(regex: str):
+    """The pattern as Python reads it; None if only Java can."""
+    try:
+        return sre.parse(translated(regex, java=False)[0])
+    except (re.error, OverflowError, RecursionError):
+        return None
 
 
 def _opening(parsed) -> tuple[str, bool]:
@@ -133,16 +197,12 @@ def lint(regex: str) -> list[str]:
     bare = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "x", regex)
     if re.search(r"[*+?}]\?", bare):
         found.append("lazy quantifier")
-    if re.search(r"(?<!\\)\\s", regex):
-        found.append(r"\s differs between engines; write [\t\n\f\r ]")
-    if re.search(r"(?<!\\)\$", re.sub(r"\[(?:\\.|[^\]\\])*\]", "x", regex)):
-        found.append(r"$ also matches before a final newline; write \z")
     for group in re.findall(r"\((?:\?[:i]*)?([^()]*\|[^()]*)\)", bare):
         parts = group.split("|")
         if any(b.startswith(a) for i, a in enumerate(parts) for b in parts[i + 1 :]):
             found.append("an alternative begins a later one")
     try:
-        compiled = re.compile(regex.replace(r"\z", r"\Z"))
+        compiled = re.compile(translated(regex, java=False)[0])
         if compiled.groups > 1:
             found.append("more than one capture group")
         if compiled.groups == 1 and re.search(r"(?<!\\)\((?!\?)[^()]*\)[?*]", regex):
@@ -152,19 +212,33 @@ def lint(regex: str) -> list[str]:
     return found
 
 
-def _rule(raw: dict, ordinal: int) -> Rule | None:
+def _rule(raw: dict, ordinal: int, spark: SparkSession | None) -> Rule | None:
     rid, regex = (raw.get("id") or "").strip(), raw.get("regex") or ""
     if not rid or not regex:
         return None
-    try:
-        re.compile(regex)
-    except re.error as e:
-        warnings.warn(f"rule {rid} is skipped: {e}", stacklevel=3)
+    words = tuple(k.lower() for k in raw.get("keywords") or [])
+    rule = Rule(rid, raw.get("name") or rid, (raw.get("severity") or "medium").lower(), raw.get("category") or "", regex, words, float(raw.get("entropy_min") or 0), raw.get("description") or "", ordinal)
+    parsed = _parsed(regex)
+    fault = refused(rule, spark) if spark is not None else "Python cannot read it" if parsed is None else None
+    if fault:
+        warnings.warn(f"rule {rid} is skipped: {fault}", stacklevel=3)
         return None
-    if _takes_part(sre.parse(regex)) is None:
+    if parsed is not None and _takes_part(parsed) is None:
         warnings.warn(f"rule {rid}: its group may take no part in a match or be empty, and such matches are dropped", stacklevel=3)
-    words = tuple(k.lower() for k in raw.get("keywords") or [])
-    return Rule(rid, raw.get("name") or rid, (raw.get("severity") or "medium").lower(), raw.get("category") or "", regex, words, float(raw.get("entropy_min") or 0), raw.get("description") or "", ordinal)
+    return rule
+
+
+def refused(rule: Rule, spark: SparkSession) -> str | None:
+    """Why java.util.regex does not take a rule's pattern; None if it does."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(rule.java)
+    except (Py4JJavaError, PySparkException) as e:
+        said = e.java_exception.getMessage() if isinstance(e, Py4JJavaError) else e
+        return str(said).splitlines()[0]
+    return None
 
 
 def first_wins(rules: Iterable[Rule]) -> list[Rule]:
@@ -175,12 +249,15 @@ def first_wins(rules: Iterable[Rule]) -> list[Rule]:
     return [Rule(*[getattr(r, f) for f in ("id", "name", "severity", "category", "regex", "keywords", "entropy_min", "description")], ordinal=i) for i, r in enumerate(seen.values())]
 
 
-def parse_rules(*texts: str) -> list[Rule]:
-    """Rules of JSON documents in order. Invalid ones are skipped with a warning; NoRules if none is left."""
+def parse_rules(*texts: str, spark: SparkSession | None = None) -> list[Rule]:
+    """Rules of JSON documents in order. Invalid ones are skipped with a warning; NoRules if none is left.
+
+    With a session, Java's engine says what is invalid; without one, Python's stands in for it.
+    """
     rules, n = [], 0
     for text in texts:
         for raw in json.loads(text).get("rules") or []:
-            rule = _rule(raw, n)
+            rule = _rule(raw, n, spark)
             n += 1
             if rule:
                 rules.append(rule)
@@ -194,7 +271,7 @@ def load_rules(spark: SparkSession | None = None, path: str | None = None) -> li
     texts = [BUILT_IN.read_text(encoding="utf-8")]
     if path:
         texts.append(spark.read.text(path, wholetext=True).first()[0] if spark else Path(path).read_text(encoding="utf-8"))
-    return parse_rules(*texts)
+    return parse_rules(*texts, spark=spark)
 
 
 def ruleset_version(text: str | None = None) -> str:

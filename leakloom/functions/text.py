@@ -15,6 +15,17 @@ def ascii_lower(s: Column) -> Column:
     return F.translate(s, UPPER, LOWER)
 
 
+#: The characters beyond ASCII whose lower case has letters of ASCII.
+FOLD_TO_ASCII = ("\u0130", "\u212a")
+
+
+def folded(s: Column) -> Column:
+    """Lower case in which ASCII letters come from ASCII letters only, so that ASCII text is found in it as with A-Z folded."""
+    for c in FOLD_TO_ASCII:
+        s = F.replace(s, F.lit(c), F.lit("\ufffd"))
+    return F.lower(s)
+
+
 def contains_any(s: Column, parts) -> Column:
     out = F.lit(False)
     for p in parts:
@@ -65,19 +76,26 @@ def line_of(before: Column) -> Column:
     return (F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"))) + 1).cast("int")
 
 
-def column_of(before: Column) -> Column:
-    """1-based byte column of the character behind a prefix."""
-    return (F.octet_length(F.substring_index(before, "\n", -1)) + 1).cast("int")
+def column_of(before: Column, single_bytes: Column | None = None) -> Column:
+    """1-based byte column of the character behind a prefix. Where single_bytes, each character stands for one byte."""
+    line = F.substring_index(before, "\n", -1)
+    n = F.octet_length(line) if single_bytes is None else F.when(single_bytes, F.char_length(line)).otherwise(F.octet_length(line))
+    return (n + 1).cast("int")
 
 
-def _as_characters(data: Column) -> Column:
+def as_characters(data: Column) -> Column:
     """Every byte as one character, so that classes of bytes are classes of characters."""
     return F.decode(data, "ISO-8859-1")
 
 
+def from_characters(s: Column) -> Column:
+    """The text of bytes that were read as characters; what is no UTF-8 is replaced."""
+    return F.make_valid_utf8(F.encode(s, "ISO-8859-1").cast("string"))
+
+
 def is_binary(data: Column) -> Column:
     """Empty, or in the first 8 KiB a NUL or more than 30 % control bytes (newline, return, tab and form feed are none)."""
-    head = _as_characters(F.substring(data, 1, 8192))
+    head = as_characters(F.substring(data, 1, 8192))
     n = F.char_length(head)
     control = n - F.char_length(F.regexp_replace(head, r"[\x00-\x08\x0b\x0e-\x1f\x7f]+", ""))
     return (n == 0) | head.contains("\0") | (control / F.greatest(n, F.lit(1)) > 0.30)
@@ -85,7 +103,7 @@ def is_binary(data: Column) -> Column:
 
 def mostly_printable(data: Column) -> Column:
     """More than 85 % of the bytes are printable ASCII, newline, return or tab."""
-    each = _as_characters(data)
+    each = as_characters(data)
     return F.char_length(F.regexp_replace(each, r"[^\n\r\t -~]+", "")) / F.greatest(F.char_length(each), F.lit(1)) > 0.85
 
 

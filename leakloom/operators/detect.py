@@ -14,18 +14,21 @@ from pyspark.sql import functions as F
 from ..functions import allowlist, text
 from ..functions.rules import SEVERITY, Rule, severity_rank
 
+#: Matches of a rule and base64 runs of an alphabet that are looked at in one text, and bytes of the longest run; 0: all of them.
 MOST_MATCHES = 64
 MOST_RUNS = 256
-#: base64 runs of either alphabet, by bytes of the longest that is decoded.
-RUNS = {"std": r"[A-Za-z0-9+/]{24,}={0,2}", "url": r"[A-Za-z0-9_-]{24,}={0,2}"}
 LONGEST_RUN = 262_144
+#: base64 runs of either alphabet.
+RUNS = {"std": r"[A-Za-z0-9+/]{24,}={0,2}", "url": r"[A-Za-z0-9_-]{24,}={0,2}"}
 
 
 def keyword_hit(content: Column, rule: Rule) -> Column:
-    """Whether any keyword occurs, A-Z folded; true without keywords. The cheap test comes first."""
+    """Whether any keyword occurs, A-Z folded; true without keywords."""
     if not rule.keywords or "" in rule.keywords:
         return F.lit(True)
-    return text.contains_any(F.lower(content), rule.keywords) & text.contains_any(text.ascii_lower(content), rule.keywords)
+    plain = [k for k in rule.keywords if k.isascii()]
+    other = [k for k in rule.keywords if not k.isascii()]
+    return text.contains_any(text.folded(content), plain) | text.contains_any(text.ascii_lower(content), other)
 
 
 def _literal(s: str) -> str:
@@ -34,30 +37,35 @@ def _literal(s: str) -> str:
 
 def rule_sql(rule: Rule, content: str, lower: str, most: int = MOST_MATCHES) -> str:
     """SQL for an array of (ordinal, no, match, secret, before) of a rule's first matches in column `content`; before is
-    the number of characters in front, lower a column with the text in lower case.
+    the number of characters in front, lower a column with text.folded() of it.
 
-    SQL text makes hundreds of rules one call to the JVM. The inner lambda's argument z holds the matches, so that each
-    pattern runs once over a text, and only behind the tests: what every match begins with, then the keywords.
+    SQL text makes hundreds of rules one call to the JVM. Only texts that pass the tests (what every match begins with, then
+    the keywords) are searched: for the matches, their groups and the text between them. The inner lambda's argument z holds these.
     """
     pattern = _literal(rule.java)
     tests = [f"contains({content}, {_literal(rule.literal)})"] if rule.literal else []
     if rule.keywords and "" not in rule.keywords:
-        folded = f"translate({content}, '{text.UPPER}', '{text.LOWER}')"
-        tests += ["(" + " OR ".join(f"contains({c}, {_literal(k)})" for k in rule.keywords) + ")" for c in (lower, folded)]
+        ascii_only = f"translate({content}, '{text.UPPER}', '{text.LOWER}')"
+        tests.append("(" + " OR ".join(f"contains({lower if k.isascii() else ascii_only}, {_literal(k)})" for k in rule.keywords) + ")")
     chars = "aggregate(slice({}, 1, {}), 0, (a, y) -> a + char_length(y))"
     before = chars.format("z.b", "i + 1") + " + " + chars.format("z.m", "i")
-    secret = "if(get(z.s, i) = '', x, get(z.s, i))" if rule.whole else "get(z.s, i)"
+    secret = "x" if not rule.group else "if(get(z.s, i) = '', x, get(z.s, i))" if rule.whole else "get(z.s, i)"
+    groups = f"regexp_extract_all({content}, {pattern}, 1)" if rule.group else "cast(array() as array<string>)"
     one = f"named_struct('ordinal', {rule.ordinal}, 'no', i, 'match', x, 'secret', {secret}, 'before', {before})"
-    found = f"named_struct('m', regexp_extract_all({content}, {pattern}, 0), 's', regexp_extract_all({content}, {pattern}, {rule.group}), 'b', split({content}, {pattern}, -1))"
-    matches = f"get(transform(array({found}), z -> transform(slice(z.m, 1, {most}), (x, i) -> {one})), 0)"
+    found = f"named_struct('m', regexp_extract_all({content}, {pattern}, 0), 's', {groups}, 'b', split({content}, {pattern}, -1))"
+    first = f"slice(z.m, 1, {most})" if most else "z.m"
+    matches = f"get(transform(array({found}), z -> transform({first}, (x, i) -> {one})), 0)"
     none = "cast(array() as array<struct<ordinal:int,no:int,match:string,secret:string,before:int>>)"
     return f"CASE WHEN {' AND '.join(tests) or 'true'} THEN {matches} ELSE {none} END"
 
 
-def raw_matches(df: DataFrame, rules: Sequence[Rule], content: str = "content") -> DataFrame:
-    """df with a row for each match: columns ordinal, match_no, match, secret, and prefix (the text in front) for the content column."""
-    found = "concat(" + ", ".join(rule_sql(r, f"`{content}`", "`_lower`") for r in rules) + ")"
-    rows = df.withColumn("_lower", F.lower(content)).withColumn("_m", F.explode(F.expr(found)))
+def raw_matches(df: DataFrame, rules: Sequence[Rule], content: str = "content", most: int = MOST_MATCHES) -> DataFrame:
+    """df with a row for each match: columns ordinal, match_no, match, secret, and prefix (the text in front) for the content column.
+
+    The first `most` matches of each rule in a text (0: all).
+    """
+    found = "concat(" + ", ".join(rule_sql(r, f"`{content}`", "`_lower`", most) for r in rules) + ")"
+    rows = df.withColumn("_lower", text.folded(F.col(content))).withColumn("_m", F.explode(F.expr(found)))
     return rows.select(
         *[c for c in df.columns if c != content],
         F.col("_m.ordinal").alias("ordinal"),
@@ -75,7 +83,13 @@ def _by_rule(rules: Sequence[Rule], value) -> Column:
 
 
 def gated(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Matches that pass the entropy gate and are no false positives, with rule attributes, entropy, line and column."""
+    """Matches that pass the entropy gate and are no false positives, with rule attributes, entropy, line and column.
+
+    A column bytewise says where a character stands for a byte; such matches become text again.
+    """
+    bytewise = F.col("bytewise") if "bytewise" in matches.columns else None
+    if bytewise is not None:
+        matches = matches.withColumns({c: F.when(bytewise, text.from_characters(F.col(c))).otherwise(F.col(c)) for c in ("match", "secret")})
     out = matches.withColumns(
         {
             "rule_id": _by_rule(rules, lambda r: r.id),
@@ -88,22 +102,22 @@ def gated(matches: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     ).where(F.col("secret") != "")
     out = out.where((F.col("_least") <= 0) | (F.col("_entropy") >= F.col("_least")))
     out = out.where(~allowlist.is_false_positive(F.col("secret"), allowlist.is_generic(F.col("rule_id"), F.col("category"))))
-    return out.withColumns({"entropy": text.round2(F.col("_entropy")), "line": text.line_of(F.col("prefix")), "column": text.column_of(F.col("prefix"))}).drop("_least", "_entropy", "prefix")
+    return out.withColumns({"entropy": text.round2(F.col("_entropy")), "line": text.line_of(F.col("prefix")), "column": text.column_of(F.col("prefix"), bytewise)}).drop("_least", "_entropy", "prefix")
 
 
-def base64_runs(df: DataFrame, content: str = "content") -> DataFrame:
+def base64_runs(df: DataFrame, content: str = "content", most: int = MOST_RUNS, longest: int = LONGEST_RUN) -> DataFrame:
     """df with a row for each decodable run: phase (1 standard, 2 URL alphabet), run_no, run_before, decoded (text); content stays.
 
-    Runs have 24 to LONGEST_RUN bytes, at most MOST_RUNS an alphabet; decoded they have 8 bytes or more of
-    valid, mostly printable UTF-8. A run that starts where a standard run did is taken once.
+    Runs have 24 bytes or more, `longest` at most, and are the first `most` of an alphabet (0: all); decoded they have 8 bytes or more of
+    valid, mostly printable UTF-8.
     """
     arrays = []
     for phase, pattern in enumerate(RUNS.values(), 1):
         runs = F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(0))
         between = F.split(F.col(content), pattern, -1)
-        arrays.append(_runs(runs, between, phase))
+        arrays.append(_runs(runs, between, phase, most))
     rows = df.withColumn("_r", F.explode(F.concat(*arrays)))
-    rows = rows.where(F.octet_length("_r.run") <= LONGEST_RUN).withColumn("_d", text.decode_base64(F.col("_r.run")))
+    rows = (rows.where(F.octet_length("_r.run") <= longest) if longest else rows).withColumn("_d", text.decode_base64(F.col("_r.run")))
     rows = rows.where((F.octet_length("_d") >= 8) & F.is_valid_utf8(F.col("_d").cast("string")) & text.mostly_printable(F.col("_d")))
     return rows.select(*df.columns, F.col("_r.phase").alias("phase"), F.col("_r.no").alias("run_no"), F.col("_r.before").alias("run_before"), F.col("_d").cast("string").alias("decoded"))
 
@@ -113,34 +127,35 @@ def _chars(parts: Column, n: Column) -> Column:
     return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.char_length(x))
 
 
-def _runs(runs: Column, between: Column, phase: int) -> Column:
+def _runs(runs: Column, between: Column, phase: int, most: int) -> Column:
     def one(x, i):
         return F.struct(F.lit(phase).alias("phase"), i.alias("no"), (_chars(between, i + 1) + _chars(runs, i)).alias("before"), x.alias("run"))
 
-    return F.transform(F.slice(runs, 1, MOST_RUNS), one)
+    return F.transform(F.slice(runs, 1, most) if most else runs, one)
 
 
 KEYS = ["phase", "run_no", "ordinal", "match_no"]
 
 
-def detect(df: DataFrame, rules: Sequence[Rule], base64: bool = True, content: str = "content") -> DataFrame:
+def detect(df: DataFrame, rules: Sequence[Rule], base64: bool = True, content: str = "content", most_matches: int = MOST_MATCHES, most_runs: int = MOST_RUNS, longest_run: int = LONGEST_RUN) -> DataFrame:
     """Findings of every row of df: its other columns, then ordinal, match_no, match, secret, rule attributes, entropy, line,
     column, via_decoder, and phase and run_no (0 for direct findings) which with ordinal and match_no give their order.
 
-    Findings inside a base64 run have the run's place. Null contents have none.
+    Findings inside a base64 run have the run's place; a run of the URL alphabet counts only where the standard one that
+    starts at the same place has none. Null contents have none. A column bytewise is read as gated() does, and dropped.
     """
     read = df.where(F.col(content).isNotNull())
-    direct = gated(raw_matches(read, rules, content), rules).withColumns({"via_decoder": F.lit(""), "phase": F.lit(0), "run_no": F.lit(0)})
+    direct = gated(raw_matches(read, rules, content, most_matches), rules).withColumns({"via_decoder": F.lit(""), "phase": F.lit(0), "run_no": F.lit(0)}).drop("bytewise")
     if not base64:
         return direct
-    others = [c for c in df.columns if c != content]
-    key = F.struct(*others) if others else F.lit(0)
-    runs = base64_runs(read, content).withColumns({"_place": F.substring(content, F.lit(1), F.col("run_before")), "_at": F.col("run_before")})
-    # a URL-alphabet run is skipped if the standard run with the same start has findings: both are judged in one row
-    inner = gated(raw_matches(runs.drop(content).withColumnRenamed("decoded", content), rules, content), rules)
-    inner = inner.withColumns({"line": text.line_of(F.col("_place")), "column": text.column_of(F.col("_place")), "via_decoder": F.lit("base64")})
-    first = F.min("phase").over(Window.partitionBy(key, "_at"))
-    inner = inner.withColumn("_first", first).where(F.col("phase") == F.col("_first")).drop("_first", "_place", "_at", "run_before")
+    others = [c for c in df.columns if c not in (content, "bytewise")]
+    # both alphabets' runs of a row meet by its columns and its text, so that rows with equal names stay apart
+    runs = base64_runs(read, content, most_runs, longest_run).withColumns({"_place": F.substring(content, F.lit(1), F.col("run_before")), "_at": F.col("run_before"), "_row": F.xxhash64(content)})
+    runs = runs.withColumns({"_line": text.line_of(F.col("_place")), "_column": text.column_of(F.col("_place"), F.col("bytewise") if "bytewise" in df.columns else None)}).drop("_place", "bytewise")
+    inner = gated(raw_matches(runs.drop(content).withColumnRenamed("decoded", content), rules, content, most_matches), rules)
+    inner = inner.withColumns({"line": F.col("_line"), "column": F.col("_column"), "via_decoder": F.lit("base64")})
+    first = F.min("phase").over(Window.partitionBy(*others, "_row", "_at"))
+    inner = inner.withColumn("_first", first).where(F.col("phase") == F.col("_first")).drop("_first", "_at", "_row", "_line", "_column", "run_before")
     return direct.unionByName(inner)
 
 
