@@ -183,36 +183,49 @@ def short_digest(digest: Column) -> Column:
 def image_blobs(items: DataFrame, configs: bool = True, layers: bool = False, max_layer: int = 100 << 20) -> DataFrame:
     """Blobs that the manifests among items name: repo, path and name of the manifest, digest, role (config or layer), blob.
 
-    A digest is named once over all images, by its first manifest. Manifest lists name none.
+    A digest has one row for each folder that names it, by the first manifest there; fetched() takes one of them. Manifest lists name none.
     """
     read = items.where(is_manifest(F.col("name"))).withColumn("_m", F.from_json(F.col("content").cast("string"), MANIFEST))
     config = read.select("repo", "path", "name", F.col("_m.config.digest").alias("digest"), F.lit("config").alias("role"), F.lit(0).cast("long").alias("layer_size"))
     layer = read.select("repo", "path", "name", F.explode("_m.layers").alias("_l")).select("repo", "path", "name", F.col("_l.digest").alias("digest"), F.lit("layer").alias("role"), F.col("_l.size").alias("layer_size"))
     layer = layer.where(F.coalesce("layer_size", F.lit(0)) <= max_layer)
     named = (config.unionByName(layer) if layers and configs else config if configs else layer).where(F.coalesce("digest", F.lit("")) != "")
-    first = named.groupBy("digest").agg(F.min_by(F.struct("repo", "path", "name", "role"), F.struct("repo", "path", "name", "role")).alias("_f"))
-    return first.select("_f.*", "digest", blob_name(F.col("digest")).alias("blob"))
+    digest = F.trim("digest")
+    first = named.groupBy("repo", "path", digest.alias("digest")).agg(F.min(F.struct("name", "role")).alias("_f"))
+    return first.select("repo", "path", "_f.*", "digest", blob_name(F.col("digest")).alias("blob"))
 
 
 def fetched(blobs: DataFrame, items: DataFrame) -> DataFrame:
-    """Blobs with their bytes, joined by repository, folder and blob name; error where there is none."""
-    store = items.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.col("name").alias("_n"), F.col("content"), F.col("size").alias("size"))
+    """Blobs with their bytes, joined by repository, folder and blob name: each digest once over all images, where it is found first.
+
+    A digest that lies in no folder that names it has a row with error for each of them.
+    """
+    store = items.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.col("name").alias("_n"))
     on = (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")) & (F.col("blob") == F.col("_n"))
-    out = blobs.join(store, on, "left").drop("_r", "_p", "_n")
-    return out.withColumn("error", F.when(F.col("content").isNull(), F.concat(F.lit("blob not found: "), "blob")))
+    # places are decided without the bytes; these are joined to the places that count, inner, so that the few places can be sent to them
+    named = blobs.join(store.distinct(), on, "left").withColumn("_there", F.col("_n").isNotNull()).drop("_r", "_p", "_n")
+    place = F.struct("repo", "path")
+    taken = named.where("_there").groupBy("digest").agg(F.min(place).alias("_first"))
+    chosen = named.join(taken, "digest", "left").where(F.col("_first").isNull() | (F.col("_there") & (place == F.col("_first")))).drop("_first")
+    held = items.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.col("name").alias("_n"), "content", "size")
+    found = chosen.where("_there").join(held, on).drop("_r", "_p", "_n", "_there").withColumn("error", F.lit(None).cast("string"))
+    missing = chosen.where("not _there").drop("_there").withColumn("error", F.concat(F.lit("blob not found: "), "blob"))
+    return found.unionByName(missing, allowMissingColumns=True)
 
 
 def image_texts(items: DataFrame, configs: bool = True, layers: bool = False, max_layer: int = 100 << 20, max_file: int = 5 << 20, files: FileFilter = FileFilter()) -> DataFrame:
-    """Rows to scan out of images: repo, path, name (the manifest's), size, sha256 (empty), inner, content, error.
+    """Rows to scan out of images: repo, path, name (the blob's), size, sha256 (empty), inner, content, error, shown.
 
-    A config's inner is config:digest; a layer's is the entry's name.
+    A layer's inner is the entry's name. A config is shown under its manifest, as !config:digest.
     """
-    got = fetched(image_blobs(items, configs, layers, max_layer), items).withColumn("sha256", F.lit(""))
-    columns = ["repo", "path", "name", "size", "sha256", "inner", "content", "error"]
-    missing = got.where("error is not null").withColumn("inner", F.lit(None).cast("string")).select(*columns)
-    config = got.where("role = 'config' and error is null").withColumns({"content": F.substring("content", 1, CONFIG_CAP), "inner": F.concat(F.lit("config:"), short_digest(F.col("digest")))})
+    blobs = fetched(image_blobs(items, configs, layers, max_layer), items)
+    shown = F.concat(text.full_path(F.col("path"), F.col("name")), F.lit("!config:"), short_digest(F.col("digest")))
+    got = blobs.withColumns({"sha256": F.lit(""), "inner": F.lit(None).cast("string"), "shown": F.when(F.col("role") == "config", shown), "name": F.col("blob")})
+    columns = ["repo", "path", "name", "size", "sha256", "inner", "content", "error", "shown"]
+    missing = got.where("error is not null").select(*columns)
+    config = got.where("role = 'config' and error is null").withColumn("content", F.substring("content", 1, CONFIG_CAP))
     out = missing.unionByName(config.where(~text.is_binary(F.col("content"))).select(*columns))
     if layers:
-        opened = unpack(got.where("role = 'layer' and error is null").select("repo", "path", "name", "size", "sha256", F.substring("content", 1, max_layer).alias("content")), max_file, layers=True, files=files)
+        opened = unpack(got.where("role = 'layer' and error is null").select("repo", "path", "name", "size", "sha256", "shown", F.substring("content", 1, max_layer).alias("content")), max_file, layers=True, files=files)
         out = out.unionByName(opened.select(*columns))
     return out

@@ -14,15 +14,16 @@ SEQUENCE = ["phase", "run_no", "ordinal", "match_no"]
 
 
 def enrich(found: DataFrame, base_url: str = "") -> DataFrame:
-    """Full path, URL, collapsed match and fingerprint of detected rows (with repo, path, name, size, sha256 and optionally inner).
+    """Full path, URL, collapsed match and fingerprint of detected rows (with repo, path, name, size, sha256 and optionally inner and shown).
 
-    inner is the place inside a container; it goes behind the path with an exclamation mark.
+    inner is the place inside a container; it goes behind the path with an exclamation mark. shown, where it is set, is the path to be shown.
     """
     outer = text.full_path(F.col("path"), F.col("name"))
     where = F.when(F.col("inner").isNull(), outer).otherwise(F.concat(outer, F.lit("!"), F.col("inner"))) if "inner" in found.columns else outer
+    where = F.coalesce("shown", where) if "shown" in found.columns else where
     url = text.artifact_url(base_url, F.col("repo"), outer) if base_url else F.lit("")
     out = found.withColumns({"_path": where, "file_url": url, "match": text.collapse(F.col("match"))})
-    return out.drop("path", "name", "inner").withColumnRenamed("_path", "path").withColumn("fingerprint", text.fingerprint(F.col("rule_id"), F.col("repo"), F.col("path"), F.col("secret")))
+    return out.drop("path", "name", "inner", "shown").withColumnRenamed("_path", "path").withColumn("fingerprint", text.fingerprint(F.col("rule_id"), F.col("repo"), F.col("path"), F.col("secret")))
 
 
 def first_by_fingerprint(findings: DataFrame) -> DataFrame:
@@ -60,11 +61,14 @@ def limited(findings: DataFrame, most: int) -> DataFrame:
 
 
 def merge(prior: DataFrame, current: DataFrame) -> DataFrame:
-    """Both reports' findings, once a fingerprint (or rule, repo, path and match where it is empty); prior ones win."""
+    """Both reports' findings, once a fingerprint (or rule, repo, path and match where it is empty); prior ones win.
+
+    Of equal keys within a report the first by place and content stays, whatever order the rows are read in.
+    """
     key = F.coalesce(F.when(F.col("fingerprint") != "", F.col("fingerprint")), F.concat_ws("|", "rule_id", "repo", "path", "match"))
-    both = prior.withColumns({"_s": F.lit(0), "_i": F.monotonically_increasing_id()}).unionByName(current.withColumns({"_s": F.lit(1), "_i": F.monotonically_increasing_id()}))
-    w = Window.partitionBy(key).orderBy("_s", "_i")
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_s", "_i", "_n")
+    both = prior.withColumn("_s", F.lit(0)).unionByName(current.withColumn("_s", F.lit(1)))
+    w = Window.partitionBy(key).orderBy("_s", "line", "column", F.xxhash64(*[c for c in prior.columns]))
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_s", "_n")
 
 
 def resume_keys(items: DataFrame) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 import os
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,16 +92,26 @@ def _secure(path: str):
     return os.fdopen(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8")
 
 
-def document(meta: Mapping, run: Mapping, findings: Iterable[Mapping]) -> str:
-    """One indented JSON document; empty fields of OMITTED are left out, no findings are null."""
-    rows = [{k: v for k, v in f.items() if v or k not in OMITTED} for f in findings]
-    return json.dumps({"meta": dict(meta), "stats": dict(run), "findings": rows or None}, indent=2, ensure_ascii=False) + "\n"
+def document(meta: Mapping, run: Mapping, findings: Iterable[Mapping]) -> Iterator[str]:
+    """One indented JSON document, in parts, one for each finding; empty fields of OMITTED are left out, no findings are null."""
+    head = json.dumps({"meta": dict(meta), "stats": dict(run)}, indent=2, ensure_ascii=False)
+    yield head.removesuffix("\n}") + ',\n  "findings": '
+    some = False
+    for f in findings:
+        row = json.dumps({k: v for k, v in f.items() if v or k not in OMITTED}, indent=2, ensure_ascii=False)
+        yield (",\n    " if some else "[\n    ") + row.replace("\n", "\n    ")
+        some = True
+    yield "\n  ]\n}\n" if some else "null\n}\n"
 
 
-def write_json(path: str, meta: Mapping, run: Mapping, findings: DataFrame) -> None:
-    rows = (r.asDict() for r in findings.select(*COLUMNS).toLocalIterator())
+def _write(path: str, parts: Iterable[str]) -> None:
     with _secure(path) as f:
-        f.write(document(meta, run, rows))
+        f.writelines(parts)
+
+
+def write_json(path: str, meta: Mapping, run: Mapping, findings: DataFrame) -> None:
+    """The document, written finding by finding: the driver holds one partition of them at a time."""
+    _write(path, document(meta, run, (r.asDict() for r in findings.select(*COLUMNS).toLocalIterator())))
 
 
 STYLE = (
@@ -117,40 +127,46 @@ SCRIPT = (
 )
 
 
-def html_page(meta: Mapping, run: Mapping, by: Mapping[str, list[tuple[str | None, int]]], findings: Iterable[Mapping]) -> str:
-    """A self-contained page: run data, cards, the largest groups, and a table that filters and sorts."""
+def html_page(meta: Mapping, run: Mapping, by: Mapping[str, list[tuple[str | None, int]]], findings: Iterable[Mapping]) -> Iterator[str]:
+    """A self-contained page, in parts: run data, cards, the largest groups, and a table that filters and sorts, a part for each row.
+
+    by: for each dimension, (key, number) of the largest groups; a key None has the number of groups that are left.
+    """
     e = lambda x: html.escape(str(x if x not in (None, "") else "—"))
     severity = dict(by.get("severity", []))
     cards = [*((s, severity.get(s, 0)) for s in ("critical", "high", "medium", "low")), ("total", sum(severity.values()))]
 
     def group(title: str, rows: list[tuple[str | None, int]]) -> str:
-        items = "".join(f"<li>{e(k or '(none)')} <b>{n}</b></li>" for k, n in rows[:TOP])
-        return f"<div><h2>{title}</h2><ul>{items}" + (f"<li>… {len(rows) - TOP} more</li>" if len(rows) > TOP else "") + "</ul></div>"
+        items = "".join(f"<li>{e(k or '(none)')} <b>{n}</b></li>" if k is not None else f"<li>… {n} more</li>" for k, n in rows)
+        return f"<div><h2>{title}</h2><ul>{items}</ul></div>"
 
-    body = []
-    for f in findings:
-        search = html.escape(" ".join(str(f[k] or "") for k in ("rule_name", "repo", "path", "match", "category")).lower())
-        path = f'<a href="{html.escape(f["file_url"])}" rel="noreferrer">{e(f["path"])}</a>' if f.get("file_url") else e(f["path"])
-        body.append(
-            f'<tr data-s="{e(f["severity"])}" data-t="{search}"><td class="{e(f["severity"])}">{e(f["severity"])}</td><td>{e(f["rule_name"])}</td><td>{e(f["repo"])}</td><td>{path}</td>'
-            f"<td>{f['line']}</td><td><code>{e(f['match'])}</code></td><td>{f['entropy']:.2f}</td><td>{html.escape(f['via_decoder'] or '')}</td></tr>"
-        )
     head = "".join(f"<tr><th>{e(k)}</th><td>{e(v)}</td></tr>" for k, v in [*meta.items(), *run.items()])
     heads = "".join(f"<th>{h}</th>" for h in ("Severity", "Rule", "Repository", "Path", "Line", "Match", "Entropy", "Via"))
     options = "".join(f"<option>{s}</option>" for s in SEVERITY)
-    return (
+    yield (
         f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Secrets in {e(meta.get("target"))}</title><style>{STYLE}</style></head><body><h1>Secret scan</h1><table class="meta"><thead>{head}</thead></table>'
         f'<div class="cards">{"".join(f"""<div class="card {k}"><b>{n}</b> {k}</div>""" for k, n in cards)}</div><div class="lists">{group("By repository", by.get("repo", []))}{group("By category", by.get("category", []))}</div>'
-        f'<p><input id="q" type="search" placeholder="filter"> <select id="s"><option value="">all</option>{options}</select></p><table><thead><tr>{heads}</tr></thead><tbody>{"".join(body)}</tbody></table><script>{SCRIPT}</script></body></html>\n'
+        f'<p><input id="q" type="search" placeholder="filter"> <select id="s"><option value="">all</option>{options}</select></p><table><thead><tr>{heads}</tr></thead><tbody>'
     )
+    for f in findings:
+        search = html.escape(" ".join(str(f[k] or "") for k in ("rule_name", "repo", "path", "match", "category")).lower())
+        path = f'<a href="{html.escape(f["file_url"])}" rel="noreferrer">{e(f["path"])}</a>' if f.get("file_url") else e(f["path"])
+        yield (
+            f'<tr data-s="{e(f["severity"])}" data-t="{search}"><td class="{e(f["severity"])}">{e(f["severity"])}</td><td>{e(f["rule_name"])}</td><td>{e(f["repo"])}</td><td>{path}</td>'
+            f"<td>{f['line']}</td><td><code>{e(f['match'])}</code></td><td>{f['entropy']:.2f}</td><td>{html.escape(f['via_decoder'] or '')}</td></tr>"
+        )
+    yield f"</tbody></table><script>{SCRIPT}</script></body></html>\n"
 
 
 def write_html(path: str, meta: Mapping, run: Mapping, findings: DataFrame) -> None:
-    by: dict[str, list[tuple[str | None, int]]] = {}
-    for r in counts(findings).orderBy("dimension", F.desc("n"), "key").collect():
-        by.setdefault(r["dimension"], []).append((r["key"], r["n"]))
-    with _secure(path) as f:
-        f.write(html_page(meta, run, by, (r.asDict() for r in findings.select(*COLUMNS).toLocalIterator())))
+    """The page, written finding by finding. Of the groups, only those that it shows come to the driver."""
+    counted = counts(findings).cache()
+    by = {"severity": [(r["key"], r["n"]) for r in counted.where("dimension = 'severity'").collect()]}
+    for dimension in ("repo", "category"):
+        first = top(counted.withColumn("key", F.coalesce("key", F.lit(""))), dimension).collect()
+        by[dimension] = [(r["key"], r["n"]) for r in first]
+    _write(path, html_page(meta, run, by, (r.asDict() for r in findings.select(*COLUMNS).toLocalIterator())))
+    counted.unpersist()
 
 
 def write_reports(prefix: str, form: str, meta: Mapping, run: Mapping, findings: DataFrame) -> list[str]:

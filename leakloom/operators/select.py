@@ -49,14 +49,14 @@ class RepoFilter:
 
 
 def filter_repos(repos: DataFrame, f: RepoFilter = RepoFilter()) -> DataFrame:
-    """Exclusion first; an allow list replaces the filter by type; the package type always counts."""
+    """Exclusion first; an allow list replaces the filter by type; package types (comma-separated) always count."""
     kind = F.upper("type")
     by_type = F.when(kind.isin("LOCAL", "FEDERATED"), True).when(kind == "REMOTE", f.include_remote).when(kind == "VIRTUAL", f.include_virtual).otherwise(f.include_remote or f.include_virtual)
     kept = F.col("key").isin(list(f.allow)) if f.allow else by_type
     if f.exclude:
         kept = kept & ~F.col("key").isin(list(f.exclude))
     if f.package_type:
-        kept = kept & (F.lower("package_type") == f.package_type.lower())
+        kept = kept & F.lower("package_type").isin([x.lower() for x in split_list(f.package_type)])
     return repos.where(F.coalesce(kept, F.lit(False)))
 
 
@@ -123,13 +123,16 @@ def classify(name: Column, f: FileFilter = FileFilter()) -> Column:
 
 
 def select_files(items: DataFrame, f: FileFilter = FileFilter(), max_size: int = 5 << 20, modified_after=None) -> DataFrame:
-    """Listed files to be scanned, with a column archive. Names, sizes and times decide before any content is read."""
+    """Listed files to be scanned, with a column archive. Names, sizes and times decide before any content is read.
+
+    Files of unknown size stay, as reading cuts them; max_size 0 lets all sizes pass.
+    """
     out = items
     if modified_after is not None:
         out = out.where(F.col("modified") > F.lit(modified_after))
     kind = classify(F.col("name"), f)
     out = out.withColumn("archive", kind["archive"]).where(kind["scan"])
-    return out.where((F.col("size") <= max_size) | F.col("archive"))
+    return out.where((F.coalesce("size", F.lit(0)) <= max_size) | F.col("archive")) if max_size > 0 else out
 
 
 def only_image_repos(items: DataFrame, image_repos: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Option parsing and the command line: python -m leakloom.plans.options ROOT --out report"""
+"""Option parsing and the command line: python -m leakloom.plans.options ROOT --out report
+
+A run leaves the report, OUT.errors.jsonl if something failed, and with --resume the keys of what it has done.
+"""
 
 from __future__ import annotations
 
@@ -57,6 +60,9 @@ def parser() -> argparse.ArgumentParser:
     a("root")
     for name in ("repos", "exclude", "package-type", "since", "extensions", "min-severity", "rules", "resume", "retry", "merge"):
         a(f"--{name}", default="")
+    a("--repositories", default="", help="JSON catalogue of repositories (key, type, packageType); without it all folders below ROOT are local ones")
+    a("--base-url", default="", help="what file URLs in the report begin with")
+    a("--max-matches", type=int, default=64, help="matches of a rule in one text; 0: all"), a("--max-runs", type=int, default=256, help="base64 runs of an alphabet in one text; 0: all")
     a("--max-size", default="5MB"), a("--max-layer-size", default="100MB"), a("--max-findings", type=int, default=0)
     a("--out", default="leakloom-report"), a("--format", choices=["all", "json", "csv", "html"], default="all")
     a("--decode-base64", action=argparse.BooleanOptionalAction, default=True)
@@ -73,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
     from ..functions.rules import NoRules, load_rules, ruleset_version
     from ..operators import findings as rows
     from ..operators import report
-    from ..operators.select import FileFilter, split_list
+    from ..operators.select import FileFilter, RepoFilter, filter_repos, listing_key, select_files, split_list
     from ..sources import artifacts
     from . import scan
 
@@ -83,10 +89,13 @@ def main(argv: list[str] | None = None) -> int:
         images = o.docker_config or o.docker_layers
         if o.no_files and not images:
             raise ValueError("--no-files needs --docker-config or --docker-layers")
+        if not o.repositories and (o.package_type or o.include_remote or o.include_virtual):
+            raise ValueError("--package-type, --include-remote and --include-virtual need --repositories")
         files = FileFilter(FileFilter.extensions(split_list(o.extensions)), not o.extensionless, o.crack, o.no_files, images)
         options = scan.Options(
-            files, parse_size(o.max_size), parse_size(o.max_layer_size), None, o.decode_base64, o.docker_config, o.docker_layers, o.min_severity, o.max_findings, o.show_secrets
-        )
+            files, parse_size(o.max_size), parse_size(o.max_layer_size), None, o.decode_base64, o.max_matches, o.max_runs,
+            image_configs=o.docker_config, image_layers=o.docker_layers, min_severity=o.min_severity, max_findings=o.max_findings, show_secrets=o.show_secrets, base_url=o.base_url,
+        )
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
@@ -99,24 +108,43 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 1
     items = artifacts.files(spark, o.root, modified_after=since.strftime("%Y-%m-%dT%H:%M:%S") if since else None)
-    if o.repos:
-        items = items.where(F.col("repo").isin(split_list(o.repos)))
-    if o.exclude:
-        items = items.where(~F.col("repo").isin(split_list(o.exclude)))
+    wanted = RepoFilter(tuple(split_list(o.repos)), tuple(split_list(o.exclude)), o.package_type, o.include_remote, o.include_virtual)
+    image_repos = None
+    if o.repositories:
+        known = artifacts.repositories(spark, o.repositories)
+        chosen = filter_repos(known, wanted).select(listing_key(F.col("key"), F.col("type")).alias("repo"), "package_type").distinct()
+        if not chosen.take(1):
+            print("no repositories matched the selection", file=sys.stderr)
+            return 1
+        items = items.join(chosen.select("repo").distinct(), "repo", "left_semi")
+        image_repos = chosen.where(F.lower("package_type") == "docker").select(F.col("repo").alias("key"))
+    else:
+        items = items.where(F.col("repo").isin(list(wanted.allow))) if wanted.allow else items
+        items = items.where(~F.col("repo").isin(list(wanted.exclude))) if wanted.exclude else items
     if o.resume:
         items = rows.not_done(items, artifacts.resume_file(spark, o.resume))
     if o.dry_run:
-        for r in report.dry_run(items.drop("content")).toLocalIterator():
+        for r in report.dry_run(select_files(items.drop("content"), files, options.max_size)).toLocalIterator():
             print(r[0])
         return 0
+    prior = artifacts.prior_report(spark, o.merge) if o.merge else None
     if o.retry:
-        items = rows.to_retry(items, artifacts.errors(spark, o.retry))
-    found, _ = scan.scan(items, rules, options)
-    if o.merge:
-        found = rows.merge(artifacts.prior_report(spark, o.merge), found)
+        none = spark.createDataFrame([], artifacts.FINDINGS) if prior is None else prior
+        found, errors = scan.retry(items, artifacts.errors(spark, o.retry), none, rules, options, image_repos)
+    else:
+        found, errors = scan.scan(items, rules, options, image_repos)
+        found = found if prior is None else rows.merge(prior, found)
     found = found.cache()
     n = found.count()
     report.write_reports(o.out, o.format, {"tool": "leakloom", "target": o.root, "ruleset_version": ruleset_version(), "rule_count": len(rules)}, {"findings": n}, found)
+    failed = f"{o.out}.errors.jsonl"
+    number = artifacts.replace_errors(errors.select("*", *[F.lit(None).cast("string").alias(c) for c in ("type", "package_type")], F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ts")), failed)
+    if number:
+        print(f"{number} errors in {failed} (scan them again with --retry {failed})", file=sys.stderr)
+    if o.resume:
+        done = select_files(items.drop("content"), files, options.max_size)
+        done = done.join(spark.read.schema(artifacts.ERRORS).json(failed).select("repo", "path", "name").distinct(), ["repo", "path", "name"], "left_anti") if number else done
+        artifacts.add_done(done.select(rows.resume_keys(done).alias("key")), o.resume)
     return 3 if n and o.fail_on_findings else 0
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..schemas import ERRORS, LISTING, REPORT, REPOS, STORAGE
+from ..schemas import ERRORS, FINDINGS as FINDINGS, LISTING, REPORT, REPOS, STORAGE
 
 #: How tables of texts are read as items: table, repository, path, name, content and time.
 TABLES = {
@@ -54,9 +54,9 @@ def repos_of(df: DataFrame, name: str) -> DataFrame:
 def files(spark: SparkSession, root: str, pattern: str = "*", max_bytes: int | None = None, modified_after: str | None = None) -> DataFrame:
     """Files below root, whose first folder is the repository, as items with binary content.
 
-    Name patterns and times are applied to the listing, before contents are read.
+    Name patterns and times (modified_after, in UTC) are applied to the listing, before contents are read.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("timeZone", "UTC")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     read = reader.load(root)
@@ -73,8 +73,13 @@ def _quoted(root: str) -> str:
 
 
 def decoded(items: DataFrame) -> DataFrame:
-    """Items whose content is text, as strings; binary contents are dropped and invalid UTF-8 is replaced."""
-    return items.where(~text.is_binary(F.col("content"))).withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))
+    """Items whose content is text, as strings, and whether a character stands for a byte (bytewise). Binary contents are dropped.
+
+    Contents that are no valid UTF-8 keep every byte as a character of its own, so that places in them are those of the file.
+    """
+    text_ = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text_)
+    return items.where(~text.is_binary(F.col("content"))).withColumn("bytewise", ~valid).withColumn("content", F.when(valid, text_).otherwise(text.as_characters(F.col("content"))))
 
 
 def repositories(spark: SparkSession, path: str) -> DataFrame:
@@ -104,6 +109,44 @@ def errors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ERRORS).json(path)
 
 
+def _kind(spark: SparkSession, path: str) -> str | None:
+    """file, folder, or None if there is nothing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return ("folder" if fs.getFileStatus(at).isDirectory() else "file") if fs.exists(at) else None
+
+
 def resume_file(spark: SparkSession, path: str) -> DataFrame:
-    """Keys of items done, one a line."""
+    """Keys of items done, one a line, of a file or a folder of files; none if there is no such thing yet."""
+    if _kind(spark, path) is None:
+        return spark.createDataFrame([], "key string")
     return spark.read.text(path).select(F.trim("value").alias("key")).where("key <> ''").distinct()
+
+
+def add_done(keys: DataFrame, path: str) -> None:
+    """Append keys (column key) to a resume folder, written by the executors. An earlier single file becomes a file of the folder."""
+    spark = keys.sparkSession
+    if _kind(spark, path) == "file":
+        jvm = spark._jvm
+        at, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.before")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.rename(at, aside)
+        fs.mkdirs(at)
+        fs.rename(aside, jvm.org.apache.hadoop.fs.Path(f"{path}/before.txt"))
+    keys.select("key").where("key <> ''").distinct().write.mode("append").text(path)
+
+
+def replace_errors(errors_: DataFrame, path: str) -> int:
+    """Errors as JSON lines in place of an earlier run's, which may still be read for them; none leaves nothing there."""
+    spark = errors_.sparkSession
+    jvm = spark._jvm
+    at, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    errors_.write.mode("overwrite").option("ignoreNullFields", True).json(f"{path}.new")
+    n = spark.read.schema(ERRORS).json(f"{path}.new").count()
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at, True)
+    if n:
+        fs.rename(new, at)
+    else:
+        fs.delete(new, True)
+    return n

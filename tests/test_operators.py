@@ -146,13 +146,47 @@ def test_image_config_only(spark):
 def test_image_layers(spark, mode):
     o = scan.Options(FileFilter(no_files=True, images=True), image_layers=True)
     got, _ = scan.scan(image(spark, tarred(mode, app__x_env=TOKEN)), RULES, o)
-    assert [r["path"] for r in got.collect()] == ["app/1/manifest.json!app/x.env"]
+    assert [r["path"] for r in got.collect()] == ["app/1/sha256__aa!app/x.env"]
 
 
 def test_missing_blob_is_an_error(spark):
     df = image(spark).where("name not like 'sha256%'")
     _, errors = scan.scan(df, RULES, scan.Options(FileFilter(no_files=True, images=True), image_configs=True))
-    assert [r["kind"] for r in errors.collect()] == ["docker"]
+    assert sorted((r["kind"], r["path"], r["name"]) for r in errors.collect()) == [("docker", p, DIGEST.replace(":", "__")) for p in ("app/1", "app/2")]
+
+
+def test_a_digest_is_read_where_it_lies(spark):
+    df = image(spark)
+    moved = df.withColumn("path", F.when(F.col("name").startswith("sha256__9"), F.lit("app/2")).otherwise(F.col("path")))
+    got, errors = scan.scan(moved, RULES, scan.Options(FileFilter(no_files=True, images=True), image_configs=True, base_url="https://h/"))
+    assert [(r["path"], r["file_url"].rsplit("/", 2)[1:]) for r in got.collect()] == [(f"app/2/manifest.json!config:{HEX[:12]}", ["2", DIGEST.replace(":", "__")])]
+    assert errors.count() == 0
+
+
+def test_only_image_repositories_are_asked_for_images(spark):
+    o = scan.Options(FileFilter(no_files=True, images=True), image_configs=True)
+    known = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    assert scan.scan(image(spark), RULES, o, known("img"))[0].count() == 1 and scan.scan(image(spark), RULES, o, known("other"))[0].count() == 0
+
+
+def test_places_in_files_that_are_no_utf8(spark):
+    latin = 'é = 1\nñandú: token = "'.encode("latin-1") + HEX[:40].encode() + b'"\n'
+    run = "x\né ".encode("latin-1") + b"dG9rZW4gPSAi" + __import__("base64").b64encode(HEX[:39].encode()) + b"IiA="
+    df = items(spark, ("r", ".", "a.txt", latin), ("r", ".", "b.txt", latin.decode("latin-1").encode()), ("r", ".", "c.txt", run))
+    rule = parse_rules('{"rules": [{"id": "t", "regex": "[^ \\\\n]+: token = \\"[0-9a-f]{39,40}\\"|token = \\"[0-9a-f]{39}\\""}]}')
+    got = {r["path"]: r for r in scan.scan(df, rule, scan.Options(show_secrets=True))[0].collect()}
+    assert {p: (r["line"], r["column"]) for p, r in got.items()} == {"a.txt": (2, 1), "b.txt": (2, 1), "c.txt": (2, 3)}
+    assert got["b.txt"]["secret"].startswith("ñandú") and got["a.txt"]["secret"].startswith("\ufffdand\ufffd")
+    accents = "éééé".encode("latin-1") + TOKEN.encode()
+    assert scan.scan(items(spark, ("r", ".", "d.txt", accents)), RULES)[0].first()["column"] == 5
+
+
+def test_bounds_of_a_text_are_parameters(spark):
+    many = "".join(f'token = "{i:040x}"\n'.replace("0" * 30, HEX[:30]) for i in range(100, 200))
+    df = items(spark, ("r", ".", "a.txt", many.encode()))
+    assert scan.scan(df, RULES)[0].count() == 64 and scan.scan(df, RULES, scan.Options(most_matches=0))[0].count() == 100
+    big = items(spark, ("r", ".", "a.txt", b"x" * (6 << 20) + TOKEN.encode()))
+    assert scan.scan(big, RULES)[0].count() == 0 and scan.scan(big, RULES, scan.Options(max_size=0))[0].count() == 1
 
 
 def test_only_image_repos(spark):
@@ -223,7 +257,8 @@ def test_reports(spark, tmp_path):
     rows = [r for f in files for r in csv.DictReader(f.open())]
     assert list(rows[0]) == report.CSV and rows[0]["entropy"].count(".") == 1
     assert artifacts.prior_report(spark, str(tmp_path / "out.json")).count() == 1
-    assert json.loads(report.document({}, {}, []))["findings"] is None
+    assert json.loads("".join(report.document({}, {}, [])))["findings"] is None
+    assert json.loads("".join(report.document({"a": 1}, {}, [{"line": i, "secret": "", "match": "x\ny"} for i in range(3)]))) == {"meta": {"a": 1}, "stats": {}, "findings": [{"line": i, "match": "x\ny"} for i in range(3)]}
 
 
 def test_merge_prefers_prior_and_falls_back_to_match(spark):
@@ -248,6 +283,8 @@ def test_retry_opens_image_blobs(spark):
     prior = scan.scan(df.limit(0), RULES)[0]
     got, errors = scan.retry(df, bad, prior, RULES)
     assert sorted(r["path"] for r in got.collect()) == ["app/1/sha256__9f86d081884c7d659f86", "app/1/sha256__aa!app/x.env"] and errors.count() == 0
+    gone, still = scan.retry(df.where("name not like 'sha256__aa'"), bad, prior, RULES)
+    assert gone.count() == 1 and [r["name"] for r in still.collect()] == ["sha256__aa"]
 
 
 def test_stream_equals_batch_and_runs_once(spark, data, tmp_path):
@@ -335,6 +372,83 @@ def test_command_line(spark, tmp_path, capsys):
     assert "lib/a.txt" in capsys.readouterr().out
     assert options.main([str(tmp_path / "in"), "--no-files"]) == 2
     assert options.main([str(tmp_path / "in"), "--max-size", "x"]) == 2
+    assert options.main([str(tmp_path / "in"), "--package-type", "npm"]) == 2
+
+
+def test_command_line_lists_what_it_would_scan(spark, tmp_path, capsys):
+    for name, body in {"a.txt": TOKEN, "b.png": "x", "c.zip": "x", "old.txt": TOKEN}.items():
+        (tmp_path / "in/lib").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in/lib" / name).write_text(body)
+    os.utime(tmp_path / "in/lib/old.txt", (1_000_000_000, 1_000_000_000))
+    assert options.main([str(tmp_path / "in"), "--dry-run", "--since", "1h"]) == 0
+    assert capsys.readouterr().out == f"lib/a.txt\t{len(TOKEN)}\n"
+    assert options.main([str(tmp_path / "in"), "--dry-run", "--crack"]) == 0
+    assert sorted(x.split("\t")[0] for x in capsys.readouterr().out.splitlines()) == ["lib/a.txt", "lib/c.zip", "lib/old.txt"]
+
+
+def test_command_line_leaves_errors_and_resume_keys_and_tries_again(spark, tmp_path):
+    src, out, done = tmp_path / "in/lib", str(tmp_path / "rep"), str(tmp_path / "done")
+    src.mkdir(parents=True)
+    (src / "a.txt").write_text(TOKEN)
+    (src / "b.zip").write_text("no archive")
+    args = [str(tmp_path / "in"), "--out", out, "--format", "json", "--crack", "--resume", done]
+    assert options.main(args) == 0
+    failed = f"{out}.errors.jsonl"
+    assert [(r["name"], r["kind"]) for r in artifacts.errors(spark, failed).collect()] == [("b.zip", "archive")]
+    assert {r["key"] for r in artifacts.resume_file(spark, done).collect()} == {"lib|a.txt"}
+    (src / "b.zip").write_bytes(zipped(c_txt=TOKEN.replace("9f86", "aaaa")))
+    assert options.main([*args, "--retry", failed, "--merge", f"{out}.json"]) == 0
+    assert sorted(f["path"] for f in json.load(open(f"{out}.json"))["findings"]) == ["a.txt", "b.zip!c.txt"]
+    assert not os.path.exists(failed) and not os.path.exists(f"{failed}.new")
+    assert {r["key"] for r in artifacts.resume_file(spark, done).collect()} == {"lib|a.txt", "lib|b.zip"}
+    assert options.main([*args[:5], "--dry-run", "--resume", done, "--crack"]) == 0
+
+
+def test_command_line_tries_image_blobs_again(spark, tmp_path):
+    src, out = tmp_path / "in/img/app/1", str(tmp_path / "rep")
+    src.mkdir(parents=True)
+    (src / "manifest.json").write_text(json.dumps({"config": {"digest": DIGEST}, "layers": [{"digest": "sha256:aa", "size": 9}]}))
+    (src / DIGEST.replace(":", "__")).write_text("{}")
+    args = [str(tmp_path / "in"), "--out", out, "--format", "json", "--docker-layers", "--no-files"]
+    assert options.main(args) == 0
+    failed = f"{out}.errors.jsonl"
+    assert [r["name"] for r in artifacts.errors(spark, failed).collect()] == ["sha256__aa"]
+    (src / "sha256__aa").write_bytes(tarred("w:gz", app__x_env=TOKEN))
+    assert options.main([*args, "--retry", failed, "--fail-on-findings"]) == 3
+    assert [f["path"] for f in json.load(open(f"{out}.json"))["findings"]] == ["app/1/sha256__aa!app/x.env"] and not os.path.exists(failed)
+
+
+def test_command_line_selects_repositories_of_a_catalogue(spark, tmp_path, capsys):
+    for repo in ("lib", "far-cache", "all", "img"):
+        (tmp_path / "in" / repo).mkdir(parents=True)
+        (tmp_path / "in" / repo / "a.txt").write_text(TOKEN)
+    (tmp_path / "r.json").write_text(json.dumps([{"key": k, "type": t, "packageType": p} for k, t, p in (("lib", "LOCAL", "npm"), ("far", "REMOTE", "npm"), ("all", "VIRTUAL", "maven"), ("img", "LOCAL", "docker"))]))
+
+    def listed(*flags):
+        code = options.main([str(tmp_path / "in"), "--dry-run", "--repositories", str(tmp_path / "r.json"), *flags])
+        return code, sorted(x.split("/")[0] for x in capsys.readouterr().out.splitlines())
+
+    assert listed() == (0, ["img", "lib"])
+    assert listed("--include-remote") == (0, ["far-cache", "img", "lib"])
+    assert listed("--include-virtual", "--package-type", "maven,docker") == (0, ["all", "img"])
+    assert listed("--repos", "far", "--exclude", "lib") == (0, ["far-cache"])
+    assert listed("--package-type", "gems") == (1, [])
+
+
+def test_merge_does_not_depend_on_the_order_of_rows(spark):
+    kind = ", ".join(f"`{c}` " + ("int" if c in ("line", "column") else "double" if c == "entropy" else "bigint" if c == "size" else "string") for c in findings.COLUMNS)
+    rows = [tuple("same" if c == "fingerprint" else i if c == "line" else 1 if c == "column" else 1.0 if c == "entropy" else 1 if c == "size" else f"m{i}" if c == "match" else "" for c in findings.COLUMNS) for i in range(9)]
+    none = spark.createDataFrame([], kind)
+    for seed in range(3):
+        assert findings.merge(spark.createDataFrame(rows, kind).orderBy(F.rand(seed)), none).first()["match"] == "m0"
+
+
+def test_base64_keeps_rows_of_equal_names_apart(spark):
+    import base64 as b64
+
+    text_ = lambda d: "v: " + b64.b64encode(f'token = "{d}"'.encode()).decode()
+    df = spark.createDataFrame([("r", "a", text_(HEX[:40])), ("r", "a", text_(HEX[1:41]))], "repo string, name string, content string")
+    assert detect.detect(df, RULES).count() == 2
 
 
 def test_rows_without_names_and_contents(spark):
