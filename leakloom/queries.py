@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from .functions import allowlist, text
 from .functions.rules import Rule, load_rules, parse_rules, pick, severity_rank
 from .operators import containers, detect, findings, report
-from .operators.select import ARCHIVE_EXTENSIONS, SKIPPED_EXTENSIONS, SPECIAL_NAMES, TEXT_EXTENSIONS, FileFilter, RepoFilter, classify, filter_repos, listing_key, select_files
-from .sources.artifacts import items_of, repos_of, spread, table
+from .operators.select import ARCHIVE_EXTENSIONS, SKIPPED_EXTENSIONS, SPECIAL_NAMES, TEXT_EXTENSIONS, FileFilter, RepoFilter, classify, filter_repos, listing_key, only_image_repos, select_files
+from .plans import scan
+from .schemas import REPORT
+from .sources import artifacts
+from .sources.artifacts import decoded, items_of, repos_of, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,24 +73,48 @@ SAMPLE_ITEMS = [("lib", "conf" if i % 2 else ".", f"{n}.txt", c) for i, (n, c) i
 DOCS = "(select source as repo, lang as path, 'doc_' || doc_id || '.txt' as name, text as content from documents where text is not null)"
 PAGES = "(select 'pages' as repo, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as path, 'page_' || page_id || '.html' as name, html as content from pages where html is not null)"
 SAMPLE_SQL = values(SAMPLE_ITEMS, "repo", "path", "name", "content")
-#: Every document's digest as a token, inside a base64 run.
-CODED = "(select source as repo, lang as path, 'blob_' || doc_id || '.txt' as name, 'data' || chr(10) || 'v: ' || to_base64(encode('token = \"' || sha1(text) || '\"')) as content from documents where text is not null)"
+#: Every document's digest as a token, inside a base64 run: of the standard alphabet, of the URL one, or of the URL one with a place where a standard run ends.
+CODED = """(select source as repo, lang as path, 'blob_' || doc_id || '.txt' as name, 'data' || chr(10) || 'v: ' || case when doc_id % 3 = 0 then run else translate(run, '+/', '-_') end as content
+    from (select *, to_base64(encode(case doc_id % 3 when 0 then '' when 1 then '>>>???' else '' end || 'token = "' || sha1(text) || '"' || case when doc_id % 3 = 2 then ' ?>>>???' else '' end)) as run from documents where text is not null))"""
 
 
-def matches_sql(rules: list[Rule], corpus: str) -> str:
-    """Raw matches: repo, path, name, ordinal, match_no, match, secret, prefix."""
+#: Columns of texts: where they come from, and for decoded base64 runs the phase, number and the text in front of the run.
+TEXT_COLUMNS = "repo, path, name, phase, run_no, place, content"
+
+
+def runs_sql(source: str) -> str:
+    """Decodable base64 runs of both alphabets: rows of TEXT_COLUMNS, and run_before (length of place)."""
+    parts = []
+    for phase, pattern in enumerate(detect.RUNS.values(), 1):
+        p = quoted(pattern)
+        parts.append(f"select repo, path, name, {phase} as phase, unnest(range(1, least(len(m), {detect.MOST_RUNS}) + 1)) as k, m, b, content from (select *, regexp_extract_all(content, {p}) as m, regexp_split_to_array(content, {p}) as b from {source}) where len(m) > 0")
+    return f"""
+        select * exclude (raw, k, run, n), decode(raw) as content from (
+            select repo, path, name, phase, (k - 1)::int as run_no, k, run, run_before, substr(whole, 1, run_before) as place, rtrim(run, '=') as bare, length(run) as n,
+                case when (run = bare and n % 4 <> 1) or (run <> bare and n % 4 = 0) then try(from_base64(translate(bare, '-_', '+/') || repeat('=', (4 - length(bare) % 4) % 4))) end as raw
+            from (select repo, path, name, phase, k, m[k] as run, content as whole, (list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::int as run_before from ({" union all ".join(parts)}))
+            where length(run) <= {detect.LONGEST_RUN})
+        where octet_length(raw) >= 8 and try(decode(raw)) is not null and length(regexp_replace(try(decode(raw)), '[^\n\r\t -~]', '', 'g'))::double / octet_length(raw) > 0.85"""
+
+
+def matches_sql(rules: list[Rule], corpus: str, base64: bool = False) -> str:
+    """Raw matches: repo, path, name, phase, run_no, place, ordinal, match_no, match, secret, prefix."""
     parts = []
     for r in rules:
         words = " or ".join(f"contains(low, {quoted(k)})" for k in r.keywords) or "true"
         p = quoted(r.regex)
+        group = f"regexp_extract_all(content, {p}, {r.group})"
         parts.append(
-            f"select repo, path, name, {r.ordinal} as ordinal, unnest(range(1, least(len(m), 64) + 1)) as k, m, regexp_extract_all(content, {p}, {r.group}) as s, regexp_split_to_array(content, {p}) as b, content "
-            f"from (select *, regexp_extract_all(content, {p}, 0) as m from corpus where {words}) where len(m) > 0"
+            f"select {TEXT_COLUMNS}, {r.ordinal} as ordinal, unnest(range(1, least(len(m), {detect.MOST_MATCHES}) + 1)) as k, m, {group} as s, regexp_split_to_array(content, {p}) as b, {str(r.whole).lower()} as whole "
+            f"from (select *, regexp_extract_all(content, {p}, 0) as m from texts where {words}) where len(m) > 0"
         )
+    runs = f", runs as ({runs_sql('direct')})" if base64 else ""
+    more = f" union all select {TEXT_COLUMNS} from runs" if base64 else ""
     return f"""
-        with corpus as (select *, translate(content, '{text.UPPER}', '{text.LOWER}') as low from {corpus}),
+        with direct as (select repo, path, name, 0 as phase, 0 as run_no, null::varchar as place, content from {corpus}){runs},
+        texts as (select *, translate(content, '{text.UPPER}', '{text.LOWER}') as low from (select {TEXT_COLUMNS} from direct{more})),
         found as ({" union all ".join(parts)}),
-        matches as (select repo, path, name, ordinal, (k - 1)::int as match_no, m[k] as match, s[k] as secret,
+        matches as (select repo, path, name, phase, run_no, place, ordinal, (k - 1)::int as match_no, m[k] as match, case when whole and coalesce(s[k], '') = '' then m[k] else coalesce(s[k], '') end as secret,
             substr(content, 1, (list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::bigint) as prefix from found)"""
 
 
@@ -118,19 +145,25 @@ TESTS = {
 }
 GATED = """
         judged as (select *, trim(secret, E' \\t\\n\\x0b\\f\\r') as t, (category = 'generic' or starts_with(rule_id, 'generic')) as generic, {entropy} as h from matches join {rules} as r using (ordinal) where secret <> ''),
-        gated as (select repo, path, name, ordinal, match_no, match, secret, rule_id, rule_name, severity, category, floor(h * 100 + 0.5) / 100 as entropy,
-            (length(prefix) - length(replace(prefix, chr(10), '')) + 1)::int as line, (strlen(string_split(prefix, chr(10))[-1]) + 1)::int as "column", prefix
-            from judged where (least <= 0 or h >= least) and not ({tests}))"""
+        passed as (select repo, path, name, phase, run_no, place, ordinal, match_no, match, secret, rule_id, rule_name, severity, category, floor(h * 100 + 0.5) / 100 as entropy, coalesce(place, prefix) as ahead
+            from judged where (least <= 0 or h >= least) and not ({tests})),
+        gated as (select *, (length(ahead) - length(replace(ahead, chr(10), '')) + 1)::int as line, (strlen(string_split(ahead, chr(10))[-1]) + 1)::int as "column" from passed
+            qualify phase = 0 or phase = min(case when phase > 0 then phase end) over (partition by repo, path, name, length(place)))"""
 
 
-def findings_sql(rules: list[Rule], corpus: str) -> str:
+def gated_sql(rules: list[Rule], corpus: str) -> str:
+    """CTEs up to gated: what detect() finds, also in base64 runs."""
     gate = GATED.format(entropy=ENTROPY, rules=rules_sql(rules), tests=" or ".join(f"({t})" for t in TESTS.values()))
+    return f"{matches_sql(rules, corpus, base64=True)}, {gate}"
+
+
+def findings_sql(rules: list[Rule], corpus: str) -> str:
     full = f"""
         named as (select * exclude (path, name), {PATH} as path from gated),
         printed as (select *, left(sha1(rule_id || chr(0) || repo || chr(0) || path || chr(0) || secret), 16) as fingerprint from named),
-        first as (select * from printed qualify row_number() over (partition by fingerprint order by ordinal, match_no) = 1),
-        best as (select * from first qualify row_number() over (partition by repo, path, secret, line order by {RANK} desc, (category = 'generic' or starts_with(rule_id, 'generic'))::int, ordinal, match_no) = 1)"""
-    return f"{matches_sql(rules, corpus)}, {gate}, {full}"
+        first as (select * from printed qualify row_number() over (partition by fingerprint order by phase, run_no, ordinal, match_no) = 1),
+        best as (select * from first qualify row_number() over (partition by repo, path, secret, line order by {RANK} desc, (category = 'generic' or starts_with(rule_id, 'generic'))::int, phase, run_no, ordinal, match_no) = 1)"""
+    return f"{gated_sql(rules, corpus)}, {full}"
 
 
 RANK = "case severity when 'critical' then 4 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end"
@@ -139,8 +172,8 @@ ALL = load_rules()
 TOKEN = pick(ALL, "hex-token-assign")
 
 
-def scanned(items: DataFrame, rules=ALL, base64: bool = False) -> DataFrame:
-    found = detect.detect(spread(items.select("repo", "path", "name", "size", "sha256", "content")), rules, base64)
+def scanned(items: DataFrame, rules=ALL) -> DataFrame:
+    found = detect.detect(spread(items.select("repo", "path", "name", "size", "sha256", "content")), rules)
     return findings.most_specific(findings.first_by_fingerprint(findings.enrich(found)))
 
 
@@ -214,7 +247,7 @@ def _in(values_) -> str:
 def classify_files(spark: SparkSession, folder: str) -> DataFrame:
     name = lambda t, e: table(spark, folder, t).select(F.expr(e).alias("name"))
     names = name("documents", "concat('doc_', doc_id, '.txt')").union(name("pages", "concat('page_', page_id, '.html')")).union(name("events", "concat('event_', event_id, '.json')")).union(name("conversations", "concat('turn_', turn, '.md')"))
-    kind = classify(F.col("name"), FileFilter(("." + "html",), crack=True))
+    kind = classify(F.col("name"), FileFilter((".html",), crack=True))
     return names.union(spark.createDataFrame(NAMES, "name string")).select("name", kind["scan"].alias("scan"), kind["archive"].alias("archive")).groupBy("name", "scan", "archive").agg(F.count("*").alias("n"))
 
 
@@ -294,7 +327,7 @@ def findings_entropy(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{findings_sql(TOKEN, DOCS)} select name, match_no, line, \"column\" from gated")
 def findings_linecol(spark: SparkSession, folder: str) -> DataFrame:
-    found = detect.detect(documents(spark, folder).select("name", "content"), TOKEN, base64=False)
+    found = detect.detect(documents(spark, folder).select("repo", "path", "name", "content"), TOKEN)
     return found.select("name", "match_no", "line", "column")
 
 
@@ -302,7 +335,7 @@ SECRETS = [(s, g) for g in (0, 1) for s in ("", " ", "changeme", "EXAMPLE", "my-
 
 
 @query(
-    f"with s as (select secret, generic = 1 as generic, trim(secret, E' \\t\\n\\x0b\\f\\r') as t from {values(SECRETS, 'secret', 'generic')} union all {matches_sql(TOKEN, DOCS).replace('with corpus', 'select secret, true, secret from (with corpus', 1)} select secret from matches)) "
+    f"with s as (select secret, generic = 1 as generic, trim(secret, E' \\t\\n\\x0b\\f\\r') as t from {values(SECRETS, 'secret', 'generic')} union all {matches_sql(TOKEN, DOCS).replace('with direct', 'select secret, true, secret from (with direct', 1)} select secret from matches)) "
     "select secret, generic, count(*) as n, " + ", ".join(f"({t}) as is_{n}" for n, t in TESTS.items()) + " from s group by all"
 )
 def allowlist_flags(spark: SparkSession, folder: str) -> DataFrame:
@@ -320,22 +353,21 @@ def generic_hex_suppressed(spark: SparkSession, folder: str) -> DataFrame:
 
 def coded(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").where("text is not null")
-    run = F.base64(F.encode(F.concat(F.lit('token = "'), F.sha1("text"), F.lit('"')), "UTF-8"))
-    return docs.select(F.col("source").alias("repo"), F.col("lang").alias("path"), F.expr("concat('blob_', doc_id, '.txt')").alias("name"), F.concat(F.lit("data\nv: "), run).alias("content"))
+    plain = "concat(case when doc_id % 3 = 1 then '>>>???' else '' end, 'token = \"', sha1(text), '\"', case when doc_id % 3 = 2 then ' ?>>>???' else '' end)"
+    run = f"replace(base64(encode({plain}, 'UTF-8')), '\\r\\n', '')"
+    content = f"concat('data\\nv: ', case when doc_id % 3 = 0 then {run} else translate({run}, '+/', '-_') end)"
+    return docs.select(F.col("source").alias("repo"), F.col("lang").alias("path"), F.expr("concat('blob_', doc_id, '.txt')").alias("name"), F.expr(content).alias("content"))
 
 
-RUN_SQL = f"""with c as {CODED}, r as (select name, content, unnest(range(1, len(m) + 1)) as k, m, b from (select *, regexp_extract_all(content, '[A-Za-z0-9+/]{{24,}}={{0,2}}') as m, regexp_split_to_array(content, '[A-Za-z0-9+/]{{24,}}={{0,2}}') as b from c)),
-        d as (select name, k - 1 as run_no, m[k] as run, (list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::int as run_before, decode(from_base64(m[k])) as decoded from r)"""
-
-
-@query(f"{RUN_SQL} select name, run_no::int as run_no, run_before, decoded from d")
+@query(f"with direct as (select * from {CODED}) select name, phase, run_no, run_before, content as decoded from ({runs_sql('direct')})")
 def base64_decoded(spark: SparkSession, folder: str) -> DataFrame:
-    return detect.base64_runs(coded(spark, folder)).where("phase = 1").select("name", "run_no", "run_before", "decoded")
+    return detect.base64_runs(coded(spark, folder)).select("name", "phase", "run_no", "run_before", "decoded")
 
 
-@query(f"{RUN_SQL} select name, regexp_extract(decoded, '\"([0-9a-f]{{40}})\"', 1) as secret, 2 as line, 4 as \"column\", 'base64' as via_decoder from d")
+@query(f"{gated_sql(TOKEN, CODED)} select name, secret, phase, run_no, line, \"column\", 'base64' as via_decoder from gated where phase > 0")
 def base64_findings(spark: SparkSession, folder: str) -> DataFrame:
-    return detect.detect(spread(coded(spark, folder)), TOKEN).select("name", "secret", "line", "column", "via_decoder")
+    """Tokens inside runs of both alphabets; where runs of both begin at one place, the standard one counts."""
+    return detect.detect(spread(coded(spark, folder)), TOKEN).select("name", "secret", "phase", "run_no", "line", "column", "via_decoder")
 
 
 LONG = [("  a \t\n b  ",), ("é" * 250,), ("short",), ("x" * 20,), ("",), ("word " * 60,)]
@@ -354,7 +386,7 @@ def collapse_redact(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{findings_sql(TOKEN, DOCS)} select repo, path, secret, fingerprint from printed")
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    found = findings.enrich(detect.detect(documents(spark, folder), TOKEN, base64=False))
+    found = findings.enrich(detect.detect(documents(spark, folder), TOKEN))
     return found.select("repo", "path", "secret", "fingerprint")
 
 
@@ -366,7 +398,7 @@ DOUBLE = parse_rules(
 
 @query(f"{findings_sql(DOUBLE, DOCS)} select fingerprint, rule_id, match_no, line from first")
 def dedupe_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    found = findings.enrich(detect.detect(documents(spark, folder), DOUBLE, base64=False))
+    found = findings.enrich(detect.detect(documents(spark, folder), DOUBLE))
     return findings.first_by_fingerprint(found).select("fingerprint", "rule_id", "match_no", "line")
 
 
@@ -388,14 +420,14 @@ def min_severity(spark: SparkSession, folder: str) -> DataFrame:
     return detect.at_least(both(spark, folder), "high").select("rule_id", "repo", "path", "line", "severity")
 
 
-@query(f"{findings_sql(ALL, BOTH)} select rule_id, repo, path, line from best order by {RANK} desc, repo, path, line, ordinal, match_no limit 20")
+@query(f"{findings_sql(ALL, BOTH)} select rule_id, repo, path, line from best order by {RANK} desc, repo, path, line, phase, run_no, ordinal, match_no limit 20")
 def max_findings(spark: SparkSession, folder: str) -> DataFrame:
     """The report's first findings (a limit is the feature)."""
     return findings.limited(both(spark, folder), 20).select("rule_id", "repo", "path", "line")
 
 
 @query(
-    f"{findings_sql(ALL, BOTH)}, ranked as (select *, row_number() over (order by {RANK} desc, repo, path, line, ordinal, match_no) as place from best), c as (select *, trim(regexp_replace(secret, '[\\n\\r\\t ]+', ' ', 'g'), ' ') as c from ranked), k as (select *, {COLLAPSED} as s from c) "
+    f"{findings_sql(ALL, BOTH)}, ranked as (select *, row_number() over (order by {RANK} desc, repo, path, line, phase, run_no, ordinal, match_no) as place from best), c as (select *, trim(regexp_replace(secret, '[\\n\\r\\t ]+', ' ', 'g'), ' ') as c from ranked), k as (select *, {COLLAPSED} as s from c) "
     "select rule_id, repo, path, line, case when length(s) < 16 or entropy < 3.5 then '****' else left(s, 4) || '…[redacted ' || length(s) || ']' end as match, '' as secret, entropy from k"
 )
 def redacted_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -523,6 +555,11 @@ IMAGES = [
     ("img", "app/1", DIGEST.replace(":", "__"), '{"config": {"Env": ["TOKEN = \\"' + HEX[:40] + '\\""]}}'),
     ("img", "app/2", "manifest.json", '{"config": {"digest": "%s"}, "layers": [{"digest": "sha256:11", "size": 10}]}' % DIGEST),
     ("img", "app/3", "list.manifest.json", '{"manifests": [{"digest": "sha256:33"}]}'),
+    ("img", "app/4", "manifest.json", '{"config": {"digest": "sha256:44"}, "layers": []}'),
+    ("img", "app/5", "manifest.json", '{"config": {"digest": "sha256:44"}, "layers": []}'),
+    ("img", "app/5", "sha256__44", '{"config": {}}'),
+    ("img", "app/6", "manifest.json", '{"config": {"digest": "sha256:44"}, "layers": [{"digest": "sha256:11", "size": 5}]}'),
+    ("img", "app/6", "sha256__44", '{"config": {}}'),
 ]
 
 
@@ -530,9 +567,10 @@ IMAGES = [
     f"""with i as {values(IMAGES, 'repo', 'path', 'name', 'content')}, m as (select repo, path, name, json(content) as j from i where lower(name) in ('manifest.json', 'list.manifest.json')),
         n as (select repo, path, name, j->>'$.config.digest' as digest, 'config' as role from m union all
               select repo, path, name, l->>'$.digest', 'layer' from (select repo, path, name, unnest(from_json(coalesce(j->'$.layers', '[]'), '["json"]')) as l from m) where (l->>'$.size')::bigint <= 104857600),
-        f as (select * from n where digest is not null qualify row_number() over (partition by digest order by repo, path, name, role) = 1),
-        b as (select *, regexp_replace(digest, '^([^:]*):', '\\1__') as blob from f)
-        select b.repo, b.path, b.name, digest, role, blob, i.content is not null as found from b left join i on i.repo = b.repo and i.path = b.path and i.name = b.blob"""
+        f as (select * from n where digest is not null qualify row_number() over (partition by repo, path, digest order by name, role) = 1),
+        b as (select *, regexp_replace(digest, '^([^:]*):', '\\1__') as blob from f),
+        l as (select b.*, i.content is not null as found from b left join i on i.repo = b.repo and i.path = b.path and i.name = b.blob)
+        select * from l qualify not bool_or(found) over (partition by digest) or (found and row_number() over (partition by digest order by not found, repo, path) = 1)"""
 )
 def docker_manifest_join(spark: SparkSession, folder: str) -> DataFrame:
     items = spark.createDataFrame(IMAGES, "repo string, path string, name string, content string").withColumn("size", F.octet_length("content").cast("long"))
@@ -598,19 +636,262 @@ ARCHIVED = "(select source as repo, lang as path, 'doc_' || doc_id || ['.zip', '
 def archive_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Documents packed into zip, tar, compressed tar and gzip files, opened and scanned."""
     opened = containers.unpack(zipped_documents(spark, folder))
-    found = detect.detect(opened.where("error is null").withColumn("content", F.col("content").cast("string")).drop("error"), TOKEN, base64=False)
+    found = detect.detect(opened.where("error is null").withColumn("content", F.col("content").cast("string")).drop("error"), TOKEN)
     return findings.most_specific(findings.first_by_fingerprint(findings.enrich(found))).select("repo", "path", "line", "column", "secret", "fingerprint")
 
 
+def crowded_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as a jar behind 80 class files of 5 MiB, an encrypted entry, one of an unknown method, and one with a wrong checksum."""
+    import io
+    import struct
+    import warnings
+    import zipfile
+
+    import pyarrow as pa
+
+    def pack(batches):
+        base = io.BytesIO()
+        with zipfile.ZipFile(base, "w", zipfile.ZIP_BZIP2) as z:
+            for i in range(80):
+                z.writestr(f"pkg/C{i}.class", bytes(5 << 20))
+        for b in batches:
+            made = []
+            for content in b.column("content").to_pylist():
+                out = io.BytesIO(base.getvalue())
+                with warnings.catch_warnings(), zipfile.ZipFile(out, "a", zipfile.ZIP_DEFLATED) as z:
+                    for name in ("locked.txt", "odd.txt", "sum.txt", "app.properties"):
+                        z.writestr(name, content)
+                raw = bytearray(out.getvalue())
+                at = raw.rindex(b"PK\x05\x06")
+                (at,) = struct.unpack_from("<I", raw, at + 16)
+                for _ in range(80):
+                    at += 46 + sum(struct.unpack_from("<HHH", raw, at + 28))
+                raw[at + 8] |= 1
+                at += 46 + sum(struct.unpack_from("<HHH", raw, at + 28))
+                raw[at + 10] = 97
+                at += 46 + sum(struct.unpack_from("<HHH", raw, at + 28))
+                raw[at + 16] ^= 255
+                made.append(bytes(raw))
+            kept = b.select(["repo", "path", "name"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(map(len, made), pa.int64()), pa.array([""] * len(made)), pa.array(made, pa.binary())], names=["repo", "path", "name", "size", "sha256", "content"])
+
+    docs = table(spark, folder, "documents").where("text is not null").select(F.col("source").alias("repo"), F.col("lang").alias("path"), F.expr("concat('doc_', doc_id, '.jar')").alias("name"), F.col("text").alias("content"))
+    return spread(docs).mapInArrow(pack, "repo string, path string, name string, size bigint, sha256 string, content binary")
+
+
+CROWDED = "(select source as repo, lang as path, 'doc_' || doc_id || '.jar!' || entry as name, text as content from documents, (values ('app.properties'), ('sum.txt')) as e(entry) where text is not null)"
+
+
+@query(f"{findings_sql(TOKEN, CROWDED)} select repo, path, line, \"column\", secret, fingerprint from best")
+def archive_many(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries whose names are not looked at use up nothing, and entries that cannot be opened end nothing."""
+    opened = containers.unpack(crowded_archives(spark, folder))
+    found = detect.detect(opened.where("error is null").withColumn("content", F.col("content").cast("string")).drop("error"), TOKEN)
+    return findings.most_specific(findings.first_by_fingerprint(findings.enrich(found))).select("repo", "path", "line", "column", "secret", "fingerprint")
+
+
+@query("select source as repo, lang as path, 'doc_' || doc_id || case when doc_id % 2 = 0 then '.zip' else '.tar.gz' end as name, sha256(text) as sha256, strlen(text)::bigint as size, 'archive' as kind from documents where text is not null and doc_id % 4 < 2")
+def archive_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts under the names of archives are errors; the plain ones among them are not opened."""
+    ending = "case when doc_id % 4 >= 2 then '.png' when doc_id % 2 = 0 then '.zip' else '.tar.gz' end"
+    docs = table(spark, folder, "documents").where("text is not null")
+    items = docs.select(F.col("source").alias("repo"), F.col("lang").alias("path"), F.expr(f"concat('doc_', doc_id, {ending})").alias("name"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha256"), F.lit(None).cast("timestamp").alias("modified"), F.encode("text", "UTF-8").alias("content"))
+    _, errors = scan.texts(items, scan.Options(FileFilter(crack=True)))
+    return errors.select("repo", "path", "name", "sha256", "size", "kind")
+
+
+@query(
+    "select name, 2 as line, (k + 1)::int as \"column\", digest as secret from (select 'doc_' || doc_id || '.txt' as name, doc_id % 5 + 1 as k, sha1(text) as digest from documents where text is not null)"
+)
+def findings_latin1(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that are no UTF-8: places are those of the bytes."""
+    docs = table(spark, folder, "documents").where("text is not null")
+    content = F.encode(F.concat(F.lit("caf\u00e9\n"), F.expr("repeat('\u00e9', cast(doc_id % 5 + 1 as int))"), F.lit('token = "'), F.sha1("text"), F.lit('"')), "ISO-8859-1")
+    items = docs.select(F.col("source").alias("repo"), F.col("lang").alias("path"), F.expr("concat('doc_', doc_id, '.txt')").alias("name"), content.alias("content"))
+    return detect.detect(decoded(items), TOKEN).select("name", "line", "column", "secret")
+
+
+USER_RULES = [
+    ("named", r"(?P<who>[[:alpha:]]{4,})\s+(?:and|und|et|y)\s", []),
+    ("optional", r"[0-9]{2}:([0-9]{2})|[A-Z][a-z]{9,}", []),
+    ("at-end", r"[.!?][[:space:]]*$", []),
+    ("brackets", r"[][{}&&]+x{2,3}|[a-z]+-[a-z]+", ["-"]),
+]
+
+
+def user_rules_json() -> str:
+    import json
+
+    return json.dumps({"rules": [{"id": i, "regex": r, "keywords": k, "severity": "low"} for i, r, k in USER_RULES] + [{"id": "refused", "regex": "(a"}, {"id": "named", "regex": "later"}]})
+
+
+USER = [Rule(i, i, "low", "", r, tuple(k), ordinal=n) for n, (i, r, k) in enumerate(USER_RULES)]
+
+
+@query(f"{matches_sql(USER, DOCS)} select name, ordinal, match_no, match, secret, length(prefix)::int as before from matches")
+def user_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules in the dialect of linear-time engines: named and optional groups, named classes, white space, ends of text; what Java refuses is skipped."""
+    import warnings
+
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        rules = parse_rules(user_rules_json(), spark=spark)
+    assert [r.id for r in rules] == [i for i, _, _ in USER_RULES] and any("refused" in str(w.message) for w in said)
+    return detect.raw_matches(spread(documents(spark, folder).select("name", "content")), rules).select("name", "ordinal", "match_no", "match", "secret", F.char_length("prefix").alias("before"))
+
+
+@query("select source as repo, lang as path, 'doc_' || doc_id || '.txt' as name, strlen(text)::bigint as size, sha256(text) as sha256 from documents where text is not null")
+def listing_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of listing pages, a hundred or so to a page, written and read as JSON."""
+    here = scratch(spark, "listing")
+    page = F.struct(F.collect_list(F.struct("repo", "path", "name", "size", "sha256", F.lit("file").alias("type"))).alias("results"), F.struct(F.count("*").alias("total")).alias("range"))
+    docs = documents(spark, folder)
+    docs.groupBy(F.pmod(F.xxhash64("name"), F.lit(7)).alias("page")).agg(F.to_json(page).alias("value")).write.partitionBy("page").text(here)
+    return artifacts.listing(spark, here)
+
+
+@query(
+    "select 'r' as repo, case when doc_id % 3 = 0 then '.' else lang || '/' || source end as path, 'doc_' || doc_id || '.txt' as name, strlen(text)::bigint as size, sha256(text) as sha256 from documents where text is not null and source is not null and lang is not null"
+)
+def storage_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The fallback listing: URIs, folders among them."""
+    here = scratch(spark, "storage")
+    uri = F.expr("concat('/', case when doc_id % 3 = 0 then '' else concat(lang, '/', source, '/') end, 'doc_', doc_id, '.txt')")
+    docs = table(spark, folder, "documents").where("text is not null and source is not null and lang is not null")
+    files = docs.select(uri.alias("uri"), F.octet_length("text").cast("long").alias("size"), F.lit(False).alias("folder"), F.sha2("text", 256).alias("sha2"))
+    dirs = docs.select(F.concat(F.lit("/"), "lang").alias("uri"), F.lit(None).cast("long").alias("size"), F.lit(True).alias("folder"), F.lit(None).cast("string").alias("sha2")).distinct()
+    both_ = files.unionByName(dirs)
+    page = F.to_json(F.struct(F.collect_list(F.struct("uri", "size", "folder", "sha2")).alias("files")))
+    both_.groupBy(F.pmod(F.xxhash64("uri"), F.lit(5)).alias("page")).agg(page.alias("value")).write.partitionBy("page").text(here)
+    return artifacts.storage_listing(spark, here, "r")
+
+
+@query(
+    f"with d as {DOCS}, k as (select repo, name, repo || '|' || {PATH} as plain, case when length(content) % 2 = 0 then '|' || sha256(content) else '' end as digest from d) select repo, name, plain || digest as key from k"
+)
+def resume_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """What a run appends to its resume folder, written and read back."""
+    here = scratch(spark, "resume")
+    items = documents(spark, folder).withColumn("sha256", F.when(F.char_length("content") % 2 == 0, F.col("sha256")).otherwise(""))
+    keyed = items.select("repo", "name", findings.resume_keys(items).alias("key"))
+    artifacts.add_done(keyed, here)
+    return keyed.join(artifacts.resume_file(spark, here), "key").select("repo", "name", "key")
+
+
+@query(f"{findings_sql(ALL, SAMPLE_SQL)} select rule_id, severity, repo, path, line, \"column\", match, secret, entropy, fingerprint from (select * replace (left(match, 200) as match) from best)")
+def json_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The single JSON document of a report, read back as an earlier report is."""
+    found = scanned(samples(spark))
+    doc = "".join(report.document({"tool": "leakloom"}, {"findings": 1}, (r.asDict() for r in found.select(*findings.COLUMNS).collect())))
+    read = spark.createDataFrame([(doc,)], "value string").select(F.inline(F.from_json("value", REPORT)["findings"]))
+    return read.select("rule_id", "severity", "repo", "path", "line", "column", "match", "secret", "entropy", "fingerprint").fillna("", ["secret"])
+
+
+@query(f"{findings_sql(ALL, SAMPLE_SQL)} select severity, rule_name as rule, repo, path, line from best")
+def html_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of the HTML page, read out of the page."""
+    found = scanned(samples(spark))
+    page = "".join(report.html_page({"target": "x"}, {}, {}, (r.asDict() for r in found.select(*findings.COLUMNS).collect())))
+    row = r'<tr data-s="([a-z]+)"[^>]*><td[^>]*>[^<]*</td><td>([^<]*)</td><td>([^<]*)</td><td>([^<]*)</td><td>([0-9]+)</td>'
+    rows = spark.createDataFrame([(page,)], "value string").select(F.explode(F.regexp_extract_all("value", F.lit(row), F.lit(0))).alias("r"))
+    cell = lambda i: F.regexp_extract("r", row, i)
+    return rows.select(cell(1).alias("severity"), cell(2).alias("rule"), cell(3).alias("repo"), cell(4).alias("path"), cell(5).cast("int").alias("line"))
+
+
+IMAGE_DOCS = "(select doc_id, text, source as repo, lang || '/' || doc_id as folder, sha1(text) as digest from documents where text is not null)"
+
+
+def document_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as an image: a config with its digest as a token, and a layer (compressed or not) with its text. A second layer is named, but lies nowhere."""
+    import gzip
+    import io
+    import tarfile
+
+    import pyarrow as pa
+
+    def pack(batches):
+        for b in batches:
+            made = []
+            for key, content in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                out, raw = io.BytesIO(), content.encode()
+                with tarfile.open(fileobj=out, mode="w") as t:
+                    info = tarfile.TarInfo("app/x.env")
+                    info.size = len(raw)
+                    t.addfile(info, io.BytesIO(raw))
+                made.append(gzip.compress(out.getvalue(), 1) if key % 2 else out.getvalue())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*b.schema.names, "layer"])
+
+    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", "text", F.col("source").alias("repo"), F.expr("concat(lang, '/', doc_id)").alias("path"), F.sha1("text").alias("digest"))
+    docs = docs.mapInArrow(pack, "doc_id bigint, text string, repo string, path string, digest string, layer binary")
+    manifest = F.to_json(F.struct(F.struct(F.concat(F.lit("sha256:c"), "digest").alias("digest")).alias("config"), F.array(F.struct(F.concat(F.lit("sha256:"), "digest").alias("digest"), F.octet_length("layer").alias("size")), F.struct(F.lit("sha256:gone").alias("digest"), F.lit(1).alias("size"))).alias("layers")))
+    rows = F.array(
+        F.struct(F.lit("manifest.json").alias("name"), F.encode(manifest, "UTF-8").alias("content")),
+        F.struct(F.concat(F.lit("sha256__c"), "digest").alias("name"), F.encode(F.concat(F.lit('{"config": {"Env": ["TOKEN = \\"'), "digest", F.lit('\\""]}}')), "UTF-8").alias("content")),
+        F.struct(F.concat(F.lit("sha256__"), "digest").alias("name"), F.col("layer").alias("content")),
+    )
+    each = docs.select("repo", "path", F.explode(rows).alias("_r")).select("repo", "path", "_r.*")
+    return each.withColumns({"size": F.octet_length("content").cast("long"), "sha256": F.lit(""), "modified": F.lit(None).cast("timestamp")})
+
+
+#: Blobs of one digest are read once, in the first folder that names it.
+LAYERS = f"(select repo, folder as path, 'sha256__' || digest || '!app/x.env' as name, text as content from {IMAGE_DOCS} qualify row_number() over (partition by digest order by repo, folder) = 1)"
+
+
+@query(f"{findings_sql(TOKEN, LAYERS)} select repo, path, secret from best")
+def image_layers(spark: SparkSession, folder: str) -> DataFrame:
+    """Layers of images, each digest once over all of them; a digest that lies nowhere is passed over."""
+    read, _ = scan.texts(document_images(spark, folder), scan.Options(FileFilter(no_files=True, images=True), image_layers=True))
+    found = detect.detect(read.where("name not like 'manifest%'"), TOKEN)
+    return findings.most_specific(findings.first_by_fingerprint(findings.enrich(found))).select("repo", "path", "secret")
+
+
+@query(f"select repo, folder as path, 'sha256__gone' as name, 'docker' as kind from {IMAGE_DOCS}")
+def image_failures(spark: SparkSession, folder: str) -> DataFrame:
+    """Blobs that lie in no folder that names them, as errors to be tried again."""
+    _, errors = scan.texts(document_images(spark, folder), scan.Options(FileFilter(no_files=True, images=True), image_layers=True))
+    return errors.select("repo", "path", "name", "kind")
+
+
+@query("select source as repo, count(*) as files from documents where text is not null and source in ('src1', 'src2') group by 1")
+def image_repos(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of image repositories only."""
+    known = spark.createDataFrame([("src1", "LOCAL", "docker"), ("src2", "LOCAL", "Docker"), ("src3", "LOCAL", "npm")], "key string, type string, package_type string")
+    return only_image_repos(documents(spark, folder), known.where(F.lower("package_type") == "docker")).groupBy("repo").agg(F.count("*").alias("files"))
+
+
+@query("select sha1(text) as digest, case when length(text) > 40 then left(text, 40) else text end as clipped, length(text) * 100.0 / greatest(n_chars + 7, 1) as share, count(*) as n from documents where text is not null group by all")
+def clipped_texts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").where("text is not null")
+    out = docs.select(F.sha1("text").alias("digest"), text.clip(F.col("text"), 40).alias("clipped"), text.percent(F.char_length("text"), F.col("n_chars") + 7).alias("share"))
+    return out.groupBy("digest", "clipped", "share").agg(F.count("*").alias("n"))
+
+
+@query(f"{findings_sql(TOKEN, '(select repo, path, name, left(content, 500) as content from ' + DOCS + ' where length(content) = strlen(content))')} select repo, path, line from best")
+def prefix_read(spark: SparkSession, folder: str) -> DataFrame:
+    """Files above the cap in a listing that does not know their sizes: their first bytes are read."""
+    items = documents(spark, folder).where("char_length(content) = octet_length(content)")
+    items = items.withColumns({"content": F.encode("content", "UTF-8"), "size": F.lit(None).cast("long")})
+    read, _ = scan.texts(items, scan.Options(max_size=500))
+    return scan.scan_texts(read, TOKEN).select("repo", "path", "line")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared checkpoint folder. Without that, only a Spark that runs in one process gets a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{(base or tempfile.gettempdir()).rstrip('/')}/leakloom-{name}-{uuid.uuid4().hex}"
+
+
 @query(f"{findings_sql(TOKEN, DOCS)} select repo, path, line, \"column\", fingerprint from best")
 def stream_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The documents' files as a stream, scanned in micro-batches into a store, which is the result."""
-    import uuid
-
     from .streaming import incremental
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/leakloom-stream"
-    here = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    here = scratch(spark, "stream")
     docs = table(spark, folder, "documents")
     source = f"{folder}/documents.parquet"
     if len(docs.inputFiles()) == 1:  # a stream reads folders; a single file is landed as some
