@@ -53,6 +53,8 @@ SPLIT, BLOCKED = 50_000, 4_000
 #: Sets of a component are compared by blocks of so many shingles, or BLOCKED sets.
 BLOCKED_SHINGLES = 1_000_000
 BROADCAST_ROWS = 300_000
+#: A class is heavy with more copies than HEAVY and than one in MOST_HEAVY of all rows, so that there are no more heavy ones.
+HEAVY, MOST_HEAVY = 500, 100_000
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int):
@@ -602,6 +604,17 @@ def _within(long: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFr
     return dealt.mapInArrow(run, schema(**PAIR))
 
 
+def _with_classes(rows: DataFrame, classed: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows and what classed has for their sets. Classes of very many copies, MOST_HEAVY at most, are sent to the rows, so that no task gets all copies of one."""
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    heavy = classes.where(F.col("copies") > max(HEAVY, total // MOST_HEAVY)).select("fp")
+    if not heavy.take(1):
+        return rows.join(classed, "fp", "left")
+    sent = cut(classed.join(F.broadcast(heavy), "fp"))
+    light = rows.join(F.broadcast(sent.select("fp")), "fp", "left_anti").join(classed, "fp", "left")
+    return rows.join(F.broadcast(sent), "fp").unionByName(light)
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Join documents with 100 * |intersection| >= percent * |union| of their distinct k-word shingles.
 
@@ -614,7 +627,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     links is read, in time by the square of a component's sets. Rows with null ids take part, but name no component.
     """
     rows, common = set_table(docs, k, percent, id_col, text_col)
-    classes = compact(rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash"), F.first("bitmap").alias("bitmap")))
+    classes = compact(rows.where("n > 0").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash")).alias("text_hash"), F.first("bitmap").alias("bitmap"), F.count("*").alias("copies")))
     entries = classes.agg(F.sum(F.expr(f"n + floor(-n * {percent} / 100) + 1"))).first()[0] or 0
     often = common.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).toArrow()
     token, count = often["token"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy()
@@ -646,7 +659,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     named = classes.select("fp", "rep").join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = cut(named.join(labels.select(F.col("node").alias("fp")), "fp", "left_semi").groupBy("component").agg(F.min("rep").alias("least"), F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "fp"))["fp"].alias("first")))
     classed = named.join(small(least, BROADCAST_ROWS), "component", "left").select("fp", "rep", F.when(F.col("first").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id"), (F.col("fp") == F.coalesce("first", "fp")).alias("keeper"))
-    out = rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "fp").join(classed, "fp", "left")
+    out = _with_classes(rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "fp"), classed, classes)
     alone = F.col("n_shingles") == 0
     rep, component = F.when(alone, F.col("doc_id")).otherwise(F.col("rep")), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     keeper = alone | (F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("rep")))

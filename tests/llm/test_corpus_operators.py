@@ -85,7 +85,9 @@ def test_jaccard_components(spark, monkeypatch, seed, many, frequent, split):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "BUCKET", 2000)
     monkeypatch.setattr(jaccard, "LEADERS", 1)
+    monkeypatch.setattr(jaccard, "HEAVY", 3 if seed else 500)
     texts = corpus(seed, 120)
+    texts += [texts[2]] * 9
     ids = random.Random(seed).sample(range(10_000), len(texts))
     rows, _ = jaccard.jaccard_join(frame(spark, texts, ids).withColumn("fp", F.lit("clash")))
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows.collect()]
