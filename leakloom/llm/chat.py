@@ -9,9 +9,9 @@ Rendered as a string, the control tokens have names. A name that occurs inside a
 text is escaped reversibly before encoding: MARK is written behind its first character, and
 every MARK of the text itself is doubled. Unescaping drops one MARK of each pair or single.
 
-Encoding happens before the shuffle, on every row alike. Behind it, each conversation's
-rows pass through its task one by one, so a conversation of any length needs the memory of
-one turn.
+Rows are dealt by ranges of (conversation, turn), so a conversation of any length is divided over
+tasks. Each task encodes its rows and counts the tokens of its first and last conversation; from these
+two counts a task, the driver tells where the conversations go on in the next tasks.
 """
 
 from __future__ import annotations
@@ -23,11 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
+from .common import cut
 from .textcore import trim
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -37,6 +40,8 @@ PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 BEGIN, END, TURN, TEXT, STOP = "<s>", "</s>", "<|turn|>", "<|text|>", "<|stop|>"
 CONTROL = (BEGIN, END, TURN, TEXT, STOP, "[INST]", "[/INST]")
 MARK = "␛"
+#: Control tokens of each turn.
+TOKENS = 3
 _NAMES = re.compile("|".join(map(re.escape, CONTROL)))
 _MARKS = re.compile(f"{MARK}({MARK}?)")
 
@@ -111,8 +116,10 @@ def format_chat(df: DataFrame, vocabulary: str = VOCABULARY, trained: tuple[str,
     texts are empty; a null conv_id is a conversation like any other. Other columns are ignored.
     """
     shared = _shared(df, vocabulary)
-    rows = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    kind = rows.schema["conv_id"].dataType
+    kind = df.schema["conv_id"].dataType
+    keys = ["conv_id", "turn", "role", "text", "_row"]  # the last one divides even equal rows
+    rows = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("_row"))
+    part_type = to_arrow_type(kind)
 
     def encode(batches):
         codec = _codec(shared)
@@ -121,20 +128,44 @@ def format_chat(df: DataFrame, vocabulary: str = VOCABULARY, trained: tuple[str,
             for name in ("role", "text"):
                 ids = [np.array(codec.encode(escape(x)), np.int32).tobytes() for x in _strings(b.column(name))]
                 out.append(pa.array(ids, pa.binary()))
-            yield pa.RecordBatch.from_arrays([*b.columns, *out], names=["conv_id", "turn", "role", "text", "role_ids", "text_ids"])
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("role"), *out], names=["conv_id", "role", "role_ids", "text_ids"])
 
-    encoded = rows.mapInArrow(encode, T.StructType([*rows.schema.fields, T.StructField("role_ids", T.BinaryType()), T.StructField("text_ids", T.BinaryType())]))
-    dealt = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "role_ids", "text_ids")
-    out = T.StructType([T.StructField("conv_id", kind), T.StructField("position", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("loss", T.ArrayType(T.ByteType()))])
-    arrow, part_type = (pa.list_(pa.int32()), pa.list_(pa.int8())), to_arrow_type(kind)
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    encoded = cut(dealt.mapInArrow(encode, T.StructType([T.StructField("conv_id", kind), T.StructField("role", T.StringType()), T.StructField("role_ids", T.BinaryType()), T.StructField("text_ids", T.BinaryType())])))
+
+    def ends(batches):
+        """Rows and tokens of a task's first and last conversation, which may be one."""
+        at, seen = TaskContext.get().partitionId(), []
+        for b in batches:
+            tokens = TOKENS + (pc.binary_length(b.column("role_ids")).to_numpy() + pc.binary_length(b.column("text_ids")).to_numpy()) // 4
+            for c, n in zip(b.column("conv_id").to_pylist(), tokens.tolist(), strict=True):
+                if not seen or seen[-1][0] != c:
+                    seen = [*seen[:1], [c, 0, 0]]
+                seen[-1][1] += 1
+                seen[-1][2] += n
+        if seen:
+            columns = [pa.array([at], pa.int32()), *(pa.array([x], t) for e in (seen[0], seen[-1]) for x, t in zip(e, (part_type, pa.int64(), pa.int64()), strict=True)), pa.array([len(seen) == 1])]
+            yield pa.RecordBatch.from_arrays(columns, names=summary.names)
+
+    pair = lambda p: [T.StructField(f"{p}_conv", kind), T.StructField(f"{p}_rows", T.LongType()), T.StructField(f"{p}_tokens", T.LongType())]
+    summary = T.StructType([T.StructField("part", T.IntegerType()), *pair("first"), *pair("last"), T.StructField("single", T.BooleanType())])
+    parts = sorted(tuple(r) for r in encoded.select("conv_id", "role_ids", "text_ids").mapInArrow(ends, summary).collect())
+    before: dict[int, tuple[int, int, bool]] = {}  # rows and tokens of a task's first conversation in earlier tasks, and whether its last one ends there
+    rows_, tokens_, current = 0, 0, object()
+    for i, (part, first, f_rows, f_tokens, last, l_rows, l_tokens, single) in enumerate(parts):
+        carried = (rows_, tokens_) if first == current else (0, 0)
+        rows_, tokens_ = (carried[0] + f_rows, carried[1] + f_tokens) if single else (l_rows, l_tokens)
+        current = last
+        before[part] = (*carried, i + 1 == len(parts) or parts[i + 1][1] != last)
 
+    out = T.StructType([T.StructField("conv_id", kind), T.StructField("position", T.LongType()), T.StructField("start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("loss", T.ArrayType(T.ByteType()))])
     begin, end, turn, text, stop = (first_reserved(shared.value) + CONTROL.index(name) for name in (BEGIN, END, TURN, TEXT, STOP))
 
     def splice(batches):
-        done = 0
-        for part, ends in _with_ends(batches):
+        at, done, last_ends = before.get(TaskContext.get().partitionId(), (0, 0, True))
+        for part, ends_here in _with_next(batches, last_ends):
             conv, position, start, ids, loss = [], [], [], [], []
-            for (c, role, r, t), at, last in zip(part, ends[0], ends[1], strict=True):
+            for (c, role, r, t), last in zip(part, ends_here, strict=True):
                 r, t = np.frombuffer(r, np.int32), np.frombuffer(t, np.int32)
                 head = [begin, turn] if at == 0 else [turn]
                 seq = np.concatenate([head, r, [text], t, [stop, end] if last else [stop]]).astype(np.int32)
@@ -143,33 +174,24 @@ def format_chat(df: DataFrame, vocabulary: str = VOCABULARY, trained: tuple[str,
                     first = len(head) + len(r) + 1
                     delta[first] += 1
                     delta[first + len(t)] -= 1
-                done = done if at else 0
-                conv.append(c), position.append(at), start.append(done), ids.append(seq), loss.append(np.cumsum(delta[:-1], dtype=np.int8))
-                done += len(seq)
-            columns = [pa.array(conv, part_type), pa.array(position, pa.int64()), pa.array(start, pa.int64()), pa.array(ids, arrow[0]), pa.array(loss, arrow[1])]
+                conv.append(c), position.append(at), start.append(done + (at > 0)), ids.append(seq), loss.append(np.cumsum(delta[:-1], dtype=np.int8))
+                at, done = (0, 0) if last else (at + 1, done + TOKENS + len(r) + len(t))
+            columns = [pa.array(conv, part_type), pa.array(position, pa.int64()), pa.array(start, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(loss, pa.list_(pa.int8()))]
             yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return dealt.mapInArrow(splice, out)
+    return encoded.mapInArrow(splice, out)
 
 
-def _with_ends(batches) -> Iterator[tuple[list[tuple], tuple[list[int], list[bool]]]]:
-    """Rows (conversation first) with their positions and whether they end their conversation; one row is held back."""
-    held, position, nothing = [], -1, object()
-    current = nothing
+def _with_next(batches, last_ends: bool) -> Iterator[tuple[list[tuple], list[bool]]]:
+    """Rows (conversation first) and whether they end their conversation, for the last row as last_ends says; one row is held back."""
+    held = []
     for b in (b.slice(i, 2000) for b in batches for i in range(0, b.num_rows, 2000)):
         rows = held + list(zip(*(c.to_pylist() for c in b.columns), strict=True))
-        if not rows:
-            continue
-        held, rows, after = rows[-1:], rows[:-1], rows[1:]
-        at, last = [], []
-        for x, y in zip(rows, after, strict=True):
-            position = position + 1 if x[0] == current else 0
-            current = x[0]
-            at.append(position), last.append(y[0] != x[0])
-        if rows:
-            yield rows, (at, last)
+        held = rows[-1:]
+        if len(rows) > 1:
+            yield rows[:-1], [x[0] != y[0] for x, y in zip(rows[:-1], rows[1:], strict=True)]
     if held:
-        yield held, ([position + 1 if held[0][0] == current else 0], [True])
+        yield held, [last_ends]
 
 
 def read_chat(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

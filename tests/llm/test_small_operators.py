@@ -85,6 +85,38 @@ def test_chat_round_trip_of_odd_turns(spark):
     assert all(s == sum(starts[c, q][1] for q in range(p)) for (c, p), (s, _, _) in starts.items())
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_one_conversation_over_many_tasks(spark, parts):
+    rng = random.Random(5)
+    rows = [(1, i, rng.choice(["user", "assistant"]), f"turn {rng.random()}", "x", 0) for i in range(60)] + [(2, 5, "user", "same", "x", 0)] * 300 + [(c, t, "assistant", f"{c} {t}", "x", 0) for c in (None, 0, 3, 4) for t in range(c or 1)]
+    df = spark.createDataFrame(rows, CHAT).repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        formatted = chat.format_chat(df)
+        got = collections.defaultdict(dict)
+        used = collections.defaultdict(set)
+        for r in formatted.withColumn("_p", F.spark_partition_id()).collect():
+            got[r["conv_id"]][r["position"]] = r
+            used[r["conv_id"]].add(r["_p"])
+        sums = {r["conv_id"]: r for r in chat.read_chat(formatted).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert parts < 40 or (len(used[1]) > 1 and len(used[2]) > 3)
+    first = formatted.first()["ids"][0]
+    for c in {r[0] for r in rows}:
+        turns = sorted((r[1], r[2], r[3]) for r in rows if r[0] == c)
+        assert sorted(got[c]) == list(range(len(turns)))
+        done = 0
+        for i in range(len(turns)):
+            r = got[c][i]
+            assert r["start"] == done and (first in r["ids"]) == (i == 0) and (first + 1 in r["ids"]) == (i == len(turns) - 1)
+            done += len(r["ids"])
+        assert sums[c]["n_turns"] == len(turns) and sums[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("text", ["word " * 40_000, "x" * 200_000, "é1 \n!" * 40_000, " " * 200_000])
 def test_long_texts_have_the_ids_of_the_whole(spark, text):
     with open(chat.VOCABULARY, "rb") as f:
