@@ -20,6 +20,8 @@ MOST_RUNS = 256
 LONGEST_RUN = 262_144
 #: base64 runs of either alphabet.
 RUNS = {"std": r"[A-Za-z0-9+/]{24,}={0,2}", "url": r"[A-Za-z0-9_-]{24,}={0,2}"}
+#: What a text with a run of either alphabet has. Runs begin where no character of theirs goes before, so that none is tried from its middle.
+SOME_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}"
 
 
 def keyword_hit(content: Column, rule: Rule) -> Column:
@@ -113,10 +115,12 @@ def base64_runs(df: DataFrame, content: str = "content", most: int = MOST_RUNS,
     """
     arrays = []
     for phase, pattern in enumerate(RUNS.values(), 1):
+        pattern = f"(?<!{pattern[: pattern.index(']') + 1]}){pattern}"
         runs = F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(0))
         between = F.split(F.col(content), pattern, -1)
         arrays.append(_runs(runs, between, phase, most))
-    rows = df.withColumn("_r", F.explode(F.concat(*arrays)))
+    some = F.when(F.col(content).rlike(SOME_RUN), F.concat(*arrays)).otherwise(F.array().cast("array<struct<phase:int,no:int,before:int,run:string>>"))
+    rows = df.withColumn("_r", F.explode(some))
     rows = (rows.where(F.octet_length("_r.run") <= longest) if longest else rows).withColumn("_d", text.decode_base64(F.col("_r.run")))
     rows = rows.where((F.octet_length("_d") >= 8) & F.is_valid_utf8(F.col("_d").cast("string")) & text.mostly_printable(F.col("_d")))
     return rows.select(*df.columns, F.col("_r.phase").alias("phase"), F.col("_r.no").alias("run_no"), F.col("_r.before").alias("run_before"), F.col("_d").cast("string").alias("decoded"))
