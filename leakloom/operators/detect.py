@@ -113,17 +113,27 @@ def base64_runs(df: DataFrame, content: str = "content", most: int = MOST_RUNS,
     Runs have 24 bytes or more, `longest` at most, and are the first `most` of an alphabet (0: all); decoded they have 8 bytes or more of
     valid, mostly printable UTF-8.
     """
+    rows = df.withColumn("_r", F.explode(_all_runs(content, most))).withColumn("_d", _decoded(F.col("_r.run"), longest)).where(F.col("_d").isNotNull())
+    return rows.select(*df.columns, F.col("_r.phase").alias("phase"), F.col("_r.no").alias("run_no"), F.col("_r.before").alias("run_before"), F.col("_d").alias("decoded"))
+
+
+def _decoded(run: Column, longest: int) -> Column:
+    """The text that a run stands for; null if it is none that is looked at."""
+    data = text.decode_base64(run)
+    good = (F.octet_length(data) >= 8) & F.is_valid_utf8(data.cast("string")) & text.mostly_printable(data)
+    return F.when((F.octet_length(run) <= longest) & good if longest else good, data.cast("string"))
+
+
+def _all_runs(content: str, most: int) -> Column:
+    """(phase, no, before, run) of a text's runs in both alphabets."""
     arrays = []
     for phase, pattern in enumerate(RUNS.values(), 1):
         pattern = f"(?<!{pattern[: pattern.index(']') + 1]}){pattern}"
         runs = F.regexp_extract_all(F.col(content), F.lit(pattern), F.lit(0))
         between = F.split(F.col(content), pattern, -1)
         arrays.append(_runs(runs, between, phase, most))
-    some = F.when(F.col(content).rlike(SOME_RUN), F.concat(*arrays)).otherwise(F.array().cast("array<struct<phase:int,no:int,before:int,run:string>>"))
-    rows = df.withColumn("_r", F.explode(some))
-    rows = (rows.where(F.octet_length("_r.run") <= longest) if longest else rows).withColumn("_d", text.decode_base64(F.col("_r.run")))
-    rows = rows.where((F.octet_length("_d") >= 8) & F.is_valid_utf8(F.col("_d").cast("string")) & text.mostly_printable(F.col("_d")))
-    return rows.select(*df.columns, F.col("_r.phase").alias("phase"), F.col("_r.no").alias("run_no"), F.col("_r.before").alias("run_before"), F.col("_d").cast("string").alias("decoded"))
+    none = F.array().cast("array<struct<phase:int,no:int,before:int,run:string>>")
+    return F.when(F.col(content).rlike(SOME_RUN), F.concat(*arrays)).otherwise(none)
 
 
 def _chars(parts: Column, n: Column) -> Column:
@@ -149,18 +159,32 @@ def detect(df: DataFrame, rules: Sequence[Rule], base64: bool = True, content: s
     starts at the same place has none. Null contents have none. A column bytewise is read as gated() does, and dropped.
     """
     read = df.where(F.col(content).isNotNull())
-    direct = gated(raw_matches(read, rules, content, most_matches), rules).withColumns({"via_decoder": F.lit(""), "phase": F.lit(0), "run_no": F.lit(0)}).drop("bytewise")
     if not base64:
-        return direct
+        return gated(raw_matches(read, rules, content, most_matches), rules).withColumns({"via_decoder": F.lit(""), "phase": F.lit(0), "run_no": F.lit(0)}).drop("bytewise")
     others = [c for c in df.columns if c not in (content, "bytewise")]
-    # both alphabets' runs of a row meet by its columns and its text, so that rows with equal names stay apart
-    runs = base64_runs(read, content, most_runs, longest_run).withColumns({"_place": F.substring(content, F.lit(1), F.col("run_before")), "_at": F.col("run_before"), "_row": F.xxhash64(content)})
-    runs = runs.withColumns({"_line": text.line_of(F.col("_place")), "_column": text.column_of(F.col("_place"), F.col("bytewise") if "bytewise" in df.columns else None)}).drop("_place", "bytewise")
-    inner = gated(raw_matches(runs.drop(content).withColumnRenamed("decoded", content), rules, content, most_matches), rules)
-    inner = inner.withColumns({"line": F.col("_line"), "column": F.col("_column"), "via_decoder": F.lit("base64")})
+    bytewise = F.col("bytewise") if "bytewise" in df.columns else F.lit(False)
+    # a text and its decoded runs are rows alike, so that the rules stand in the plan once
+    itself = F.struct(F.lit(0).alias("phase"), F.lit(0).alias("no"), F.lit(0).alias("before"), F.lit(None).cast("string").alias("run"))
+    rows = read.withColumn("_r", F.explode(F.concat(F.array(itself), _all_runs(content, most_runs))))
+    inside = F.col("_r.phase") > 0
+    place = F.substring(content, F.lit(1), F.col("_r.before"))
+    rows = rows.select(
+        *others,
+        F.when(inside, _decoded(F.col("_r.run"), longest_run)).otherwise(F.col(content)).alias(content),
+        (bytewise & ~inside).alias("bytewise"),
+        F.col("_r.phase").alias("phase"),
+        F.col("_r.no").alias("run_no"),
+        F.when(inside, text.line_of(place)).alias("_line"),
+        F.when(inside, text.column_of(place, bytewise)).alias("_column"),
+        # both alphabets' runs of a row meet by its columns, its text and their place, so that rows with equal names stay apart
+        F.when(inside, F.col("_r.before")).alias("_at"),
+        F.when(inside, F.xxhash64(content)).alias("_row"),
+    ).where(F.col(content).isNotNull())
+    found = gated(raw_matches(rows, rules, content, most_matches), rules)
+    found = found.withColumns({"line": F.coalesce("_line", "line"), "column": F.coalesce("_column", "column"), "via_decoder": F.when(F.col("phase") > 0, "base64").otherwise("")})
     first = F.min("phase").over(Window.partitionBy(*others, "_row", "_at"))
-    inner = inner.withColumn("_first", first).where(F.col("phase") == F.col("_first")).drop("_first", "_at", "_row", "_line", "_column", "run_before")
-    return direct.unionByName(inner)
+    found = found.withColumn("_first", first).where(F.col("phase") == F.col("_first"))
+    return found.drop("_first", "_at", "_row", "_line", "_column", "bytewise")
 
 
 def at_least(findings: DataFrame, severity: str) -> DataFrame:
