@@ -13,7 +13,9 @@ step extends a match to the left by one word; when `length` words are matched, t
 the number of occurrences, and the match is cut to its first length - 1 words by the boundaries of
 equal prefixes. These matching statistics, capped at `length`, are the intervals to report.
 
-Identical texts are one text with a count: with two or more copies, all of its windows repeat.
+Identical texts are one text with a count: with two or more copies, all of its windows repeat. A task enters
+each text once, and of passages that it has met twice only two; the others are known to repeat. An anchor
+that very many texts share is divided: its windows go one by one to shards by their own content.
 Words are compared by 32 bits of their hashes inside an index; anchors by 64 bits.
 """
 
@@ -39,6 +41,8 @@ ANCHORS, SHARD, INDEX = 500_000, 1_000_000, 300_000
 BROADCAST_TEXTS = 250_000
 #: The same for the bytes of their places.
 BROADCAST_BYTES = 32 << 20
+#: An anchor is hot from so many occurrences on; at most so many hot anchors are broadcast (the most frequent).
+HOT, MOST_HOT = 10_000, 300_000
 ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -231,15 +235,27 @@ def _new(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _fresh(b: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows whose texts this task has not seen before."""
+    new = []
+    for key in zip(b.column("h1").to_pylist(), b.column("h2").to_pylist(), strict=True):
+        new.append(key not in seen)
+        seen.add(key)
+    return b if all(new) else b.filter(pa.array(new, pa.bool_()))
+
+
 def _candidates(read: DataFrame, buckets: int, length: int, k: int) -> DataFrame:
-    """h1, h2 and the places of each text's anchors (packed) that occur at another place too.
+    """Rows (h1, h2, places) with places of a text's anchors (packed) that occur at another place too, and rows (hot, n) of anchors
+    that occur HOT times or more.
 
-    Of an anchor that a batch has several times, two places go to the anchor's bucket, for others to meet; the rest
-    are known to repeat and go by text. So the anchor of a passage in very many texts fills no bucket.
+    Of an anchor that a task has several times, two places go to the anchor's bucket, for others to meet; the rest
+    are known to repeat and go by text, and their number to the bucket. So the anchor of a passage in very many texts fills no bucket.
     """
 
     def scan(it):
+        seen, done = set(), np.zeros(0, U64)
         for b in batches(it):
+            b = _fresh(b, seen)
             buf, rows = flat(b.column("_text"))
             start, end, first = words(buf, rows)
             p, h, _, _, text = _anchors(word_hashes(buf, start, end), first, length, k)
@@ -249,28 +265,45 @@ def _candidates(read: DataFrame, buckets: int, length: int, k: int) -> DataFrame
             e = np.empty(len(p), ANCHOR)
             e["h"], e["a"], e["b"], e["p"], e["known"] = h, h1[text], h2[text], p - first[text], 0
             e = _distinct(e)
-            e["known"][2:] = (e["h"][2:] == e["h"][1:-1]) & (e["h"][2:] == e["h"][:-2])
-            yield _packed((mix(np.where(e["known"], e["a"], e["h"]) + U64(5)) % U64(buckets)).astype(np.int64), e)
+            edge = np.flatnonzero(_new(e["h"]))
+            size = np.diff(np.append(edge, len(e)))
+            met = np.isin(e["h"][edge], done)
+            e["known"] = (np.arange(len(e)) - np.repeat(edge, size) >= 2) | np.repeat(met, size)
+            counted = (size > 2) | met
+            done = np.union1d(done, e["h"][edge[size > 1]])
+            number = e[edge[counted]]
+            number["p"], number["known"] = size[counted], 2
+            place = np.concatenate([np.where(e["known"], e["a"], e["h"]), number["h"]])
+            yield _packed((mix(place + U64(5)) % U64(buckets)).astype(np.int64), np.concatenate([e, number]))
+
+    out = schema(h1="long", h2="long", places="binary", hot="long", n="long")
 
     def repeated(it):
         for rows in _each_bucket(it):
             e = np.concatenate([np.frombuffer(r[0], ANCHOR) for r in rows])
-            known, e = e[e["known"] > 0], _distinct(e[e["known"] == 0])  # copies of a text count once
+            known, number, e = e[e["known"] == 1], e[e["known"] == 2], _distinct(e[e["known"] == 0])  # copies of a text count once
+            anchors, at = np.unique(np.concatenate([e["h"], number["h"]]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([np.ones(len(e)), number["p"]])).astype(np.int64) if len(at) else np.zeros(0, np.int64)
+            hot = n >= HOT
+            if hot.any():
+                none = pa.nulls(int(hot.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(none), pa.binary()), pa.array(anchors[hot].view(np.int64)), pa.array(n[hot])], names=out.names)
             same = e["h"][1:] == e["h"][:-1]
             e = np.concatenate([known, e[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]) if len(e) else known
             if not len(e):
                 continue
             e = e[np.lexsort((e["p"], e["b"], e["a"]))]
-            edge = np.flatnonzero(np.concatenate([[True], (e["a"][1:] != e["a"][:-1]) | (e["b"][1:] != e["b"][:-1])]))
+            e = e[_new(e["a"], e["b"], e["p"])]
+            edge = np.flatnonzero(_new(e["a"], e["b"]))
             p = np.ascontiguousarray(e["p"])
             data = [p[i:j].tobytes() for i, j in zip(edge, [*edge[1:], len(e)], strict=True)]
             for s in range(0, len(edge), 50_000):
                 at = edge[s : s + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(e["a"][at].view(np.int64)), pa.array(e["b"][at].view(np.int64)), pa.array(data[s : s + 50_000], pa.binary())], names=["h1", "h2", "places"])
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(e["a"][at].view(np.int64)), pa.array(e["b"][at].view(np.int64)), pa.array(data[s : s + 50_000], pa.binary()), none, none], names=out.names)
 
     packed = read.select("h1", "h2", "_text").mapInArrow(scan, schema(bucket="long", data="binary"))
-    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeated, schema(h1="long", h2="long", places="binary"))
-    return found.groupBy("h1", "h2").agg(F.collect_list("places").alias("places"))
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(repeated, out)
 
 
 def _blocks(e: np.ndarray, data: np.ndarray, at: np.ndarray, length: int):
@@ -312,7 +345,7 @@ def _blocks(e: np.ndarray, data: np.ndarray, at: np.ndarray, length: int):
 def _shard_intervals(rows: list, length: int):
     """h1, h2 and packed word intervals (start, end) of each text of a shard that have repeated windows.
 
-    Rows without words hold segments that are known to repeat as a whole.
+    Rows without words hold segments that are known to repeat as a whole. Of hot anchors, a segment is a single window.
     """
     none = np.zeros(0, SEGMENT)
     known = np.concatenate([none, *(np.frombuffer(r[0], SEGMENT) for r in rows if not r[1])])
@@ -320,8 +353,8 @@ def _shard_intervals(rows: list, length: int):
     e = np.concatenate([none, *(np.frombuffer(r[0], SEGMENT) for r in rows)])
     data = np.concatenate([np.zeros(0, np.uint32)] + [np.frombuffer(ZSTD.decompress(r[1][8:], int(np.frombuffer(r[1][:8], np.int64)[0]), asbytes=True), np.uint32) for r in rows])
     at = np.concatenate([[0], np.cumsum(e["w"] + length - 1)])[:-1]
-    once = np.lexsort((e["p"], e["b"], e["a"], e["h"]))
-    once = once[_new(*(e[c][once] for c in ("h", "a", "b", "p")))]  # copies of a text bring their segments again
+    once = np.lexsort((e["s"], e["p"], e["b"], e["a"], e["h"]))
+    once = once[_new(*(e[c][once] for c in ("h", "a", "b", "p", "s")))]  # copies of a text bring their segments again
     e, at = e[once], at[once]
     texts, begin, stop = [], [], []
     for pick, offset in _blocks(e, data, at, length) if len(e) else ():
@@ -373,13 +406,31 @@ def repeated_spans(docs: DataFrame, length: int = 35, k: int = 6, text_col: str
     read = _keyed(docs, text_col)
     n = read.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     per = 6 * (length - k + 2) / 2  # bytes of text for an anchor, roughly
-    found = cut(_candidates(read, int(n / per) // ANCHORS + 1, length, k))
-    places = found.agg(F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
-    shards = int(places / 4 * (1.5 * length)) // SHARD + 1
+    candidates = cut(_candidates(read, int(n / per) // ANCHORS + 1, length, k))
+    places = candidates.agg(F.sum(F.octet_length("places"))).first()[0] or 0
+    hot = np.sort(candidates.where("hot is not null").orderBy(F.desc("n"), "hot").limit(MOST_HOT).select("hot").toArrow()["hot"].to_numpy().astype(np.int64).view(U64))
+    found = candidates.where("hot is null").groupBy("h1", "h2").agg(F.collect_list("places").alias("places"))
+    shards = max(int(places / 4 * (1.5 * length)) // SHARD + 1, int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = read.select("h1", "h2", "_text").join(small(found, BROADCAST_TEXTS) if places <= BROADCAST_BYTES else found, ["h1", "h2"])
 
+    def by_shard(place, e, code, start, size):
+        """Entries and their words for shards."""
+
+        def tail(part):
+            at = np.cumsum(size[part]) - size[part]
+            return code[np.repeat(start[part] - at, size[part]) + np.arange(size[part].sum())]
+
+        return _packed((mix(place + U64(5)) % U64(shards)).astype(np.int64), e, tail)
+
+    def by_text(e):
+        """Entries that are known to repeat."""
+        b = _packed((mix(e["a"] + U64(5)) % U64(shards)).astype(np.int64), e)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array([b""] * b.num_rows, pa.binary())], names=["bucket", "data", "words"])
+
     def segments(it):
+        seen, met, met_windows = set(), np.zeros(0, U64), np.zeros(0, U64)
         for b in batches(it):
+            b = _fresh(b, seen)
             buf, rows = flat(b.column("_text"))
             start, end, first = words(buf, rows)
             h = word_hashes(buf, start, end)
@@ -408,19 +459,32 @@ def repeated_spans(docs: DataFrame, length: int = 35, k: int = 6, text_col: str
             order = np.lexsort(columns)
             order = order[_new(*(c[order] for c in columns))]  # copies of a text count once
             start = np.flatnonzero(_new(*(c[order] for c in columns[3:])))
-            place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
-            known, sent = order[place >= 2], order[place < 2]
-
-            def tail(part, sent=sent):
-                part = sent[part]
-                size = w[part] + length - 1
-                at = np.cumsum(size) - size
-                return code[np.repeat(s[part] - at, size) + np.arange(size.sum())]
-
-            yield _packed((mix(anchor[sent] + U64(5)) % U64(shards)).astype(np.int64), e[sent], tail)
+            count = np.diff(np.append(start, len(order)))
+            ident = word_sums[0] ^ mix(anchor + U64(3))
+            known = (np.arange(len(order)) - np.repeat(start, count) >= 2) | np.isin(ident[order], met)
+            met = np.union1d(met, ident[order[start[count > 1]]])
+            known, sent = order[known], order[~known]
+            split = np.isin(anchor[sent], hot)
             if len(known):
-                b = _packed((mix(e["a"][known] + U64(5)) % U64(shards)).astype(np.int64), e[known])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([b""] * b.num_rows, pa.binary())], names=["bucket", "data", "words"])
+                yield by_text(e[known])
+            plain, sent = sent[~split], sent[split]
+            if len(plain):
+                yield by_shard(anchor[plain], e[plain], code, s[plain], size[plain])
+            if len(sent):  # hot anchors, window by window
+                begin = np.repeat(s[sent], w[sent]) + np.arange(w[sent].sum()) - np.repeat(np.cumsum(w[sent]) - w[sent], w[sent])
+                e = np.repeat(e[sent], w[sent])
+                e["s"], e["w"] = begin - np.repeat(first[text[sent]], w[sent]), 1
+                g = grams(h, length)[begin]
+                order = np.lexsort((e["s"], e["b"], e["a"], g))
+                begin, e, g = begin[order], e[order], g[order]
+                edge = np.flatnonzero(_new(g))
+                count = np.diff(np.append(edge, len(g)))
+                known = (np.arange(len(g)) - np.repeat(edge, count) >= 2) | np.isin(g, met_windows)
+                met_windows = np.union1d(met_windows, g[edge[count > 1]])
+                if known.any():
+                    yield by_text(e[known])
+                if not known.all():
+                    yield by_shard(g[~known], e[~known], code, begin[~known], np.full(int((~known).sum()), length))
 
     def search(it):
         for rows in _each_bucket(it):
@@ -441,7 +505,9 @@ def remove_repeats(docs: DataFrame, length: int = 35, k: int = 6, id_col: str =
     same text and equal rows included. Words are runs of bytes other than space and TAB to CR. Null texts have no words.
     """
     spans = cut(repeated_spans(docs, length, k, text_col))
-    held = _keyed(docs, text_col).select(F.col(f"`{id_col}`").alias(id_col), "h1", "h2", "_text").join(small(spans, BROADCAST_TEXTS), ["h1", "h2"], "left")
+    held = spans.agg(F.sum(F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + F.octet_length(x)))).first()[0] or 0
+    spans = small(spans, BROADCAST_TEXTS) if held <= BROADCAST_BYTES else spans
+    held = _keyed(docs, text_col).select(F.col(f"`{id_col}`").alias(id_col), "h1", "h2", "_text").join(spans, ["h1", "h2"], "left")
     out = T.StructType([docs.schema[id_col], *schema(n_words="long", n_removed="long", kept_sha256="string", spans="array<struct<start:int,end:int>>").fields, *([T.StructField("kept", T.StringType())] if with_text else [])])
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
