@@ -59,6 +59,13 @@ def stats(listed: DataFrame, scanned: DataFrame, findings: DataFrame, errors: in
     return a.join(b).join(c).join(d)
 
 
+def summary(run: DataFrame, severities: DataFrame) -> DataFrame:
+    """Two lines on a run, from stats() and severity_counts()."""
+    first = F.format_string("repos=%d files=%d/%d bytes=%d errors=%d duration=%s", "repos_scanned", "files_scanned", "files_selected", "bytes_downloaded", "errors", "duration")
+    second = F.format_string("findings: %d  (critical=%d high=%d medium=%d low=%d)", "total", "critical", "high", "medium", "low")
+    return run.select(F.lit(1).alias("no"), first.alias("value")).union(severities.select(F.lit(2), second))
+
+
 def dry_run(items: DataFrame) -> DataFrame:
     """Listing lines: repo/path, tab, size."""
     return items.select(F.format_string("%s/%s\t%d", "repo", text.full_path(F.col("path"), F.col("name")), "size").alias("value"))

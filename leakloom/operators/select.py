@@ -135,6 +135,11 @@ def select_files(items: DataFrame, f: FileFilter = FileFilter(), max_size: int =
     return out.where((F.coalesce("size", F.lit(0)) <= max_size) | F.col("archive")) if max_size > 0 else out
 
 
+def shuffled(items: DataFrame, seed: int = 0) -> DataFrame:
+    """Items in a random order that is the same on every run with the same seed."""
+    return items.orderBy(F.xxhash64(F.lit(seed), "repo", "path", "name"), "repo", "path", "name")
+
+
 def only_image_repos(items: DataFrame, image_repos: DataFrame) -> DataFrame:
     """Items of image repositories; all items if none are known."""
     if not image_repos.take(1):

@@ -12,6 +12,7 @@ import datetime as dt
 import math
 import re
 import sys
+import time
 
 #: Multiples of size and time units.
 SIZES = {"": 1, "K": 1 << 10, "M": 1 << 20, "G": 1 << 30}
@@ -66,7 +67,7 @@ def parser() -> argparse.ArgumentParser:
     a("--max-size", default="5MB"), a("--max-layer-size", default="100MB"), a("--max-findings", type=int, default=0)
     a("--out", default="leakloom-report"), a("--format", choices=["all", "json", "csv", "html"], default="all")
     a("--decode-base64", action=argparse.BooleanOptionalAction, default=True)
-    for name in ("include-remote", "include-virtual", "extensionless", "no-files", "crack", "docker-config", "docker-layers", "show-secrets", "dry-run", "fail-on-findings"):
+    for name in ("include-remote", "include-virtual", "extensionless", "no-files", "crack", "docker-config", "docker-layers", "show-secrets", "dry-run", "fail-on-findings", "live"):
         a(f"--{name}", action="store_true")
     return p
 
@@ -76,6 +77,7 @@ def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from ..functions import text
     from ..functions.rules import NoRules, load_rules, ruleset_version
     from ..operators import findings as rows
     from ..operators import report
@@ -101,6 +103,7 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     except SystemExit as e:
         return int(e.code or 0)
+    began = time.monotonic()
     spark = SparkSession.builder.appName("leakloom").getOrCreate()
     try:
         rules = load_rules(spark, o.rules or None)
@@ -136,14 +139,21 @@ def main(argv: list[str] | None = None) -> int:
         found = found if prior is None else rows.merge(prior, found)
     found = found.cache()
     n = found.count()
-    report.write_reports(o.out, o.format, {"tool": "leakloom", "target": o.root, "ruleset_version": ruleset_version(), "rule_count": len(rules)}, {"findings": n}, found)
     failed = f"{o.out}.errors.jsonl"
     number = artifacts.replace_errors(errors.select("*", *[F.lit(None).cast("string").alias(c) for c in ("type", "package_type")], F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("ts")), failed)
+    chosen = select_files(items.drop("content"), files, options.max_size)
+    run = report.stats(items.drop("content"), chosen.withColumn("skipped", F.lit(False)), found, number, time.monotonic() - began).withColumn("files_selected", F.col("files_scanned"))
+    counted = run.first().asDict()
+    report.write_reports(o.out, o.format, {"tool": "leakloom", "target": o.root, "ruleset_version": ruleset_version(), "rule_count": len(rules)}, counted, found)
+    if o.live:
+        for r in found.select(text.live_line(*[F.col(c) for c in ("severity", "rule_name", "repo", "path", "line")]).alias("value")).toLocalIterator():
+            print(r[0], file=sys.stderr)
+    for r in report.summary(run.sparkSession.createDataFrame([counted], run.schema), report.severity_counts(found)).orderBy("no").collect():
+        print(r["value"], file=sys.stderr)
     if number:
         print(f"{number} errors in {failed} (scan them again with --retry {failed})", file=sys.stderr)
     if o.resume:
-        done = select_files(items.drop("content"), files, options.max_size)
-        done = done.join(spark.read.schema(artifacts.ERRORS).json(failed).select("repo", "path", "name").distinct(), ["repo", "path", "name"], "left_anti") if number else done
+        done = chosen.join(spark.read.schema(artifacts.ERRORS).json(failed).select("repo", "path", "name").distinct(), ["repo", "path", "name"], "left_anti") if number else chosen
         artifacts.add_done(done.select(rows.resume_keys(done).alias("key")), o.resume)
     return 3 if n and o.fail_on_findings else 0
 

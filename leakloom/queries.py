@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import allowlist, text
 from .functions.rules import Rule, load_rules, parse_rules, pick, severity_rank
 from .operators import containers, detect, findings, report
-from .operators.select import ARCHIVE_EXTENSIONS, SKIPPED_EXTENSIONS, SPECIAL_NAMES, TEXT_EXTENSIONS, FileFilter, RepoFilter, classify, filter_repos, listing_key, only_image_repos, select_files
+from .operators.select import ARCHIVE_EXTENSIONS, SKIPPED_EXTENSIONS, SPECIAL_NAMES, TEXT_EXTENSIONS, FileFilter, RepoFilter, classify, filter_repos, listing_key, only_image_repos, select_files, shuffled
 from .plans import scan
 from .schemas import REPORT
 from .sources import artifacts
@@ -459,6 +459,27 @@ def stats_row(spark: SparkSession, folder: str) -> DataFrame:
     return report.stats(items, items.withColumn("skipped", F.col("size") == 0), scanned(items), 0, 3723.0)
 
 
+@query(
+    f"{findings_sql(ALL, DOCS)} select 1 as no, printf('repos=%d files=%d/%d bytes=%d errors=7 duration=1m05s', count(distinct source), count(*) filter (strlen(text) > 0), count(*), sum(strlen(text))::bigint) as value from documents where text is not null "
+    "union all select 2, printf('findings: %d  (critical=%d high=%d medium=%d low=%d)', count(*), " + ", ".join(f"count(*) filter (severity = '{s}')" for s in ("critical", "high", "medium", "low")) + ") from best"
+)
+def summary_lines(spark: SparkSession, folder: str) -> DataFrame:
+    items, found = documents(spark, folder), scanned(documents(spark, folder))
+    return report.summary(report.stats(items, items.withColumn("skipped", F.col("size") == 0), found, 7, 65.0), report.severity_counts(found))
+
+
+@query(f"select repo, path, name from {DOCS} order by path, name, repo limit 50 offset 75")
+def listing_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page or so of a listing (a limit is the feature)."""
+    return artifacts.listing_page(documents(spark, folder), 75, 50).select("repo", "path", "name")
+
+
+@query(f"select repo, path, name from {DOCS}")
+def shuffled_items(spark: SparkSession, folder: str) -> DataFrame:
+    """All items, in a random order that is the same on every run."""
+    return shuffled(documents(spark, folder), 3).select("repo", "path", "name")
+
+
 @query(f"{findings_sql(TOKEN, DOCS)}, e as (select *, (name_id % 2) as odd from (select *, regexp_extract(path, '([0-9]+)', 1)::bigint as name_id from best)) select fingerprint, repo, path, case when odd = 0 then 'prior' else 'current' end as match from e")
 def merge_reports(spark: SparkSession, folder: str) -> DataFrame:
     """Reports of even documents (prior) and of all documents (current): the prior ones win."""
@@ -898,7 +919,5 @@ def stream_scan(spark: SparkSession, folder: str) -> DataFrame:
         source = f"{here}/landed"
         docs.repartition(4).write.parquet(source)
     stream = incremental.table_stream(spark, docs.schema, source, 2)
-    none = scanned(items_of(docs.limit(0), "documents"), TOKEN).select(*findings.COLUMNS).withColumn("batch", F.lit(0).cast("bigint"))
-    none.write.parquet(f"{here}/found")
     incremental.scan_stream(stream, lambda batch: scanned(items_of(batch, "documents"), TOKEN).select(*findings.COLUMNS), f"{here}/found", f"{here}/state").awaitTermination()
     return incremental.findings_of(spark, f"{here}/found").select("repo", "path", "line", "column", "fingerprint")

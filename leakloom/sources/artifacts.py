@@ -93,6 +93,11 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LISTING).option("multiLine", True).json(path).select(F.inline("results"))
 
 
+def listing_page(items: DataFrame, offset: int, size: int = 1000) -> DataFrame:
+    """One page of a listing by path and name: `size` items from `offset` on (a limit is the feature)."""
+    return items.orderBy("path", "name", "repo").offset(offset).limit(size)
+
+
 def storage_listing(spark: SparkSession, path: str, repo: str) -> DataFrame:
     """The fallback listing of one repository: files only, their URIs split into folder and name."""
     read = spark.read.schema(STORAGE).option("multiLine", True).json(path).select(F.inline("files")).where("not coalesce(folder, false)")

@@ -13,21 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..schemas import FINDINGS
+
 
 def table_stream(spark: SparkSession, schema, path: str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+#: Findings are stored by this many leading digits of their fingerprints, so that a batch reads only the parts of the store that it may repeat.
+DIGITS = 2
+STORED = f"{FINDINGS}, batch bigint, prefix string"
+
+
 def _stored(spark: SparkSession, store: str) -> DataFrame | None:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(store)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(store) if fs.exists(path) and any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(path)) else None
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    return spark.read.schema(STORED).parquet(store) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
 
 
 def only_new(found: DataFrame, store: str) -> DataFrame:
+    """Findings (with their prefix) that the store does not have. found is read twice; its prefixes, 256 at most, go to the driver."""
     known = _stored(found.sparkSession, store)
-    return found if known is None else found.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti").select(*found.columns)
+    if known is None:
+        return found
+    prefixes = [r[0] for r in found.select("prefix").distinct().collect()]
+    return found.join(known.where(F.col("prefix").isin(prefixes)).select("fingerprint").distinct(), "fingerprint", "left_anti").select(*found.columns)
 
 
 def scan_stream(stream: DataFrame, scan: Callable[[DataFrame], DataFrame], store: str, checkpoint: str) -> StreamingQuery:
@@ -37,12 +46,16 @@ def scan_stream(stream: DataFrame, scan: Callable[[DataFrame], DataFrame], store
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        new = only_new(scan(batch), store).withColumn("batch", F.lit(number))
-        new.write.mode("append").parquet(store)
+        found = scan(batch).withColumns({"batch": F.lit(number).cast("bigint"), "prefix": F.left("fingerprint", F.lit(DIGITS))}).persist()
+        try:
+            only_new(found, store).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(store)
+        finally:
+            found.unpersist()
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def findings_of(spark: SparkSession, store: str) -> DataFrame:
     """The stored findings, once each: a batch that was written twice counts once."""
-    return spark.read.parquet(store).dropDuplicates(["fingerprint"])
+    found = _stored(spark, store)
+    return (spark.createDataFrame([], STORED) if found is None else found).drop("prefix").dropDuplicates(["fingerprint"])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from leakloom.functions import text
 from leakloom.functions.rules import load_rules, parse_rules, pick
 from leakloom.operators import containers, detect, findings, report
-from leakloom.operators.select import FileFilter, classify, only_image_repos, select_files
+from leakloom.operators.select import FileFilter, classify, only_image_repos, select_files, shuffled
 from leakloom.plans import options, scan
 from leakloom.sources import artifacts
 from leakloom.streaming import incremental
@@ -367,7 +367,10 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "in/lib").mkdir(parents=True)
     (tmp_path / "in/lib/a.txt").write_text(TOKEN)
     out = str(tmp_path / "rep")
-    assert options.main([str(tmp_path / "in"), "--out", out, "--format", "json", "--fail-on-findings"]) == 3
+    assert options.main([str(tmp_path / "in"), "--out", out, "--format", "json", "--fail-on-findings", "--live"]) == 3
+    said = capsys.readouterr().err
+    assert "lib/a.txt:1" in said and f"repos=1 files=1/1 bytes={len(TOKEN)} errors=0" in said and "findings: 1  (critical=" in said
+    assert json.load(open(f"{out}.json"))["stats"]["files_selected"] == 1
     assert options.main([str(tmp_path / "in"), "--dry-run"]) == 0
     assert "lib/a.txt" in capsys.readouterr().out
     assert options.main([str(tmp_path / "in"), "--no-files"]) == 2
@@ -435,6 +438,14 @@ def test_command_line_selects_repositories_of_a_catalogue(spark, tmp_path, capsy
     assert listed("--package-type", "gems") == (1, [])
 
 
+def test_pages_and_random_orders(spark):
+    df = items(spark, *[("r", f"d{i % 3}", f"f{i}", b"") for i in range(20)])
+    whole = [(r["path"], r["name"]) for r in df.orderBy("path", "name").collect()]
+    assert [(r["path"], r["name"]) for n in range(0, 24, 6) for r in artifacts.listing_page(df, n, 6).collect()] == whole
+    orders = [[r["name"] for r in shuffled(df.repartition(p), seed).collect()] for p, seed in ((1, 1), (5, 1), (3, 2))]
+    assert orders[0] == orders[1] != orders[2] and sorted(orders[0]) == sorted(orders[2]) != orders[0]
+
+
 def test_merge_does_not_depend_on_the_order_of_rows(spark):
     kind = ", ".join(f"`{c}` " + ("int" if c in ("line", "column") else "double" if c == "entropy" else "bigint" if c == "size" else "string") for c in findings.COLUMNS)
     rows = [tuple("same" if c == "fingerprint" else i if c == "line" else 1 if c == "column" else 1.0 if c == "entropy" else 1 if c == "size" else f"m{i}" if c == "match" else "" for c in findings.COLUMNS) for i in range(9)]
