@@ -61,10 +61,11 @@ def place(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 10, near: float = 0.002) -> DataFrame:
     """One row per source: source, source_size, target, copies of every document, and limits, floors and cuts for one copy more.
 
-    A document gets one copy more if for some i its size is at most limits[i] and its place above floors[i] and at most cuts[i].
+    A document gets one copy more for each i where its size is at most limits[i] and its place above floors[i] and at most cuts[i].
     The first limit and floor are none. Where the boundary document is larger than what is left, and that is more than
     `near` of the target, a further threshold is sought beyond it among the documents that fit, until no more than that
-    is left or no document fits; the boundary document is taken after all if that comes nearer to the target than they do.
+    is left or no document fits; then among all documents again, while that leaves them `most` copies. The boundary document is taken after
+    all if that comes nearer to the target than all these do.
 
     sized: source, size, place. Per-source totals and one boundary per source and level come to the
     driver, some hundred bytes a source; documents do not. An empty table gives an empty plan.
@@ -75,7 +76,7 @@ def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: f
     plan = {}
     for name, size in sizes:
         copies = min(int(goal[name] // size), int(most)) if size else 0
-        plan[name] = {"size": size, "copies": copies, "left": goal[name] - copies * size if size else 0.0, "limits": [], "floors": [], "cuts": [], "over": None}
+        plan[name] = {"size": size, "copies": copies, "left": goal[name] - copies * size if size else 0.0, "limits": [], "floors": [], "cuts": [], "over": None, "passes": 1}
 
     def level(open_: dict, shift: int, width: int) -> dict:
         """For each open source (floor, limit, prefix), the boundary bucket of its documents; the last bucket if all fit."""
@@ -117,6 +118,10 @@ def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: f
                     if p["left"] >= max(1, near * goal[name]):
                         begin[name] = (r["hi"], min(limit, int(p["left"])))
                         continue
+                if p["left"] >= max(1, near * goal[name]) and p["copies"] + p["passes"] < int(most):
+                    p["passes"] += 1
+                    begin[name] = (-1, int(p["left"]))
+                    continue
                 if p["over"] and p["over"][0] < p["left"]:  # a boundary document itself, if that is nearer to the target
                     _, n, hi = p["over"]
                     for part in ("limits", "floors", "cuts"):
@@ -130,8 +135,9 @@ def with_plan(docs: DataFrame, plan: DataFrame, source_col: str = "source") -> D
     """docs (with columns size and place) and the number of times that the mix takes each row, as column copies."""
     p = small(plan, BROADCAST_SOURCES).withColumnRenamed("source", "_of")
     joined = docs.join(p, F.col(source_col).eqNullSafe(F.col("_of"))).drop("_of")
-    fits = F.exists(F.arrays_zip("limits", "floors", "cuts"), lambda x: (F.col("size") <= x["limits"]) & (F.col("place") > x["floors"]) & (F.col("place") <= x["cuts"]))
-    return joined.withColumn("copies", F.col("copies") + fits.cast("int")).drop("limits", "floors", "cuts")
+    fits = F.size(F.filter(F.arrays_zip("limits", "floors", "cuts"), lambda x: (F.col("size") <= x["limits"]) & (F.col("place") > x["floors"]) & (F.col("place") <= x["cuts"])))
+    fits = F.when(F.col("size") > 0, fits).otherwise(F.least(fits, F.lit(1)))  # documents without words fill no target
+    return joined.withColumn("copies", F.col("copies") + fits).drop("limits", "floors", "cuts")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
