@@ -1,6 +1,6 @@
 """Option parsing and the command line: python -m leakloom.plans.options ROOT --out report
 
-A run leaves the report, OUT.errors.jsonl if something failed, and with --resume the keys of what it has done.
+LEAKLOOM_RULES, LEAKLOOM_REPOSITORIES and LEAKLOOM_BASE_URL stand in for the options of these names. A run leaves the report, OUT.errors.jsonl if something failed, and with --resume the keys of what it has done.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import base64
 import binascii
 import datetime as dt
 import math
+import os
 import re
 import sys
 import time
@@ -55,6 +56,11 @@ def parse_basic(s: str) -> tuple[str, str]:
     return user, password
 
 
+def or_env(value: str, name: str) -> str:
+    """A value, or where it is empty that of an environment variable."""
+    return value or os.environ.get(name, "")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="leakloom", description="Scan files below ROOT/<repository>/ for secrets.")
     a = p.add_argument
@@ -87,6 +93,7 @@ def main(argv: list[str] | None = None) -> int:
 
     try:
         o = parser().parse_args(argv)
+        o.rules, o.repositories, o.base_url = or_env(o.rules, "LEAKLOOM_RULES"), or_env(o.repositories, "LEAKLOOM_REPOSITORIES"), or_env(o.base_url, "LEAKLOOM_BASE_URL")
         since = dt.datetime.now(dt.timezone.utc) - parse_since(o.since) if o.since else None
         images = o.docker_config or o.docker_layers
         if o.no_files and not images:

@@ -73,6 +73,11 @@ SAMPLE_ITEMS = [("lib", "conf" if i % 2 else ".", f"{n}.txt", c) for i, (n, c) i
 DOCS = "(select source as repo, lang as path, 'doc_' || doc_id || '.txt' as name, text as content from documents where text is not null)"
 PAGES = "(select 'pages' as repo, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as path, 'page_' || page_id || '.html' as name, html as content from pages where html is not null)"
 SAMPLE_SQL = values(SAMPLE_ITEMS, "repo", "path", "name", "content")
+#: The fixtures and the texts of all tables.
+EVERYWHERE = f"""(select * from {SAMPLE_SQL} union all select * from {DOCS} union all select * from {PAGES}
+    union all select event_type, '.', 'event_' || event_id || '.json', props from events where props is not null
+    union all select role, conv_id::varchar, 'turn_' || turn || '.md', text from conversations where text is not null
+    union all select 'benchmark', '.', 'item_' || item_id || '.txt', text from benchmark where text is not null)"""
 #: Every document's digest as a token, inside a base64 run: of the standard alphabet, of the URL one, or of the URL one with a place where a standard run ends.
 CODED = """(select source as repo, lang as path, 'blob_' || doc_id || '.txt' as name, 'data' || chr(10) || 'v: ' || case when doc_id % 3 = 0 then run else translate(run, '+/', '-_') end as content
     from (select *, to_base64(encode(case doc_id % 3 when 0 then '' when 1 then '>>>???' else '' end || 'token = "' || sha1(text) || '"' || case when doc_id % 3 = 2 then ' ?>>>???' else '' end)) as run from documents where text is not null))"""
@@ -196,9 +201,14 @@ def repo_summary(spark: SparkSession, folder: str) -> DataFrame:
     return report.repo_summary(repos_of(docs, "documents"), scanned(items_of(docs, "documents")))
 
 
-@query(f"{findings_sql(ALL, SAMPLE_SQL)} select repo, path, rule_id, severity, line, \"column\", secret, entropy, fingerprint from best")
+@query(f"{findings_sql(ALL, EVERYWHERE)} select repo, path, rule_id, severity, line, \"column\", secret, entropy, fingerprint from best")
 def sample_findings(spark: SparkSession, folder: str) -> DataFrame:
-    return scanned(samples(spark)).select("repo", "path", "rule_id", "severity", "line", "column", "secret", "entropy", "fingerprint")
+    """All rules over the fixtures and all texts of all tables."""
+    names = ["repo", "path", "name", "size", "sha256", "content"]
+    every = samples(spark).select(*names)
+    for t in artifacts.TABLES:
+        every = every.union(items_of(table(spark, folder, t), t).select(*names))
+    return scanned(every).select("repo", "path", "rule_id", "severity", "line", "column", "secret", "entropy", "fingerprint")
 
 
 REPOS = [("a", "LOCAL", "maven"), ("b", "REMOTE", "npm"), ("c", "VIRTUAL", "npm"), ("d", "FEDERATED", "docker"), ("e", "OTHER", "npm"), ("f", "local", "NPM")]
@@ -605,15 +615,15 @@ def dry_run(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"{findings_sql(ALL, SAMPLE_SQL)} select severity, rule_name as rule, category, repo, path, line, \"column\", case when regexp_matches(secret, '^[=+\\-@\\t\\r]') then '''' || secret else secret end as secret, printf('%.2f', entropy) as entropy, fingerprint from best"
+    f"{findings_sql(ALL, BOTH)} select severity, rule_name as rule, category, repo, path, line, \"column\", case when regexp_matches(secret, '^[=+\\-@\\t\\r]') then '''' || secret else secret end as secret, printf('%.2f', entropy) as entropy, fingerprint from best"
 )
 def csv_report(spark: SparkSession, folder: str) -> DataFrame:
-    return report.csv_rows(scanned(samples(spark))).select("severity", "rule", "category", "repo", "path", "line", "column", "secret", "entropy", "fingerprint")
+    return report.csv_rows(both(spark, folder)).select("severity", "rule", "category", "repo", "path", "line", "column", "secret", "entropy", "fingerprint")
 
 
-@query(f"{findings_sql(ALL, SAMPLE_SQL)} select printf('%-8s %s  %s/%s:%d', upper(severity), rule_name, repo, path, line) as said, {RANK} as rank from best")
+@query(f"{findings_sql(ALL, BOTH)} select printf('%-8s %s  %s/%s:%d', upper(severity), rule_name, repo, path, line) as said, {RANK} as rank from best")
 def live_lines(spark: SparkSession, folder: str) -> DataFrame:
-    found = scanned(samples(spark))
+    found = both(spark, folder)
     return found.select(text.live_line(F.col("severity"), F.col("rule_name"), F.col("repo"), F.col("path"), F.col("line")).alias("said"), severity_rank(F.col("severity")).alias("rank"))
 
 
@@ -799,19 +809,19 @@ def resume_keys(spark: SparkSession, folder: str) -> DataFrame:
     return keyed.join(artifacts.resume_file(spark, here), "key").select("repo", "name", "key")
 
 
-@query(f"{findings_sql(ALL, SAMPLE_SQL)} select rule_id, severity, repo, path, line, \"column\", match, secret, entropy, fingerprint from (select * replace (left(match, 200) as match) from best)")
+@query(f"{findings_sql(ALL, BOTH)} select rule_id, severity, repo, path, line, \"column\", match, secret, entropy, fingerprint from (select * replace (left(match, 200) as match) from best)")
 def json_report(spark: SparkSession, folder: str) -> DataFrame:
     """The single JSON document of a report, read back as an earlier report is."""
-    found = scanned(samples(spark))
+    found = both(spark, folder)
     doc = "".join(report.document({"tool": "leakloom"}, {"findings": 1}, (r.asDict() for r in found.select(*findings.COLUMNS).collect())))
     read = spark.createDataFrame([(doc,)], "value string").select(F.inline(F.from_json("value", REPORT)["findings"]))
     return read.select("rule_id", "severity", "repo", "path", "line", "column", "match", "secret", "entropy", "fingerprint").fillna("", ["secret"])
 
 
-@query(f"{findings_sql(ALL, SAMPLE_SQL)} select severity, rule_name as rule, repo, path, line from best")
+@query(f"{findings_sql(ALL, BOTH)} select severity, rule_name as rule, repo, path, line from best")
 def html_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The table of the HTML page, read out of the page."""
-    found = scanned(samples(spark))
+    found = both(spark, folder)
     page = "".join(report.html_page({"target": "x"}, {}, {}, (r.asDict() for r in found.select(*findings.COLUMNS).collect())))
     row = r'<tr data-s="([a-z]+)"[^>]*><td[^>]*>[^<]*</td><td>([^<]*)</td><td>([^<]*)</td><td>([^<]*)</td><td>([0-9]+)</td>'
     rows = spark.createDataFrame([(page,)], "value string").select(F.explode(F.regexp_extract_all("value", F.lit(row), F.lit(0))).alias("r"))

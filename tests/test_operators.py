@@ -438,6 +438,15 @@ def test_command_line_selects_repositories_of_a_catalogue(spark, tmp_path, capsy
     assert listed("--package-type", "gems") == (1, [])
 
 
+def test_environment_stands_in_for_options(spark, tmp_path, monkeypatch):
+    (tmp_path / "in/lib").mkdir(parents=True)
+    (tmp_path / "in/lib/a.txt").write_text("mine 123")
+    (tmp_path / "rules.json").write_text('{"rules": [{"id": "mine", "regex": "mine [0-9]+"}]}')
+    monkeypatch.setenv("LEAKLOOM_RULES", str(tmp_path / "rules.json"))
+    assert options.or_env("x", "LEAKLOOM_RULES") == "x" and options.or_env("", "LEAKLOOM_NONE") == ""
+    assert options.main([str(tmp_path / "in"), "--out", str(tmp_path / "rep"), "--format", "json", "--fail-on-findings"]) == 3
+
+
 def test_pages_and_random_orders(spark):
     df = items(spark, *[("r", f"d{i % 3}", f"f{i}", b"") for i in range(20)])
     whole = [(r["path"], r["name"]) for r in df.orderBy("path", "name").collect()]
