@@ -33,24 +33,40 @@ PIECES = 4096
 HASH_BITS = 63
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: Sequence[float] = (5, 2, 1), most: float = 3) -> dict[str | None, float]:
-    """Token target of each source: its share by weight of all tokens, at most `most` times its size.
-
-    Weights go to the sources by code point (null last), repeating. What a source cannot
-    take is shared among the others by weight, until no target is above its limit.
+def ranked(sizes: DataFrame) -> DataFrame:
+    """Rows (source, size) with rank: the number of sources before it by code point, null last. One count a task comes to the driver."""
+    keys = [F.col("source").isNull(), F.col("source")]
+    laid = cut(sizes.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()))
+    before, total = [], 0
+    for part, n in sorted((r["_part"], r["count"]) for r in laid.groupBy("_part").count().collect()):
+        before.append((part, total))
+        total += n
+    offsets = sizes.sparkSession.createDataFrame(before, schema(_part="int", _before="long"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
+    return laid.withColumn("_own", own).join(F.broadcast(offsets), "_part").select("source", "size", (F.col("_own") + F.col("_before")).alias("rank"))
+
+
+def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3) -> DataFrame:
+    """Rows (source, size) with the token target of each source: its share by weight of all tokens, at most `most` times its size.
+
+    Weights go to the sources by code point (null last), repeating. What a source cannot take is shared among the
+    others by weight, until no target is above its limit. Only sums come to the driver.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {name: float(weights[i % len(weights)]) for i, (name, _) in enumerate(order)}
-    size, total = dict(order), float(sum(n for _, n in order))
-    full: set[str | None] = set()
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    rows = cut(ranked(sizes).withColumns({"_w": weight, "_limit": F.col("size") * F.lit(float(most))}))
+    total = float(rows.agg(F.sum("size")).first()[0] or 0)
+    full, share = F.lit(False), F.lit(0.0)
     while True:
-        free = [x for x in weight if x not in full]
-        left, parts = total - sum(most * size[x] for x in full), sum(weight[x] for x in free)
-        share = {x: left * weight[x] / parts for x in free} if parts else {}
-        above = [x for x in free if share[x] > most * size[x]]
-        if not above:
-            return {x: most * size[x] if x in full else share[x] for x in weight}
-        full.update(above)
+        r = rows.agg(F.sum(F.when(full, F.col("_limit"))).alias("taken"), F.sum(F.when(~full, F.col("_w"))).alias("parts"), F.count_if(full).alias("n")).first()
+        if not r["parts"]:
+            break
+        left = total - (r["taken"] or 0.0)
+        share = F.lit(left) * F.col("_w") / F.lit(r["parts"])
+        above = share > F.col("_limit")  # shares grow from step to step, so that what was above stays above
+        if rows.agg(F.count_if(above)).first()[0] == r["n"]:
+            break
+        full = above
+    return rows.select("source", "size", F.when(full, F.col("_limit")).otherwise(share).alias("target"))
 
 
 def place(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -58,7 +74,7 @@ def place(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(id_col), text_of(text_col)), 1)
 
 
-def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 10, near: float = 0.002) -> DataFrame:
+def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 12, near: float = 0.002) -> DataFrame:
     """One row per source: source, source_size, target, copies of every document, and limits, floors and cuts for one copy more.
 
     A document gets one copy more for each i where its size is at most limits[i] and its place above floors[i] and at most cuts[i].
@@ -67,21 +83,27 @@ def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: f
     is left or no document fits; then among all documents again, while that leaves them `most` copies. The boundary document is taken after
     all if that comes nearer to the target than all these do.
 
-    sized: source, size, place. Per-source totals and one boundary per source and level come to the
-    driver, some hundred bytes a source; documents do not. An empty table gives an empty plan.
+    sized: source, size, place. The plan is a table that is refined level by level; neither documents nor sources come to the
+    driver, only sums over all of them. An empty table gives an empty plan.
     """
-    spark = sized.sparkSession
-    sizes = [(r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()]
-    goal = targets(sizes, weights, most)
-    plan = {}
-    for name, size in sizes:
-        copies = min(int(goal[name] // size), int(most)) if size else 0
-        plan[name] = {"size": size, "copies": copies, "left": goal[name] - copies * size if size else 0.0, "limits": [], "floors": [], "cuts": [], "over": None, "passes": 1}
-
-    def level(open_: dict, shift: int, width: int) -> dict:
-        """For each open source (floor, limit, prefix), the boundary bucket of its documents; the last bucket if all fit."""
-        at = spark.createDataFrame([(n, *v, float(plan[n]["left"])) for n, v in open_.items()], schema(of="string", floor="long", limit="long", prefix="long", budget="double"))
-        inside = sized.join(small(at, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("of")) & (F.col("place") > F.col("floor")) & (F.col("size") <= F.col("limit")))
+    largest = (1 << 63) - 1
+    left, size = F.col("left"), F.col("size")
+    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, most)
+    plan = plan.withColumn("copies", F.when(size > 0, F.least(F.floor(F.col("target") / size), F.lit(int(most)))).otherwise(0).cast("int"))
+    plan = plan.withColumn("left", F.when(size > 0, F.col("target") - F.col("copies") * size).otherwise(0.0))
+    none = F.array().cast("array<bigint>")
+    #: state: 2 begins with the next round, 1 is open in this one, 0 is done
+    plan = cut(
+        plan.withColumns({"limits": none, "floors": none, "cuts": none, "over": F.lit(None).cast("struct<excess:double,n:int,hi:bigint>"), "passes": F.lit(1), "floor": F.lit(-1).cast("long"), "limit": F.lit(largest)})
+        .withColumns({"prefix": F.lit(0).cast("long"), "state": F.when(left >= 1, 2).otherwise(0)})
+    )
+    few = plan.count() <= BROADCAST_SOURCES
+    sent = F.broadcast if few else lambda df: df
+
+    def level(plan: DataFrame, shift: int, width: int) -> DataFrame:
+        """The plan after one level: for each open source, the boundary bucket of its documents (the last one if all fit) is resolved or entered."""
+        at = plan.where("state = 1").select(F.col("source").alias("of"), "floor", "limit", "prefix", left.alias("budget"))
+        inside = sized.join(sent(at), F.col("source").eqNullSafe(F.col("of")) & (F.col("place") > F.col("floor")) & (size <= F.col("limit")))
         if shift + width < HASH_BITS:
             inside = inside.where(F.shiftright("place", shift + width) == F.col("prefix"))
         hist = inside.groupBy("source", F.shiftright("place", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.first("budget").alias("budget"), F.min("place").alias("lo"), F.max("place").alias("hi"))
@@ -89,46 +111,51 @@ def mixture_plan(sized: DataFrame, weights: Sequence[float] = (5, 2, 1), most: f
         last = F.max("bucket").over(Window.partitionBy("source"))
         crossed = (F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("n") <= F.col("budget"))
         edge = hist.withColumns({"upto": upto, "_last": last}).where(crossed | ((F.col("bucket") == F.col("_last")) & (F.col("upto") <= F.col("budget"))))
-        return {r["source"]: r for r in edge.collect()}
-
-    largest = (1 << 63) - 1
-    begin = {n: (-1, largest) for n, p in plan.items() if p["left"] >= 1}
-    while begin:  # each time behind a later document, so that it ends
-        open_, shift = {n: (*v, 0) for n, v in begin.items()}, HASH_BITS
-        begin = {}
-        while open_ and shift > 0:
-            width = min(bits, shift)
-            shift -= width
-            found = level(open_, shift, width)
-            for name, (floor, limit, _) in list(open_.items()):
-                p, r = plan[name], found.get(name)
-                fits = r is None or r["upto"] <= p["left"]  # the budget takes all that is left
-                if r is not None:
-                    p["left"] -= r["upto"] if fits else r["upto"] - r["n"]
-                if not fits and r["lo"] != r["hi"] and shift:
-                    open_[name] = (floor, limit, r["bucket"])
-                    continue
-                p["limits"].append(limit)
-                p["floors"].append(floor)
-                p["cuts"].append(largest if fits else r["lo"] - 1)
-                del open_[name]
-                if not fits:
-                    over = (r["n"] - p["left"], len(p["cuts"]), r["hi"])
-                    p["over"] = min(p["over"] or over, over)
-                    if p["left"] >= max(1, near * goal[name]):
-                        begin[name] = (r["hi"], min(limit, int(p["left"])))
-                        continue
-                if p["left"] >= max(1, near * goal[name]) and p["copies"] + p["passes"] < int(most):
-                    p["passes"] += 1
-                    begin[name] = (-1, int(p["left"]))
-                    continue
-                if p["over"] and p["over"][0] < p["left"]:  # a boundary document itself, if that is nearer to the target
-                    _, n, hi = p["over"]
-                    for part in ("limits", "floors", "cuts"):
-                        del p[part][n:]
-                    p["cuts"][-1] = hi
-    rows = [(n, p["size"], float(goal[n]), p["copies"], p["limits"], p["floors"], p["cuts"]) for n, p in plan.items()]
-    return spark.createDataFrame(rows, schema(source="string", source_size="long", target="double", copies="int", limits="array<bigint>", floors="array<bigint>", cuts="array<bigint>"))
+        joined = plan.join(sent(edge.select(F.col("source").alias("_of"), "bucket", "n", "upto", "lo", "hi")), F.col("source").eqNullSafe(F.col("_of")), "left")
+
+        is_open, some = F.col("state") == 1, F.col("upto").isNotNull()
+        joined = joined.withColumn("_fits", ~some | (F.col("upto") <= left))  # the budget takes all that is left
+        joined = joined.withColumn("left", F.when(is_open & some, left - F.when(F.col("_fits"), F.col("upto")).otherwise(F.col("upto") - F.col("n"))).otherwise(left))
+        deeper = ~F.col("_fits") & (F.col("lo") != F.col("hi")) & F.lit(shift > 0)
+        joined = joined.withColumns({"_deeper": is_open & deeper, "_closed": is_open & ~deeper, "prefix": F.when(is_open & deeper, F.col("bucket")).otherwise(F.col("prefix"))})
+        closed = F.col("_closed")
+        added = lambda c, value: F.when(closed, F.concat(c, F.array(value))).otherwise(F.col(c))
+        joined = joined.withColumns({"limits": added("limits", F.col("limit")), "floors": added("floors", F.col("floor")), "cuts": added("cuts", F.when(F.col("_fits"), F.lit(largest)).otherwise(F.col("lo") - 1))})
+        over = F.struct((F.col("n") - left).cast("double").alias("excess"), F.size("cuts").alias("n"), F.col("hi").alias("hi"))
+        joined = joined.withColumn("over", F.when(closed & ~F.col("_fits"), F.least("over", over)).otherwise(F.col("over")))
+        wanting = closed & (left >= F.greatest(F.lit(1.0), F.lit(near) * F.col("target")))
+        onward, again = wanting & ~F.col("_fits"), wanting & F.col("_fits") & (F.col("copies") + F.col("passes") < int(most))
+        joined = joined.withColumns({"_onward": onward, "_again": again})
+        done = closed & ~F.col("_onward") & ~F.col("_again")
+        # a boundary document itself, if that is nearer to the target
+        back = done & F.col("over").isNotNull() & (F.col("over.excess") < left)
+        shorter = lambda c: F.when(back, F.slice(c, F.lit(1), F.col("over.n"))).otherwise(F.col(c))
+        joined = joined.withColumns({"limits": shorter("limits"), "floors": shorter("floors"), "cuts": F.when(back, F.concat(F.slice("cuts", F.lit(1), F.col("over.n") - 1), F.array("over.hi"))).otherwise(F.col("cuts"))})
+        whole = F.floor(left).cast("long")
+        joined = joined.withColumns(
+            {
+                "floor": F.when(F.col("_onward"), F.col("hi")).when(F.col("_again"), -1).otherwise(F.col("floor")),
+                "limit": F.when(F.col("_onward"), F.least("limit", whole)).when(F.col("_again"), whole).otherwise(F.col("limit")),
+                "passes": F.col("passes") + F.col("_again").cast("int"),
+                "state": F.when(F.col("_onward") | F.col("_again"), 2).when(closed, 0).otherwise(F.col("state")),
+            }
+        )
+        return joined.select(*plan.columns)
+
+    def counted(plan: DataFrame) -> tuple[int, int]:
+        r = plan.agg(F.count_if(F.col("state") == 1).alias("open"), F.count_if(F.col("state") == 2).alias("next")).first()
+        return r["open"], r["next"]
+
+    shift, (_, waiting) = 0, counted(plan)
+    inside = 0
+    while inside or waiting:
+        if not inside:
+            plan, shift = plan.withColumn("state", F.when(F.col("state") == 2, 1).otherwise(F.col("state"))), HASH_BITS
+        width = min(bits, shift)
+        shift -= width
+        plan = cut(level(plan, shift, width))
+        inside, waiting = counted(plan)
+    return plan.select("source", F.col("size").alias("source_size"), "target", "copies", "limits", "floors", "cuts")
 
 
 def with_plan(docs: DataFrame, plan: DataFrame, source_col: str = "source") -> DataFrame:
@@ -158,7 +185,7 @@ def records(rows: DataFrame) -> DataFrame:
     return each.select("doc_id", "source", (F.col("size") * n).alias("size"), own.alias("place"), n.alias("n"), "group")
 
 
-def mix_table(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 10) -> DataFrame:
+def mix_table(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 12) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target of its source, copies and taken = copies * size.
 
     Null texts have size 0; a null source is a source of its own. Of equal rows (same id, text and source) as many are
@@ -171,7 +198,7 @@ def mix_table(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float
     return planned.where("n = 1").unionByName(each).drop("n").withColumn("taken", F.col("copies").cast("long") * F.col("size"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 10) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, bits: int = 12) -> DataFrame:
     """The mix itself: rows of docs with their own columns, each as often as the mix takes it.
 
     Rows without words are taken like others, by their hash, but not where their source has no words at all. Null ids, texts and

@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leakloom.llm import contamination, jaccard, mixing, queries, substring
+from leakloom.llm import contamination, jaccard, queries, substring
+from mixtures import brute_targets
 from oracle import connect, rows_of, rows_of_sql
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -366,7 +367,7 @@ def test_pipeline(spark, data):
                 have[s] += size(t)
             for s, t in zip(out.source, out.text, strict=True):
                 taken[s] += size(t)
-            goal = mixing.targets(list(have.items()))
+            goal = brute_targets(list(have.items()))
             assert out.doc_id.value_counts().max() <= 3 and all(abs(taken[s] - goal[s]) <= max(0.01 * goal[s], 60) for s in goal)
         if name == "sharding":
             assert collections.Counter(out.doc_id) == collections.Counter(r["doc_id"] for r in texts)

@@ -15,6 +15,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from mixtures import brute_targets
+
 from leakloom.llm import chat, mixing, quality, queries, sharding, textcore, tiff, toxicity, urlglob
 
 DOCS = "doc_id bigint, text string, source string"
@@ -616,7 +618,7 @@ def test_sharding_and_mixing_queries(spark, data):
     sources = collections.Counter()
     for r in rows:
         sources[r["source"]] += count(r["text"] or "")
-    goal = mixing.targets(list(sources.items()))
+    goal = brute_targets(list(sources.items()))
     mixed, taken = queries.op10_hash_mix(spark, data).collect(), collections.Counter()
     assert len(mixed) == len(rows)
     for r in mixed:
@@ -627,11 +629,36 @@ def test_sharding_and_mixing_queries(spark, data):
     assert all(abs(taken[s] - goal[s]) <= max(0.01 * goal[s], 60, small[s]) for s in sources)
 
 
-def test_targets_share_the_excess():
-    t = mixing.targets([("b", 1000), ("a", 10), (None, 100), ("c", 0)], (5, 2, 1), 3)
+def targets_of(spark, sizes, *args):
+    rows = spark.createDataFrame(sizes, "source string, size bigint")
+    return {r["source"]: r["target"] for r in mixing.targets(rows.repartition(3), *args).collect()}
+
+
+def test_targets_share_the_excess(spark):
+    t = targets_of(spark, [("b", 1000), ("a", 10), (None, 100), ("c", 0)], (5, 2, 1), 3)
     assert t["a"] == 30 and t[None] <= 300 and t["c"] == 0 and abs(sum(t.values()) - 1110) < 1e-6
-    assert mixing.targets([]) == {} and mixing.targets([("a", 7)]) == {"a": 7}
-    assert mixing.targets([("a", 0), ("b", 0)]) == {"a": 0, "b": 0}
+    assert targets_of(spark, []) == {} and targets_of(spark, [("a", 7)]) == {"a": 7}
+    assert targets_of(spark, [("a", 0), ("b", 0)]) == {"a": 0, "b": 0}
+    rng = random.Random(8)
+    for n in (4, 60, 300):
+        sizes = [(f"s{i:03}é"[: rng.randrange(3, 6)] + str(i), int(10 ** rng.uniform(0, 6))) for i in range(n)] + [(None, 50), ("", 9)]
+        assert targets_of(spark, sizes) == brute_targets(sizes)
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 5)
+    rng = random.Random(2)
+    rows = [(i, "w " * rng.randrange(1, 30), f"s{rng.randrange(40)}" if i % 3 else "hot") for i in range(2500)]
+    df = spark.createDataFrame(rows, DOCS)
+    got, taken = mixing.mix_table(df).collect(), collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    goal = brute_targets(list(size.items()))
+    assert len(got) == len(rows) and {r["source"]: r["target"] for r in got} == goal
+    assert all(abs(taken[s] - goal[s]) <= max(20, 0.01 * goal[s]) for s in goal)
 
 
 def test_mix_meets_targets_and_never_repeats_more_than_allowed(spark):
@@ -650,7 +677,7 @@ def test_mix_meets_targets_and_never_repeats_more_than_allowed(spark):
         size[r["source"]] += r["size"]
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
-    assert target == mixing.targets(list(size.items()))
+    assert target == brute_targets(list(size.items()))
     assert all(r["source_size"] == size[r["source"]] for r in rows)
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 60 for s in target)
     mixed = mixing.mix(df)
@@ -681,7 +708,7 @@ def brute_mix(rows, weights=(5, 2, 1), most=3.0):
     size = collections.Counter()
     for s, n, _ in rows:
         size[s] += n
-    goal = mixing.targets(list(size.items()), weights, most)
+    goal = brute_targets(list(size.items()), weights, most)
     out = {}
     for s in size:
         base = min(int(goal[s] // size[s]), int(most)) if size[s] else 0
