@@ -16,7 +16,7 @@ equal prefixes. These matching statistics, capped at `length`, are the intervals
 Identical texts are one text with a count: with two or more copies, all of its windows repeat. A task enters
 each text once, and of passages that it has met twice only two; the others are known to repeat. An anchor
 that very many texts share is divided: its windows go one by one to shards by their own content.
-Words are compared by 32 bits of their hashes inside an index; anchors by 64 bits.
+Words and anchors are compared by 64 bits of their hashes.
 """
 
 from __future__ import annotations
@@ -325,7 +325,7 @@ def _blocks(e: np.ndarray, data: np.ndarray, at: np.ndarray, length: int):
                 offset = e["p"][inside] - w - e["s"][inside]
                 h = np.zeros(len(inside), U64)
                 for q in range(length):
-                    h = mix(h * U64(31) + data[at[inside] + offset + q].astype(U64) + U64(1))
+                    h = mix(h * U64(31) + data[at[inside] + offset + q] + U64(1))
                 parts = int(len(inside) * length // INDEX) + 1
                 group = h % U64(parts)
                 for q in range(parts):
@@ -351,7 +351,7 @@ def _shard_intervals(rows: list, length: int):
     known = np.concatenate([none, *(np.frombuffer(r[0], SEGMENT) for r in rows if not r[1])])
     rows = [r for r in rows if r[1]]
     e = np.concatenate([none, *(np.frombuffer(r[0], SEGMENT) for r in rows)])
-    data = np.concatenate([np.zeros(0, np.uint32)] + [np.frombuffer(ZSTD.decompress(r[1][8:], int(np.frombuffer(r[1][:8], np.int64)[0]), asbytes=True), np.uint32) for r in rows])
+    data = np.concatenate([np.zeros(0, U64)] + [np.frombuffer(ZSTD.decompress(r[1][8:], int(np.frombuffer(r[1][:8], np.int64)[0]), asbytes=True), U64) for r in rows])
     at = np.concatenate([[0], np.cumsum(e["w"] + length - 1)])[:-1]
     once = np.lexsort((e["s"], e["p"], e["b"], e["a"], e["h"]))
     once = once[_new(*(e[c][once] for c in ("h", "a", "b", "p", "s")))]  # copies of a text bring their segments again
@@ -363,7 +363,7 @@ def _shard_intervals(rows: list, length: int):
         first = np.concatenate([[0], np.cumsum(size)])
         codes = data[np.repeat(source - first[:-1], size) + np.arange(first[-1])]
         # equal segments are one, with a count
-        h = mix(mix(codes.astype(U64) + U64(7)) + (np.arange(len(codes)) - np.repeat(first[:-1], size)).astype(U64))
+        h = mix(mix(codes + U64(7)) + (np.arange(len(codes)) - np.repeat(first[:-1], size)).astype(U64))
         sums = np.add.reduceat(h, first[:-1])
         other = np.add.reduceat(mix(h + U64(11)), first[:-1])
         ident = np.stack([sums, other, size.astype(U64)], 1)
@@ -413,12 +413,12 @@ def repeated_spans(docs: DataFrame, length: int = 35, k: int = 6, text_col: str
     shards = max(int(places / 4 * (1.5 * length)) // SHARD + 1, int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = read.select("h1", "h2", "_text").join(small(found, BROADCAST_TEXTS) if places <= BROADCAST_BYTES else found, ["h1", "h2"])
 
-    def by_shard(place, e, code, start, size):
+    def by_shard(place, e, h, start, size):
         """Entries and their words for shards."""
 
         def tail(part):
             at = np.cumsum(size[part]) - size[part]
-            return code[np.repeat(start[part] - at, size[part]) + np.arange(size[part].sum())]
+            return h[np.repeat(start[part] - at, size[part]) + np.arange(size[part].sum())]
 
         return _packed((mix(place + U64(5)) % U64(shards)).astype(np.int64), e, tail)
 
@@ -449,7 +449,6 @@ def repeated_spans(docs: DataFrame, length: int = 35, k: int = 6, text_col: str
             h1, h2 = _keys(b)
             e = np.empty(len(p), SEGMENT)
             e["h"], e["a"], e["b"], e["p"], e["s"], e["w"] = anchor, h1[text], h2[text], p - first[text], s - first[text], w
-            code = (h >> U64(32)).astype(np.uint32)
             # of segments with equal words two go to their shard; the others are known to repeat and go by text
             size = w + length - 1
             at = np.cumsum(size) - size
@@ -469,7 +468,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, k: int = 6, text_col: str
                 yield by_text(e[known])
             plain, sent = sent[~split], sent[split]
             if len(plain):
-                yield by_shard(anchor[plain], e[plain], code, s[plain], size[plain])
+                yield by_shard(anchor[plain], e[plain], h, s[plain], size[plain])
             if len(sent):  # hot anchors, window by window
                 begin = np.repeat(s[sent], w[sent]) + np.arange(w[sent].sum()) - np.repeat(np.cumsum(w[sent]) - w[sent], w[sent])
                 e = np.repeat(e[sent], w[sent])
@@ -484,7 +483,7 @@ def repeated_spans(docs: DataFrame, length: int = 35, k: int = 6, text_col: str
                 if known.any():
                     yield by_text(e[known])
                 if not known.all():
-                    yield by_shard(g[~known], e[~known], code, begin[~known], np.full(int((~known).sum()), length))
+                    yield by_shard(g[~known], e[~known], h, begin[~known], np.full(int((~known).sum()), length))
 
     def search(it):
         for rows in _each_bucket(it):
