@@ -378,7 +378,13 @@ def test_command_line(spark, tmp_path, capsys):
     assert options.main([str(tmp_path / "in"), "--package-type", "npm"]) == 2
 
 
-def test_command_line_lists_what_it_would_scan(spark, tmp_path, capsys):
+@pytest.fixture
+def one_rule(monkeypatch):
+    """The command line with a single built-in rule, which plans faster."""
+    monkeypatch.setattr("leakloom.functions.rules.load_rules", lambda *a: RULES)
+
+
+def test_command_line_lists_what_it_would_scan(spark, one_rule, tmp_path, capsys):
     for name, body in {"a.txt": TOKEN, "b.png": "x", "c.zip": "x", "old.txt": TOKEN}.items():
         (tmp_path / "in/lib").mkdir(parents=True, exist_ok=True)
         (tmp_path / "in/lib" / name).write_text(body)
@@ -389,7 +395,7 @@ def test_command_line_lists_what_it_would_scan(spark, tmp_path, capsys):
     assert sorted(x.split("\t")[0] for x in capsys.readouterr().out.splitlines()) == ["lib/a.txt", "lib/c.zip", "lib/old.txt"]
 
 
-def test_command_line_leaves_errors_and_resume_keys_and_tries_again(spark, tmp_path):
+def test_command_line_leaves_errors_and_resume_keys_and_tries_again(spark, one_rule, tmp_path):
     src, out, done = tmp_path / "in/lib", str(tmp_path / "rep"), str(tmp_path / "done")
     src.mkdir(parents=True)
     (src / "a.txt").write_text(TOKEN)
@@ -407,7 +413,7 @@ def test_command_line_leaves_errors_and_resume_keys_and_tries_again(spark, tmp_p
     assert options.main([*args[:5], "--dry-run", "--resume", done, "--crack"]) == 0
 
 
-def test_command_line_tries_image_blobs_again(spark, tmp_path):
+def test_command_line_tries_image_blobs_again(spark, one_rule, tmp_path):
     src, out = tmp_path / "in/img/app/1", str(tmp_path / "rep")
     src.mkdir(parents=True)
     (src / "manifest.json").write_text(json.dumps({"config": {"digest": DIGEST}, "layers": [{"digest": "sha256:aa", "size": 9}]}))
@@ -421,7 +427,7 @@ def test_command_line_tries_image_blobs_again(spark, tmp_path):
     assert [f["path"] for f in json.load(open(f"{out}.json"))["findings"]] == ["app/1/sha256__aa!app/x.env"] and not os.path.exists(failed)
 
 
-def test_command_line_selects_repositories_of_a_catalogue(spark, tmp_path, capsys):
+def test_command_line_selects_repositories_of_a_catalogue(spark, one_rule, tmp_path, capsys):
     for repo in ("lib", "far-cache", "all", "img"):
         (tmp_path / "in" / repo).mkdir(parents=True)
         (tmp_path / "in" / repo / "a.txt").write_text(TOKEN)
