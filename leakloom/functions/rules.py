@@ -38,6 +38,8 @@ CLASSES = {
 }
 SPACE = r"\t\n\f\r "
 _TOKEN = re.compile(r"\\Q.*?(?:\\E|$)|\\.|\[:\^?[a-z]+:\]|\(\?P?<[A-Za-z_]\w*>|\{\d+(?:,\d*)?\}|.", re.DOTALL)
+#: A group, or a whole pattern, of nothing but plain alternatives.
+_ALTERNATIVES = re.compile(r"((?<!\\)\((?:\?:|\?P?<[A-Za-z_]\w*>)?|^)([\w\- ]+(?:\|[\w\- ]+)+)(\)|$)")
 _MULTILINE = re.compile(r"\(\?[a-zA-Z]*m")
 
 
@@ -46,7 +48,9 @@ def translated(regex: str, java: bool) -> tuple[str, int]:
 
     Groups lose their names, \\s is the space of linear-time engines (without VT), $ is the end of the text unless lines are
     asked for, \\Q...\\E is taken literally, and brackets, braces and && that are plain characters there are escaped.
+    Plain alternatives go longest first, as engines that look for the longest match would choose.
     """
+    regex = _ALTERNATIVES.sub(lambda m: m[1] + "|".join(sorted(m[2].split("|"), key=len, reverse=True)) + m[3], regex)
     out, groups, inside, first = [], 0, False, False
     lines = bool(_MULTILINE.search(regex))
     end = r"\z" if java else r"\Z"

@@ -184,7 +184,8 @@ def test_lint_finds(bad):
     ("regex", "java", "groups"),
     [
         (r"(?P<who>[[:alpha:]_]+)\s", r"([A-Za-z_]+)[\t\n\f\r ]", 1), (r"(?<a>x)(?:y)(z)$", r"(x)(?:y)(z)\z", 2), (r"(?m)^x$", r"(?m)^x$", 0), (r"[]a[&&b]", r"[\]a\[\&\&b]", 0),
-        (r"a{2,3}{b", r"a{2,3}\{b", 0), (r"\Qa.b\E(c)", r"a\.b(c)", 1), (r"[a\]$]$", r"[a\]$]\z", 0), (r"\\s\(", r"\\s\(", 0), (r"[[:^digit:]]", r"[[^0-9]]", 0), (r"[^\s]", r"[^\t\n\f\r ]", 0),
+        (r"a{2,3}{b", r"a{2,3}\{b", 0), (r"\Qa.b\E(c)", r"a\.b(c)", 1), (r"[a\]$]$", r"[a\]$]\z", 0), (r"\\s\(", r"\\s\(", 0), (r"[[:^digit:]]", r"[[^0-9]]", 0), (r"[^\s]", r"[^\t\n\f\r ]", 0), (r"(a|ab|abc)x", r"(abc|ab|a)x", 1),
+        (r"key|key-id", r"key-id|key", 0), (r"(?:a|b+)", r"(?:a|b+)", 0), (r"\(a|ab\)", r"\(a|ab\)", 0),
     ],
 )
 def test_dialects(spark, regex, java, groups):
