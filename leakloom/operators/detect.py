@@ -1,7 +1,8 @@
 """Detection: rules over text, directly and inside base64 runs.
 
-Every rule is unrolled into one expression over the text, behind a test for its keywords, so a
-scan is one narrow stage of built-in expressions: no Python, no join with the rules, no shuffle.
+Every rule is unrolled into a cheap test of the text (what a match begins with, keywords); only the rules that pass
+are searched for, by one expression whose pattern is the rule's. So a scan is one narrow stage of built-in
+expressions: no Python, no join with the rules, no shuffle.
 """
 
 from __future__ import annotations
@@ -37,40 +38,57 @@ def _literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def rule_sql(rule: Rule, content: str, lower: str, most: int = MOST_MATCHES) -> str:
-    """SQL for an array of (ordinal, no, match, secret, before) of a rule's first matches in column `content`; before is
-    the number of characters in front, lower a column with text.folded() of it.
+#: Characters that are rare in prose, rarest first: rules whose matches begin with text that has one are tested only where it occurs.
+RARE = "$@_=:/-.0123456789"
 
-    SQL text makes hundreds of rules one call to the JVM. Only texts that pass the tests (what every match begins with, then
-    the keywords) are searched: for the matches, their groups and the text between them. The inner lambda's argument z holds these.
-    """
-    pattern = _literal(rule.java)
+
+def _tests(rule: Rule, content: str, lower: str) -> str:
+    """SQL for the cheap tests of a rule on column `content`: what every match begins with, then the keywords; lower has text.folded() of it."""
     tests = [f"contains({content}, {_literal(rule.literal)})"] if rule.literal else []
     if rule.keywords and "" not in rule.keywords:
         ascii_only = f"translate({content}, '{text.UPPER}', '{text.LOWER}')"
         tests.append("(" + " OR ".join(f"contains({lower if k.isascii() else ascii_only}, {_literal(k)})" for k in rule.keywords) + ")")
-    chars = "aggregate(slice({}, 1, {}), 0, (a, y) -> a + char_length(y))"
-    before = chars.format("z.b", "i + 1") + " + " + chars.format("z.m", "i")
-    secret = "x" if not rule.group else "if(get(z.s, i) = '', x, get(z.s, i))" if rule.whole else "get(z.s, i)"
-    groups = f"regexp_extract_all({content}, {pattern}, 1)" if rule.group else "cast(array() as array<string>)"
-    one = f"named_struct('ordinal', {rule.ordinal}, 'no', i, 'match', x, 'secret', {secret}, 'before', {before})"
-    found = f"named_struct('m', regexp_extract_all({content}, {pattern}, 0), 's', {groups}, 'b', split({content}, {pattern}, -1))"
-    first = f"slice(z.m, 1, {most})" if most else "z.m"
-    matches = f"get(transform(array({found}), z -> transform({first}, (x, i) -> {one})), 0)"
-    none = "cast(array() as array<struct<ordinal:int,no:int,match:string,secret:string,before:int>>)"
-    return f"CASE WHEN {' AND '.join(tests) or 'true'} THEN {matches} ELSE {none} END"
+    return " AND ".join(tests) or "true"
+
+
+def candidates_sql(rules: Sequence[Rule], content: str, lower: str) -> str:
+    """SQL for the array of places (in rules) of the rules that a text must be searched for.
+
+    SQL text makes hundreds of rules one call to the JVM.
+    """
+    groups: dict[str, list[str]] = {}
+    for i, r in enumerate(rules):
+        rare = next((c for c in RARE if c in r.literal), "")
+        groups.setdefault(rare, []).append(f"CASE WHEN {_tests(r, content, lower)} THEN {i} END")
+    parts = [f"CASE WHEN contains({content}, {_literal(c)}) THEN array({', '.join(x)}) ELSE cast(array() as array<int>) END" if c else f"array({', '.join(x)})" for c, x in groups.items()]
+    return f"array_compact(concat({', '.join(parts)}))"
 
 
 def raw_matches(df: DataFrame, rules: Sequence[Rule], content: str = "content", most: int = MOST_MATCHES) -> DataFrame:
     """df with a row for each match: columns ordinal, match_no, match, secret, and prefix (the text in front) for the content column.
 
-    The first `most` matches of each rule in a text (0: all).
+    The first `most` matches of each rule in a text (0: all). A text is searched only for rules whose cheap tests it passes.
     """
-    found = "concat(" + ", ".join(rule_sql(r, f"`{content}`", "`_lower`", most) for r in rules) + ")"
-    rows = df.withColumn("_lower", text.folded(F.col(content))).withColumn("_m", F.explode(F.expr(found)))
+
+    def of_rule(value) -> Column:
+        return F.expr(f"element_at(array({', '.join(map(value, rules))}), _i + 1)")
+
+    # explode_outer, as the optimizer would test explode's array for emptiness by computing it once more
+    rows = df.withColumn("_lower", text.folded(F.col(content))).withColumn("_i", F.explode_outer(F.expr(candidates_sql(rules, f"`{content}`", "`_lower`")))).where("_i is not null")
+    rows = rows.select(*df.columns, of_rule(lambda r: str(r.ordinal)).alias("ordinal"), of_rule(lambda r: str(r.group)).alias("_g"), of_rule(lambda r: str(r.whole).lower()).alias("_w"), of_rule(lambda r: _literal(r.java)).alias("_p"))
+    groups = F.when(F.col("_g") > 0, F.regexp_extract_all(content, F.col("_p"), F.col("_g")))
+    rows = rows.withColumn("_z", F.struct(F.regexp_extract_all(content, F.col("_p"), F.lit(0)).alias("m"), groups.alias("s"), F.split(content, F.col("_p"), -1).alias("b")))
+
+    def one(x: Column, i: Column) -> Column:
+        own = F.get("_z.s", i)
+        secret = F.when((F.col("_g") == 0) | (F.col("_w") & (own == "")), x).otherwise(own)
+        return F.struct(i.alias("no"), x.alias("match"), secret.alias("secret"), (_chars(F.col("_z.b"), i + 1) + _chars(F.col("_z.m"), i)).alias("before"))
+
+    found = F.transform(F.slice("_z.m", 1, most) if most else F.col("_z.m"), one)
+    rows = rows.withColumn("_m", F.explode_outer(found)).where("_m is not null")
     return rows.select(
         *[c for c in df.columns if c != content],
-        F.col("_m.ordinal").alias("ordinal"),
+        "ordinal",
         F.col("_m.no").alias("match_no"),
         F.col("_m.match").alias("match"),
         F.col("_m.secret").alias("secret"),
@@ -113,7 +131,7 @@ def base64_runs(df: DataFrame, content: str = "content", most: int = MOST_RUNS,
     Runs have 24 bytes or more, `longest` at most, and are the first `most` of an alphabet (0: all); decoded they have 8 bytes or more of
     valid, mostly printable UTF-8.
     """
-    rows = df.withColumn("_r", F.explode(_all_runs(content, most))).withColumn("_d", _decoded(F.col("_r.run"), longest)).where(F.col("_d").isNotNull())
+    rows = df.withColumn("_r", F.explode_outer(_all_runs(content, most))).withColumn("_d", _decoded(F.col("_r.run"), longest)).where(F.col("_d").isNotNull())
     return rows.select(*df.columns, F.col("_r.phase").alias("phase"), F.col("_r.no").alias("run_no"), F.col("_r.before").alias("run_before"), F.col("_d").alias("decoded"))
 
 
@@ -165,7 +183,7 @@ def detect(df: DataFrame, rules: Sequence[Rule], base64: bool = True, content: s
     bytewise = F.col("bytewise") if "bytewise" in df.columns else F.lit(False)
     # a text and its decoded runs are rows alike, so that the rules stand in the plan once
     itself = F.struct(F.lit(0).alias("phase"), F.lit(0).alias("no"), F.lit(0).alias("before"), F.lit(None).cast("string").alias("run"))
-    rows = read.withColumn("_r", F.explode(F.concat(F.array(itself), _all_runs(content, most_runs))))
+    rows = read.withColumn("_r", F.explode_outer(F.concat(F.array(itself), _all_runs(content, most_runs))))
     inside = F.col("_r.phase") > 0
     place = F.substring(content, F.lit(1), F.col("_r.before"))
     rows = rows.select(

@@ -207,7 +207,7 @@ def sample_findings(spark: SparkSession, folder: str) -> DataFrame:
     names = ["repo", "path", "name", "size", "sha256", "content"]
     every = samples(spark).select(*names)
     for t in artifacts.TABLES:
-        every = every.union(items_of(table(spark, folder, t), t).select(*names))
+        every = every.union(spread(items_of(table(spark, folder, t), t).select(*names)))
     return scanned(every).select("repo", "path", "rule_id", "severity", "line", "column", "secret", "entropy", "fingerprint")
 
 
@@ -422,7 +422,7 @@ BOTH = f"(select * from {SAMPLE_SQL} union all select * from {DOCS})"
 
 def both(spark: SparkSession, folder: str) -> DataFrame:
     names = ["repo", "path", "name", "size", "sha256", "content"]
-    return scanned(samples(spark).select(*names).union(documents(spark, folder).select(*names)))
+    return scanned(samples(spark).select(*names).union(spread(documents(spark, folder).select(*names))))
 
 
 @query(f"{findings_sql(ALL, BOTH)} select rule_id, repo, path, line, severity from best where {RANK} >= 3")
