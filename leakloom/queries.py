@@ -337,7 +337,7 @@ def findings_entropy(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{findings_sql(TOKEN, DOCS)} select name, match_no, line, \"column\" from gated")
 def findings_linecol(spark: SparkSession, folder: str) -> DataFrame:
-    found = detect.detect(documents(spark, folder).select("repo", "path", "name", "content"), TOKEN)
+    found = detect.detect(spread(documents(spark, folder).select("repo", "path", "name", "content")), TOKEN)
     return found.select("name", "match_no", "line", "column")
 
 
@@ -396,7 +396,7 @@ def collapse_redact(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{findings_sql(TOKEN, DOCS)} select repo, path, secret, fingerprint from printed")
 def fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    found = findings.enrich(detect.detect(documents(spark, folder), TOKEN))
+    found = findings.enrich(detect.detect(spread(documents(spark, folder)), TOKEN))
     return found.select("repo", "path", "secret", "fingerprint")
 
 
@@ -408,7 +408,7 @@ DOUBLE = parse_rules(
 
 @query(f"{findings_sql(DOUBLE, DOCS)} select fingerprint, rule_id, match_no, line from first")
 def dedupe_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    found = findings.enrich(detect.detect(documents(spark, folder), DOUBLE))
+    found = findings.enrich(detect.detect(spread(documents(spark, folder)), DOUBLE))
     return findings.first_by_fingerprint(found).select("fingerprint", "rule_id", "match_no", "line")
 
 
